@@ -44,8 +44,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def spaced(text: Column) -> Column:
+    """``text`` with every white-space character as a blank, by plain replacement."""
+    text = F.coalesce(text, F.lit(""))
+    for c in "\t\n\v\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.filter(F.split(spaced(text), " "), lambda w: w != "")
 
 
 def row_key(*cols: Column) -> list[Column]:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import SPACE, row_key, words_of
+from tillsight.llm.common import SPACE, row_key, spaced, words_of
 
 MIN_WORDS, REPEAT_SHARE, WINDOW = 20, 30, 8
 MIN_DOCS, SHARE, KEEP_SHARE = 10, 0.1, 0.5
@@ -33,31 +33,41 @@ def _line_hash(line: Column) -> Column:
     return F.xxhash64(_normal(line))
 
 
+def _pairs(hashes: str, step: int) -> Column:
+    """Hash of each element with the one ``step`` places on; null where there is none."""
+    return F.transform(hashes, lambda h, i: F.when(i + step < F.size(hashes), F.xxhash64(h, F.get(F.col(hashes), i + step))))
+
+
 def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
-    df = docs.withColumn("_words", words_of(F.col(text_col))).withColumn("_lines", lines)
+    df = docs.withColumn("_words", words_of(F.col(text_col))).withColumn("_lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     df = df.withColumn("n_words", F.size("_words").cast("bigint"))
-    window = lambda i: F.struct(F.xxhash64(F.slice(F.col("_words"), i + 1, WINDOW)).alias("h"), i.alias("p"))
-    windows = F.when(F.col("n_words") >= WINDOW, F.array_sort(F.transform(F.sequence(F.lit(0), (F.col("n_words") - WINDOW).cast("int")), window)))
-    df = df.withColumn("_w", windows)
+    # Windows of eight by doubling: words, pairs, fours, eights; then by hash, so that equal windows meet.
+    df = df.withColumn("_1", F.transform("_words", lambda w: F.xxhash64(w)))
+    for have, step in (("_1", 1), ("_2", 2), ("_4", 4)):
+        df = df.withColumn(f"_{2 * step}", _pairs(have, step))
+    full = F.slice(F.col("_8"), 1, F.greatest(F.size("_8") - (WINDOW - 1), F.lit(0)))
+    df = df.withColumn("_w", F.sort_array(F.transform(full, lambda h, i: F.struct(h.alias("h"), i.alias("p")))))
     at = lambda i: F.get(F.col("_w"), i)["h"]
-    again = F.filter("_w", lambda x, i: F.coalesce((x["h"] == at(i - 1)) | (i < 0), F.lit(False)) | F.coalesce(x["h"] == at(i + 1), F.lit(False)))
-    places = F.array_sort(F.transform(again, lambda x: x["p"]))
+    again = F.filter("_w", lambda x, i: F.coalesce(x["h"] == at(i - 1), F.lit(False)) | F.coalesce(x["h"] == at(i + 1), F.lit(False)))
+    places = F.sort_array(F.transform(again, lambda x: x["p"]))
     # Union of [p, p + 8): each window adds what reaches beyond the last one's end.
     covered = F.aggregate(
         places, F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("end")),
         lambda acc, p: F.struct((acc["sum"] + (p + WINDOW - F.greatest(acc["end"], p))).alias("sum"), (p + WINDOW).alias("end")), lambda acc: acc["sum"],
     )
+    unsigned = text
+    for c in "#*$%&|<>":
+        unsigned = F.replace(unsigned, F.lit(c), F.lit(""))
     df = df.withColumns({
-        "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("bigint"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("bigint"),
+        "word_chars": F.length(F.replace(spaced(text), F.lit(" "), F.lit(""))).cast("bigint"),
+        "n_symbols": (F.length(text) - F.length(unsigned)).cast("bigint"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
         "n_repeat_words": F.coalesce(covered, F.lit(0).cast("bigint")),
     })
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words")))
-    return df.drop("_words", "_lines", "_w")
+    return df.drop("_words", "_lines", "_w", "_1", "_2", "_4", "_8")
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -65,7 +75,8 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHA
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.xxhash64(text).alias("_t"), text.alias("_text"))
     hosts = slim.select("_host", "_t").distinct().groupBy("_host").agg(F.count("*").alias("_texts"))
-    hashes = F.array_distinct(F.transform(F.filter(F.split("_text", "\n", -1), lambda x: _normal(x) != ""), _line_hash))
+    normal = F.filter(F.transform(F.split("_text", "\n", -1), _normal), lambda x: x != "")
+    hashes = F.array_distinct(F.transform(normal, lambda x: F.xxhash64(x)))
     lines = slim.select("_host", "_t", F.explode(hashes).alias("_h")).distinct().groupBy("_host", "_h").agg(F.count("*").alias("_n"))
     return lines.where(F.col("_n") > min_docs).join(hosts, "_host").where(F.col("_n") > share * F.col("_texts")).select("_host", "_h")
 
@@ -75,11 +86,13 @@ def line_quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE
     text = F.coalesce(F.col(text_col), F.lit(""))
     host = F.coalesce(F.col(host_col), F.lit(""))
     frequent = frequent_lines(docs, min_docs, share, text_col, host_col)
-    line = lambda x: F.struct(_line_hash(x).alias("h"), F.size(words_of(x)).alias("n"))
-    lines = docs.select(*row_key(host, text), host.alias("_host"), F.explode(F.transform(F.filter(F.split(text, "\n", -1), lambda x: _normal(x) != ""), line)).alias("_l"))
-    # Copies share one key: one row a distinct (host, text) and line is enough.
-    lines = lines.groupBy("_k1", "_k2", "_host", F.col("_l.h").alias("_h")).agg(F.max("_l.n").alias("_one"), F.count("*").alias("_times"))
-    removed = lines.join(frequent, ["_host", "_h"]).groupBy("_k1", "_k2").agg(F.sum(F.col("_one") * F.col("_times")).alias("_gone"), F.collect_set("_h").alias("_out"))
+    # A normal line's words are those of the line itself: one blank between each two.
+    line = lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"))
+    normal = F.filter(F.transform(F.split(text, "\n", -1), _normal), lambda x: x != "")
+    lines = docs.select(*row_key(host, text), host.alias("_host"), F.posexplode(F.transform(normal, line)).alias("_at", "_l"))
+    # Copies share one key, so a line of theirs is one row.
+    lines = lines.select("_k1", "_k2", "_host", "_at", F.col("_l.h").alias("_h"), F.col("_l.n").alias("_n"))
+    removed = lines.join(frequent, ["_host", "_h"]).distinct().groupBy("_k1", "_k2").agg(F.sum("_n").alias("_gone"), F.collect_set("_h").alias("_out"))
     k1, k2 = row_key(host, text)
     df = base_rules(docs, text_col).withColumns({"_k1": k1, "_k2": k2})
     df = df.join(removed, ["_k1", "_k2"], "left").withColumn("removed_words", F.coalesce(F.col("_gone"), F.lit(0)).cast("bigint")).drop("_gone")

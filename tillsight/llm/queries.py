@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import feistel, quality
+from tillsight.llm import feistel, language, packing, quality, simhash
 from tillsight.llm.common import table
 
 
@@ -21,9 +21,29 @@ def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(packing.tokenise(table(spark, sf_dir, "documents"), with_ids=False))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op5_rank_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = language.fold(F.col("doc_id"), 3)
+    found = language.identify(docs, language.profiles(docs.where(fold != 1)), carry=["doc_id"])
+    return found.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op9_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_quality": op2_line_quality,
+    "op3_ffd_packing": op3_ffd_packing,
+    "op5_rank_language": op5_rank_language,
     "op6_feistel_shards": op6_feistel_shards,
+    "op9_gray_simhash": op9_gray_simhash,
 }
 
 ORACLES: dict[str, str] = {
