@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from tillsight.llm.common import materialise
 
 SEQUENCE, END_ID, GROUP = 4096, 2, 2048
-_CACHE = 1_000_000
+_CACHE = 400_000
+_ENCODERS: dict[str, WordEncoder] = {}
 #: Fixed values of the tokenizer's own word split.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -77,6 +78,13 @@ class WordEncoder:
         return b"".join([known[w] for w in words])
 
 
+def encoder(path: str) -> WordEncoder:
+    """The one encoder of this worker process; its cache of words lives on from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def tokenise(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens[, ids])`` of at most ``sequence`` ids."""
     path, end = tokenizer or default_tokenizer(), end_id.to_bytes(4, "little")
@@ -89,7 +97,7 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQU
         import numpy as np
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = WordEncoder(path)
+        encode = encoder(path)
         for batch in batches:
             key, place, start, length, crc, total, ids = batch.column(0), [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
