@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import SPACE, row_key, spaced, words_of
+from tillsight.llm.common import SPACE, let, row_key, spaced, words_of
 
 MIN_WORDS, REPEAT_SHARE, WINDOW = 20, 30, 8
 MIN_DOCS, SHARE, KEEP_SHARE = 10, 0.1, 0.5
@@ -33,41 +33,51 @@ def _line_hash(line: Column) -> Column:
     return F.xxhash64(_normal(line))
 
 
-def _pairs(hashes: str, step: int) -> Column:
-    """Hash of each element with the one ``step`` places on; null where there is none."""
-    return F.transform(hashes, lambda h, i: F.when(i + step < F.size(hashes), F.xxhash64(h, F.get(F.col(hashes), i + step))))
+def _pairs(step: int):
+    """Hash of each element of an array with the one ``step`` places on; null where there is none."""
+    return lambda a: F.transform(a, lambda h, i: F.when(i + step < F.size(a), F.xxhash64(h, F.get(a, i + step))))
 
 
-def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("_words", words_of(F.col(text_col))).withColumn("_lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    df = df.withColumn("n_words", F.size("_words").cast("bigint"))
-    # Windows of eight by doubling: words, pairs, fours, eights; then by hash, so that equal windows meet.
-    df = df.withColumn("_1", F.transform("_words", lambda w: F.xxhash64(w)))
-    for have, step in (("_1", 1), ("_2", 2), ("_4", 4)):
-        df = df.withColumn(f"_{2 * step}", _pairs(have, step))
-    full = F.slice(F.col("_8"), 1, F.greatest(F.size("_8") - (WINDOW - 1), F.lit(0)))
-    df = df.withColumn("_w", F.sort_array(F.transform(full, lambda h, i: F.struct(h.alias("h"), i.alias("p")))))
-    at = lambda i: F.get(F.col("_w"), i)["h"]
-    again = F.filter("_w", lambda x, i: F.coalesce(x["h"] == at(i - 1), F.lit(False)) | F.coalesce(x["h"] == at(i + 1), F.lit(False)))
-    places = F.sort_array(F.transform(again, lambda x: x["p"]))
+def _again(sorted_windows: Column) -> Column:
+    """Places of the windows whose hash occurs twice or more."""
+    same = lambda x, i: F.coalesce(x["h"] == F.get(sorted_windows, i)["h"], F.lit(False))
+    return F.transform(F.filter(sorted_windows, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["p"])
+
+
+def repeat_words(words: Column) -> Column:
+    """Words within windows of eight words that occur twice or more.
+
+    Windows are hashed by doubling (words, pairs, fours, eights) and sorted, so that equal ones meet. All
+    intermediate arrays are lambda parameters: whatever the optimiser moves, they are computed once a row.
+    """
+    eights = F.transform(words, lambda w: F.xxhash64(w))
+    for step in (1, 2, 4):
+        eights = let(eights, _pairs(step))
+    full = let(eights, lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - (WINDOW - 1), F.lit(0))))
+    windows = F.sort_array(F.transform(full, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
     # Union of [p, p + 8): each window adds what reaches beyond the last one's end.
-    covered = F.aggregate(
-        places, F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("end")),
+    return F.aggregate(
+        F.sort_array(let(windows, _again)), F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("end")),
         lambda acc, p: F.struct((acc["sum"] + (p + WINDOW - F.greatest(acc["end"], p))).alias("sum"), (p + WINDOW).alias("end")), lambda acc: acc["sum"],
     )
+
+
+def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    words = words_of(F.col(text_col))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     unsigned = text
     for c in "#*$%&|<>":
         unsigned = F.replace(unsigned, F.lit(c), F.lit(""))
-    df = df.withColumns({
+    df = docs.withColumns({
+        "n_words": F.size(words).cast("bigint"),
         "word_chars": F.length(F.replace(spaced(text), F.lit(" "), F.lit(""))).cast("bigint"),
         "n_symbols": (F.length(text) - F.length(unsigned)).cast("bigint"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-        "n_repeat_words": F.coalesce(covered, F.lit(0).cast("bigint")),
+        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
+        "n_repeat_words": repeat_words(words),
     })
-    df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words")))
-    return df.drop("_words", "_lines", "_w", "_1", "_2", "_4", "_8")
+    return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words")))
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, text_col: str = "text", host_col: str = "source") -> DataFrame:
