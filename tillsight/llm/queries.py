@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import feistel, language, packing, quality, simhash
+from tillsight.llm import feistel, language, packing, passages, quality, simhash
 from tillsight.llm.common import table
 
 
@@ -38,12 +38,17 @@ def op9_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_quality": op2_line_quality,
     "op3_ffd_packing": op3_ffd_packing,
     "op5_rank_language": op5_rank_language,
     "op6_feistel_shards": op6_feistel_shards,
     "op9_gray_simhash": op9_gray_simhash,
+    "op10_compact_windows": op10_compact_windows,
 }
 
 ORACLES: dict[str, str] = {
