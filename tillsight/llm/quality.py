@@ -4,8 +4,7 @@ Lines are normalised (lower case, digit runs to 0, white space collapsed) and ha
 number of distinct texts that hold a line is counted over all documents; exact copies of a text count once,
 so a page that was crawled often does not look like boilerplate. A line held by more than
 ``max(min_docs, share * texts of the host)`` texts is removed from every document of that host. A document
-that loses more than half its words, or keeps fewer than 20, is depleted and rejected. Only DataFrame
-functions run.
+that loses more than half its words is depleted and rejected. Only DataFrame functions run.
 
 Hot hosts and lines: counts are reduced map-side before each shuffle, and the join that marks removable
 lines lets Spark split a hot key. No line is dropped from the counts.
@@ -107,7 +106,7 @@ def line_quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE
     df = base_rules(docs, text_col).withColumns({"_k1": k1, "_k2": k2})
     df = df.join(removed, ["_k1", "_k2"], "left").withColumn("removed_words", F.coalesce(F.col("_gone"), F.lit(0)).cast("bigint")).drop("_gone")
     rest = F.col("n_words") - F.col("removed_words")
-    kept = ~F.col("base_failed") & (rest >= MIN_WORDS) & (rest >= keep_share * F.col("n_words"))
+    kept = ~F.col("base_failed") & (rest >= keep_share * F.col("n_words"))
     clean = F.when(F.col("_out").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(F.col("_out"), _line_hash(x)) | (_normal(x) == "")), "\n"))
     return df.withColumn("kept", kept).withColumn("clean_text", clean).drop("_k1", "_k2", "_out")
 
@@ -130,5 +129,5 @@ base AS (SELECT w.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(re
   FROM words w LEFT JOIN dup ON w.rid = dup.rid LEFT JOIN rep ON w.rid = rep.rid LEFT JOIN gone ON w.rid = gone.rid),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words - removed_words >= 20 AND n_words - removed_words >= 0.5 * n_words AS kept, removed_words
+  NOT base_failed AND n_words - removed_words >= 0.5 * n_words AS kept, removed_words
 FROM judged"""
