@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import feistel, language, packing, passages, quality, simhash
+from tillsight.llm import feistel, language, packing, passages, quality, simhash, toxicity
 from tillsight.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = language.fold(F.col("doc_id"), 5)
+    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labelled = docs.where(fold != 0).join(labels, "doc_id").select(F.col("doc_id").alias("key"), "text", "toxic")
+    lm = toxicity.CharModel(toxicity.char_counts(docs))
+    found = toxicity.score(docs, toxicity.fit(labelled, lm), carry=["doc_id"])
+    return found.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.line_quality(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
@@ -43,6 +53,7 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_line_quality": op2_line_quality,
     "op3_ffd_packing": op3_ffd_packing,
     "op5_rank_language": op5_rank_language,
