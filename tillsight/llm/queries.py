@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import extraction, feistel, language, packing, passages, quality, simhash, toxicity
+from tillsight.llm import extraction, feistel, language, neighbours, packing, passages, quality, simhash, toxicity
 from tillsight.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op5_rank_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_crf_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extraction.extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ffd_packing": op3_ffd_packing,
     "op5_rank_language": op5_rank_language,
     "op6_feistel_shards": op6_feistel_shards,
+    "op7_hnsw": op7_hnsw,
     "op8_crf_extract": op8_crf_extract,
     "op9_gray_simhash": op9_gray_simhash,
     "op10_compact_windows": op10_compact_windows,
