@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import extraction, feistel, language, neighbours, packing, passages, quality, simhash, toxicity
+from tillsight.llm import extraction, feistel, language, merges, neighbours, packing, passages, quality, simhash, toxicity
 from tillsight.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op3_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merges.encode(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids")
+
+
 def op5_rank_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = language.fold(F.col("doc_id"), 3)
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_quality": op2_line_quality,
     "op3_ffd_packing": op3_ffd_packing,
+    "op4_merge_dropout": op4_merge_dropout,
     "op5_rank_language": op5_rank_language,
     "op6_feistel_shards": op6_feistel_shards,
     "op7_hnsw": op7_hnsw,
