@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillsight.llm import extraction, feistel, language, merges, neighbours, packing, passages, quality, simhash, toxicity
-from tillsight.llm.common import table
+from tillsight.llm.common import materialise, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = language.fold(F.col("doc_id"), 5)
-    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.where(fold != 0).join(labels, "doc_id").select(F.col("doc_id").alias("key"), "text", "toxic")
+    # The sample of labels has at most about FIT_ROWS rows of two numbers, so it may be broadcast.
+    labels = F.broadcast(toxicity.sampled(table(spark, sf_dir, "labels").where(fold != 0)))
+    labelled = materialise(docs.join(labels, "doc_id").select("text", "toxic"), "labelled")
     lm = toxicity.CharModel(toxicity.char_counts(docs))
     found = toxicity.score(docs, toxicity.fit(labelled, lm), carry=["doc_id"])
     return found.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
