@@ -39,7 +39,7 @@ def cents(x: Column) -> Column:
 
 def money_label(x: Column) -> Column:
     """12,50 EUR."""
-    return F.concat(F.translate(F.format_number(x.cast("double"), "0.00"), ".", ","), F.lit(" EUR"))
+    return F.concat(F.translate(F.format_string("%.2f", x.cast("double")), ".", ","), F.lit(" EUR"))
 
 
 def quantity_label(x: Column) -> Column:
@@ -53,7 +53,7 @@ def confidence(value: Column, evidence: Column) -> Column:
     scaled = F.when(v.between(0, 1), v * 100).otherwise(v)
     e = F.upper(evidence)
     word = F.when(e.contains("CONFIRMED") & ~e.contains("UNCONFIRMED"), 100).when(e.contains("INFERRED"), 65).otherwise(25)
-    return F.coalesce(F.least(F.lit(100), F.greatest(F.lit(0), scaled.cast("int"))), word)
+    return F.when(v.isNotNull(), F.least(F.lit(100), F.greatest(F.lit(0), scaled.cast("int")))).otherwise(word)
 
 
 def local_to_utc(local: Column, zone: str, captured: Column | None = None) -> Column:
