@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLANK, WIDE, VARIANTS, CHUNK = "▁", 96, 64, 3_000_000
+BLANK, WIDE, VARIANTS, CHUNK = "▁", 96, 32, 3_000_000
 _PAD, _ODD = 65535, 65534
 _LITERAL = "\udb80"  # stands for U+2581 in a text; no valid text holds a lone surrogate
 _UNITS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -95,7 +95,7 @@ class Codec:
 
     def joints(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Joint ids (``_PAD``: none) and ranks (-1: none) of adjacent symbols."""
-        key = a << 16 | b
+        key = a.astype(np.int64) << 16 | b
         at = self._slot(key)
         found = self.slot_key[at] == key
         for _ in range(self.probes - 1):
@@ -109,37 +109,46 @@ class Codec:
     def _rows(self, sym: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols and their first characters, row by row; ``sym`` is padded with ``_PAD``."""
         n, wide = sym.shape
-        out, out_start = sym.copy(), np.broadcast_to(np.arange(wide), sym.shape).copy()
+        out, out_start = sym.copy(), np.broadcast_to(np.arange(wide, dtype=np.uint8), sym.shape).copy()
         if wide == 1:
             return out, out_start
         live, start, cols = np.arange(n), out_start.copy(), np.arange(wide)
-        _, rank = self.joints(sym[:, :-1], sym[:, 1:])
+        rank = self.joints(sym[:, :-1], sym[:, 1:])[1]
+
+        def closed(x, keep, fill):
+            """``x`` without one element a row, padded at the end."""
+            y = np.empty_like(x)
+            y[:, :-1] = x[keep].reshape(len(x), x.shape[1] - 1)
+            y[:, -1] = fill
+            return y
+
         while len(live):
             col = rank.argmax(1)
-            row = np.arange(len(live))
-            going = rank[row, col] >= 0
+            going = rank[np.arange(len(live)), col] >= 0
             if not going.all():
                 out[live[~going]], out_start[live[~going]] = sym[~going], start[~going]
-                live, sym, start, rank, key, col = live[going], sym[going], start[going], rank[going], key[going], col[going]
+                live, sym, start, rank, key, col = (x[going] for x in (live, sym, start, rank, key, col))
                 if not len(live):
                     break
-                row = np.arange(len(live))
-            joint, _ = self.joints(sym[row, col], sym[row, col + 1])
-            drop = _skipped(key, start[row, col], joint, dropout) if dropout else np.zeros(len(live), bool)
-            rank[row[drop], col[drop]] = -1
-            r, c = row[~drop], col[~drop]
-            if len(r):
-                take = np.minimum(cols + (cols > c[:, None]), wide - 1)
-                s, st, rk = (np.take_along_axis(x[r], t, 1) for x, t in ((sym, take), (start, take), (rank, np.minimum(take[:, :-1], wide - 2))))
-                s[:, -1], rk[:, -1] = _PAD, -1
-                k = np.arange(len(r))
-                s[k, c] = joint[~drop]
-                left = c > 0
-                if left.any():
-                    rk[k[left], c[left] - 1] = self.joints(s[k[left], c[left] - 1], s[k[left], c[left]])[1]
-                right = c < wide - 1
-                rk[k[right], c[right]] = self.joints(s[k[right], c[right]], s[k[right], c[right] + 1])[1]
-                sym[r], start[r], rank[r] = s, st, rk
+            row = np.arange(len(live))
+            joint = self.joints(sym[row, col], sym[row, col + 1])[0]
+            rest = []
+            if dropout:
+                drop = _skipped(key, start[row, col], joint, dropout)
+                if drop.any():
+                    rank[row[drop], col[drop]] = -1
+                    rest = [x[drop] for x in (live, sym, start, rank, key)]
+                    live, sym, start, rank, key, col, joint = (x[~drop] for x in (live, sym, start, rank, key, col, joint))
+            row = np.arange(len(live))
+            sym[row, col] = joint
+            gone = cols != (col + 1)[:, None]
+            sym, start = closed(sym, gone, _PAD), closed(start, gone, 0)
+            rank = closed(rank, cols[:-1] != col[:, None], -1)
+            left, right = row[col > 0], row[col < wide - 1]
+            rank[left, col[left] - 1] = self.joints(sym[left, col[left] - 1], sym[left, col[left]])[1]
+            rank[right, col[right]] = self.joints(sym[right, col[right]], sym[right, col[right] + 1])[1]
+            if rest:
+                live, sym, start, rank, key = (np.concatenate([x, y]) for x, y in zip((live, sym, start, rank, key), rest, strict=True))
         return out, out_start
 
     def _heap(self, first: np.ndarray, key: np.ndarray, dropout: float) -> tuple[list[int], list[int]]:
@@ -198,7 +207,7 @@ class Codec:
             for at in range(0, len(mine), 60_000):
                 part = mine[at : at + 60_000]
                 codes = np.frombuffer("".join([units[i] for i in part.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
-                sym = np.full((len(part), high), _PAD, np.int64)
+                sym = np.full((len(part), high), _PAD, np.int32)
                 sym[np.arange(high) < size[part][:, None]] = self.first[codes]
                 ids, starts = self._rows(sym, keys[part], dropout)
                 counts = (ids != _PAD).sum(1)
