@@ -46,6 +46,26 @@ def files(spark: SparkSession, root: str, most: int = MAX_FILE) -> DataFrame:
     return df.select(F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("job_path"), F.element_at(parts, -2).alias("folder"), F.element_at(parts, -3).alias("device_folder"), F.element_at(parts, -1).alias("role"), "length", F.when(F.col("length") <= most, F.col("content")).alias("content"))
 
 
+def ready(spark: SparkSession, root: str) -> DataFrame:
+    """``(job_path, ready)``: committed job folders and their markers' text.
+
+    Spark's readers skip names that start with a dot, so the markers, a few bytes each, come from the store's
+    own listing, as a file index does.
+    """
+    jvm = spark.sparkContext._jvm
+    fs_path = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/*/*/.ready")
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = []
+    for status in fs.globStatus(fs_path) or []:
+        stream = fs.open(status.getPath())
+        try:
+            body = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        rows.append((status.getPath().getParent().toString(), body))
+    return spark.createDataFrame(rows, "job_path string, ready string")
+
+
 def timeline(data: bytes, raw: dict[str, bytes]) -> tuple[list[dict], list[str]]:
     """Events in order, and what is wrong: gaps in sequence or offset, broken chain, other payload."""
     events, wrong, last, at = [], [], "0" * 64, {}
@@ -79,20 +99,19 @@ def timeline(data: bytes, raw: dict[str, bytes]) -> tuple[list[dict], list[str]]
 def jobs(spark: SparkSession, root: str) -> DataFrame:
     """One checked row a committed job; ``failures`` names what contradicts its manifest."""
     found = files(spark, root)
+    found = found.withColumn("job_path", F.regexp_replace("job_path", "^file:/+", "file:/"))
     grouped = found.groupBy("job_path", "device_folder").agg(F.map_from_entries(F.collect_list(F.struct("role", "content"))).alias("files"))
+    grouped = grouped.join(ready(spark, root).withColumn("job_path", F.regexp_replace("job_path", "^file:/+", "file:/")), "job_path")
 
     def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
-            for path, device, data in zip(part["job_path"], part["device_folder"], part["files"], strict=True):
+            for path, device, data, marker in zip(part["job_path"], part["device_folder"], part["files"], part["ready"], strict=True):
                 have = dict(data) if not isinstance(data, dict) else data
-                if ".ready" not in have:
-                    continue
                 wrong, manifest, session = [], {}, {}
                 try:
                     manifest, session = strict_json(have.get("manifest.json") or b""), strict_json(have.get("session.json") or b"")
-                    ready = strict_json(have[".ready"] or b"{}")
-                    if ready.get("manifest_sha256") != hashlib.sha256(have["manifest.json"]).hexdigest():
+                    if strict_json(marker.encode()).get("manifest_sha256") != hashlib.sha256(have["manifest.json"]).hexdigest():
                         wrong.append("ready_manifest")
                 except ValueError:
                     wrong.append("json")
