@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tillsight.llm import language, packing, passages, quality, simhash
 from tillsight.llm.common import materialise, table
+from tillsight.plans.shipping import ship
 
 #: Below this score no profile fits a text; natural text of a learned language scores far above it.
 MIN_LANGUAGE_SCORE = 0.1
@@ -50,7 +51,17 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("simhash_dedup", simhash_dedup), ("substring_dedup", substring_dedup), ("packing", packed)]
+
+def _shipped(stage):
+    """The stage, after the package has been sent to the workers."""
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _shipped(stage)) for name, stage in [("quality_rules", quality_rules), ("language_id", language_id), ("simhash_dedup", simhash_dedup), ("substring_dedup", substring_dedup), ("packing", packed)]]
 
 #: Language profiles, the near-duplicate and passage stages have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
