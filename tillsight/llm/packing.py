@@ -12,8 +12,10 @@ empty table gives an empty result; extra columns are ignored; a text of any leng
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from tillsight.llm.common import materialise
 
 SEQUENCE, END_ID, GROUP = 4096, 2, 2048
-_CACHE = 400_000
+_CACHE = 500_000
 _ENCODERS: dict[str, WordEncoder] = {}
 #: Fixed values of the tokenizer's own word split.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -55,27 +57,49 @@ class WordEncoder:
         self.norm = self.tok.normalizer.normalize_str
         self.words = regex.compile(_SPLIT).findall
         self.known: dict[str, bytes] = {}
+        self.model = self.tok.model
+        # A byte's letter: printable ones are themselves, the others follow from U+0100 on.
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.letters = {b: 256 + k for k, b in enumerate(odd)}
         self.fast_words = re.compile(_FAST).findall
         self.odd = re.compile("[^\\t\\n\\r\x20-\x7e\xa1-\u012f\u0131-\u0239]").search
 
     @staticmethod
     def raw(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        if "<|" in text:
-            return self.raw(self.tok.encode(text, add_special_tokens=False).ids)
+    def _split(self, text: str) -> list[str]:
         plain = not self.odd(text) and unicodedata.is_normalized("NFC", text)
-        words = self.fast_words(text.lower()) if plain else self.words(self.norm(text))
-        known = self.known
-        new = [w for w in set(words) if w not in known]
+        return self.fast_words(text.lower()) if plain else self.words(self.norm(text))
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; words that are new in any of them are looked up together."""
+        lists = [None if "<|" in t else self._split(t) for t in texts]
+        if len(self.known) > _CACHE:
+            self.known.clear()
+        parts = [None if x is None else list(map(self.known.get, x)) for x in lists]
+        new = {w for x, p in zip(lists, parts, strict=True) if p and None in p for w, b in zip(x, p, strict=True) if b is None}
         if new:
-            if len(known) > _CACHE:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = self.raw(e.ids)
-        return b"".join([known[w] for w in words])
+            self._learn(new)
+        get, out = self.known.get, []
+        for t, x, p in zip(texts, lists, parts, strict=True):
+            if x is None:
+                out.append(self.raw(self.tok.encode(t, add_special_tokens=False).ids))
+            else:
+                out.append(b"".join(map(get, x) if p and None in p else p))
+        return out
+
+    def __call__(self, text: str) -> bytes:
+        return self.many([text])[0]
+
+    def _learn(self, new: set[str]) -> None:
+        """Asks the vocabulary's own merge model for each new word, spelt in its byte letters."""
+        tokenize, letters = self.model.tokenize, self.letters
+        for w in new:
+            self.known[w] = self.raw([t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))])
 
 
 def encoder(path: str) -> WordEncoder:
@@ -100,8 +124,8 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQU
         encode = encoder(path)
         for batch in batches:
             key, place, start, length, crc, total, ids = batch.column(0), [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                raw = encode(text or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for i, raw in enumerate(x + end for at in range(0, len(texts), 128) for x in encode.many(texts[at : at + 128])):
                 for at in range(0, len(raw), 4 * sequence):
                     part = raw[at : at + 4 * sequence]
                     place.append(i), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part)), total.append(len(raw) // 4)
