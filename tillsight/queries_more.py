@@ -208,7 +208,7 @@ def d9_table_changes(spark, sf):
     return P.score(P.candidates(d), d).where("rule = 'table_change'").select("a", "b")
 
 
-@query("d4_boundaries", PRE + "SELECT a.document_id AS a, 'Q' || b.transaction_key AS b, 0::BIGINT AS score FROM m a JOIN m b ON a.type = 'COMMERCIAL_DOCUMENT' AND b.type = 'COMMERCIAL_DOCUMENT' AND a.table_code = b.table_code AND epoch(b.time) + 600 - epoch(a.time) > 0 AND epoch(b.time) + 600 - epoch(a.time) <= 7200")
+@query("d4_boundaries", PRE + "SELECT a.document_id AS a, 'Q' || b.transaction_key AS b, 0::BIGINT AS score FROM m a JOIN m b ON a.type = 'COMMERCIAL_DOCUMENT' AND b.type = 'COMMERCIAL_DOCUMENT' AND (a.table_code = b.table_code OR a.external_suffix = b.external_suffix) AND epoch(b.time) + 600 - epoch(a.time) > 0 AND epoch(b.time) + 600 - epoch(a.time) <= 7200")
 def d4_boundaries(spark, sf):
     """With a new pre-bill on the table ten minutes after every fiscal document."""
     c = canonical(spark, sf)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from tillsight.operators import pairs as P
 from tillsight.operators import relational as R
 from tillsight.operators import rules as U
 from tillsight.operators import transactions as T
-from tillsight.plans.projection import canonical, duckdb_prelude
+from tillsight.plans.projection import canonical, duckdb_prelude, payments
+from tillsight.plans.tables import written
 from tillsight.registry import query
 
 EVALUATED = "2030-01-01 00:00:00"
@@ -44,7 +47,10 @@ ch AS (SELECT coalesce(b.transaction_key, a.transaction_key) AS transaction_key,
 
 
 def sales(spark: SparkSession, sf_dir: str):
+    """Canonical tables, members and transactions; the documents are written once, since every branch reads them."""
     c = canonical(spark, sf_dir)
+    docs = written(c.documents, "documents")
+    c = replace(c, documents=docs, payments=payments(docs))
     members = T.episodes(c.documents)
     return c, members, T.transactions(members, c.payments)
 
