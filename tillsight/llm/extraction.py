@@ -28,15 +28,49 @@ from pyspark.sql import functions as F
 
 #: Fixed values of HTML: elements that end a line of text, whose content isn't text, and that close each other.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-RAW = "script|style|title|textarea|noscript|template|iframe|svg|select|object|audio|video|canvas|button"
+RAW = frozenset("script style title textarea".split())
+SKIPPED = frozenset("noscript template iframe svg select object audio video canvas button".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article aside section div form main nav body".split())
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[/!?][^>]*>|<[a-zA-Z][^>]*(?:>|\Z)", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|([^>]*)(?:>|\Z))|<[/!?][^>]*>", re.S)
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-zA-Z][a-z]*")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
+def _tags(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """``(start, end, tag, closes, attributes)`` of all markup in order; what isn't a tag has no name.
+
+    An element whose content isn't text is one entry up to its own end tag. Raw text without an end tag goes on
+    to the end of the page; any other such element without one is its start tag alone.
+    """
+    found, open_at, ends, at, drawn = [], {}, {}, 0, 0
+    while m := _TOKEN.search(page, at):
+        start, at = m.span()
+        tag, closes, attrs = (m[2] or "").lower(), bool(m[1]), m[3] if m[3] is not None else m[4] or ""
+        alone = attrs.endswith("/")
+        if tag in RAW and not closes and not (drawn and alone):  # a drawing's own elements may end at "/>"
+            end = _RAW_END[tag].search(page, at)
+            tag, at = "", end.end() if end else len(page)
+        elif tag in SKIPPED and closes:
+            if open_at.get(tag):
+                ends[open_at[tag].pop()] = len(found)
+            drawn -= tag == "svg" and drawn > 0
+        elif tag in SKIPPED and not (tag == "svg" and alone):
+            open_at.setdefault(tag, []).append(len(found))
+            drawn += tag == "svg"
+        elif m[3] is None:
+            tag = ""
+        found.append((start, at, tag, closes, attrs))
+    out, k = [], 0
+    while k < len(found):
+        last = ends.get(k, k)
+        out.append(found[k] if last == k else (found[k][0], found[last][1], "", False, ""))
+        k = last + 1
+    return out
+
+
 def blocks(page: str | None) -> list[tuple[tuple, str, int]]:
     """``(ancestors, text, characters in links)`` of each leaf block, in order; ancestors are (tag, class words)."""
     out, stack, parts, state = [], [], [], [0, 0]  # state: characters in links, open links
@@ -56,14 +90,12 @@ def blocks(page: str | None) -> list[tuple[tuple, str, int]]:
                 state[0] += len(s)
 
     page, at = page or "", 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text_of(page[at : m.start()])
-        at = m.end()
-        tag = (m.group(3) or "").lower()
+    for start, end, tag, close, attrs in _tags(page):
+        if start > at:
+            text_of(page[at:start])
+        at = end
         if not tag:
             continue
-        close = bool(m.group(2))
         if tag == "a":
             state[1] = 0 if close else 1
         elif tag in ("br", "wbr"):
@@ -85,7 +117,7 @@ def blocks(page: str | None) -> list[tuple[tuple, str, int]]:
                 if stack[k][0] in SCOPES:
                     break
             if tag != "hr":
-                names = frozenset(w.lower() for a in _ATTR.findall(m.group(4)) for w in _NAME.findall("".join(a))) if m.group(4) else frozenset()
+                names = frozenset(w.lower() for a in _ATTR.findall(attrs) for w in _NAME.findall("".join(a))) if attrs else frozenset()
                 stack.append((tag, names))
     if at < len(page):
         text_of(page[at:])
