@@ -3,12 +3,12 @@
 Blanks become U+2581 and one goes in front. Pieces never join a character with a blank after it, so a text
 falls into units (blanks and what follows them) that are segmented alone. A unit's adjacent pieces whose
 joint is a piece are an agenda: best score first, leftmost on ties. Each candidate taken from it is skipped
-when a hash of (seed, document, unit variant, place, joint) falls below the dropout, else merged. Characters
-without a piece are spelt as bytes. ``decode`` gives back the text exactly.
+when a hash of (seed, document, place of the unit in the text, place in the unit, joint) falls below the dropout,
+else merged. Characters without a piece are spelt as bytes. ``decode`` gives back the text exactly.
 
 Many units are segmented at once as rows of a matrix, one agenda step a round for each; units of more than
-``WIDE`` characters go through a heap. Both take the same steps. Occurrences of one unit in a task share a
-result if their variant, one of ``VARIANTS`` by keyed hash of document and place, is the same.
+``WIDE`` characters go through a heap. Both take the same steps. Every occurrence of a unit tosses for itself;
+those in a task that have skipped and merged alike so far share a row, and part where they differ.
 
 Defined cases: a null or empty text has no ids; U+2581 in a text is spelt as bytes, so that it survives; equal rows
 have equal ids; an empty table gives an empty result; extra columns are carried through; texts are
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLANK, WIDE, VARIANTS, CHUNK = "▁", 96, 32, 3_000_000
+BLANK, WIDE, CHUNK = "▁", 96, 3_000_000
 _PAD, _ODD = 65535, 65534
 _LITERAL = "\udb80"  # stands for U+2581 in a text; no valid text holds a lone surrogate
 _UNITS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -106,13 +106,17 @@ class Codec:
             found = self.slot_key[at] == key
         return np.where(found, self.slot_id[at], _PAD), np.where(found, self.slot_rank[at], -1).astype(np.int32)
 
-    def _rows(self, sym: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-        """Final symbols and their first characters, row by row; ``sym`` is padded with ``_PAD``."""
-        n, wide = sym.shape
-        out, out_start = sym.copy(), np.broadcast_to(np.arange(wide, dtype=np.uint8), sym.shape).copy()
+    def _rows(self, sym: np.ndarray, of: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Final rows of symbols and their first characters, and each occurrence's row.
+
+        ``sym`` has a unit a row, padded with ``_PAD``; ``of`` and ``key`` are each occurrence's unit and key.
+        """
+        wide = sym.shape[1]
+        start = np.broadcast_to(np.arange(wide, dtype=np.uint8), sym.shape).copy()
         if wide == 1:
-            return out, out_start
-        live, start, cols = np.arange(n), out_start.copy(), np.arange(wide)
+            return sym, start, of
+        out, out_start, done, final = [], [], 0, np.zeros(len(of), np.int64)
+        live, at, cols = np.arange(len(of)), of, np.arange(wide)
         rank = self.joints(sym[:, :-1], sym[:, 1:])[1]
 
         def closed(x, keep, fill):
@@ -122,24 +126,31 @@ class Codec:
             y[:, -1] = fill
             return y
 
-        while len(live):
+        while len(sym):
             col = rank.argmax(1)
-            going = rank[np.arange(len(live)), col] >= 0
+            going = rank[np.arange(len(sym)), col] >= 0
             if not going.all():
-                out[live[~going]], out_start[live[~going]] = sym[~going], start[~going]
-                live, sym, start, rank, key, col = (x[going] for x in (live, sym, start, rank, key, col))
-                if not len(live):
+                out.append(sym[~going]), out_start.append(start[~going])
+                place = np.where(going, np.cumsum(going) - 1, done + np.cumsum(~going) - 1)
+                done += len(out[-1])
+                on, at = going[at], place[at]
+                final[live[~on]] = at[~on]
+                live, at, key = live[on], at[on], key[on]
+                sym, start, rank, col = (x[going] for x in (sym, start, rank, col))
+                if not len(sym):
                     break
-            row = np.arange(len(live))
+            row, rest = np.arange(len(sym)), []
             joint = self.joints(sym[row, col], sym[row, col + 1])[0]
-            rest = []
             if dropout:
-                drop = _skipped(key, start[row, col], joint, dropout)
-                if drop.any():
-                    rank[row[drop], col[drop]] = -1
-                    rest = [x[drop] for x in (live, sym, start, rank, key)]
-                    live, sym, start, rank, key, col, joint = (x[~drop] for x in (live, sym, start, rank, key, col, joint))
-            row = np.arange(len(live))
+                side = at + len(sym) * _skipped(key, start[row, col][at], joint[at], dropout)
+                met = np.zeros(2 * len(sym), bool)
+                met[side] = True
+                at = (np.cumsum(met) - 1)[side]
+                drop, take = np.flatnonzero(met[len(sym) :]), np.flatnonzero(met[: len(sym)])
+                rest = [x[drop] for x in (sym, start, rank)]
+                rest[2][np.arange(len(drop)), col[drop]] = -1
+                sym, start, rank, col, joint = (x[take] for x in (sym, start, rank, col, joint))
+            row = np.arange(len(sym))
             sym[row, col] = joint
             gone = cols != (col + 1)[:, None]
             sym, start = closed(sym, gone, _PAD), closed(start, gone, 0)
@@ -148,8 +159,8 @@ class Codec:
             rank[left, col[left] - 1] = self.joints(sym[left, col[left] - 1], sym[left, col[left]])[1]
             rank[right, col[right]] = self.joints(sym[right, col[right]], sym[right, col[right] + 1])[1]
             if rest:
-                live, sym, start, rank, key = (np.concatenate([x, y]) for x, y in zip((live, sym, start, rank, key), rest, strict=True))
-        return out, out_start
+                sym, start, rank = (np.concatenate([x, y]) for x, y in zip((sym, start, rank), rest, strict=True))
+        return np.concatenate(out), np.concatenate(out_start), final
 
     def _heap(self, first: np.ndarray, key: np.ndarray, dropout: float) -> tuple[list[int], list[int]]:
         """The same agenda for one long unit."""
@@ -180,13 +191,15 @@ class Codec:
         keep = [i for i in range(n) if alive[i]]
         return [sym[i] for i in keep], keep
 
-    def segment(self, units: list[str], keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A pool of ids, and each unit's first place and number there.
+    def segment(self, units: list[str], keys: np.ndarray, dropout: float, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and each occurrence's first place and number there.
 
-        ``keys`` hold what the skipping hash depends on besides place and joint.
+        ``keys`` hold what the skipping hash of an occurrence depends on besides place and joint; ``of`` has the
+        units that they are occurrences of (by default each unit occurs once). Every unit must occur.
         """
+        of = np.arange(len(units)) if of is None else of
         size = np.fromiter(map(len, units), np.int64, len(units))
-        first_at, number, pool, held = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), [np.empty(0, np.int32)], 0
+        first_at, number, pool, held = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64), [np.empty(0, np.int32)], 0
 
         def put(at, ids):
             nonlocal held
@@ -202,25 +215,39 @@ class Codec:
                 flat += [i] if i != _ODD else [self.bytes[b] for b in unit[s].replace(_LITERAL, BLANK).encode("utf-8", "replace")]
             return np.array(flat, np.int32)
 
+        parts = []
         for low, high in ((0, 2), (2, 4), (4, 6), (6, 8), (8, 11), (11, 14), (14, 20), (20, 32), (32, WIDE)):
             mine = np.flatnonzero((size > low) & (size <= high))
-            for at in range(0, len(mine), 60_000):
-                part = mine[at : at + 60_000]
-                codes = np.frombuffer("".join([units[i] for i in part.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
-                sym = np.full((len(part), high), _PAD, np.int32)
-                sym[np.arange(high) < size[part][:, None]] = self.first[codes]
-                ids, starts = self._rows(sym, keys[part], dropout)
-                counts = (ids != _PAD).sum(1)
-                odd = (ids == _ODD).any(1)
-                flat = ids[ids != _PAD].astype(np.int32)
-                first_at[part], number[part] = held + np.cumsum(counts) - counts, counts
-                pool.append(flat)
-                held += len(flat)
-                for k in np.flatnonzero(odd).tolist():
-                    put(part[k], spell(ids[k, : counts[k]].tolist(), starts[k, : counts[k]].tolist(), units[part[k]]))
-        for i in np.flatnonzero(size > WIDE).tolist():
-            first = self.first[np.frombuffer(units[i].encode("utf-32-le", "surrogatepass"), np.uint32)]
-            put(i, spell(*self._heap(first, keys[i : i + 1], dropout), units[i]))
+            parts += [(high, mine[at : at + 60_000]) for at in range(0, len(mine), 60_000)]
+        group, row = np.full(len(units), len(parts)), np.zeros(len(units), np.int64)
+        for p, (_, part) in enumerate(parts):
+            group[part], row[part] = p, np.arange(len(part))
+        order = np.argsort(group[of].astype(np.int16), kind="stable")
+        edges = np.searchsorted(group[of][order], np.arange(len(parts) + 1))
+        for p, (high, part) in enumerate(parts):
+            mine = order[edges[p] : edges[p + 1]]
+            codes = np.frombuffer("".join([units[i] for i in part.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            sym = np.full((len(part), high), _PAD, np.int32)
+            sym[np.arange(high) < size[part][:, None]] = self.first[codes]
+            ids, starts, final = self._rows(sym, row[of[mine]], keys[mine], dropout)
+            counts = (ids != _PAD).sum(1)
+            flat = ids[ids != _PAD].astype(np.int32)
+            first_at[mine], number[mine] = (held + np.cumsum(counts) - counts)[final], counts[final]
+            pool.append(flat)
+            held += len(flat)
+            odd = (ids == _ODD).any(1)
+            hit = np.flatnonzero(odd[final]) if odd.any() else np.empty(0, np.int64)
+            same: dict[int, int] = {}  # of the rows that are spelt out: an occurrence that has been put
+            for k, r in zip(mine[hit].tolist(), final[hit].tolist(), strict=True):
+                if r in same:
+                    first_at[k], number[k] = first_at[same[r]], number[same[r]]
+                    continue
+                same[r] = k
+                put(k, spell(ids[r, : counts[r]].tolist(), starts[r, : counts[r]].tolist(), units[of[k]]))
+        for i in order[edges[-1] :].tolist():
+            unit = units[of[i]]
+            first = self.first[np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            put(i, spell(*self._heap(first, keys[i : i + 1], dropout), unit))
         return np.concatenate(pool), first_at, number
 
     def encode(self, texts: list[str | None], doc_keys: np.ndarray, seed: int, dropout: float) -> list[np.ndarray]:
@@ -234,13 +261,14 @@ class Codec:
             counts.append(len(units))
         flat, counts = np.concatenate(uids) if uids else np.empty(0, np.int64), np.array(counts, np.int64)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
-        variant = _mix(np.repeat(doc_keys, counts) ^ _mix(place.astype(_U) + base)) % _U(VARIANTS) if dropout else np.zeros(len(flat), _U)
-        both, at = np.unique(flat * VARIANTS + variant.astype(np.int64), return_inverse=True)
-        names = list(known)
-        pool, start, size = self.segment([names[i] for i in (both // VARIANTS).tolist()], _mix((both % VARIANTS).astype(_U) + base), dropout)
-        n = size[at]
+        keys = _mix(np.repeat(doc_keys, counts) ^ _mix(place.astype(_U) + base))
+        if dropout:
+            pool, start, n = self.segment(list(known), keys, dropout, flat)
+        else:
+            pool, start, size = self.segment(list(known), np.zeros(len(known), np.uint64), 0.0)
+            start, n = start[flat], size[flat]
         ends = np.cumsum(n)
-        ids = pool[np.repeat(start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = pool[np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
         edge = np.r_[0, ends][np.cumsum(counts)]
         return np.split(ids, edge[:-1]) if len(counts) else []
 
