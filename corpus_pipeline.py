@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillsight.llm import language, packing, passages, quality, simhash
-from tillsight.llm.common import materialise, table
+from tillsight.llm.common import materialise, row_key, table
 from tillsight.plans.shipping import ship
 
 #: Below this score no profile fits a text; natural text of a learned language scores far above it.
@@ -31,13 +31,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the least id."""
-    found = simhash.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each near-duplicate group: that with the least id, one with an id before those without.
+
+    Rows are told apart by all their columns, since ids may be null or reused. Equal rows are always in one group.
+    """
+    content = [*docs.columns, *(F.col(c).isNull() for c in docs.columns)]  # a hash passes over nulls
+    keyed = docs.select("*", *row_key(*content))
+    row = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), "_k1", "_k2")
+    found = simhash.near_duplicates(keyed.select(row.alias("_row"), "text"), "_row")
+    first = (F.col("doc_id._k1") == F.col("component_id._k1")) & (F.col("doc_id._k2") == F.col("component_id._k2"))
+    gone = found.where(~first).select("doc_id._k1", "doc_id._k2")
+    kept = keyed.join(gone, ["_k1", "_k2"], "left_anti")
+    if not found.where(first).groupBy("doc_id._k1", "doc_id._k2").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_k1", "_k2"])
+    return kept.select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
