@@ -59,6 +59,17 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(spaced(text), " "), lambda w: w != "")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as it takes to be no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def row_key(*cols: Column) -> list[Column]:
     """128 bits that identify a row by its content; equal rows share them, and share every verdict."""
     return [F.xxhash64(*cols).alias("_k1"), F.xxhash64(F.lit("second"), *cols).alias("_k2")]
