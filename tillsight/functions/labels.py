@@ -27,15 +27,19 @@ def namespace(kind: Column) -> Column:
     return F.when(kind.isin("PRE_BILL", "MANAGEMENT_DOCUMENT"), "MANAGEMENT").when(kind.isin("COMMERCIAL_DOCUMENT", "REFUND"), "COMMERCIAL")
 
 
+#: The metadata keys that may hold a reference; the second and last are the strong ones.
+REFERENCE_KEYS = ("reference", "order_reference", "document_reference", "transaction_reference")
+
+
 def references(metadata: Column) -> Column:
-    """upper-case references in a JSON object, sorted, without repeats."""
-    keys = ("reference", "order_reference", "document_reference", "transaction_reference")
-    return F.array_sort(F.array_distinct(F.filter(F.array(*[text.scope_value(F.get_json_object(metadata, f"$.{k}")) for k in keys]), lambda x: x.isNotNull())))
+    """folded references in a JSON object, sorted, without repeats."""
+    found = F.array(*[text.identity(F.get_json_object(metadata, f"$.{k}")) for k in REFERENCE_KEYS])
+    return F.array_sort(F.array_distinct(F.array_compact(found)))
 
 
 def strong_reference(metadata: Column) -> Column:
     """the order's, else the transaction's."""
-    return F.coalesce(text.scope_value(F.get_json_object(metadata, "$.order_reference")), text.scope_value(F.get_json_object(metadata, "$.transaction_reference")))
+    return F.coalesce(*[text.identity(F.get_json_object(metadata, f"$.{k}")) for k in REFERENCE_KEYS[1::2]])
 
 
 def serial(printed: Column, configured: Column, device_type: Column) -> Column:
@@ -47,9 +51,15 @@ def serial(printed: Column, configured: Column, device_type: Column) -> Column:
     return F.struct(F.when(own, p).when(given, c).alias("serial"), F.when(own, "PRINTED").when(given, "CONFIGURED").alias("origin"))
 
 
-def progressive_status(explicit: Column, code: Column, suffix: Column) -> Column:
-    """a stated status, else whether code or suffix was seen."""
-    return F.coalesce(F.nullif(explicit, F.lit("")), F.when(code.isNotNull(), "OBSERVED").when(suffix.isNotNull(), "SUFFIX_ONLY").otherwise("NOT_OBSERVED"))
+#: How much of a document's number a capture shows, and the types that carry one.
+FULL, SUFFIX, NOT_SEEN, NO_NUMBER = "FULL_CODE_OBSERVED_IN_CAPTURE", "SUFFIX_ONLY_OBSERVED_IN_CAPTURE", "NOT_OBSERVED_IN_CAPTURE", "NOT_APPLICABLE"
+NUMBERED_TYPES = ("PRE_BILL", "MANAGEMENT_DOCUMENT", "CONFORMING_COPY", "COMMERCIAL_DOCUMENT")
+
+
+def progressive_status(explicit: Column, code: Column, suffix: Column, kind: Column) -> Column:
+    """a known stated status, else whether code or suffix was seen, else whether the type has a number at all."""
+    seen = lambda c: F.coalesce(c != "", F.lit(False))
+    return F.when(explicit.isin(FULL, SUFFIX, NOT_SEEN, NO_NUMBER), explicit).when(seen(code), FULL).when(seen(suffix), SUFFIX).when(kind.isin(*NUMBERED_TYPES), NOT_SEEN).otherwise(NO_NUMBER)
 
 
 def management_class(body: Column) -> Column:
@@ -77,10 +87,19 @@ def text_projection(kind: Column, code: Column, table: Column, total: Column) ->
     return F.array_compact(F.array(type_label(kind), F.when(code.isNotNull(), F.concat(F.lit("Documento: "), code)), F.when(table.isNotNull(), F.concat(F.lit("Tavolo: "), table)), F.when(total.isNotNull(), F.concat(F.lit("Totale: "), values.money_label(total)))))
 
 
-def join_wrapped(first: Column, rest: Column) -> Column:
-    """a wrapped item name; a lower-case rest goes on with the word unless the first part ends in a short function word."""
-    short = first.rlike(r"(?i)(^|\s)(di|da|e|al|con|in|la|il|a)$")
-    return F.when(rest.rlike("^[a-zà-ù]") & ~short, F.concat(first, rest)).otherwise(F.concat_ws(" ", first, rest))
+#: Words before and after which a wrapped name goes on with a blank, and units.
+FUNCTION_WORDS = ("a", "ai", "al", "alla", "alle", "agli", "con", "da", "dal", "dalla", "delle", "di", "e", "in", "per", "senza", "su")
+UNITS = ("cl", "dl", "g", "gr", "kg", "l", "ml")
+
+
+def join_wrapped(first: Column, rest: Column, force_space: bool = False) -> Column:
+    """a wrapped item name; its rest goes on within the word unless a function word or a unit is at the joint."""
+    part = F.trim(F.regexp_replace(rest, r"\s+", " "))
+    low = F.lower(part)
+    next_, last = F.split(low, " ")[0], F.element_at(F.split(F.lower(F.trim(first)), r"\s+"), -1)
+    starts = next_.isin(*FUNCTION_WORDS) & ((F.length(next_) > 1) | low.contains(" "))
+    space = F.lit(force_space) | starts | low.isin(*UNITS) | last.isin(*FUNCTION_WORDS)
+    return F.when(F.coalesce(part, F.lit("")) == "", first).otherwise(F.concat(first, F.when(space, " ").otherwise(""), part))
 
 
 def valid_fields(name: Column, count: Column, digest: Column, uid: Column) -> Column:

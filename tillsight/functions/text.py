@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -17,16 +19,19 @@ def collapse(x: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit(""))
 
 
+@lru_cache(maxsize=100_000)
+def folded(x: str | None) -> str | None:
+    """F1 of one value; codes and item names recur, so a worker remembers them."""
+    if x is None:
+        return None
+    plain = x if x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+    return " ".join(plain.upper().split()) or None
+
+
 @pandas_udf(StringType())
 def _fold(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    def one(x):
-        if x is None:
-            return None
-        plain = "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
-        return " ".join(plain.upper().split()) or None
-
     for part in parts:
-        yield part.map(one)
+        yield part.map(folded)
 
 
 @pandas_udf(StringType())
@@ -43,6 +48,21 @@ def identity(x: Column) -> Column:
     return _fold(x)
 
 
+def identities(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with F1 of each of ``columns`` in its place, all in one pass over the workers."""
+    names = list(df.columns)
+    at = [names.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = list(batch.columns)
+            for i in at:
+                cols[i] = pa.array([folded(x) for x in cols[i].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def scope_value(x: Column) -> Column:
     """upper case and collapsed; accents stay."""
     return collapse(F.upper(x))
@@ -96,12 +116,20 @@ def csv_safe(x: Column) -> Column:
     return F.when(x.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), x)).otherwise(x)
 
 
+#: Names whose values are secrets, and what stands in for them.
+SECRET_NAMES = ("password", "passwd", "passphrase", "token", "secret", "authorization", "api-key", "api_key", "apikey")
+HIDDEN = "<redacted>"
+
+
 def redact(x: Column, most: int = 16_384) -> Column:
-    """F32: passwords in URIs, secrets in key=value pairs, bearer tokens."""
+    """F32: passwords in URIs, values of secret names, bearer tokens; bounded in length."""
     x = F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("…<truncated>"))).otherwise(x)
-    x = F.regexp_replace(x, r"([a-zA-Z][a-zA-Z0-9+.\-]*://[^\s:/@]+:)[^\s@/]+(@)", "$1<redacted>$2")
-    x = F.regexp_replace(x, r"(?i)\b(password|passwd|secret|token|api[_-]?key)(\s*[=:]\s*)[^\s,;]+", "$1$2<redacted>")
-    return F.regexp_replace(x, r"(?i)\b(bearer)\s+[A-Za-z0-9._~+/=\-]+", "$1 <redacted>")
+    user_info = r"(?i)([a-z][\w+.\-&&[^_]]*://[^/@:\s]+:)[^@/\s]+@"
+    named = rf"(?i)\b({'|'.join(SECRET_NAMES)})(\s*[=:]\s*)[^;,\s]+"
+    bearer = r"(?i)\b(bearer)\s+[\w.~+/=\-]+"
+    for pattern, put in ((user_info, f"$1{HIDDEN}@"), (named, f"$1$2{HIDDEN}"), (bearer, f"$1 {HIDDEN}")):
+        x = F.regexp_replace(x, pattern, put)
+    return x
 
 
 def safe_name(x: Column) -> Column:
@@ -110,10 +138,15 @@ def safe_name(x: Column) -> Column:
     return F.coalesce(F.nullif(F.substring(plain, 1, 191), F.lit("")), F.lit("evidence.bin"))
 
 
-def receipt_text(x: Column) -> Column:
-    """printable lines, at most one blank line in a row."""
-    clean = F.regexp_replace(F.regexp_replace(x, r"[\x00-\x08\x0B-\x1F\x7F]", ""), r"[ \t]+(?=\n|$)", "")
-    return F.trim(F.regexp_replace(clean, r"\n{3,}", "\n\n"))
+def receipt_text(x: Column, most: int = 250_000) -> Column:
+    """readable lines: text that was read from pictures stays, annotations and control characters go, one blank line at most in a row."""
+    x = F.regexp_replace(F.substring(x, 1, most), "\r\n?", "\n")
+    x = F.regexp_replace(x, "(?s)<OCR:[^>]+>(.*?)</OCR:[^>]+>", "$1")
+    x = F.regexp_replace(x, "<(?:ESC/POS|BYTE):[^>]*>", "")
+    x = F.regexp_replace(x, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "")
+    lines = F.transform(F.split(x, "\n", -1), lambda line: F.regexp_replace(line, r"(?U)\s+$", ""))
+    one = F.filter(F.transform(lines, lambda line, i: F.struct(line.alias("l"), F.coalesce(F.get(lines, i - 1), F.lit("")).alias("before"))), lambda p: (p["l"] != "") | (p["before"] != ""))
+    return F.regexp_replace(F.array_join(F.transform(one, lambda p: p["l"]), "\n"), r"\n+\z", "")
 
 
 def has_letter_and_digit(x: Column) -> Column:
@@ -122,19 +155,42 @@ def has_letter_and_digit(x: Column) -> Column:
 
 
 def table_code(x: Column) -> Column:
-    """the letter O read for a zero, only where the code starts as a number does."""
-    head = F.regexp_extract(x, r"^([0-9O]*[0-9][0-9O]*)(.*)$", 1)
-    rest = F.regexp_extract(x, r"^([0-9O]*[0-9][0-9O]*)(.*)$", 2)
-    return F.when(x.rlike(r"^O*[0-9]"), F.concat(F.translate(head, "O", "0"), rest)).otherwise(x)
+    """trimmed and upper case; the letter O in a wholly numeric code, before a suffix at most, is a zero."""
+    code = F.substring(F.upper(F.trim(x)), 1, 128)
+    head = F.regexp_extract(code, r"^([O0-9]{1,8})((?:[-/][A-Z0-9]{1,16})?)$", 1)
+    rest = F.regexp_extract(code, r"^([O0-9]{1,8})((?:[-/][A-Z0-9]{1,16})?)$", 2)
+    return F.when(head.contains("O") & head.rlike("[0-9]"), F.concat(F.translate(head, "O", "0"), rest)).otherwise(code)
+
+
+#: The words that name a till ticket's class, first match wins; a signed quantity comes after the first four.
+TICKET_WORDS = (
+    ("CONFORMING_COPY", ("COPIA CONFORME",)),
+    ("REPRINT", ("RISTAMPA",)),
+    ("CANCELLATION", ("ANNULL", "STORNO")),
+    ("PRE_BILL", ("PRECONTO", "PRE-CONTO")),
+    ("ORDER_CHANGE", ()),
+    ("KITCHEN_ORDER", ("COMANDA", "CUCINA")),
+    ("ORDER", ("ORDINE",)),
+)
 
 
 def pos_class(x: Column) -> Column:
-    """class of a till ticket by its wording, first rule wins."""
-    u = F.upper(x)
-    return F.when(u.contains("PRECONTO"), "PRE_BILL").when(u.contains("STORNO") | u.contains("ANNULL"), "CANCELLATION").when(u.rlike(r"(?m)^\s*-\d+\s*X "), "ORDER_CHANGE").when(u.contains("COMANDA"), "KITCHEN_ORDER").otherwise("UNKNOWN")
+    """class of a till ticket by its wording."""
+    words, out = F.upper(x), None
+    minus = x.rlike(r"(?m)^[ \t]*-[0-9]+(?:[.,][0-9]+)?[ \t]*[xX][ \t]+")
+    for kind, any_of in TICKET_WORDS:
+        hit = minus if not any_of else words.rlike("|".join(any_of))
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+    covers = words.contains("COPERTI:") & x.rlike(r"\b[0-9]+\s*[xX]\s+")
+    return out.when(words.contains("PORTATA:") | covers, "KITCHEN_ORDER").when(words.contains("DOCUMENTO GESTIONALE"), "MANAGEMENT_DOCUMENT").otherwise("UNKNOWN")
+
+
+#: Rows printed among the items that sell nothing: whole names, and beginnings of names.
+NON_SALE_NAMES = ("PAGAMENTO CONTANTE",)
+NON_SALE_STARTS = ("IVA", "TOT", "TOTALE", "RESTO", "CONTANTI", "IMPORTO PAGATO", "IMPONIBILE", "ALIQUOTA IVA", "PAGAMENTO")
 
 
 def non_sale_line(description: Column) -> Column:
     """P20: tax, total, change and payment rows printed among the items."""
     words = F.trim(F.regexp_replace(F.upper(description), r"[^\p{L}\p{N}]+", " "))
-    return words.rlike("^(IVA|TOT|TOTALE|RESTO|CONTANTI|IMPORTO PAGATO|IMPONIBILE|ALIQUOTA IVA)( |$)|^PAGAMENTO CONTANTE$|^PAGAMENTO ")
+    return words.isin(*NON_SALE_NAMES) | words.rlike(f"^({'|'.join(NON_SALE_STARTS)})( |$)")

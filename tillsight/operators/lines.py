@@ -64,22 +64,37 @@ def view_changes(before: DataFrame, after: DataFrame, by: list[str]) -> DataFram
 
 
 def apply_deltas(state: DataFrame, deltas: DataFrame, by: list[str]) -> DataFrame:
-    """Residual quantities after signed changes, in order, for each ``by`` and item key.
-
-    ``state(by, item_key, quantity, unit_price)`` has one row a key, ``deltas(by, item_key, ordinal, quantity,
-    removed)`` any number. The fold runs inside an aggregate function over the key's own deltas.
+    """Lines after signed changes, in order, for each ``by`` and item key.
+
+    ``state(by, item_key, description, quantity, unit_price, total)`` has one row a key, as ``engine_lines`` gives it;
+    ``deltas`` has any number a key: ``(by, item_key, ordinal, description, quantity, unit_price, line_total, removed)``.
+    A line whose quantity comes to zero or less goes, and so does one that a change removes. A change of no known line
+    adds it as it was printed if its quantity is positive, and is passed over otherwise. Changed lines keep description and
+    price, and their total follows the quantity where the price is known. ``position`` keeps the order: known
+    lines first, added ones after them by their change. The fold runs inside an aggregate over a key's own changes.
     """
-    listed = deltas.groupBy(*by, "item_key").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.coalesce("quantity", F.lit(0)).cast(MONEY).alias("q"), F.coalesce("removed", F.lit(False)).alias("gone")))).alias("steps"))
-    both = state.select(*by, "item_key", F.coalesce("quantity", F.lit(1)).cast(MONEY).alias("start"), "unit_price", F.lit(True).alias("had")).join(listed, [*by, "item_key"], "full_outer")
-    start = F.struct(F.col("start").alias("q"), F.coalesce("had", F.lit(False)).alias("there"))
+    line = f"struct<q:{MONEY},description:string,unit_price:{MONEY},total:{MONEY},added:int>"
+    none = lambda c, t: F.col(c) if c in deltas.columns else F.lit(None).cast(t)
+    delta = F.struct(
+        F.col("ordinal").cast("int").alias("ordinal"), F.coalesce("quantity", F.lit(0)).cast(MONEY).alias("q"), F.coalesce("removed", F.lit(False)).alias("gone"),
+        none("description", "string").alias("description"), none("unit_price", MONEY).cast(MONEY).alias("unit_price"), none("line_total", MONEY).cast(MONEY).alias("total"),
+    )
+    listed = deltas.groupBy(*by, "item_key").agg(F.array_sort(F.collect_list(delta)).alias("steps"))
+    start = F.struct(F.coalesce("quantity", F.lit(1)).cast(MONEY).alias("q"), "description", F.col("unit_price").cast(MONEY).alias("unit_price"), F.col("total").cast(MONEY).alias("total"), F.lit(-1).alias("added"))
+    known = state.withColumn("total", F.col("total") if "total" in state.columns else F.lit(None)).withColumn("description", F.col("description") if "description" in state.columns else F.lit(None).cast("string"))
+    both = known.select(*by, "item_key", start.cast(line).alias("start")).join(listed, [*by, "item_key"], "full_outer")
 
     def step(acc, d):
-        sum_ = (F.coalesce(acc["q"], F.lit(0)) + d["q"]).cast(MONEY)
-        gone = d["gone"] | (acc["there"] & (sum_ <= 0)) | (~acc["there"] & (d["q"] <= 0))
-        return F.struct(F.when(~gone, F.when(acc["there"], sum_).otherwise(d["q"])).cast(MONEY).alias("q"), (~gone).alias("there"))
-
-    end = F.aggregate(F.coalesce("steps", F.array().cast(f"array<struct<ordinal:int,q:{MONEY},gone:boolean>>")), start, step)
-    return both.withColumn("end", end).where("end.there").select(*by, "item_key", F.col("end.q").alias("quantity"), "unit_price", (F.col("end.q") * F.col("unit_price")).cast(MONEY).alias("line_total"))
+        residual = (acc["q"] + d["q"]).cast(MONEY)
+        moved = F.struct(residual.alias("q"), acc["description"].alias("description"), acc["unit_price"].alias("unit_price"), F.coalesce((acc["unit_price"] * residual).cast(MONEY), acc["total"]).alias("total"), acc["added"].alias("added"))
+        fresh = F.struct(d["q"].alias("q"), d["description"].alias("description"), d["unit_price"].alias("unit_price"), d["total"].alias("total"), d["ordinal"].alias("added"))
+        stays = ~d["gone"] & F.when(acc.isNotNull(), residual > 0).otherwise(d["q"] > 0)
+        return F.when(stays, F.when(acc.isNotNull(), moved.cast(line)).otherwise(fresh.cast(line)))
+
+    kind = f"array<struct<ordinal:int,q:{MONEY},gone:boolean,description:string,unit_price:{MONEY},total:{MONEY}>>"
+    end = F.aggregate(F.coalesce("steps", F.array().cast(kind)), F.col("start"), step)
+    left = both.withColumn("end", end).where(F.col("end").isNotNull())
+    return left.select(*by, "item_key", F.col("end.description").alias("description"), F.col("end.q").alias("quantity"), F.col("end.unit_price").alias("unit_price"), F.col("end.total").alias("line_total"), F.col("end.added").alias("position"))
 
 
 def attribute_prices(targets: DataFrame, sources: DataFrame) -> DataFrame:

@@ -10,19 +10,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillsight import schema
-from tillsight.functions import text, values
+from tillsight.functions import labels, text, values
 from tillsight.plans.tables import written
 
 WINDOW, SALE, CHANGE, KITCHEN, DISPATCH, MINIMUM = 7200, 300, 300, 30, 30, 60
 
 
+_CODES = ("order_code", "table_code", "operator_code", "terminal_code", "external_code", "commercial_reference", "order_reference", "external_suffix")
+
+
 def described(documents: DataFrame, lines: DataFrame) -> DataFrame:
-    """Documents with what pair scoring reads: folded codes, time, total, item keys, references and flags."""
-    keyed = lines.select("document_id", F.coalesce(F.concat(F.lit("CODE:"), text.identity("item_code")), F.concat(F.lit("DESC:"), text.identity("description")), F.concat(F.lit("POSITION:"), (F.col("sequence") - 1).cast("string"))).alias("key"))
+    """Documents with what pair scoring reads: folded codes, time, total, item keys, references and flags.
+
+    References are those of the metadata where a column ``raw_metadata`` (JSON) is there, else the order reference.
+    The result is written once, since candidates and both sides of the scores read it.
+    """
+    named = text.identities(lines.select("document_id", "sequence", "item_code", "description"), "item_code", "description")
+    keyed = named.select("document_id", text.line_key(F.col("item_code"), F.col("description"), F.col("sequence") - 1).alias("key"))
     keys = keyed.groupBy("document_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    d = documents.join(keys, "document_id", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
-    for c in ("order_code", "table_code", "operator_code", "terminal_code", "external_code", "commercial_reference", "order_reference", "external_suffix"):
-        d = d.withColumn(c, text.identity(c))
+    d = documents
+    if "raw_metadata" in d.columns:
+        d = d.withColumn("references", labels.references(F.col("raw_metadata"))).withColumn("order_reference", F.coalesce(labels.strong_reference(F.col("raw_metadata")), "order_reference"))
+    d = text.identities(d, *_CODES)
+    if "references" not in d.columns:
+        d = d.withColumn("references", F.array_compact(F.array("order_reference")))
+    d = d.join(keys, "document_id", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
     close = F.col("economic_close") | F.coalesce(F.col("settlement_kind") == "ROOM_CHARGE", F.lit(False))
     mgmt = F.col("type") == "MANAGEMENT_DOCUMENT"
     d = d.withColumn("time", F.coalesce("document_time", "captured_at")).withColumn("total", F.coalesce("gross_total", "net_total"))
@@ -30,16 +42,20 @@ def described(documents: DataFrame, lines: DataFrame) -> DataFrame:
     d = d.withColumn("auxiliary", F.col("type").isin(*schema.AUXILIARY_TYPES) | (mgmt & F.col("commercial_reference").isNotNull() & ~close))
     d = d.withColumn("baseline", (F.col("type") == "PRE_BILL") | (mgmt & F.col("complete") & F.col("total").isNotNull() & F.col("commercial_reference").isNull() & ~close))
     space = F.when(F.col("type").isin("PRE_BILL", "MANAGEMENT_DOCUMENT"), "MANAGEMENT").when(F.col("type").isin("COMMERCIAL_DOCUMENT", "REFUND"), "COMMERCIAL")
-    return d.withColumn("namespace", space)
+    return written(d.withColumn("namespace", space), "described")
 
 
-def candidates(d: DataFrame, window: int = WINDOW) -> DataFrame:
+def candidates(d: DataFrame, window: int = WINDOW, types: tuple[str, ...] | None = None, by: tuple[str, ...] | None = None) -> DataFrame:
     """Pairs ``(a, b)`` of documents that share a blocking key within the window.
 
     The time axis is cut into buckets of the window's width and each document looks into its own and the
-    next, so the join is on equal keys. Spark may split a hot key; only distinct pairs go on.
+    next, so the join is on equal keys. Spark may split a hot key; only distinct pairs go on. A rule that concerns
+    some types or keys alone names them, and other documents never enter the join.
     """
-    keys = F.array(*[F.struct(F.lit(n).alias("n"), v.alias("v")) for n, v in (("order", F.col("order_code")), ("external", F.col("external_code")), ("table", F.col("table_code")), ("job", F.col("job_id")), ("commercial", F.coalesce(F.col("commercial_reference"), F.when(F.col("type") == "COMMERCIAL_DOCUMENT", F.col("external_code")))), ("suffix", F.coalesce(text.counter_suffix(F.col("commercial_reference")), text.counter_suffix(F.col("external_suffix")))))])
+    if types:
+        d = d.where(F.col("type").isin(*types))
+    named = (("order", F.col("order_code")), ("external", F.col("external_code")), ("table", F.col("table_code")), ("job", F.col("job_id")), ("commercial", F.coalesce(F.col("commercial_reference"), F.when(F.col("type") == "COMMERCIAL_DOCUMENT", F.col("external_code")))), ("suffix", F.coalesce(text.counter_suffix(F.col("commercial_reference")), text.counter_suffix(F.col("external_suffix")))))
+    keys = F.array(*[F.struct(F.lit(n).alias("n"), v.alias("v")) for n, v in named if by is None or n in by])
     rows = d.select("document_id", F.unix_timestamp("time").alias("s"), F.explode(F.filter(keys, lambda k: k["v"].isNotNull())).alias("k")).select("document_id", "s", "k.n", "k.v", F.floor(F.col("s") / window).alias("bucket"))
     other = rows.select(F.col("document_id").alias("b"), F.col("s").alias("sb"), "n", "v", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1, F.col("bucket") - 1)).alias("bucket"))
     pairs = rows.withColumnRenamed("document_id", "a").join(other, ["n", "v", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("s") - F.col("sb")) <= window))
@@ -51,7 +67,22 @@ def all_pairs(d: DataFrame) -> DataFrame:
     return d.select(F.col("document_id").alias("a")).join(d.select(F.col("document_id").alias("b")), F.col("a") < F.col("b"))
 
 
-_READ = ["type", "device_id", "session_id", "job_id", "order_code", "table_code", "operator_code", "terminal_code", "external_code", "external_suffix", "suffix_evidence", "commercial_reference", "order_reference", "time", "total", "closes", "auxiliary", "baseline", "namespace", "keys"]
+#: The criteria of the general score, in the order of its weights, and those of each special rule.
+CRITERIA = (
+    "order_code", "own_progressive_same_namespace", "table_code", "operator_code", "terminal_code", "embedded_reference",
+    "time_proximity", "business_date", "amount_relationship", "line_similarity", "document_sequence", "device_context",
+)
+RULE_CRITERIA = {
+    "response": ("response_job_context", "time_proximity"),
+    "suffix_reference": ("commercial_reference_to_observed_fiscal_suffix", "table_code", "line_identity_overlap", "time_proximity"),
+    "commercial_reference": ("commercial_reference_to_fiscal_progressive", "time_proximity"),
+    "table_sale": ("table_sale_sequence", "line_identity_overlap", "time_proximity"),
+    "kitchen_baseline": ("kitchen_to_management_baseline", "line_identity_overlap", "time_proximity"),
+    "fiscal_siblings": ("split_fiscal_reference", "time_proximity"),
+    "table_change": ("SAME_TABLE_CHANGE_SEQUENCE", "line_identity_overlap", "time_proximity"),
+    "dispatch": ("CROSS_DEPARTMENT_DISPATCH", "time_proximity"),
+}
+_READ = ["type", "device_id", "session_id", "job_id", "order_code", "table_code", "operator_code", "terminal_code", "external_code", "external_suffix", "suffix_evidence", "commercial_reference", "order_reference", "references", "time", "total", "closes", "auxiliary", "baseline", "namespace", "keys"]
 
 
 def score(pairs: DataFrame, d: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -95,10 +126,11 @@ def score(pairs: DataFrame, d: DataFrame, window: int = WINDOW) -> DataFrame:
     points = lambda c, n: F.when(c, n).otherwise(0)
     weights = [
         points(same("order_code"), 35), points(no(A("namespace") == B("namespace")) & same("external_code"), 15), points(same("table_code"), 12), points(same("operator_code"), 5),
-        points(same("terminal_code"), 4), points(same("order_reference"), 20), F.when(delta <= 120, 12).when(delta <= 900, 8).when(inside, 4).otherwise(0),
+        points(same("terminal_code"), 4), points(F.arrays_overlap(A("references"), B("references")), 20), F.when(delta <= 120, 12).when(delta <= 900, 8).when(inside, 4).otherwise(0),
         points(F.to_date(A("time")) == F.to_date(B("time")), 3), F.when(both & (A("total") == B("total")), 8).when(both & (low >= 0) & (high > 0) & (low < high), 3).otherwise(0),
         similar, points(compatible, 8), points(A("device_id") == B("device_id"), 2),
     ]
+    holds = [F.array_compact(F.array(*[F.when((w > 0) == met, F.lit(n)) for n, w in zip(CRITERIA, weights, strict=True)])) for met in (True, False)]
     general = F.when(compatible & inside, F.least(F.lit(100), reduce(lambda p, q: p + q, weights))).otherwise(0)
     rules = [
         ("response", response, F.when(inside & same("job_id"), 90).otherwise(0)), ("boundary", boundary, F.lit(0)), ("conflict", conflict, F.lit(0)), ("suffix_reference", suffix_ok, F.lit(100)),
@@ -107,7 +139,25 @@ def score(pairs: DataFrame, d: DataFrame, window: int = WINDOW) -> DataFrame:
     ]
     value = reduce(lambda acc, r: acc.when(r[1], r[2]), rules[1:], F.when(rules[0][1], rules[0][2])).otherwise(general)
     name = reduce(lambda acc, r: acc.when(r[1], r[0]), rules[1:], F.when(rules[0][1], rules[0][0])).otherwise("general")
-    return x.select("a", "b", value.cast("int").alias("score"), name.alias("rule"), delta.alias("delta"), A("auxiliary").alias("a_aux"), B("auxiliary").alias("b_aux"))
+    special = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in RULE_CRITERIA.items() for x in kv])
+    none = F.array().cast("array<string>")
+    matched = F.when(value > 0, F.when(name == "general", holds[0]).otherwise(F.coalesce(F.try_element_at(special, name), none))).otherwise(none)
+    return x.select("a", "b", value.cast("int").alias("score"), name.alias("rule"), delta.alias("delta"), A("auxiliary").alias("a_aux"), B("auxiliary").alias("b_aux"), matched.alias("matched"), F.when((value > 0) & (name == "general"), holds[1]).otherwise(none).alias("unmatched"))
+
+
+def correlations(scored: DataFrame, clusters: DataFrame, minimum: int = MINIMUM) -> DataFrame:
+    """``(cluster, score, matched, unmatched)``: the least over the members of each one's best edge within the
+    cluster, and the criteria that some edge meets or that none does. Clusters of one document are not told."""
+    side = lambda p: clusters.select(F.col("document_id").alias(p), F.col("cluster").alias(f"{p}_cluster"))
+    inside = scored.where(F.col("score") >= minimum).join(side("a"), "a").join(side("b"), "b").where("a_cluster = b_cluster")
+    ends = inside.select(F.col("a_cluster").alias("cluster"), "score", F.explode(F.array("a", "b")).alias("document_id"))
+    best = ends.groupBy("cluster", "document_id").agg(F.max("score").alias("score"))
+    many = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster"), "cluster")
+    least = many.join(best, ["cluster", "document_id"], "left").groupBy("cluster").agg(F.min(F.coalesce("score", F.lit(0))).alias("score"))
+    kinds = [inside.select(F.col("a_cluster").alias("cluster"), F.explode(c).alias("name")).distinct().groupBy("cluster").agg(F.array_sort(F.collect_list("name")).alias(c)) for c in ("matched", "unmatched")]
+    none = F.array().cast("array<string>")
+    out = least.join(kinds[0], "cluster", "left").join(kinds[1], "cluster", "left").withColumns({"matched": F.coalesce("matched", none), "unmatched": F.coalesce("unmatched", none)})
+    return out.withColumn("unmatched", F.array_except("unmatched", "matched"))
 
 
 def connected(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:

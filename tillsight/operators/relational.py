@@ -134,3 +134,23 @@ def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Rows whose parent is missing."""
     return child.join(parent.select(key).distinct(), key, "left_anti")
+
+
+def endpoint_devices(seen: DataFrame, devices: DataFrame) -> DataFrame:
+    """``seen(endpoint)`` with ``device_id`` of the configured device at that host and port, null if there is none.
+
+    ``devices(device_id, host, port)``; hosts are compared in lower case. Two devices at one endpoint are none.
+    """
+    at = lambda host, port: F.concat(F.lower(F.trim(host)), F.lit(":"), port.cast("string"))
+    known = devices.groupBy(at(F.col("host"), F.col("port")).alias("_at")).agg(F.count("*").alias("_n"), F.min("device_id").alias("device_id")).where("_n = 1").drop("_n")
+    return seen.withColumn("_at", F.lower(F.trim("endpoint"))).join(known, "_at", "left").drop("_at")
+
+
+def synchronised(stored: DataFrame, wanted: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """M6: rows after a configuration was read, with ``action``: INSERTED, UPDATED, UNCHANGED, or DISABLED if it names them no more."""
+    a = stored.select(key, F.struct(*columns).alias("_old"))
+    b = wanted.select(key, F.struct(*columns).alias("_new"))
+    both = a.join(b, key, "full_outer")
+    action = F.when(F.col("_old").isNull(), "INSERTED").when(F.col("_new").isNull(), "DISABLED").when(F.col("_old") == F.col("_new"), "UNCHANGED").otherwise("UPDATED")
+    now = F.coalesce("_new", "_old")
+    return both.select(key, *[now[c].alias(c) for c in columns], action.alias("action"))

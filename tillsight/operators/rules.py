@@ -50,15 +50,33 @@ def _cap(x: Column) -> Column:
     return F.least(F.lit(100), x.cast("int"))
 
 
-def _per(df: DataFrame, base: int, step: int, confidence: int, least: int = 1) -> DataFrame:
-    """Findings from one row a hit: ``base + step * hits``."""
-    n = df.groupBy("transaction_key").agg(F.count("*").alias("hits")).where(F.col("hits") >= least)
-    return n.select("transaction_key", _cap(base + step * F.col("hits")).alias("score"), F.lit(confidence).alias("confidence"), "hits")
+def _proof(kind: str, **fields: Column) -> Column:
+    """One piece of evidence as canonical JSON; amounts and times as text."""
+    return values.canonical_json({"kind": F.lit(kind)} | {k: c.cast("string") for k, c in fields.items()})
 
 
-def _one(df: DataFrame, score: Column, confidence: Column | int) -> DataFrame:
+_NONE = F.lit(None).cast("array<string>")
+
+
+def _per(df: DataFrame, base: int, step: int, confidence: int, proof: Column, least: int = 1, document: str | None = None) -> DataFrame:
+    """Findings from one row a hit: ``base + step * hits``; each hit is a piece of evidence and may name its document."""
+    documents = F.array_sort(F.collect_set(document)) if document else F.max(_NONE)
+    n = df.withColumn("_proof", proof).groupBy("transaction_key").agg(F.count("*").alias("hits"), F.array_sort(F.collect_list("_proof")).alias("evidence"), documents.alias("document_ids")).where(F.col("hits") >= least)
+    return n.select("transaction_key", _cap(base + step * F.col("hits")).alias("score"), F.lit(confidence).alias("confidence"), "hits", "evidence", "document_ids")
+
+
+def _one(df: DataFrame, score: Column, confidence: Column | int, evidence: Column, documents: Column = _NONE) -> DataFrame:
     c = confidence if isinstance(confidence, Column) else F.lit(confidence)
-    return df.select("transaction_key", _cap(score).alias("score"), c.cast("int").alias("confidence"), F.lit(1).cast("bigint").alias("hits"))
+    return df.select("transaction_key", _cap(score).alias("score"), c.cast("int").alias("confidence"), F.lit(1).cast("bigint").alias("hits"), evidence.alias("evidence"), documents.alias("document_ids"))
+
+
+def _amounts(**more: Column) -> Column:
+    """The totals that a difference is told from."""
+    return _proof("amount_comparison", prebill_total=F.col("prebill_total"), fiscal_aggregate=F.col("fiscal_total"), difference_amount=F.col("difference"), difference_percent=F.col("percent"), split_payment=F.col("split_payment"), **more)
+
+
+def _change(kind: str, **more: Column) -> Column:
+    return _proof(kind, item_key=F.col("item_key"), description=F.col("description"), **more)
 
 
 def _truncated(x: Column) -> Column:
@@ -72,42 +90,64 @@ def _dropped(c: Context, p: dict, closed: Column) -> DataFrame:
 
 def r1(c: Context, p: dict) -> DataFrame:
     t = _dropped(c, p, (F.col("fiscals") > 0) | (F.col("cancellations") > 0) | (F.col("closings") > 0))
-    return _one(t, 70 + _truncated(F.col("percent") * F.lit(0.3).cast("decimal(2,1)")), F.when(F.col("documents") > 1, 95).otherwise(70))
+    outcome = _proof(
+        "post_prebill_economic_outcome", prebill_total=F.col("prebill_total"), observed_final_total=F.col("final_total"), fiscal_aggregate=F.col("fiscal_total"), difference_amount=F.col("difference"),
+        difference_percent=F.col("percent"), fiscal_conclusive=F.col("fiscals") > 0, cancelled_or_partial=F.col("cancellations") > 0, room_settlement=F.col("closings") > 0,
+    )
+    evidence = F.array(outcome)
+    if c.changes is not None:
+        moved = _change("post_prebill_line_change", change_type=F.col("change_type"), quantity_before=F.col("before_quantity"), quantity_after=F.col("after_quantity"), unit_price_before=F.col("before_unit_price"), unit_price_after=F.col("after_unit_price"))
+        lines = c.changes.where("change_type <> 'UNCHANGED'").groupBy("transaction_key").agg(F.array_sort(F.collect_list(moved)).alias("_lines"))
+        t = t.join(lines, "transaction_key", "left")
+        evidence = F.concat(evidence, F.coalesce("_lines", F.array().cast("array<string>")))
+    return _one(t, 70 + _truncated(F.col("percent") * F.lit(0.3).cast("decimal(2,1)")), F.when(F.col("documents") > 1, 95).otherwise(70), evidence, F.col("document_ids"))
 
 
 def r2(c: Context, p: dict) -> DataFrame:
-    return _one(_dropped(c, p, F.col("fiscals") > 0), 60 + _truncated(F.col("percent") * F.lit(0.6).cast("decimal(2,1)")), F.when(F.col("documents") > 1, 95).otherwise(65))
+    return _one(_dropped(c, p, F.col("fiscals") > 0), 60 + _truncated(F.col("percent") * F.lit(0.6).cast("decimal(2,1)")), F.when(F.col("documents") > 1, 95).otherwise(65), F.array(_amounts()))
 
 
 def r3(c: Context, p: dict) -> DataFrame:
-    return _per(c.changes.where("change_type = 'REMOVED'"), 65, 8, 90)
+    return _per(c.changes.where("change_type = 'REMOVED'"), 65, 8, 90, _change("line_removed", quantity_before=F.col("before_quantity"), total_before=F.col("before_total")))
 
 
 def r4(c: Context, p: dict) -> DataFrame:
-    return _per(c.changes.where("change_type NOT IN ('ADDED', 'REMOVED') AND after_unit_price < before_unit_price"), 65, 10, 90)
+    before, after = F.col("before_unit_price"), F.col("after_unit_price")
+    return _per(c.changes.where("change_type NOT IN ('ADDED', 'REMOVED') AND after_unit_price < before_unit_price"), 65, 10, 90, _change("price_reduction", before=before, after=after, difference=before - after))
 
 
 def r5(c: Context, p: dict) -> DataFrame:
-    drop = c.changes.where("before_unit_price > 0 AND after_unit_price < before_unit_price").withColumn("drop", values.percent(F.col("before_unit_price") - F.col("after_unit_price"), F.col("before_unit_price"))).where(F.col("drop") >= p["minimum_percent"])
-    return _one(drop.groupBy("transaction_key").agg(F.max("drop").alias("drop")), 75 + _truncated(F.col("drop") / 5), 92)
+    before, after = F.col("before_unit_price"), F.col("after_unit_price")
+    drop = c.changes.where("before_unit_price > 0 AND after_unit_price < before_unit_price").withColumn("drop", values.percent(before - after, before)).where(F.col("drop") >= p["minimum_percent"])
+    proof = _change("extreme_price_reduction", before=before, after=after, reduction_percent=F.col("drop"))
+    worst = drop.withColumn("_proof", proof).groupBy("transaction_key").agg(F.max("drop").alias("drop"), F.array_sort(F.collect_list("_proof")).alias("_proofs"))
+    return _one(worst, 75 + _truncated(F.col("drop") / 5), 92, F.col("_proofs"))
 
 
 def r6(c: Context, p: dict) -> DataFrame:
-    refs = c.members.select("transaction_key", "document_id", F.explode(F.array_distinct(F.filter(F.array(*[text.scope_value(F.col(x)) for x in ("order_code", "external_code", "order_reference")]), lambda x: x.isNotNull()))).alias("ref"))
-    shared = refs.groupBy("transaction_key", "ref").agg(F.count_distinct("document_id").alias("n")).where("n >= 2").select("transaction_key").distinct()
-    t = c.transactions.where(F.col("prebill_total").isNotNull() & (F.col("fiscals") > 0) & (F.abs("difference") >= p["minimum_amount"])).join(shared, "transaction_key", "left_semi")
-    return _one(t, 65 + _truncated(F.abs("difference")), 90)
+    own = [text.scope_value(F.col(x)) for x in ("order_code", "external_code", "order_reference")]
+    more = F.transform(F.col("references"), text.scope_value) if "references" in c.members.columns else F.array().cast("array<string>")
+    refs = c.members.select("transaction_key", "document_id", F.explode(F.array_distinct(F.array_compact(F.concat(F.array(*own), more)))).alias("ref"))
+    shared = refs.groupBy("transaction_key", "ref").agg(F.array_sort(F.collect_set("document_id")).alias("ids")).where(F.size("ids") >= 2)
+    shared = shared.groupBy("transaction_key").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ref", "ids"))))).alias("_shared"))
+    t = c.transactions.where(F.col("prebill_total").isNotNull() & (F.col("fiscals") > 0) & (F.abs("difference") >= p["minimum_amount"])).join(shared, "transaction_key")
+    return _one(t, 65 + _truncated(F.abs("difference")), 90, F.array(_amounts(shared_references=F.col("_shared"))))
 
 
 def r7(c: Context, p: dict) -> DataFrame:
-    m = c.members.groupBy("transaction_key").agg(F.max(F.when(F.col("type").isin(*schema.OPENING_TYPES), F.col("time"))).alias("latest"), F.count_if(valid_fiscal() | (room_close() & F.col("total").isNotNull())).alias("closed"))
+    opening = F.col("type").isin(*schema.OPENING_TYPES)
+    m = c.members.groupBy("transaction_key").agg(F.max(F.when(opening, F.col("time"))).alias("latest"), F.count_if(valid_fiscal() | (room_close() & F.col("total").isNotNull())).alias("closed"), F.array_sort(F.collect_set(F.when(opening, F.col("document_id")))).alias("_ids"))
     age = F.unix_timestamp(F.lit(c.evaluated_at).cast("timestamp")) - F.unix_timestamp("latest")
-    return _one(m.where((F.col("closed") == 0) & F.col("latest").isNotNull() & (age >= 60 * p["close_minutes"])), F.lit(70), 75)
+    # The time of evaluation is no evidence: the finding stays the same while the order stays open.
+    proof = _proof("missing_fiscal_close", last_source_at=F.col("latest"), threshold_minutes=F.lit(p["close_minutes"]))
+    return _one(m.where((F.col("closed") == 0) & F.col("latest").isNotNull() & (age >= 60 * p["close_minutes"])), F.lit(70), 75, F.array(proof), F.col("_ids"))
 
 
 def r8(c: Context, p: dict) -> DataFrame:
-    m = c.members.groupBy("transaction_key").agg(F.count_if(F.col("type").isin(*schema.FISCAL_TYPES)).alias("f"), F.count_if(F.col("type").isin(*schema.SOURCE_TYPES)).alias("s"))
-    return _one(m.where("f > 0 AND s = 0"), F.lit(65), 70)
+    fiscal = F.col("type").isin(*schema.FISCAL_TYPES)
+    proof = _proof("orphan_fiscal_document", document_id=F.col("document_id"), external_code=F.col("external_code"), total=F.col("total"))
+    m = c.members.groupBy("transaction_key").agg(F.count_if(fiscal).alias("f"), F.count_if(F.col("type").isin(*schema.SOURCE_TYPES)).alias("s"), F.array_sort(F.collect_list(F.when(fiscal, proof))).alias("_proofs"), F.array_sort(F.collect_set(F.when(fiscal, F.col("document_id")))).alias("_ids"))
+    return _one(m.where("f > 0 AND s = 0"), F.lit(65), 70, F.col("_proofs"), F.col("_ids"))
 
 
 def void_counts(c: Context) -> DataFrame:
@@ -118,16 +158,18 @@ def void_counts(c: Context) -> DataFrame:
         F.count_if((F.col("event_type") == "ITEM_REMOVED") & ~F.coalesce(F.array_contains("docs", F.col("document_id")), F.lit(False))).alias("removals"),
         F.collect_set(F.when(F.col("event_type") == "ORDER_VOIDED", F.col("document_id"))).alias("voids"), F.count_if((F.col("event_type") == "ORDER_VOIDED") & F.col("document_id").isNull()).alias("anonymous"), F.first("docs").alias("docs"),
     )
-    return counted.select("transaction_key", (F.col("removals") + F.size("voids") + F.col("anonymous") + F.size(F.array_except("docs", "voids"))).alias("voids"))
+    return counted.select("transaction_key", F.array_join(F.array_sort("docs"), ",").alias("cancelled"), (F.col("removals") + F.size("voids") + F.col("anonymous") + F.size(F.array_except("docs", "voids"))).alias("voids"))
 
 
 def r9(c: Context, p: dict) -> DataFrame:
     v = void_counts(c).where(F.col("voids") >= p["minimum_count"])
-    return v.select("transaction_key", _cap(60 + 8 * F.col("voids")).alias("score"), F.lit(85).alias("confidence"), F.col("voids").alias("hits"))
+    proof = _proof("void_frequency", count=F.col("voids"), threshold=F.lit(p["minimum_count"]), cancellation_document_ids=F.col("cancelled"))
+    return v.select("transaction_key", _cap(60 + 8 * F.col("voids")).alias("score"), F.lit(85).alias("confidence"), F.col("voids").alias("hits"), F.array(proof).alias("evidence"), _NONE.alias("document_ids"))
 
 
 def r10(c: Context, p: dict) -> DataFrame:
-    return _per(c.members.where(F.col("type").isin(*schema.COPY_TYPES)), 55, 8, 90, p["maximum_count"] + 1)
+    proof = _proof("copy_or_reprint", document_id=F.col("document_id"), type=F.col("type"), captured_at=F.col("captured_at"))
+    return _per(c.members.where(F.col("type").isin(*schema.COPY_TYPES)), 55, 8, 90, proof, p["maximum_count"] + 1, "document_id")
 
 
 def r11(c: Context, p: dict) -> DataFrame:
@@ -135,10 +177,11 @@ def r11(c: Context, p: dict) -> DataFrame:
     m = c.members.withColumn("n", text.numeric_suffix(F.col("external_code"))).where("n IS NOT NULL")
     w = Window.partitionBy("device_id", "type", F.to_date("time"), "n.prefix").orderBy("n.number", "document_id")
     gaps = m.withColumns({"after": F.lead("n.number").over(w), "after_id": F.lead("document_id").over(w), "after_key": F.lead("transaction_key").over(w)}).where(F.col("after") - F.col("n.number") > 1)
-    each = gaps.select(F.explode(F.array_distinct(F.array("transaction_key", "after_key"))).alias("key"), F.least("document_id", "after_id").alias("least"), "document_id", "after_id")
-    per = each.groupBy("key").agg(F.count("*").alias("hits"), F.min("least").alias("least"))
+    proof = _proof("sequence_gap", source_device_id=F.col("device_id"), document_type=F.col("type"), business_date=F.to_date("time"), prefix=F.col("n.prefix"), before=F.col("n.number"), after=F.col("after"), missing_count=F.col("after") - F.col("n.number") - 1)
+    each = gaps.withColumn("_proof", proof).select(F.explode(F.array_distinct(F.array("transaction_key", "after_key"))).alias("key"), F.least("document_id", "after_id").alias("least"), F.array("document_id", "after_id").alias("ids"), "_proof")
+    per = each.groupBy("key").agg(F.count("*").alias("hits"), F.min("least").alias("least"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("document_ids"), F.array_sort(F.collect_list("_proof")).alias("evidence"))
     mine = per.join(c.members.select(F.col("transaction_key").alias("key"), F.col("document_id").alias("least")), ["key", "least"], "left_semi")
-    return mine.select(F.col("key").alias("transaction_key"), _cap(65 + 10 * F.col("hits")).alias("score"), F.lit(80).alias("confidence"), "hits")
+    return mine.select(F.col("key").alias("transaction_key"), _cap(65 + 10 * F.col("hits")).alias("score"), F.lit(80).alias("confidence"), "hits", "evidence", "document_ids")
 
 
 def r12(c: Context, p: dict) -> DataFrame:
@@ -147,9 +190,10 @@ def r12(c: Context, p: dict) -> DataFrame:
     same = F.when(F.col("external_code").isNotNull() & (F.col("external_code") != ""), F.concat(F.lit("CODE:"), "external_code")).otherwise(F.concat(F.lit("HASH:"), "payload_sha256"))
     m = c.members.where(apart).withColumn("same", same).withColumn("day", F.to_date("time"))
     by = ["device_id", "type", "day", "same"]
-    groups = m.groupBy(*by).agg(F.count_distinct("job_id").alias("jobs"), F.min("document_id").alias("least")).where("jobs > 1")
-    hit = m.join(groups, by).groupBy("transaction_key").agg(F.count_distinct(F.struct(*by)).alias("hits"), F.min("least").alias("least"), F.collect_set("document_id").alias("mine"))
-    return hit.where(F.array_contains("mine", F.col("least"))).select("transaction_key", _cap(70 + 10 * F.col("hits")).alias("score"), F.lit(90).alias("confidence"), "hits")
+    groups = m.groupBy(*by).agg(F.count_distinct("job_id").alias("jobs"), F.min("document_id").alias("least"), F.array_sort(F.collect_set("document_id")).alias("ids")).where("jobs > 1")
+    proof = _proof("duplicate_document", source_device_id=F.col("device_id"), document_type=F.col("type"), business_date=F.col("day"), identity=F.col("same"), document_ids=F.array_join("ids", ","))
+    hit = m.join(groups, by).groupBy("transaction_key").agg(F.count_distinct(F.struct(*by)).alias("hits"), F.min("least").alias("least"), F.collect_set("document_id").alias("mine"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("document_ids"), F.array_sort(F.collect_set(proof)).alias("evidence"))
+    return hit.where(F.array_contains("mine", F.col("least"))).select("transaction_key", _cap(70 + 10 * F.col("hits")).alias("score"), F.lit(90).alias("confidence"), "hits", "evidence", "document_ids")
 
 
 _MODIFIES = ("ITEM_ADDED", "ITEM_REMOVED", "QUANTITY_CHANGED", "PRICE_CHANGED", "DISCOUNT_APPLIED", "DISCOUNT_REMOVED")
@@ -159,35 +203,38 @@ def r13(c: Context, p: dict) -> DataFrame:
     output = c.members.where(F.col("type").isin("COMMERCIAL_DOCUMENT", "MANAGEMENT_DOCUMENT", "DEVICE_RESPONSE", *schema.COPY_TYPES)).select("transaction_key", "document_id")
     late = c.events.where(F.col("event_type").isin(*_MODIFIES)).join(c.transactions.select("transaction_key", "first_fiscal_at"), "transaction_key")
     late = late.where((F.col("time") > F.col("first_fiscal_at")) & (F.col("time") <= F.col("first_fiscal_at") + F.make_dt_interval(mins=F.lit(p["window_minutes"])))).join(output, ["transaction_key", "document_id"], "left_anti")
-    return _per(late, 65, 8, 90)
+    return _per(late, 65, 8, 90, _proof("late_order_event", event_type=F.col("event_type"), occurred_at=F.col("time"), first_fiscal_at=F.col("first_fiscal_at"), document_id=F.col("document_id"), detail=F.col("detail")))
 
 
 def r14(c: Context, p: dict) -> DataFrame:
     m = c.members.where(F.col("type").isin("ORDER", "PRE_BILL", "MANAGEMENT_DOCUMENT", "COMMERCIAL_DOCUMENT")).select("transaction_key", "document_id")
     v = F.filter(F.array(F.coalesce("modified_unit_price", "unit_price"), F.col("line_total")), lambda x: x.isNotNull())
     bad = F.exists(v, lambda x: x <= 0) & ~(F.forall(v, lambda x: x >= 0) & F.coalesce(text.non_sale_line(F.col("description")), F.lit(False)))
-    return _per(c.lines.where(bad).join(m, "document_id"), 65, 8, 90)
+    proof = _proof("non_positive_item", document_id=F.col("document_id"), sequence=F.col("sequence"), item_code=F.col("item_code"), description=F.col("description"), unit_price=F.coalesce("modified_unit_price", "unit_price"), line_total=F.col("line_total"))
+    return _per(c.lines.where(bad).join(m, "document_id"), 65, 8, 90, proof, document="document_id")
 
 
 def r15(c: Context, p: dict) -> DataFrame:
     m = c.members.where(~F.col("type").isin("ORDER_CHANGE", "KITCHEN_ORDER", "CANCELLATION", "REFUND", "DEVICE_RESPONSE", *schema.COPY_TYPES) & F.col("complete") & F.col("total").isNotNull())
     sums = c.lines.groupBy("document_id").agg(F.sum("line_total").alias("s"), F.count_if(F.col("line_total").isNull()).alias("gaps")).where("gaps = 0")
     off = F.array_min(F.filter(F.array(F.abs(F.col("total") - F.col("s")), F.abs(F.col("total") - F.col("s") + F.col("discount_total"))), lambda x: x.isNotNull()))
-    return _per(m.join(sums, "document_id").where(off > p["tolerance"]), 65, 10, 92)
+    proof = _proof("total_line_mismatch", document_id=F.col("document_id"), document_total=F.col("total"), line_sum=F.col("s"), discount_total=F.col("discount_total"), difference=off)
+    return _per(m.join(sums, "document_id").where(off > p["tolerance"]), 65, 10, 92, proof, document="document_id")
 
 
 def r16(c: Context, p: dict) -> DataFrame:
     fiscal = c.members.where(F.col("type").isin(*schema.FISCAL_TYPES)).select("transaction_key").distinct()
     t = c.transactions.where(F.col("payment_records") > 0).join(fiscal, "transaction_key", "left_semi").withColumn("off", F.abs(F.col("fiscal_total") - F.col("payment_total"))).where(F.col("off") > p["tolerance"])
-    return _one(t, 70 + _truncated(F.col("off")), 95)
+    return _one(t, 70 + _truncated(F.col("off")), 95, F.array(_proof("payment_total_mismatch", fiscal_total=F.col("fiscal_total"), payment_total=F.col("payment_total"), difference=F.col("off"))))
 
 
 def r17(c: Context, p: dict) -> DataFrame:
     if c.operator_stats is None:
-        return _one(c.transactions.where("false"), F.lit(0), 0)
+        return _one(c.transactions.where("false"), F.lit(0), 0, _NONE)
     rate = F.col("anomalous").cast("decimal(18,0)") / F.col("transactions_")
     s = c.operator_stats.withColumn("rate", rate).where((F.col("transactions_") >= p["minimum_transactions"]) & (F.col("rate") >= p["minimum_anomaly_rate"]))
-    return _one(c.transactions.select("transaction_key", "operator_code").join(s, "operator_code"), 50 + _truncated(F.col("rate") * 100), 80)
+    proof = _proof("operator_pattern", operator_code=F.col("operator_code"), transactions=F.col("transactions_"), anomalous=F.col("anomalous"), voids=F.col("voids"), rate=F.col("rate"))
+    return _one(c.transactions.select("transaction_key", "operator_code").join(s, "operator_code"), 50 + _truncated(F.col("rate") * 100), 80, F.array(proof))
 
 
 RULES: tuple[Rule, ...] = (
@@ -228,20 +275,62 @@ def configured(code: str, **parameters) -> Rule:
     return replace(r, parameters=r.parameters | parameters)
 
 
-def finding(c: Context, r: Rule) -> DataFrame:
-    """One rule's findings, weighted half-even and kept within 0..100."""
-    f = r.handler(c, r.parameters)
+#: What each rule's finding is called.
+DESCRIPTIONS = {
+    "MODIFICA_POST_PRECONTO": "Riduzione del valore di vendita dopo il preconto",
+    "PREBILL_FISCAL_AMOUNT_DROP": "Riduzione significativa tra preconto e totale fiscale",
+    "ITEM_REMOVED_AFTER_PREBILL": "Articoli rimossi dopo il preconto",
+    "PRICE_REDUCED_AFTER_PREBILL": "Prezzo ridotto dopo il preconto",
+    "EXTREME_PRICE_CHANGE": "Variazione estrema del prezzo",
+    "SAME_REFERENCE_DIFFERENT_AMOUNT": "Stesso riferimento con importi differenti",
+    "ORDER_WITHOUT_FISCAL_CLOSE": "Ordine senza chiusura fiscale",
+    "FISCAL_WITHOUT_SOURCE_ORDER": "Documento fiscale senza ordine sorgente",
+    "EXCESSIVE_VOID_OR_CANCELLATION": "Frequenza elevata di annulli o rimozioni",
+    "REPRINT_OR_COPY_ANOMALY": "Numero anomalo di ristampe o copie conformi",
+    "DOCUMENT_SEQUENCE_GAP": "Discontinuità nella sequenza dei documenti",
+    "DUPLICATE_DOCUMENT": "Identificativo o contenuto documento duplicato",
+    "LATE_ORDER_MODIFICATION": "Modifica tardiva dell'ordine",
+    "NEGATIVE_OR_ZERO_VALUE_ITEM": "Articolo con valore nullo o negativo",
+    "TOTAL_LINE_MISMATCH": "Totale incompatibile con la somma delle righe",
+    "PAYMENT_TOTAL_MISMATCH": "Pagamenti incompatibili con il totale fiscale",
+    "UNUSUAL_OPERATOR_PATTERN": "Concentrazione anomala su un operatore identificato",
+}
+
+
+def _weighed(c: Context, r: Rule) -> DataFrame:
     score = F.least(F.lit(100), F.greatest(F.lit(0), F.bround(F.col("score").cast("decimal(9,0)") * F.lit(r.weight).cast("decimal(8,4)"), 0).cast("int")))
-    return f.select("transaction_key", F.lit(r.code).alias("rule_code"), F.lit(r.severity).alias("severity"), score.alias("score"), "confidence", "hits")
+    return r.handler(c, r.parameters).withColumns({"rule_code": F.lit(r.code), "rule_version": F.lit(r.version), "severity": F.lit(r.severity), "score": score})
 
 
-def evaluate(c: Context, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All findings; symptoms of a reduction give way to the primary rule where a pre-bill is known."""
+def finding(c: Context, r: Rule) -> DataFrame:
+    """One rule's findings, weighted half-even and kept within 0..100, without their evidence (which is then never gathered)."""
+    return _weighed(c, r).select("transaction_key", "rule_code", "severity", "score", "confidence", "hits")
+
+
+def explained(c: Context, r: Rule) -> DataFrame:
+    """One rule's findings with description, explanation, evidence and documents (all of the episode where the rule names none)."""
+    f = _weighed(c, r).withColumnRenamed("document_ids", "_named").join(c.transactions.select("transaction_key", "document_ids"), "transaction_key")
+    told = F.concat(F.lit(DESCRIPTIONS[r.code] + ": "), F.size("evidence").cast("string"), F.lit(" "), F.when(F.size("evidence") == 1, "elemento").otherwise("elementi"), F.lit(" di prova"))
+    return f.select("transaction_key", "rule_code", "rule_version", "severity", "score", "confidence", "hits", F.coalesce("_named", "document_ids").alias("document_ids"), F.lit(DESCRIPTIONS[r.code]).alias("description"), told.alias("explanation"), "evidence")
+
+
+def finding_key() -> Column:
+    """Hash of all that an explained finding says; the time of its evaluation is no part of it."""
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
+    plain = {c: F.col(c).cast("string") for c in ("transaction_key", "rule_code", "rule_version", "severity", "score", "confidence", "description")}
+    return F.sha2(values.canonical_json(plain | {"document_ids": listed(F.col("document_ids")), "evidence": listed(F.col("evidence"))}), 256)
+
+
+def evaluate(c: Context, rules: tuple[Rule, ...] = RULES, find: Callable[[Context, Rule], DataFrame] = finding) -> DataFrame:
+    """All findings; symptoms of a reduction give way to the primary rule where a pre-bill is known.
+
+    ``find`` is ``finding`` or, for evidence and documents too, ``explained``.
+    """
     used = [r for r in registry(rules).values() if r.enabled]
     sales = c.members.groupBy("transaction_key").agg(F.min(F.col("type").isin(*schema.NON_SALE_TYPES)).alias("none")).where("NOT none").select("transaction_key")
     out = None
     for r in used:
-        f = finding(c, r)
+        f = find(c, r)
         out = f if out is None else out.unionByName(f)
     out = out.join(sales, "transaction_key", "left_semi")
     if any(r.code == PRIMARY for r in used):

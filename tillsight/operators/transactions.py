@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +29,18 @@ def valid_fiscal() -> Column:
 def episodes(documents: DataFrame) -> DataFrame:
     """Documents with ``transaction_key``: own order code, else that of the same job, else of the fiscal document they name.
 
-    Papers without an order code are few, so only they take the two joins; of several fiscal documents
-    with the named code the nearest in time counts.
+    A code that is used again opens a new episode: an opening paper that comes after a close of the code starts
+    the next one, whose key is the code and its number. Papers without an order code are few, so only
+    they take the two joins; of several fiscal documents with the named code the nearest in time counts.
     """
     d = documents.withColumn("time", F.coalesce("document_time", "captured_at")).withColumn("total", F.coalesce("gross_total", "net_total"))
-    own = d.where(F.col("order_code").isNotNull()).withColumn("transaction_key", F.col("order_code"))
+    opens = F.col("type").isin("ORDER", "KITCHEN_ORDER", "PRE_BILL")
+    closes = F.col("type").isin(*schema.FISCAL_TYPES) | room_close()
+    w = Window.partitionBy("order_code").orderBy("time", "document_id")
+    last = F.last(F.when(opens | closes, F.struct(closes.alias("closes"), F.col("time").alias("at"))), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    own = d.where(F.col("order_code").isNotNull()).withColumn("_starts", (opens & F.coalesce(last["closes"] & (last["at"] < F.col("time")), F.lit(False))).cast("int"))
+    own = own.withColumn("_n", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = own.withColumn("transaction_key", F.when(F.col("_n") == 0, F.col("order_code")).otherwise(F.concat("order_code", F.lit("#"), (F.col("_n") + 1).cast("string")))).drop("_starts", "_n")
     rest = d.where(F.col("order_code").isNull())
     jobs = own.groupBy("job_id").agg(F.min("transaction_key").alias("by_job"))
     fiscal = own.where((F.col("type") == "COMMERCIAL_DOCUMENT") & F.col("external_code").isNotNull()).select(F.col("external_code").alias("commercial_reference"), F.col("transaction_key").alias("by_code"), F.col("time").alias("ft"))
@@ -151,17 +162,24 @@ def numbered(log: DataFrame) -> DataFrame:
 
 
 def hash_chain(log: DataFrame, by: str, order: str, payload: Column) -> DataFrame:
-    """Each event with previous and own hash; one fold over the key's ordered payloads."""
+    """Each event's previous and own hash. A key's events pass in order through one task, which holds the last hash only."""
     zero = "0" * 64
-    steps = log.select(by, F.struct(F.col(order).alias("o"), payload.alias("p")).alias("e")).groupBy(by).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    start = F.struct(F.lit(zero).alias("last"), F.array().cast("array<struct<o:int,previous_hash:string,record_hash:string>>").alias("out"))
-
-    def step(acc, e):
-        h = values.chained_hash(acc["last"], e["p"])
-        return F.struct(h.alias("last"), F.concat(acc["out"], F.array(F.struct(e["o"].cast("int").alias("o"), acc["last"].alias("previous_hash"), h.alias("record_hash")))).alias("out"))
-
-    chain = steps.select(by, F.explode(F.aggregate("es", start, step)["out"]).alias("c"))
-    return chain.select(by, F.col("c.o").alias(order), "c.previous_hash", "c.record_hash")
+    rows = log.select(by, order, payload.alias("_payload")).repartition(by).sortWithinPartitions(by, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = object(), zero
+        for batch in batches:
+            before, own = [], []
+            for k, p in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != key:
+                    key, last = k, zero
+                before.append(last)
+                last = hashlib.sha256(bytes.fromhex(last) + p.encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, pa.string()), pa.array(own, pa.string())], [by, order, "previous_hash", "record_hash"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(run, f"{by} {kinds[by]}, {order} {kinds[order]}, previous_hash string, record_hash string")
 
 
 def verify_chain(chain: DataFrame, by: str, order: str, payload: Column) -> DataFrame:

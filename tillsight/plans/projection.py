@@ -154,12 +154,12 @@ def duckdb_prelude() -> str:
         line("K", "k % 4 = 0", "q", none, none, none),
         line("H", "k % 12 = 0 AND sequence = 1", "-1", none, none, none),
     ])
-    return f"""WITH devices AS (SELECT 'dev_' || s_suppkey AS device_id, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN 'rch' ELSE 'pos' END AS device_type, n_name AS department, s_suppkey AS ordinal FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-rl AS (SELECT l_orderkey AS k, CAST(seq AS INTEGER) AS sequence, CASE WHEN seq % 3 <> 0 THEN CAST(l_partkey AS VARCHAR) END AS item_code, p_name AS description, CAST(l_quantity AS BIGINT) AS q, {_LINE['cents']} AS cents, {_LINE['unit']} AS unit
+    return f"""WITH devices AS MATERIALIZED (SELECT 'dev_' || s_suppkey AS device_id, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN 'rch' ELSE 'pos' END AS device_type, n_name AS department, s_suppkey AS ordinal FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+rl AS MATERIALIZED (SELECT l_orderkey AS k, CAST(seq AS INTEGER) AS sequence, CASE WHEN seq % 3 <> 0 THEN CAST(l_partkey AS VARCHAR) END AS item_code, p_name AS description, CAST(l_quantity AS BIGINT) AS q, {_LINE['cents']} AS cents, {_LINE['unit']} AS unit
   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS seq FROM lineitem) LEFT JOIN part ON l_partkey = p_partkey),
 sc AS (SELECT k, CAST(sum(CASE WHEN k % 7 = 0 THEN cents // 2 ELSE cents END) AS BIGINT) AS fc FROM rl WHERE NOT (k % 9 = 0 AND sequence = 1) GROUP BY k),
-b AS (SELECT o_orderkey AS k, o_custkey AS cust, o_orderstatus AS st, o_orderdate AS t, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS pc, coalesce(fc, 0) AS fc, o_orderkey - CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE 0 END AS code FROM orders LEFT JOIN sc ON o_orderkey = k),
-documents_ AS ({papers}),
-lines_ AS ({rows}),
+b AS MATERIALIZED (SELECT o_orderkey AS k, o_custkey AS cust, o_orderstatus AS st, o_orderdate AS t, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS pc, coalesce(fc, 0) AS fc, o_orderkey - CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE 0 END AS code FROM orders LEFT JOIN sc ON o_orderkey = k),
+documents_ AS MATERIALIZED ({papers}),
+lines_ AS MATERIALIZED ({rows}),
 payments_ AS (SELECT document_id, 'CASH' AS method, CAST(gross_total - CASE WHEN CAST(order_code AS BIGINT) % 15 = 0 THEN 1 ELSE 0 END AS DECIMAL(19,4)) AS amount FROM documents_ WHERE type = 'COMMERCIAL_DOCUMENT' AND gross_total IS NOT NULL)
 """

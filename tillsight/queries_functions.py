@@ -17,10 +17,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("f1_identity_key", "SELECT doc_id, upper(strip_accents(trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g')))) AS key FROM documents WHERE lang IN ('fr', 'es') AND NOT contains(text, 'ß') AND NOT contains(text, 'ẞ')")
+@query("f1_identity_key", r"SELECT doc_id, sha256(nullif(trim(regexp_replace(upper(replace(strip_accents(text), 'ß', 'SS')), '[\s\x{00a0}]+', ' ', 'g')), '')) AS key FROM documents")
 def f1_identity_key(spark, sf):
-    d = read(spark, sf, "documents").where(F.col("lang").isin("fr", "es") & ~F.col("text").contains("ß") & ~F.col("text").contains("ẞ"))
-    return d.select("doc_id", text.identity(F.split("text", "\n")[0]).alias("key"))
+    """F1 of whole texts."""
+    return read(spark, sf, "documents").select("doc_id", F.sha2(text.identity(F.col("text")), 256).alias("key"))
 
 
 @query("f2_scope_value", "SELECT doc_id, nullif(trim(regexp_replace(upper(lang || '  ' || source || ' '), '\\s+', ' ', 'g')), '') AS v FROM documents")
@@ -39,12 +39,13 @@ def q_line_groups(spark, sf):
     return read(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
 
 
-@query("f10_unit_price", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, count(*) AS n, sum(CASE WHEN l_quantity = 0 THEN 0 ELSE 1 END)::BIGINT AS derived FROM lineitem GROUP BY 1, 2")
+@query("f10_unit_price", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_suppkey, ((200 * round(l_extendedprice * 100)::BIGINT + l_quantity::BIGINT) // (2 * l_quantity::BIGINT)) / 10000.0 AS price, CASE WHEN l_partkey % 3 = 0 THEN 'OBSERVED_UNIT_PRICE' ELSE 'DERIVED_FROM_OBSERVED_LINE_TOTAL' END AS origin FROM lineitem")
 def f10_unit_price(spark, sf):
-    """the price's origin for lines of which only the total is known."""
-    none = F.lit(None).cast(values.MONEY)
-    p = values.unit_price(none, F.col("l_extendedprice").cast(values.MONEY), F.col("l_quantity").cast(values.MONEY))
-    return read(spark, sf, "lineitem").withColumn("p", p).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.sum(F.when(F.col("p.origin") == "DERIVED_FROM_OBSERVED_LINE_TOTAL", 1).otherwise(0)).alias("derived"))
+    """price and its origin; a third of the lines have a printed price, the others their total alone."""
+    total, quantity = F.round("l_extendedprice", 2).cast("decimal(19,2)"), F.col("l_quantity").cast("decimal(19,0)")
+    printed = F.when(F.col("l_partkey") % 3 == 0, values.half_up(total / quantity))
+    p = values.unit_price(printed, total, quantity)
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", p["price"].alias("price"), p["origin"].alias("origin"))
 
 
 @query("f11_half_up", "SELECT e, CAST(e AS DECIMAL(19,6)) / 1000000 AS x, (CASE WHEN e % 100 >= 50 THEN e // 100 + 1 ELSE e // 100 END)::DOUBLE / 10000 AS up FROM (SELECT event_id AS e FROM events)")
@@ -59,10 +60,10 @@ def f12_percent(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", values.percent((k % 97).cast("decimal(19,4)"), (k % 89 + 1).cast("decimal(19,4)")).alias("p"))
 
 
-@query("f13_suffixes", "SELECT p_partkey, regexp_extract(p_name, '^(.*?)([0-9]+)$', 1) AS prefix, TRY_CAST(regexp_extract(p_brand, '^(.*?)([0-9]+)$', 2) AS DOUBLE) AS number, nullif(regexp_extract('AB-' || p_partkey, '(?:^|[-/])([0-9]{1,8})$', 1), '') AS counter, CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR END AS worker FROM part WHERE regexp_matches(p_brand, '[0-9]$')")
+@query("f13_suffixes", "SELECT p_partkey, regexp_extract(p_name, '^(.*?)([0-9]+)$', 1) AS prefix, TRY_CAST(regexp_extract(p_brand, '^(.*?)([0-9]+)$', 2) AS DOUBLE) AS number, nullif(regexp_extract('AB-' || p_partkey, '(?:^|[-/])([0-9]{1,8})$', 1), '') AS counter, CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR END AS worker FROM part")
 def f13_suffixes(spark, sf):
     """F13 to F15."""
-    p = read(spark, sf, "part").where(F.col("p_brand").rlike("[0-9]$"))
+    p = read(spark, sf, "part")
     code = F.concat(F.lit("AB-"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise("x"))
     return p.select("p_partkey", F.regexp_extract("p_name", r"^(.*?)(\d+)$", 1).alias("prefix"), text.numeric_suffix(F.col("p_brand"))["number"].alias("number"), text.counter_suffix(F.concat(F.lit("AB-"), F.col("p_partkey").cast("string"))).alias("counter"), text.worker_suffix(code).alias("worker"))
 
@@ -119,21 +120,26 @@ def f28_canonical_json(spark, sf):
     return read(spark, sf, "documents").select("doc_id", values.canonical_json({"source": F.col("source"), "lang": F.col("lang"), "n": F.col("n_chars"), "none": F.lit(None).cast("string")}).alias("j"))
 
 
-@query("f30_name_uuid", None)
+@query("f30_name_uuid", "WITH h AS (SELECT doc_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('doc:' || doc_id)) AS h FROM documents) SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || printf('%02x', (('0x' || h[17:18])::INTEGER & 63) | 128) || h[19:20] || '-' || h[21:32] AS uuid FROM h")
 def f30_name_uuid(spark, sf):
     return read(spark, sf, "documents").select("doc_id", values.name_uuid(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).alias("uuid"))
 
 
-@query("f32_redaction", r"SELECT event_id, 'token=<redacted> by ' || user_id AS a, 'db://u:<redacted>@h/' || event_id AS b FROM events")
+@query("f32_redaction", r"SELECT event_id, (['password', 'Passwd', 'passphrase', 'TOKEN', 'secret', 'Authorization', 'api-key', 'api_key', 'apikey'])[1 + event_id % 9] || CASE WHEN event_id % 2 = 0 THEN '=' ELSE ' : ' END || '<redacted>' || CASE WHEN event_id % 3 = 0 THEN ', by ' ELSE '; by ' END || user_id || ' ' || props AS a, 'db+x://u:<redacted>@h/' || event_id || ' Bearer <redacted>, bearing x' AS b FROM events")
 def f32_redaction(spark, sf):
-    e = read(spark, sf, "events")
-    return e.select("event_id", text.redact(F.concat(F.lit("token=abc"), F.col("event_id").cast("string"), F.lit(" by "), F.col("user_id").cast("string"))).alias("a"), text.redact(F.concat(F.lit("db://u:pw"), F.col("event_id").cast("string"), F.lit("@h/"), F.col("event_id").cast("string"))).alias("b"))
+    """F32: every secret name, both separators, URIs and bearer tokens."""
+    k = F.col("event_id")
+    name = F.element_at(F.array(*map(F.lit, ("password", "Passwd", "passphrase", "TOKEN", "secret", "Authorization", "api-key", "api_key", "apikey"))), (k % 9 + 1).cast("int"))
+    a = F.concat(name, F.when(k % 2 == 0, "=").otherwise(" : "), F.lit("v"), k.cast("string"), F.when(k % 3 == 0, ", by ").otherwise("; by "), F.col("user_id").cast("string"), F.lit(" "), "props")
+    b = F.concat(F.lit("db+x://u:pw"), k.cast("string"), F.lit("@h/"), k.cast("string"), F.lit(" Bearer a.b-"), k.cast("string"), F.lit("==, bearing x"))
+    return read(spark, sf, "events").select("event_id", text.redact(a).alias("a"), text.redact(b).alias("b"))
 
 
-@query("f33_receipt_text", r"SELECT doc_id, length(trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B-\x1F\x7F]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) AS n FROM documents WHERE NOT regexp_matches(text, '[ \t](\n|$)') AND NOT regexp_matches(text, '(^[ \n]|[ \n]$)')")
+@query("f33_receipt_text", r"WITH t AS (SELECT doc_id, replace(replace('READ ' || lang || chr(10) || text || chr(10) || ' ' || chr(10) || source, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents), u AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t]+(\n|$)', '\1', 'g') AS t FROM t) SELECT doc_id, sha256(trim(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), chr(10))) AS h FROM u")
 def f33_receipt_text(spark, sf):
-    d = read(spark, sf, "documents").where(~F.col("text").rlike(r"[ \t](\n|$)") & ~F.col("text").rlike(r"(^[ \n]|[ \n]$)"))
-    return d.select("doc_id", F.length(text.receipt_text(F.col("text"))).alias("n"))
+    """whole texts between annotations, text read from a picture, and blank lines."""
+    shown = F.concat(F.lit("\r\n<ESC/POS:INIT><OCR:1>READ "), "lang", F.lit("</OCR:1>\r\n"), "text", F.lit("\r<BYTE:0x07>\r "), F.lit("\x07\n"), "source", F.lit("\x1b \n\n"))
+    return read(spark, sf, "documents").select("doc_id", F.sha2(text.receipt_text(shown), 256).alias("h"))
 
 
 @query("f35_offset_label", "SELECT event_id, CASE WHEN s < 0 THEN '-' ELSE '+' END || CASE WHEN abs(s) >= 60 THEN abs(s) // 60 || ' min ' || abs(s) % 60 || ' s' ELSE abs(s) || ' s' END AS label FROM (SELECT event_id, event_id % 400 - 200 AS s FROM events)")
@@ -141,22 +147,26 @@ def f35_offset_label(spark, sf):
     return read(spark, sf, "events").select("event_id", values.offset_label(F.col("event_id") % 400 - 200).alias("label"))
 
 
-@query("f40_safe_name", "SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(string_split(text, ' ')[1] || '.txt', '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g')[1:191], ''), 'evidence.bin') AS name FROM documents")
+@query("f40_safe_name", "SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(text || '.txt', '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g')[1:191], ''), 'evidence.bin') AS name FROM documents")
 def f40_safe_name(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", text.safe_name(F.concat(F.split("text", " ")[0], F.lit(".txt"))).alias("name"))
+    return read(spark, sf, "documents").select("doc_id", text.safe_name(F.concat("text", F.lit(".txt"))).alias("name"))
 
 
-@query("f43_table_code", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '0' || p_partkey % 10 || '-R' ELSE 'OVEST-' || p_partkey % 10 END AS code FROM part")
+@query("f43_table_code", "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN '0' || n || '-R' WHEN 1 THEN 'OVEST-' || n WHEN 2 THEN '100' || n WHEN 3 THEN 'LAB-2' || n WHEN 4 THEN 'O1234567' || n WHEN 5 THEN 'OO' ELSE upper(trim(p_brand)) || n || '-' END AS code FROM (SELECT p_partkey, p_brand, p_partkey % 10 AS n FROM part)")
 def f43_table_code(spark, sf):
-    n = (F.col("p_partkey") % 10).cast("string")
-    return read(spark, sf, "part").select("p_partkey", text.table_code(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("O"), n, F.lit("-R"))).otherwise(F.concat(F.lit("OVEST-"), n))).alias("code"))
+    """numeric codes with and without a suffix, names, too many digits, no digit at all."""
+    k, n = F.col("p_partkey") % 7, (F.col("p_partkey") % 10).cast("string")
+    seen = F.when(k == 0, F.concat(F.lit(" o"), n, F.lit("-r "))).when(k == 1, F.concat(F.lit("ovest-"), n)).when(k == 2, F.concat(F.lit("1Oo"), n)).when(k == 3, F.concat(F.lit("LAB-2"), n)).when(k == 4, F.concat(F.lit("O1234567"), n)).when(k == 5, "oO").otherwise(F.concat("p_brand", n, F.lit("- ")))
+    return read(spark, sf, "part").select("p_partkey", text.table_code(seen).alias("code"))
 
 
-@query("f45_ticket_class", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'PRE_BILL' WHEN doc_id % 5 = 1 THEN 'KITCHEN_ORDER' WHEN doc_id % 5 = 2 THEN 'ORDER_CHANGE' WHEN doc_id % 5 = 3 THEN 'CANCELLATION' ELSE 'UNKNOWN' END AS kind FROM documents")
+@query("f45_ticket_class", "SELECT doc_id, (['CONFORMING_COPY', 'REPRINT', 'CANCELLATION', 'CANCELLATION', 'PRE_BILL', 'PRE_BILL', 'ORDER_CHANGE', 'KITCHEN_ORDER', 'KITCHEN_ORDER', 'ORDER', 'KITCHEN_ORDER', 'KITCHEN_ORDER', 'MANAGEMENT_DOCUMENT', 'UNKNOWN', 'UNKNOWN'])[1 + doc_id % 15] AS kind FROM documents")
 def f45_ticket_class(spark, sf):
-    k = F.col("doc_id") % 5
-    t = F.when(k == 0, "Preconto n. 7").when(k == 1, "COMANDA tavolo 4").when(k == 2, "COMANDA\n -1x Voce").when(k == 3, "storno riga").otherwise("saldo")
-    return read(spark, sf, "documents").select("doc_id", text.pos_class(t).alias("kind"))
+    """each wording before a whole text that holds none of them; of two wordings the first rule's wins."""
+    shown = ("Copia conforme n. 3 storno", "RISTAMPA COMANDA 4", "PRECONTO ANNULLATO", "storno riga", "Preconto n. 7", "pre-conto comanda", "COMANDA\n -1,5 x Voce", "COMANDA tavolo 4", "cucina", "ordine 5", "PORTATA: 2", "coperti: 2\n3x Pane", "Documento gestionale", "coperti: 2", "saldo")
+    t = F.element_at(F.array(*map(F.lit, shown)), (F.col("doc_id") % 15 + 1).cast("int"))
+    plain = F.translate("text", "oaOA0123456789", "")  # no wording is left without its vowels
+    return read(spark, sf, "documents").select("doc_id", text.pos_class(F.concat(t, F.lit("\n"), plain)).alias("kind"))
 
 
 @query("p14_device_online", "SELECT user_id, count(*) FILTER (event_type = 'click' AND ts >= TIMESTAMP '2024-01-29 23:50:00') AS online FROM events GROUP BY 1")
@@ -166,10 +176,10 @@ def p14_device_online(spark, sf):
     return read(spark, sf, "events").groupBy("user_id").agg(F.count_if(values.device_online(status, F.col("ts").cast("timestamp"), now)).alias("online"))
 
 
-@query("p20_non_sale_lines", "SELECT p_partkey, (p_partkey % 4 IN (0, 1)) AS technical FROM part")
+@query("p20_non_sale_lines", "SELECT p_partkey, (p_partkey % 9 IN (0, 1, 3, 5, 7)) AS technical FROM part")
 def p20_non_sale_lines(spark, sf):
-    k = F.col("p_partkey") % 4
-    d = F.when(k == 0, "Totale  complessivo:").when(k == 1, "IVA 22%").when(k == 2, "TOTANI fritti").otherwise(F.concat(F.lit("x "), "p_name"))
+    k = F.col("p_partkey") % 9
+    d = F.when(k == 0, "Totale  complessivo:").when(k == 1, F.concat(F.lit("IVA "), "p_partkey", F.lit("%"))).when(k == 2, F.concat(F.lit("TOTANI "), "p_name")).when(k == 3, F.concat(F.lit("* resto *"), "p_name")).when(k == 4, F.concat(F.lit("IVANA "), "p_name")).when(k == 5, "pagamento contante").when(k == 6, "RESTOCK").when(k == 7, F.concat(F.lit("Importo-pagato "), "p_partkey")).otherwise(F.concat(F.lit("x "), "p_name"))
     return read(spark, sf, "part").select("p_partkey", text.non_sale_line(d).alias("technical"))
 
 
@@ -242,20 +252,6 @@ def k6_csv_rows(spark, sf):
     return R.page(c, ["c_custkey"], 10_000)
 
 
-@query("s18_endpoint_device", "SELECT s_suppkey, (s_nationkey < 20) AS known FROM supplier")
-def s18_endpoint_device(spark, sf):
-    """Endpoints of configured devices; the others are rejected."""
-    s, n = read(spark, sf, "supplier"), read(spark, sf, "nation").where("n_nationkey < 20")
-    return s.join(n, s.s_nationkey == n.n_nationkey, "left").select("s_suppkey", F.col("n_nationkey").isNotNull().alias("known"))
-
-
-@query("s8_ledger_states", "WITH e AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT user_id, count(*) FILTER (before = 'purchase' AND event_type <> 'view') AS illegal FROM e GROUP BY 1")
-def s8_ledger_states(spark, sf):
-    """Transitions outside the allowed ones."""
-    legal = spark.createDataFrame([(a, b) for a in ("click", "error", "purchase", "signup", "view") for b in ("click", "error", "purchase", "signup", "view") if a != "purchase" or b == "view"], "before string, event_type string")
-    return W.illegal_transitions(read(spark, sf, "events"), legal, "user_id", ["ts", "event_id"], "event_type").groupBy("user_id").agg(F.count_if("illegal").alias("illegal"))
-
-
 @query("d26_rule_versions", "WITH h AS (SELECT user_id AS code, event_type AS fingerprint, ts, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS rn FROM events) WHERE rn = 1), v AS (SELECT * FROM h WHERE before IS NULL OR before <> fingerprint) SELECT code, fingerprint, row_number() OVER w AS version, CAST(floor(epoch(ts)) AS BIGINT) AS effective_from, CAST(floor(epoch(lead(ts) OVER w)) AS BIGINT) AS effective_to FROM v WINDOW w AS (PARTITION BY code ORDER BY ts)")
 def d26_rule_versions(spark, sf):
     e = R.latest(read(spark, sf, "events"), ["user_id", "ts"], ["event_id"])

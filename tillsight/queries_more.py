@@ -17,17 +17,21 @@ from tillsight.queries_sales import _AL, PRE, alerts, sales
 from tillsight.registry import query
 
 
-@query("f16_namespaces", PRE + "SELECT document_id, CASE WHEN type IN ('PRE_BILL', 'MANAGEMENT_DOCUMENT') THEN 'MANAGEMENT' WHEN type IN ('COMMERCIAL_DOCUMENT', 'REFUND') THEN 'COMMERCIAL' END AS namespace, CASE WHEN external_code IS NOT NULL THEN 'OBSERVED' WHEN external_suffix IS NOT NULL THEN 'SUFFIX_ONLY' ELSE 'NOT_OBSERVED' END AS progressive FROM documents_")
+@query("f16_namespaces", PRE + "SELECT document_id, CASE WHEN type IN ('PRE_BILL', 'MANAGEMENT_DOCUMENT') THEN 'MANAGEMENT' WHEN type IN ('COMMERCIAL_DOCUMENT', 'REFUND') THEN 'COMMERCIAL' END AS namespace, CASE WHEN st IS NOT NULL THEN st WHEN external_code IS NOT NULL THEN 'FULL_CODE_OBSERVED_IN_CAPTURE' WHEN external_suffix IS NOT NULL THEN 'SUFFIX_ONLY_OBSERVED_IN_CAPTURE' WHEN type IN ('PRE_BILL', 'MANAGEMENT_DOCUMENT', 'CONFORMING_COPY', 'COMMERCIAL_DOCUMENT') THEN 'NOT_OBSERVED_IN_CAPTURE' ELSE 'NOT_APPLICABLE' END AS progressive FROM (SELECT document_id, type, external_suffix, CASE WHEN length(document_id) % 2 = 0 THEN external_code END AS external_code, CASE WHEN document_id LIKE '%7' THEN 'NOT_APPLICABLE' END AS st FROM documents_)")
 def f16_namespaces(spark, sf):
-    """F16, F38."""
+    """With unread codes, stated statuses and statuses that mean nothing."""
     d = canonical(spark, sf).documents
-    return d.select("document_id", labels.namespace(F.col("type")).alias("namespace"), labels.progressive_status(F.lit(None).cast("string"), F.col("external_code"), F.col("external_suffix")).alias("progressive"))
+    code = F.when(F.length("document_id") % 2 == 0, F.col("external_code"))
+    stated = F.when(F.col("document_id").like("%7"), "NOT_APPLICABLE").when(F.col("document_id").like("%8"), "OBSERVED").when(F.col("document_id").like("%9"), "")
+    return d.select("document_id", labels.namespace(F.col("type")).alias("namespace"), labels.progressive_status(stated, code, F.col("external_suffix"), F.col("type")).alias("progressive"))
 
 
-@query("f17_references", "SELECT event_id, 'REF ' || event_id % 9 || ',T-' || user_id AS refs, 'REF ' || event_id % 9 AS strong FROM events")
+@query("f17_references", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'DOC' || user_id || ',' ELSE '' END || 'REF ' || event_id % 9 || ',T-' || user_id AS refs, CASE WHEN event_id % 3 = 0 THEN 'T-' || user_id ELSE 'REF ' || event_id % 9 END AS strong FROM events")
 def f17_references(spark, sf):
-    """F17, F18."""
-    j = F.to_json(F.struct(F.concat(F.lit(" ref  "), (F.col("event_id") % 9).cast("string")).alias("order_reference"), F.concat(F.lit("t-"), F.col("user_id").cast("string")).alias("transaction_reference")))
+    """accents and blanks are folded; the order's reference comes before the transaction's."""
+    k = F.col("event_id")
+    ref = F.concat(F.lit(" réf  "), (k % 9).cast("string"))
+    j = F.to_json(F.struct(F.when(k % 3 == 0, ref).alias("reference"), F.when(k % 3 != 0, ref).alias("order_reference"), F.when(k % 4 == 0, F.concat(F.lit("döc"), F.col("user_id").cast("string"))).alias("document_reference"), F.concat(F.lit("t-"), F.col("user_id").cast("string")).alias("transaction_reference")))
     return read(spark, sf, "events").select("event_id", labels.references(j).alias("refs"), labels.strong_reference(j).alias("strong"))
 
 
@@ -46,7 +50,7 @@ def f37_serials(spark, sf):
     return read(spark, sf, "supplier").select("s_suppkey", s["serial"].alias("serial"), s["origin"].alias("origin"))
 
 
-@query("f39_resolved_codes", PRE + ", r AS (SELECT transaction_key, count(DISTINCT commercial_reference) AS n, min(commercial_reference) AS code FROM m WHERE commercial_reference IS NOT NULL GROUP BY 1) SELECT m.document_id, CASE WHEN n = 1 AND CAST(string_split(code, '-')[2] AS BIGINT) % 10000 = CAST(external_suffix AS BIGINT) THEN code END AS resolved FROM m LEFT JOIN r USING (transaction_key) WHERE type = 'COMMERCIAL_DOCUMENT'")
+@query("f39_resolved_codes", PRE + ", r AS (SELECT transaction_key, count(DISTINCT commercial_reference) AS n, min(commercial_reference) AS code FROM m WHERE commercial_reference IS NOT NULL GROUP BY 1) SELECT m.document_id, CASE WHEN n = 1 AND TRY_CAST(string_split(code, '-')[-1] AS BIGINT) % 10000 = TRY_CAST(external_suffix AS BIGINT) THEN code END AS resolved FROM m LEFT JOIN r USING (transaction_key) WHERE type = 'COMMERCIAL_DOCUMENT'")
 def f39_resolved_codes(spark, sf):
     """the one reference of the episode whose last part equals the observed suffix."""
     _, members, _ = sales(spark, sf)
@@ -60,10 +64,13 @@ def f42_rule_fingerprints(spark, sf):
     return read(spark, sf, "part").select("p_partkey", U.rule_fingerprint(F.col("p_brand"), F.lit("HIGH"), F.lit("1"), F.lit("{}")).alias("f"))
 
 
-@query("f44_wrapped_names", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Pietanza mista' ELSE 'Pasta al forno' END AS name FROM part")
+@query("f44_wrapped_names", "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_name || ' al forno' WHEN 1 THEN p_name || 'e' WHEN 2 THEN p_name || ' e pane' WHEN 3 THEN p_name || ' KG' WHEN 4 THEN p_name || 'ata Mista' WHEN 5 THEN p_name WHEN 6 THEN p_name || ' di Mare' ELSE p_name || 'Kg 2' END AS name FROM part")
 def f44_wrapped_names(spark, sf):
-    even = F.col("p_partkey") % 2 == 0
-    return read(spark, sf, "part").select("p_partkey", labels.join_wrapped(F.when(even, "Pietanza m").otherwise("Pasta al"), F.when(even, "ista").otherwise("forno")).alias("name"))
+    """function words, a lone vowel, units, plain rests and blanks."""
+    k, name = F.col("p_partkey") % 8, F.col("p_name")
+    first = F.when(k == 6, F.concat(name, F.lit(" di"))).otherwise(name)
+    rest = F.element_at(F.array(*map(F.lit, ("al  forno", " e", "e pane ", "KG", "ata  Mista", "  ", "Mare", "Kg 2"))), (k + 1).cast("int"))
+    return read(spark, sf, "part").select("p_partkey", labels.join_wrapped(first, rest).alias("name"))
 
 
 @query("f46_management_class", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'SHIFT_END_REPORT' WHEN doc_id % 3 = 1 THEN 'INVOICE' END AS kind FROM documents")
@@ -83,10 +90,9 @@ def f52_zoned_times(spark, sf):
     return read(spark, sf, "events").select("event_id", labels.zoned_time(F.concat(shown, F.when(F.col("event_id") % 2 == 0, "Z").otherwise(""))).alias("t"))
 
 
-@query("f53_labels", "SELECT event_id, round(CASE WHEN event_id % 200 <= 100 THEN event_id % 200 ELSE (event_id % 200) / 100.0 * 100 END, 1)::DOUBLE AS pct FROM (SELECT event_id FROM events WHERE event_id % 200 <= 100)")
+@query("f53_labels", "SELECT event_id, round(CASE WHEN event_id % 200 <= 100 THEN event_id % 200 ELSE (event_id % 200) / 100.0 END, 1)::DOUBLE AS pct FROM events")
 def f53_labels(spark, sf):
-    e = read(spark, sf, "events").where("event_id % 200 <= 100")
-    return e.select("event_id", labels.confidence_label((F.col("event_id") % 200).cast("decimal(9,4)") / 100).alias("pct"))
+    return read(spark, sf, "events").select("event_id", labels.confidence_label((F.col("event_id") % 200).cast("decimal(9,4)") / 100).alias("pct"))
 
 
 @query("f51_field_checks", "SELECT doc_id, doc_id % 4 <> 1 AS valid FROM documents")
@@ -103,14 +109,6 @@ def j5_alert_rules(spark, sf):
     return alerts(spark, sf).join(F.broadcast(r), "rule_code").select("alert_id", "rule_code", "severity", "version")
 
 
-@query("j7_history", PRE + ", " + _AL + " SELECT alert_id, CAST(epoch(tx.last_at) AS BIGINT) AS occurred FROM alr JOIN tx USING (transaction_key) WHERE status IN ('FALSE_POSITIVE', 'JUSTIFIED')")
-def j7_history(spark, sf):
-    """J6, J7, A11."""
-    _, _, tx = sales(spark, sf)
-    a = alerts(spark, sf).where(F.col("status").isin("FALSE_POSITIVE", "JUSTIFIED"))
-    return a.join(tx.select("transaction_key", F.col("last_at").alias("occurred")), "transaction_key").select("alert_id", "occurred")
-
-
 @query("j20_order_of_document", PRE + "SELECT document_id, transaction_key AS order_code FROM m WHERE type IN ('CONFORMING_COPY', 'REPRINT', 'DEVICE_RESPONSE')")
 def j20_order_of_document(spark, sf):
     """The order of papers that carry no order code."""
@@ -118,19 +116,6 @@ def j20_order_of_document(spark, sf):
     return members.where(F.col("type").isin("CONFORMING_COPY", "REPRINT", "DEVICE_RESPONSE")).select("document_id", F.col("transaction_key").alias("order_code"))
 
 
-@query("a12_last_snapshot", "SELECT l_orderkey, max(l_linenumber)::BIGINT AS last, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1")
-def a12_last_snapshot(spark, sf):
-    return read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("last"), F.count_distinct("l_suppkey").alias("suppliers"))
-
-
-@query("a19_criteria", PRE + "SELECT transaction_key, string_agg(DISTINCT type, ',' ORDER BY type) AS kinds, len(list_distinct(list(type))) AS n FROM m GROUP BY 1")
-def a19_criteria(spark, sf):
-    """Distinct sorted sets by group."""
-    _, members, _ = sales(spark, sf)
-    g = members.groupBy("transaction_key").agg(F.array_sort(F.collect_set("type")).alias("kinds"))
-    return g.select("transaction_key", "kinds", F.size("kinds").alias("n"))
-
-
 @query("a18_edge_scores", None)
 def a18_edge_scores(spark, sf):
     """The best edge of each document, then the least over the episode."""
@@ -165,19 +150,6 @@ def a30_distinct(spark, sf):
     return read(spark, sf, "events").select("user_id", "event_type").distinct()
 
 
-@query("a31_latest_after_limit", "SELECT o_custkey, o_orderkey FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
-def a31_latest_after_limit(spark, sf):
-    """The limit comes before the choice of the latest."""
-    o = R.page(read(spark, sf, "orders"), [F.desc("o_orderdate"), F.desc("o_orderkey")], 500)
-    return R.latest(o, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey")
-
-
-@query("w5_running_state", "SELECT user_id, event_id, sum(CASE WHEN event_type = 'purchase' THEN -1 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS level FROM events")
-def w5_running_state(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, sf, "events").select("user_id", "event_id", F.sum(F.when(F.col("event_type") == "purchase", -1).otherwise(1)).over(w).alias("level"))
-
-
 @query("o3_bounded_hits", "(SELECT 'order' AS kind, o_orderkey AS id FROM orders ORDER BY o_orderkey LIMIT 500) UNION ALL (SELECT 'customer', c_custkey FROM customer ORDER BY c_custkey LIMIT 100)")
 def o3_bounded_hits(spark, sf):
     """O3, Q18: each kind's hits are bounded, as the search page shows them."""
@@ -198,14 +170,14 @@ def d8_dispatches(spark, sf):
     k = c.documents.where("type = 'KITCHEN_ORDER'").withColumn("document_time", F.coalesce("document_time", "captured_at"))
     twin = k.withColumns({"document_id": F.concat(F.lit("Q"), "order_code"), "device_id": F.lit("dev_bar"), "document_time": F.col("document_time") + F.expr("INTERVAL 20 SECONDS")})
     d = P.described(k.unionByName(twin), c.lines)
-    return P.score(P.candidates(d), d).where("rule = 'dispatch'").select("a", "b", "score")
+    return P.score(P.candidates(d, types=("KITCHEN_ORDER",), by=("table",)), d).where("rule = 'dispatch'").select("a", "b", "score")
 
 
 @query("d9_table_changes", PRE + "SELECT least(k.document_id, h.document_id) AS a, greatest(k.document_id, h.document_id) AS b FROM documents_ k JOIN documents_ h ON k.type = 'KITCHEN_ORDER' AND h.type = 'ORDER_CHANGE' AND k.order_code = h.order_code AND k.device_id = h.device_id AND epoch(h.document_time) - epoch(coalesce(k.document_time, k.captured_at)) BETWEEN 0 AND 300 WHERE EXISTS (SELECT 1 FROM kl x JOIN kl y USING (item_key) WHERE x.document_id = k.document_id AND y.document_id = h.document_id)")
 def d9_table_changes(spark, sf):
     c = canonical(spark, sf)
     d = P.described(c.documents, c.lines)
-    return P.score(P.candidates(d), d).where("rule = 'table_change'").select("a", "b")
+    return P.score(P.candidates(d, types=("KITCHEN_ORDER", "ORDER_CHANGE"), by=("table",)), d).where("rule = 'table_change'").select("a", "b")
 
 
 @query("d4_boundaries", PRE + "SELECT a.document_id AS a, 'Q' || b.transaction_key AS b, 0::BIGINT AS score FROM m a JOIN m b ON a.type = 'COMMERCIAL_DOCUMENT' AND b.type = 'COMMERCIAL_DOCUMENT' AND (a.table_code = b.table_code OR a.external_suffix = b.external_suffix) AND epoch(b.time) + 600 - epoch(a.time) > 0 AND epoch(b.time) + 600 - epoch(a.time) <= 7200")
@@ -223,13 +195,6 @@ def _incoming(spark, sf):
     return alerts(spark, sf).where(F.col("transaction_key").cast("bigint") % 2 == 0)
 
 
-@query("d22_finding_keys", PRE + ", " + _AL + """ SELECT alert_id, sha256('{"rule":"' || rule_code || '","transaction":"' || transaction_key || '"}') AS finding_key FROM alr""")
-def d22_finding_keys(spark, sf):
-    """Keys without the time of evaluation."""
-    key = F.sha2(values.canonical_json({"rule": F.col("rule_code"), "transaction": F.col("transaction_key")}), 256)
-    return alerts(spark, sf).select("alert_id", key.alias("finding_key"))
-
-
 @query("d23_idempotent_alerts", PRE + ", " + _AL + " SELECT count(*) FILTER (CAST(transaction_key AS BIGINT) % 2 = 1) AS inserted, count(*) FILTER (CAST(transaction_key AS BIGINT) % 2 = 0) AS known FROM alr")
 def d23_idempotent_alerts(spark, sf):
     """Alerts of a second run are inserted only where their key is new."""
@@ -239,14 +204,6 @@ def d23_idempotent_alerts(spark, sf):
     return new.join(old)  # two single rows
 
 
-@query("d24_stale_alerts", PRE + ", " + _AL + " SELECT alert_id, 'JUSTIFIED' AS status FROM alr WHERE status IN ('OPEN', 'CONFIRMED') AND CAST(transaction_key AS BIGINT) % 10 = 3")
-def d24_stale_alerts(spark, sf):
-    """Live alerts of superseded episodes are justified."""
-    _, _, tx = sales(spark, sf)
-    superseded = tx.where(F.col("transaction_key").cast("bigint") % 10 == 3).select("transaction_key")
-    return alerts(spark, sf).where(F.col("status").isin(*schema.OPERATIONAL_STATES)).join(superseded, "transaction_key", "left_semi").select("alert_id", F.lit("JUSTIFIED").alias("status"))
-
-
 @query("d34_backfill", "SELECT o_orderkey, coalesce(c_mktsegment, 'NONE') AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
 def d34_backfill(spark, sf):
     c = read(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
@@ -262,13 +219,6 @@ def m2_alert_history(spark, sf):
     return W.effective(log, "alert_id", ["sequence"]).join(n, "alert_id").select("alert_id", "entries", "status")
 
 
-@query("m5_spool_health", "SELECT user_id, sum(CAST(floor(value) AS BIGINT))::BIGINT AS bytes, CASE WHEN count(*) FILTER (event_type = 'error') > 20 THEN 'degraded' WHEN count(*) < 5 THEN 'unknown' ELSE 'ok' END AS health FROM events GROUP BY 1")
-def m5_spool_health(spark, sf):
-    """M5, P15, A8."""
-    e = read(spark, sf, "events").groupBy("user_id").agg(F.sum(F.floor("value").cast("bigint")).alias("bytes"), F.count_if(F.col("event_type") == "error").alias("e"), F.count("*").alias("n"))
-    return e.select("user_id", "bytes", F.when(F.col("e") > 20, "degraded").when(F.col("n") < 5, "unknown").otherwise("ok").alias("health"))
-
-
 @query("k7_integrity", "SELECT doc_id, doc_id % 50 <> 0 AS intact FROM documents")
 def k7_integrity(spark, sf):
     """K7: a digest recomputed before release."""
@@ -288,15 +238,6 @@ def k4_chunk_slices(spark, sf):
     return whole.join(d, whole.stream == d.doc_id).where(F.sha2("data", 256) == F.sha2("raw", 256)).select("doc_id", "stream").join(n_chunks, "stream").select("doc_id", "chunks")
 
 
-@query("j21_responses", "WITH q AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n, event_id FROM events WHERE event_type IN ('click', 'view')) SELECT a.event_id AS request, b.event_id AS response FROM q a JOIN q b ON a.user_id = b.user_id AND a.n = b.n AND a.event_type = 'click' AND b.event_type = 'view'")
-def j21_responses(spark, sf):
-    """Requests and answers paired in order."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    q = read(spark, sf, "events").where(F.col("event_type").isin("click", "view")).withColumn("n", F.row_number().over(w))
-    b = q.where("event_type = 'view'").select("user_id", "n", F.col("event_id").alias("response"))
-    return q.where("event_type = 'click'").join(b, ["user_id", "n"]).select(F.col("event_id").alias("request"), "response")
-
-
 @query("d10_fiscal_siblings", PRE + "SELECT document_id AS a, 'Z' || transaction_key AS b, 80::BIGINT AS score FROM m WHERE type = 'COMMERCIAL_DOCUMENT'")
 def d10_fiscal_siblings(spark, sf):
     """With a second fiscal document a minute after every first."""
@@ -304,7 +245,7 @@ def d10_fiscal_siblings(spark, sf):
     f = c.documents.where("type = 'COMMERCIAL_DOCUMENT'")
     twin = f.withColumns({"document_id": F.concat(F.lit("Z"), "order_code"), "job_id": F.concat(F.lit("JZ"), "order_code"), "document_time": F.col("document_time") + F.expr("INTERVAL 1 MINUTE")})
     d = P.described(f.unionByName(twin), c.lines)
-    return P.score(P.candidates(d), d).where("rule = 'fiscal_siblings'").select("a", "b", "score")
+    return P.score(P.candidates(d, types=schema.SIBLING_TYPES), d).where("rule = 'fiscal_siblings'").select("a", "b", "score")
 
 
 @query("d7_kitchen_baselines", PRE + "SELECT document_id AS a, 'Q' || transaction_key AS b FROM m WHERE type = 'KITCHEN_ORDER' AND document_id IN (SELECT document_id FROM lines_)")
@@ -316,4 +257,4 @@ def d7_kitchen_baselines(spark, sf):
     mg = k.withColumns({"document_id": q, "type": F.lit("MANAGEMENT_DOCUMENT"), "gross_total": F.lit(10).cast(values.MONEY), "document_time": F.col("document_time") + F.expr("INTERVAL 10 SECONDS")})
     ln = c.lines.where("document_id LIKE 'K%'")
     d = P.described(k.unionByName(mg), ln.unionByName(ln.withColumn("document_id", q)))
-    return P.score(P.candidates(d), d).where("rule = 'kitchen_baseline'").select("a", "b")
+    return P.score(P.candidates(d, types=("KITCHEN_ORDER", "MANAGEMENT_DOCUMENT"), by=("table",)), d).where("rule = 'kitchen_baseline'").select("a", "b")

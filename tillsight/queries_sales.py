@@ -25,22 +25,22 @@ _KEY = "CASE WHEN item_code IS NOT NULL THEN 'CODE:' || item_code WHEN descripti
 _D = "::DOUBLE"
 
 PRE = duckdb_prelude() + f""",
-m AS (SELECT *, substr(document_id, 2) AS transaction_key, coalesce(document_time, captured_at) AS time, coalesce(gross_total, net_total) AS total FROM documents_),
+m AS MATERIALIZED (SELECT *, substr(document_id, 2) AS transaction_key, coalesce(document_time, captured_at) AS time, coalesce(gross_total, net_total) AS total FROM documents_),
 f1 AS (SELECT transaction_key, min(time) AS ff FROM m WHERE {_VF} GROUP BY 1),
 bill AS (SELECT m.transaction_key, arg_max(document_id, strftime(time, '%Y%m%d%H%M%S') || document_id) AS prebill_id, arg_max(total, strftime(time, '%Y%m%d%H%M%S') || document_id) AS prebill_total FROM m LEFT JOIN f1 USING (transaction_key) WHERE type = 'PRE_BILL' AND (ff IS NULL OR time <= ff) GROUP BY 1),
 agg AS (SELECT transaction_key, count(*) AS documents, min(time) AS opened_at, max(time) AS last_at, coalesce(sum(total) FILTER ({_VF}), 0) AS fiscal_total, count(*) FILTER ({_VF}) AS fiscals,
   coalesce(sum(total) FILTER ({_RC} AND total IS NOT NULL), 0) AS closing_total, count(*) FILTER ({_RC} AND total IS NOT NULL) AS closings, count(*) FILTER (type = 'CANCELLATION') AS cancellations, min(operator_code) AS operator_code FROM m GROUP BY 1),
 pay AS (SELECT transaction_key, coalesce(sum(amount) FILTER ({_VF}), sum(amount)) AS paid, count(*) AS payment_records FROM payments_ JOIN m USING (document_id) GROUP BY 1),
-tx AS (SELECT agg.*, ff AS first_fiscal_at, prebill_id, prebill_total, coalesce(paid, 0) AS payment_total, coalesce(payment_records, 0) AS payment_records, CASE WHEN fiscals > 0 THEN fiscal_total ELSE closing_total END AS final_total,
+tx AS MATERIALIZED (SELECT agg.*, ff AS first_fiscal_at, prebill_id, prebill_total, coalesce(paid, 0) AS payment_total, coalesce(payment_records, 0) AS payment_records, CASE WHEN fiscals > 0 THEN fiscal_total ELSE closing_total END AS final_total,
   prebill_total - CASE WHEN fiscals > 0 THEN fiscal_total ELSE closing_total END AS difference,
   round_even((prebill_total - CASE WHEN fiscals > 0 THEN fiscal_total ELSE closing_total END){_D} / nullif(prebill_total, 0){_D} * 100, 4) AS percent
   FROM agg LEFT JOIN bill USING (transaction_key) LEFT JOIN pay USING (transaction_key) LEFT JOIN f1 USING (transaction_key)),
-kl AS (SELECT l.*, {_KEY} AS item_key FROM lines_ l),
+kl AS MATERIALIZED (SELECT l.*, {_KEY} AS item_key FROM lines_ l),
 fin AS (SELECT m.transaction_key, document_id, time FROM m JOIN agg USING (transaction_key) WHERE {_VF} OR (fiscals = 0 AND {_RC} AND total IS NOT NULL)),
 bl AS (SELECT transaction_key, item_key, arg_min(description, sequence) AS description, sum(quantity) AS quantity, arg_max(coalesce(modified_unit_price, unit_price), sequence) AS unit_price, sum(line_total) AS total FROM kl JOIN bill ON document_id = prebill_id GROUP BY 1, 2),
 al AS (SELECT transaction_key, item_key, sum(quantity) AS quantity, arg_max(coalesce(modified_unit_price, unit_price), strftime(time, '%Y%m%d%H%M%S') || document_id || lpad(sequence::VARCHAR, 6, '0')) AS unit_price, sum(line_total) AS total FROM kl JOIN fin USING (document_id) GROUP BY 1, 2),
 bothk AS (SELECT DISTINCT transaction_key FROM bl WHERE transaction_key IN (SELECT transaction_key FROM al)),
-ch AS (SELECT coalesce(b.transaction_key, a.transaction_key) AS transaction_key, coalesce(b.item_key, a.item_key) AS item_key, CASE WHEN b.item_key IS NULL THEN 'ADDED' WHEN a.item_key IS NULL THEN 'REMOVED' WHEN b.quantity IS DISTINCT FROM a.quantity THEN 'QUANTITY_CHANGED'
+ch AS MATERIALIZED (SELECT coalesce(b.transaction_key, a.transaction_key) AS transaction_key, coalesce(b.item_key, a.item_key) AS item_key, CASE WHEN b.item_key IS NULL THEN 'ADDED' WHEN a.item_key IS NULL THEN 'REMOVED' WHEN b.quantity IS DISTINCT FROM a.quantity THEN 'QUANTITY_CHANGED'
   WHEN b.unit_price IS DISTINCT FROM a.unit_price THEN 'PRICE_CHANGED' ELSE 'UNCHANGED' END AS change_type, b.quantity AS before_quantity, a.quantity AS after_quantity, b.unit_price AS before_unit_price, a.unit_price AS after_unit_price, b.total AS before_total, a.total AS after_total
   FROM (SELECT * FROM bl WHERE transaction_key IN (FROM bothk)) b FULL JOIN (SELECT * FROM al WHERE transaction_key IN (FROM bothk)) a ON b.transaction_key = a.transaction_key AND b.item_key = a.item_key)
 """
@@ -131,12 +131,6 @@ def p6_operator_visible(spark, sf):
     return d.groupBy("type").agg(F.count("*").alias("n"), F.count_if("has_content").alias("with_content"), F.count_if((F.col("type") != "DEVICE_RESPONSE") & (F.col("complete") | F.col("has_content"))).alias("visible"))
 
 
-@query("p7_relevant_jobs", f"WITH {_JOBS} SELECT job_id FROM j WHERE import_status NOT IN ('PARSED', 'PARSE_EMPTY') OR session_id IN (SELECT o_custkey FROM orders)")
-def p7_relevant_jobs(spark, sf):
-    seen = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("session_id")).distinct().withColumn("_seen", F.lit(True))
-    return jobs(spark, sf).join(seen, "session_id", "left").where(~F.col("import_status").isin("PARSED", "PARSE_EMPTY") | F.col("_seen").isNotNull()).select("job_id")
-
-
 @query("p8_orders_with_correlation", PRE + "SELECT DISTINCT order_code FROM documents_ WHERE order_code IS NOT NULL AND substr(document_id, 2) IN (SELECT transaction_key FROM agg WHERE documents > 1)")
 def p8_orders_with_correlation(spark, sf):
     """Left semi join."""
@@ -199,7 +193,7 @@ def j9_unprocessed(spark, sf):
     return R.orphans(spark.read.parquet(f"{sf}/customer.parquet"), spark.read.parquet(f"{sf}/orders.parquet").where("o_totalprice > 250000").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").select("c_custkey")
 
 
-_PAIR_KEYS = "dk AS (SELECT document_id, coalesce(document_time, captured_at) AS time, unnest([{'n': 'order', 'v': order_code}, {'n': 'external', 'v': external_code}, {'n': 'table', 'v': table_code}, {'n': 'job', 'v': job_id}, {'n': 'commercial', 'v': coalesce(commercial_reference, CASE WHEN type = 'COMMERCIAL_DOCUMENT' THEN external_code END)}, {'n': 'suffix', 'v': CASE WHEN commercial_reference IS NOT NULL THEN nullif(regexp_extract(commercial_reference, '(?:^|[-/])([0-9]{1,8})$', 1), '') ELSE external_suffix END}]) AS k FROM documents_), cand AS (SELECT DISTINCT a.document_id AS a, b.document_id AS b FROM (SELECT * FROM dk WHERE k.v IS NOT NULL) a JOIN (SELECT * FROM dk WHERE k.v IS NOT NULL) b ON a.k = b.k AND a.document_id < b.document_id AND abs(epoch(a.time) - epoch(b.time)) <= 7200)"
+_PAIR_KEYS = "dk AS MATERIALIZED (SELECT document_id, coalesce(document_time, captured_at) AS time, unnest([{'n': 'order', 'v': order_code}, {'n': 'external', 'v': external_code}, {'n': 'table', 'v': table_code}, {'n': 'job', 'v': job_id}, {'n': 'commercial', 'v': coalesce(commercial_reference, CASE WHEN type = 'COMMERCIAL_DOCUMENT' THEN external_code END)}, {'n': 'suffix', 'v': CASE WHEN commercial_reference IS NOT NULL THEN nullif(regexp_extract(commercial_reference, '(?:^|[-/])([0-9]{1,8})$', 1), '') ELSE external_suffix END}]) AS k FROM documents_), cand AS MATERIALIZED (SELECT DISTINCT a.document_id AS a, b.document_id AS b FROM (SELECT * FROM dk WHERE k.v IS NOT NULL) a JOIN (SELECT * FROM dk WHERE k.v IS NOT NULL) b ON a.k = b.k AND a.document_id < b.document_id AND abs(epoch(a.time) - epoch(b.time)) <= 7200)"
 
 
 @query("j10_candidate_pairs", PRE + ", " + _PAIR_KEYS + " SELECT a, b FROM cand")
@@ -237,16 +231,23 @@ def a16_view_lines(spark, sf):
     return L.view_lines(canonical(spark, sf).lines, ["document_id"]).select("document_id", "item_key", "description", "quantity", "unit_price", "line_total")
 
 
-@query("d2_apply_deltas", PRE + ", s0 AS (SELECT 'H' || substr(document_id, 2) AS document_id, item_key, sum(quantity) AS quantity FROM kl WHERE document_id[1] = 'K' AND 'H' || substr(document_id, 2) IN (SELECT document_id FROM documents_) GROUP BY 1, 2), dl AS (SELECT document_id, item_key, sum(quantity) AS q FROM kl WHERE document_id[1] = 'H' GROUP BY 1, 2) SELECT document_id, item_key, (quantity + coalesce(q, 0))::DOUBLE AS quantity FROM s0 LEFT JOIN dl USING (document_id, item_key) WHERE quantity + coalesce(q, 0) > 0")
+@query("d2_apply_deltas", PRE + """, s0 AS (SELECT 'H' || substr(document_id, 2) AS document_id, item_key, arg_min(description, sequence) AS description, sum(quantity) AS quantity, arg_max(sequence * 1.5, sequence) AS unit_price, sum(sequence * 2) AS total FROM kl WHERE document_id[1] = 'K' AND 'H' || substr(document_id, 2) IN (SELECT document_id FROM documents_) GROUP BY 1, 2),
+dl AS (SELECT document_id, item_key, sum(quantity) AS q FROM kl WHERE document_id[1] = 'H' GROUP BY 1, 2)
+SELECT document_id, item_key, description, (quantity + coalesce(q, 0))::DOUBLE AS quantity, unit_price::DOUBLE AS unit_price, (CASE WHEN q IS NULL THEN total ELSE unit_price * (quantity + q) END)::DOUBLE AS line_total, -1::BIGINT AS position FROM s0 LEFT JOIN dl USING (document_id, item_key) WHERE quantity + coalesce(q, 0) > 0
+UNION ALL SELECT DISTINCT document_id, 'CODE:NEW', 'Aggiunta', 5, 3.5, 17.5, 2 FROM lines_ WHERE document_id[1] = 'H'""")
 def d2_apply_deltas(spark, sf):
-    """Kitchen lines after the change ticket's signed quantities."""
+    """Kitchen lines after the change ticket's signed quantities, a new line changed at once, and changes of unknown lines."""
     c = canonical(spark, sf)
     key = lambda p: F.concat(F.lit(p), F.substring("document_id", 2, 99))
     change = c.lines.where("document_id LIKE 'H%'")
     kitchen = c.lines.where("document_id LIKE 'K%'").withColumn("document_id", key("H")).join(change.select("document_id").distinct(), "document_id", "left_semi")
+    kitchen = kitchen.withColumns({"unit_price": (F.col("sequence") * 1.5).cast(values.MONEY), "line_total": (F.col("sequence") * 2).cast(values.MONEY)})
     state = L.engine_lines(kitchen, ["document_id"], ["sequence"])
-    deltas = L.engine_lines(change, ["document_id"], ["sequence"]).select("document_id", "item_key", F.lit(1).alias("ordinal"), "quantity", F.lit(False).alias("removed"))
-    return L.apply_deltas(state, deltas, ["document_id"]).select("document_id", "item_key", "quantity")
+    money = lambda x: F.lit(x).cast(values.MONEY)
+    deltas = L.engine_lines(change, ["document_id"], ["sequence"]).select("document_id", "item_key", F.lit(1).alias("ordinal"), "description", "quantity", "unit_price", F.col("total").alias("line_total"), F.lit(False).alias("removed"))
+    for n, item, q, price in ((2, "CODE:NEW", 3, 3.5), (3, "CODE:NEW", 2, 9), (4, "CODE:UNKNOWN", -1, 1)):
+        deltas = deltas.unionByName(change.select("document_id").distinct().select("document_id", F.lit(item).alias("item_key"), F.lit(n).alias("ordinal"), F.lit("Aggiunta").alias("description"), money(q).alias("quantity"), money(price).alias("unit_price"), money(q * price).alias("line_total"), F.lit(False).alias("removed")))
+    return L.apply_deltas(state, deltas, ["document_id"])
 
 
 @query("d3_pair_scores", None)
@@ -257,12 +258,12 @@ def d3_pair_scores(spark, sf):
     return P.score(P.candidates(d), d).where("score > 0").select("a", "b", "score", "rule", "delta")
 
 
-@query("d5_reference_links", PRE + ", " + _PAIR_KEYS + " SELECT a.document_id AS a, b.document_id AS b FROM cand JOIN documents_ a ON cand.a = a.document_id JOIN documents_ b ON cand.b = b.document_id WHERE b.type = 'COMMERCIAL_DOCUMENT' AND a.type IN ('CONFORMING_COPY', 'REPRINT') AND a.commercial_reference = b.external_code AND a.table_code = b.table_code OR (a.type = 'COMMERCIAL_DOCUMENT' AND b.type IN ('CONFORMING_COPY', 'REPRINT') AND b.commercial_reference = a.external_code AND a.table_code = b.table_code)")
+@query("d5_reference_links", PRE + ", " + _PAIR_KEYS + " SELECT a, b FROM cand JOIN (SELECT least(k.document_id, c.document_id) AS a, greatest(k.document_id, c.document_id) AS b FROM documents_ k JOIN documents_ c ON k.type IN ('CONFORMING_COPY', 'REPRINT') AND c.type = 'COMMERCIAL_DOCUMENT' AND k.commercial_reference = c.external_code AND k.table_code = c.table_code) USING (a, b)")
 def d5_reference_links(spark, sf):
     """A copy and the fiscal document it names."""
     c = canonical(spark, sf)
     d = P.described(c.documents, c.lines)
-    return P.score(P.candidates(d), d).where("rule = 'commercial_reference'").select("a", "b")
+    return P.score(P.candidates(d, types=("COMMERCIAL_DOCUMENT", "MANAGEMENT_DOCUMENT", *schema.COPY_TYPES)), d).where("rule = 'commercial_reference'").select("a", "b")
 
 
 @query("d6_table_sales", PRE + "SELECT least(p.document_id, c.document_id) AS a, greatest(p.document_id, c.document_id) AS b FROM documents_ p JOIN documents_ c ON p.type = 'PRE_BILL' AND c.type = 'COMMERCIAL_DOCUMENT' AND p.order_code = c.order_code AND epoch(c.document_time) - epoch(p.document_time) BETWEEN 0 AND 300 WHERE EXISTS (SELECT 1 FROM kl x JOIN kl y USING (item_key) WHERE x.document_id = p.document_id AND y.document_id = c.document_id)")
@@ -270,14 +271,14 @@ def d6_table_sales(spark, sf):
     """D6, J18."""
     c = canonical(spark, sf)
     d = P.described(c.documents, c.lines)
-    return P.score(P.candidates(d), d).where("rule = 'table_sale'").select("a", "b")
+    return P.score(P.candidates(d, types=("PRE_BILL", "MANAGEMENT_DOCUMENT", "COMMERCIAL_DOCUMENT"), by=("table",)), d).where("rule = 'table_sale'").select("a", "b")
 
 
 @query("d11_response_links", PRE + "SELECT least(r.document_id, o.document_id) AS a, greatest(r.document_id, o.document_id) AS b, 90::BIGINT AS score FROM documents_ r JOIN documents_ o ON r.type = 'DEVICE_RESPONSE' AND o.type <> 'DEVICE_RESPONSE' AND r.job_id = o.job_id")
 def d11_response_links(spark, sf):
     c = canonical(spark, sf)
     d = P.described(c.documents, c.lines)
-    return P.score(P.candidates(d), d).where("rule = 'response' AND score > 0").select("a", "b", "score")
+    return P.score(P.candidates(d, by=("job",)), d).where("rule = 'response' AND score > 0").select("a", "b", "score")
 
 
 @query("d13_clusters", PRE + "SELECT document_id, min(document_id) OVER (PARTITION BY transaction_key) AS cluster FROM m")
@@ -503,16 +504,6 @@ def a5_economic_episodes(spark, sf):
     return e.where("d > 0").agg(F.count("*").alias("episodes"), F.sum("d").alias("difference"))
 
 
-@query("d31_dashboard", PRE + ", " + _AL + " SELECT (SELECT count(*) FROM documents_ WHERE type <> 'DEVICE_RESPONSE') AS documents, (SELECT count(*) FROM documents_ WHERE type IN ('ORDER', 'ORDER_CHANGE', 'KITCHEN_ORDER')) AS orders, (SELECT count(*) FROM documents_ WHERE type = 'PRE_BILL') AS pre_bills, (SELECT count(*) FROM documents_ WHERE type = 'COMMERCIAL_DOCUMENT') AS commercial_documents, count(*) FILTER (status IN ('OPEN', 'UNDER_REVIEW', 'CONFIRMED')) AS open_alerts, count(*) FILTER (status IN ('OPEN', 'UNDER_REVIEW', 'CONFIRMED') AND severity = 'CRITICAL') AS critical_alerts, count(*) FILTER (status = 'FALSE_POSITIVE') AS false_positives, count(*) FILTER (status = 'JUSTIFIED') AS justified FROM alr")
-def d31_dashboard(spark, sf):
-    """One row of counts."""
-    docs = canonical(spark, sf).documents
-    counts = docs.agg(F.count_if(F.col("type") != "DEVICE_RESPONSE").alias("documents"), F.count_if(F.col("type").isin("ORDER", "ORDER_CHANGE", "KITCHEN_ORDER")).alias("orders"), F.count_if(F.col("type") == "PRE_BILL").alias("pre_bills"), F.count_if(F.col("type") == "COMMERCIAL_DOCUMENT").alias("commercial_documents"))
-    live = F.col("status").isin(*schema.OPERATIONAL_STATES)
-    a = alerts(spark, sf).agg(F.count_if(live).alias("open_alerts"), F.count_if(live & (F.col("severity") == "CRITICAL")).alias("critical_alerts"), F.count_if(F.col("status") == "FALSE_POSITIVE").alias("false_positives"), F.count_if(F.col("status") == "JUSTIFIED").alias("justified"))
-    return counts.join(a)  # two rows of totals, one each
-
-
 @query("a10_alert_trend", PRE + ", " + _AL + " SELECT strftime(opened_at, '%Y-%m-%d') AS day, count(*) AS n FROM alr WHERE status IN ('OPEN', 'UNDER_REVIEW', 'CONFIRMED') GROUP BY 1 ORDER BY 1 DESC LIMIT 30")
 def a10_alert_trend(spark, sf):
     a = alerts(spark, sf).where(F.col("status").isin(*schema.OPERATIONAL_STATES))
@@ -530,14 +521,6 @@ def d33_canonical_alerts(spark, sf):
     return U.canonical_alerts(alerts(spark, sf), ["transaction_key"], ["opened_at", "alert_id"]).select("alert_id", "is_canonical", "canonical_id")
 
 
-@query("d30_alert_view", PRE + ", " + _AL + " SELECT alert_id, n_docs, devices FROM alr JOIN (SELECT transaction_key, count(*) AS n_docs, string_agg(DISTINCT device_id, ',' ORDER BY device_id) AS devices FROM m GROUP BY 1) USING (transaction_key)")
-def d30_alert_view(spark, sf):
-    """Documents and devices beside each alert."""
-    _, members, _ = sales(spark, sf)
-    side = members.groupBy("transaction_key").agg(F.count("*").alias("n_docs"), F.array_sort(F.collect_set("device_id")).alias("devices"))
-    return alerts(spark, sf).join(side, "transaction_key").select("alert_id", "n_docs", "devices")
-
-
 @query("p9_alert_device", PRE + ", " + _AL + " SELECT alert_id FROM alr WHERE transaction_key IN (SELECT transaction_key FROM m WHERE device_id = 'dev_3')")
 def p9_alert_device(spark, sf):
     _, members, _ = sales(spark, sf)
@@ -565,27 +548,12 @@ def d28_view_changes(spark, sf):
     return L.view_changes(L.view_lines(before, ["k"]), L.view_lines(after, ["k"]), ["k"]).drop("discount_changed")
 
 
-@query("d29_document_view", PRE + "SELECT document_id, type, d.name AS device, d.department, count(l.sequence) AS n_lines, sum(l.line_total)::DOUBLE AS lines_total FROM documents_ JOIN devices d USING (device_id) LEFT JOIN lines_ l USING (document_id) GROUP BY ALL")
-def d29_document_view(spark, sf):
-    c = canonical(spark, sf)
-    s = c.lines.groupBy("document_id").agg(F.count("*").alias("n_lines"), F.sum("line_total").alias("lines_total"))
-    return c.documents.join(c.devices, "device_id").join(s, "document_id", "left").select("document_id", "type", F.col("name").alias("device"), "department", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "lines_total")
-
-
 @query("o1_page", PRE + "SELECT document_id, CAST(epoch(captured_at) AS BIGINT) AS captured_at FROM documents_ ORDER BY captured_at DESC, document_id LIMIT 50 OFFSET 100")
 def o1_page(spark, sf):
     """O1, O4."""
     return R.page(canonical(spark, sf).documents.select("document_id", "captured_at"), [F.desc("captured_at"), "document_id"], 50, 100)
 
 
-@query("w2_latest_occurrence", "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
-def w2_latest_occurrence(spark, sf):
-    """A top-1 by group."""
-    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate")
-    c = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey")
-    return R.latest(o.join(c, "c_custkey", "left_semi"), ["c_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("c_custkey", "o_orderkey")
-
-
 @query("w4_snapshots", PRE + "SELECT document_id, lag(document_id) OVER w AS before, (total - lag(total) OVER w)::DOUBLE AS moved FROM m WHERE type IN ('PRE_BILL', 'MANAGEMENT_DOCUMENT') WINDOW w AS (PARTITION BY transaction_key ORDER BY time, document_id)")
 def w4_snapshots(spark, sf):
     _, members, _ = sales(spark, sf)
@@ -593,19 +561,6 @@ def w4_snapshots(spark, sf):
     return members.where(F.col("type").isin("PRE_BILL", "MANAGEMENT_DOCUMENT")).select("document_id", F.lag("document_id").over(w).alias("before"), (F.col("total") - F.lag("total").over(w)).alias("moved"))
 
 
-@query("u2_timeline", PRE + "SELECT transaction_key, string_agg(document_id, ',' ORDER BY time, document_id) AS timeline FROM m GROUP BY 1")
-def u2_timeline(spark, sf):
-    """U2, O5."""
-    _, members, _ = sales(spark, sf)
-    return members.groupBy("transaction_key").agg(F.array_sort(F.collect_list(F.struct("time", "document_id"))).alias("t")).select("transaction_key", F.transform("t", lambda x: x["document_id"]).alias("timeline"))
-
-
-@query("u5_dedup_union", "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'F' UNION SELECT c_custkey FROM customer WHERE c_acctbal > 5000")
-def u5_dedup_union(spark, sf):
-    a = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"))
-    return a.unionByName(spark.read.parquet(f"{sf}/customer.parquet").where("c_acctbal > 5000").select(F.col("c_custkey").alias("id"))).dropDuplicates(["id"])
-
-
 @query("a1_type_counts", PRE + "SELECT type, count(*) AS n FROM documents_ GROUP BY 1")
 def a1_type_counts(spark, sf):
     return canonical(spark, sf).documents.groupBy("type").agg(F.count("*").alias("n"))

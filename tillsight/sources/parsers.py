@@ -8,7 +8,7 @@ from functools import reduce
 from operator import xor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_INPUT, MAX_FRAMES = 16 * 1024 * 1024, 100_000
@@ -143,3 +143,16 @@ def frame_rows(jobs: DataFrame, column: str = "client_raw") -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FRAMES.split(", ")]).astype({"frame_id": "Int32", "offset": "Int64"})
 
     return jobs.select("job_id", F.col(column).alias("data")).mapInPandas(run, FRAMES)
+
+
+def paired_frames(frames: DataFrame, shift: int = 8) -> DataFrame:
+    """Requests with ``response_at``: the first answer after them whose sequence digit lies ``shift`` further.
+
+    ``frames(job_id, at, sequence, request)`` in the order ``at``. An answer belongs to the last request of its digit before
+    it, so requests and answers of a digit are read in one order and no pair is ever formed to be thrown away.
+    """
+    digit = F.when(F.col("request"), F.col("sequence")).otherwise(F.pmod(F.col("sequence") - shift, F.lit(10)))
+    w = Window.partitionBy("job_id", "_digit").orderBy("at", F.desc("request"))
+    asked = frames.withColumn("_digit", digit).withColumn("_asked", F.last(F.when(F.col("request"), F.col("at")), True).over(w))
+    answered = asked.where(~F.col("request") & F.col("_asked").isNotNull()).groupBy("job_id", "_digit", F.col("_asked").alias("at")).agg(F.min("at").alias("response_at"))
+    return answered.select("job_id", "at", "response_at")
