@@ -4,7 +4,9 @@ A fingerprint has bit b set if more than half of the text's 3-word shingle hashe
 fingerprints that differ in at most three bits are linked. Fingerprints are cut into m blocks; two that
 differ in three bits at most agree on some m - 3 blocks, so they meet in the bucket of those blocks. m grows
 with the number of fingerprints so that a bucket of unrelated ones stays small. A bucket with more than
-``chunk`` fingerprints is dealt into chunks and every pair of chunks is a task of its own.
+``chunk`` fingerprints is cut into ranges of Gray rank, whose members share many bits. Two ranges whose shared bits
+differ in more than three places hold no link and are left out, as a whole group is inside a task; every other
+pair of ranges is a task of its own.
 
 Inside a task fingerprints are sorted by Gray rank, so neighbours share long runs of bits. Groups of eight
 get a node with the bits that all members share (mask and value), groups of eight nodes another, and so on.
@@ -152,17 +154,51 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def gray_ranges(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``rows(fp, t, key)`` with ``range``: consecutive Gray ranks of one bucket, ``chunk`` at most."""
+    rank = F.col("fp")
+    for step in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, step))
+    ordered = rows.withColumn("rank", rank.bitwiseXOR(F.lit(-(1 << 63)))).repartitionByRange(shuffle_partitions(rows.sparkSession), "t", "key", "rank").sortWithinPartitions("t", "key", "rank")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, place, name = None, 0, np.zeros(1, np.int64)
+        for batch in batches:
+            t, key, fp = (batch.column(i).to_numpy() for i in (1, 2, 0))
+            if not len(t):
+                continue
+            new = np.r_[last != (t[0], key[0]), (t[1:] != t[:-1]) | (key[1:] != key[:-1])]
+            head = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
+            at = np.arange(len(t)) - np.maximum(head, 0) + np.where(head < 0, place, 0)
+            last, place = (t[-1], key[-1]), int(at[-1]) + 1
+            # A range is named by its first code, so parts of a bucket in other partitions have other names.
+            first = at % chunk == 0
+            lead = np.maximum.accumulate(np.where(first, np.arange(len(t)), -1))
+            name = np.where(lead >= 0, fp[np.maximum(lead, 0)], name[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(name)], ["fp", "t", "key", "range"])
+
+    return ordered.select("fp", "t", "key").mapInArrow(run, "fp bigint, t int, key bigint, range bigint")
+
+
 def links(unique: DataFrame, n: int, chunk: int = CHUNK) -> DataFrame:
     """Edges ``(a, b)`` over distinct ``fp`` whose components are those of the links."""
     masks = blocks_for(n)
     keys = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)))
     rows = unique.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
     sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, ["t", "key"]).withColumn("c", F.ceil(F.col("n") / chunk).cast("int"))
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
-    rows = rows.select("fp", "t", "key", "i", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("j"))
-    task = F.xxhash64("t", "key", F.least("i", "j"), F.greatest("i", "j")).alias("task")
-    dealt = rows.select("fp", task).repartition(shuffle_partitions(unique.sparkSession), "task").sortWithinPartitions("task")
+    rows = rows.join(sizes, ["t", "key"])
+    small = rows.where(F.col("n") <= chunk).select("fp", F.xxhash64("t", "key").alias("task"))
+    ranges = materialise(gray_ranges(rows.where(F.col("n") > chunk).select("fp", "t", "key"), chunk), "simhash-ranges")
+    one = F.bit_or("fp"), F.bit_and("fp")
+    roots = ranges.groupBy("t", "key", "range").agg(one[0].alias("some"), one[1].alias("all"))
+    left, right = (roots.select("t", "key", *(F.col(c).alias(x + c) for c in ("range", "some", "all"))) for x in ("a_", "b_"))
+    # Bits that all members of a range share, set or not, and that the other range's share otherwise.
+    apart = (F.col("a_all").bitwiseAND(F.bitwise_not(F.col("b_some")))).bitwiseOR(F.col("b_all").bitwiseAND(F.bitwise_not(F.col("a_some"))))
+    near = left.join(right, ["t", "key"]).where((F.col("a_range") <= F.col("b_range")) & (F.bit_count(apart) <= LINK))
+    task = F.xxhash64("t", "key", "a_range", "b_range").alias("task")
+    met = near.select("t", "key", F.explode(F.array_distinct(F.array("a_range", "b_range"))).alias("range"), task)
+    large = ranges.join(met, ["t", "key", "range"]).select("fp", "task")
+    dealt = small.unionByName(large).repartition(shuffle_partitions(unique.sparkSession), "task").sortWithinPartitions("task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_t, held_f = np.empty(0, np.int64), np.empty(0, np.int64)
