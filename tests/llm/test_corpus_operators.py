@@ -85,10 +85,18 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert got[101].removed_words == 0 and got[101].kept and got[102].kept
 
 
-def test_copies_count_once(spark):
+def test_documents_are_counted_and_copies_are_no_boilerplate(spark):
     copy = "\n".join(prose(12, k) for k in range(5))
-    got = quality.line_quality(docs(spark, [(i, copy, "a") for i in range(50)] + [(99, prose(40, 5), "a")])).collect()
-    assert all(r.kept and r.removed_words == 0 for r in got)
+    d = docs(spark, [(i, copy, "a") for i in range(50)] + [(99, prose(40, 5), "a")])
+    assert all(r.kept and r.removed_words == 0 for r in quality.line_quality(d).collect())
+    assert {r.doc_id: r.removed_words for r in quality.line_quality(d, min_texts=0).collect()} == {i: 60 for i in range(50)} | {99: 0}
+    # One document crawled again and again (equal rows) is one; one text under many ids is many documents.
+    line = prose(9, 77)
+    rows = [(1, f"{prose(30, 1)}\n{line}", "a")] * 40 + [(i, f"{prose(30, i)}\n{line}", "a") for i in range(2, 11)] + [(100 + i, prose(30, 100 + i), "a") for i in range(60)]
+    assert quality.frequent_lines(docs(spark, rows), min_texts=0).count() == 0  # ten documents
+    rows += [(i, rows[0][1], "a") for i in range(200, 203)]
+    assert quality.frequent_lines(docs(spark, rows), min_texts=0).count() == 1 and quality.frequent_lines(docs(spark, rows)).count() == 0
+    assert quality.frequent_lines(docs(spark, rows), share=0.9, min_texts=5).count() == 0 and quality.frequent_lines(docs(spark, rows), share=0.9, min_texts=5, most_docs=12).count() == 1
 
 
 # --- 3 packing
@@ -264,7 +272,7 @@ def test_flat_arrays_round_trip(spark):
     rows = [r.asDict() for r in graphs.collect()]
     assert shards == 4 and sum(len(r["ids"]) for r in rows) == 200
     g, ids, node = neighbours.load(rows[0])
-    assert g.levels[0][1].shape == (len(g.x), 24) and len(ids) == len(node)
+    assert g.levels[0].shape == (len(g.x), 24) and len(ids) == len(node)
 
 
 # --- 8 extraction
@@ -372,7 +380,7 @@ def test_hash_is_the_engines_own(spark):
 @given(st.lists(st.integers(0, 30), max_size=60), st.integers(1, 8))
 def test_compact_windows_cover_each_run_once(values, width):
     v = np.array(values, np.int64)
-    wins = passages.compact_windows(v, width)
+    wins = list(zip(*(x.tolist() for x in passages.compact_windows(v, width)), strict=True))
     for i in range(len(v)):
         for j in range(i + width - 1, len(v)):
             hit = [w for w in wins if w[0] <= i <= w[1] <= j <= w[2]]

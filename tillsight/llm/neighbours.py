@@ -3,10 +3,10 @@
 Vectors are dealt by a hash of their id into shards of about ``shard_size``; the number of shards follows the number
 of vectors, so a task's memory does not. A shard's graph has levels: each node reaches a level
 drawn from its id's hash, is linked on each to diverse near ones among the nodes put in before it, and they are linked
-back, with at most ``m`` links above and ``2 m`` on the ground. Candidates for the links are exact within
-the shard. The graph is stored as flat arrays (neighbours level by level, padded with -1) beside the
+back, with at most ``m`` links above and ``2 m`` on the ground. Near ones are found by searching the graph built so
+far with a beam of ``EF_BUILD``. The graph is stored as flat arrays (neighbours level by level, padded with -1; nodes tallest first) beside the
 vectors, in a table. A query goes down greedily and searches the ground with a beam of ``ef``; queries are
-taken in blocks and all of a block's beams advance together. The shards' bests are merged by distance and id.
+taken in blocks, which pass by each shard's graph, and all of a block's beams advance together. The shards' bests are merged by distance and id.
 
 Equal vectors of a shard are one node that carries all their ids, so that copies neither crowd out links nor
 get lost.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tillsight.llm.common import materialise, shuffle_partitions
 
-K, M, EF, SHARD, BLOCK = 10, 12, 96, 4096, 512
+K, M, EF, EF_BUILD, SHARD, BLOCK = 10, 12, 96, 64, 4096, 512
 
 
 def usable(vector: Column) -> Column:
@@ -41,80 +41,95 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] - 2 * (a @ b.T) + (b * b).sum(1), 0)
 
 
-def _diverse(near: np.ndarray, dist: np.ndarray, between, most: int) -> list[int]:
-    """Candidates nearest first, each nearer to the node than to any chosen one; then the nearest others."""
-    chosen: list[int] = []
-    for i in range(len(near)):
-        if len(chosen) == most:
-            return chosen
-        if not chosen or (between(near[i], near[chosen]) > dist[i]).all():
-            chosen.append(i)
-    for i in range(len(near)):
-        if len(chosen) == most:
-            break
-        if i not in chosen:
-            chosen.append(i)
-    return chosen
+def _diverse(dist: np.ndarray, between: np.ndarray, most: int) -> np.ndarray:
+    """Of candidates that come nearest first: those nearer to the node than to any chosen one; then the nearest others."""
+    chosen, nearest = np.zeros(len(dist), bool), np.full(len(dist), np.inf)
+    for i in range(len(dist)):
+        if dist[i] < nearest[i]:
+            chosen[i] = True
+            most -= 1
+            if not most:
+                break
+            np.minimum(nearest, between[i], out=nearest)
+    if most:
+        chosen[np.flatnonzero(~chosen)[:most]] = True
+    return np.flatnonzero(chosen)
 
 
 class Graph:
-    """Flat arrays: ``levels[l]`` is (nodes, neighbours) with one padded row of neighbours a node of that level."""
+    """Flat arrays: ``levels[l]`` has a row of neighbours (padded with -1) for each of the first nodes, which reach level l."""
 
-    def __init__(self, x: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, x: np.ndarray, levels: list[np.ndarray]):
         self.x, self.levels, self.norm = x, levels, (x * x).sum(1)
 
     @classmethod
-    def build(cls, x: np.ndarray, height: np.ndarray, m: int = M, candidates: int = 48, block: int = 512) -> Graph:
-        levels = []
-        for level in range(int(height.max()) + 1):
-            nodes = np.flatnonzero(height >= level)
-            v, most = x[nodes], 2 * m if level == 0 else m
-            links: list[list[int]] = [[] for _ in nodes]
-            between = lambda i, js, v=v: ((v[js] - v[i]) ** 2).sum(1)
-            for at in range(0, len(nodes), block):
-                d = _squares(v[at : at + block], v[: at + block])
-                for r in range(min(block, len(nodes) - at)):
-                    i = at + r
-                    if i == 0:
-                        continue
-                    row = d[r, :i]
-                    near = np.argpartition(row, candidates)[:candidates] if i > candidates else np.arange(i)
-                    near = near[np.argsort(row[near], kind="stable")]
-                    mine = [int(near[k]) for k in _diverse(near, row[near], between, m)]
-                    links[i] = mine
-                    for j in mine:
-                        links[j].append(i)
-                        if len(links[j]) > most:
-                            js = np.array(links[j])
-                            dj = between(j, js)
-                            order = np.argsort(dj, kind="stable")
-                            links[j] = [int(js[order[k]]) for k in _diverse(js[order], dj[order], between, most)]
-            flat = np.full((len(nodes), most), -1, np.int32)
-            for i, js in enumerate(links):
-                flat[i, : len(js)] = nodes[js]
-            levels.append((nodes.astype(np.int32), flat))
-        return cls(x, levels)
+    def build(cls, x: np.ndarray, height: np.ndarray, m: int = M, ef: int = EF_BUILD, block: int = 64) -> Graph:
+        """Inserts nodes, which come tallest first, by searching what has been built so far.
+
+        A block of nodes searches at once; those of one block also meet each other, as if put in one by one.
+        """
+        n = len(x)
+        g = cls(x, [np.full((int((height >= level).sum()), 2 * m if level == 0 else m), -1, np.int32) for level in range(int(height[0]) + 1)])
+        done = 1
+        while done < n:
+            new = np.arange(done, min(n, done + min(block, done)))
+            at, found = np.zeros(len(new), np.int64), []
+            inside = _squares(x[new], x[new])
+            for level in range(len(g.levels) - 1, -1, -1):
+                linked = height[new] >= level
+                low = np.flatnonzero(~linked)
+                if len(low):
+                    at[low] = g._descend(level, x[new[low]], at[low])
+                high = np.flatnonzero(linked)
+                if len(high):
+                    near = g._beam(level, x[new[high]], at[high], ef)
+                    at[high] = near[:, 0]
+                    found += [(level, int(k), near[r]) for r, k in enumerate(high)]
+            for level, k, near in found:
+                near = near[near >= 0]
+                mates = np.flatnonzero(height[new[:k]] >= level)
+                ids = np.r_[near, new[mates]]
+                dist = np.r_[((x[near] - x[new[k]]) ** 2).sum(1), inside[k, mates]]
+                order = np.argsort(dist, kind="stable")[:ef]
+                mine = ids[order][_diverse(dist[order], _squares(x[ids[order]], x[ids[order]]), m)]
+                g.levels[level][new[k], : len(mine)] = mine
+                for j in mine.tolist():
+                    g._link_back(level, j, int(new[k]))
+            done += len(new)
+        return g
+
+    def _link_back(self, level: int, j: int, i: int) -> None:
+        row = self.levels[level][j]
+        free = np.flatnonzero(row < 0)
+        if len(free):
+            row[free[0]] = i
+            return
+        ids = np.r_[row, i]
+        dist = ((self.x[ids] - self.x[j]) ** 2).sum(1)
+        order = np.argsort(dist, kind="stable")
+        ids = ids[order]
+        row[:] = ids[_diverse(dist[order], _squares(self.x[ids], self.x[ids]), len(row))]
 
     def _dist(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared distances of each query to its own row of nodes; infinite for -1."""
         d = self.norm[ids] - 2 * np.einsum("qd,qnd->qn", q, self.x[ids]) + (q * q).sum(1)[:, None]
         return np.where(ids < 0, np.inf, d)
 
-    def search(self, q: np.ndarray, ef: int = EF) -> np.ndarray:
-        """Up to ``ef`` near nodes of each query (-1 where fewer), nearest first."""
-        n, ground = len(q), self.levels[0][1]
-        at = np.full(n, self.levels[-1][0][0])
-        for nodes, links in reversed(self.levels[1:]):
-            place = np.full(len(self.x), -1)
-            place[nodes] = np.arange(len(nodes))
-            moving = np.arange(n)
-            while len(moving):
-                ids = np.c_[at[moving], links[place[at[moving]]]]
-                best = ids[np.arange(len(moving)), self._dist(q[moving], ids).argmin(1)]
-                moved = best != at[moving]
-                at[moving] = best
-                moving = moving[moved]
-        seen = np.zeros((n, len(self.x) + 1), bool)  # the last column takes -1
+    def _descend(self, level: int, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Each query's node after going greedily to nearer neighbours of one level."""
+        at, moving = at.copy(), np.arange(len(q))
+        while len(moving):
+            ids = np.c_[at[moving], self.levels[level][at[moving]]]
+            best = ids[np.arange(len(moving)), self._dist(q[moving], ids).argmin(1)]
+            moved = best != at[moving]
+            at[moving] = best
+            moving = moving[moved]
+        return at
+
+    def _beam(self, level: int, q: np.ndarray, at: np.ndarray, ef: int) -> np.ndarray:
+        """Up to ``ef`` near nodes of each query on one level (-1 where fewer), nearest first."""
+        n, links = len(q), self.levels[level]
+        seen = np.zeros((n, len(links) + 1), bool)  # the last column takes -1
         seen[np.arange(n), at] = True
         ids, open_ = at[:, None], np.ones((n, 1), bool)
         dist = self._dist(q, ids)
@@ -124,21 +139,28 @@ class Graph:
             pick = np.where(open_, dist, np.inf).argmin(1)
             rows = np.arange(len(live))
             open_[rows, pick] = False
-            fresh = ground[ids[rows, pick]]
-            fresh = np.where(seen[live[:, None], fresh], -1, fresh)
-            seen[live[:, None], fresh] = True
+            fresh_ = links[ids[rows, pick]]
+            fresh_ = np.where(seen[live[:, None], fresh_], -1, fresh_)
+            seen[live[:, None], fresh_] = True
             seen[:, -1] = False
-            ids, dist = np.c_[ids, fresh], np.c_[dist, self._dist(q[live], fresh)]
-            open_ = np.c_[open_, fresh >= 0]
+            ids, dist = np.c_[ids, fresh_], np.c_[dist, self._dist(q[live], fresh_)]
+            open_ = np.c_[open_, fresh_ >= 0]
             order = np.argsort(dist, axis=1, kind="stable")[:, :ef]
             ids, dist, open_ = (np.take_along_axis(z, order, 1) for z in (ids, dist, open_))
             done = ~(open_ & np.isfinite(dist)).any(1)
             if done.any():
                 w = ids.shape[1]
                 out[live[done], :w] = np.where(np.isfinite(dist[done]), ids[done], -1)
-                live, ids, dist, open_, q = live[~done], ids[~done], dist[~done], open_[~done], q
+                live, ids, dist, open_ = live[~done], ids[~done], dist[~done], open_[~done]
         return out
 
+    def search(self, q: np.ndarray, ef: int = EF) -> np.ndarray:
+        """Up to ``ef`` near nodes of each query (-1 where fewer), nearest first."""
+        at = np.zeros(len(q), np.int64)
+        for level in range(len(self.levels) - 1, 0, -1):
+            at = self._descend(level, q, at)
+        return self._beam(0, q, at, ef)
+
 
 def _heights(ids: np.ndarray, m: int = M) -> np.ndarray:
     """Levels drawn from the ids, each with 1/m of the one below."""
@@ -152,7 +174,7 @@ def index(vectors: DataFrame, shard_size: int = SHARD, m: int = M) -> tuple[Data
     """The table of graphs, one row a shard, from ``vectors(vec_id, embedding)``; and the number of shards."""
     n = vectors.count()
     shards = max(1, -(-n // shard_size))
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int"))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id", kind="stable")
@@ -161,26 +183,29 @@ def index(vectors: DataFrame, shard_size: int = SHARD, m: int = M) -> tuple[Data
         node = node.ravel()
         first = np.full(len(x), len(all_x))
         np.minimum.at(first, node, np.arange(len(all_x)))
-        order = np.argsort(first)  # nodes go in by their least id
+        height = _heights(group["vec_id"].to_numpy()[first], m)
+        order = np.lexsort((first, -height))  # tallest first, then by their least id
         x, node = x[order], np.argsort(order)[node]
-        g = Graph.build(x, _heights(group["vec_id"].to_numpy()[first[order]], m), m)
+        g = Graph.build(x, height[order], m)
         return pd.DataFrame({
             "shard": [int(group["shard"].iloc[0])], "ids": [group["vec_id"].to_numpy()], "node": [node.astype(np.int32)], "x": [x.ravel()], "dim": [x.shape[1]],
-            "nodes": [np.concatenate([a for a, _ in g.levels])], "sizes": [np.array([len(a) for a, _ in g.levels], np.int32)], "links": [np.concatenate([b.ravel() for _, b in g.levels])], "m": [m],
+            "sizes": [np.array([len(a) for a in g.levels], np.int32)], "links": [np.concatenate([a.ravel() for a in g.levels])], "m": [m],
         })
 
-    schema = "shard int, ids array<bigint>, node array<int>, x array<double>, dim int, nodes array<int>, sizes array<int>, links array<int>, m int"
-    return materialise(dealt.groupBy("shard").applyInPandas(one, schema), "hnsw"), shards
+    return materialise(dealt.groupBy("shard").applyInPandas(one, _SCHEMA), "hnsw"), shards
+
+
+_SCHEMA = "shard int, ids array<bigint>, node array<int>, x array<double>, dim int, sizes array<int>, links array<int>, m int"
 
 
 def load(row: dict) -> tuple[Graph, np.ndarray, np.ndarray]:
     """A shard's graph, its ids and their nodes from its flat arrays."""
     x = np.asarray(row["x"], float).reshape(-1, row["dim"])
-    levels, a, b = [], 0, 0
+    levels, at = [], 0
     for level, n in enumerate(row["sizes"]):
         wide = 2 * row["m"] if level == 0 else row["m"]
-        levels.append((np.asarray(row["nodes"][a : a + n]), np.asarray(row["links"][b : b + n * wide]).reshape(n, wide)))
-        a, b = a + n, b + n * wide
+        levels.append(np.asarray(row["links"][at : at + n * wide]).reshape(n, wide))
+        at += n * wide
     return Graph(x, levels), np.asarray(row["ids"]), np.asarray(row["node"])
 
 
@@ -191,25 +216,30 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def search(graphs: DataFrame, shards: int, queries: DataFrame, k: int = K, ef: int = EF, block: int = BLOCK) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each of ``queries(query_id, embedding)``.
 
-    Every block of queries meets every shard once: the stated queries against all rows, in blocks.
+    Every block of queries meets every shard once: the stated queries against all rows, in blocks. A shard's
+    graph is sent to one task, ahead of the blocks, which pass by it one after another.
     """
     spark = graphs.sparkSession
     blocks = max(1, -(-queries.count() // block))
     asked = queries.withColumn("_block", F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(blocks)))
     packed = asked.groupBy("_block").agg(F.collect_list(F.struct("query_id", "embedding")).alias("queries"))
-    each = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs.hint("shuffle_hash"), "shard")
+    passing = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "queries")
+    ahead = graphs.withColumn("queries", F.lit(None).cast(packed.schema["queries"].dataType))
+    each = ahead.unionByName(passing, allowMissingColumns=True).repartition(max(shards, shuffle_partitions(spark)), "shard").sortWithinPartitions("shard", F.col("queries").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        held: tuple = ()
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {n: batch.column(i)[r] for i, n in enumerate(batch.schema.names)}
-                if row["shard"].as_py() != last:
-                    last = row["shard"].as_py()
-                    held = load({n: row[n].as_py() if n in ("dim", "m") else row[n].values.to_numpy(zero_copy_only=False) for n in ("ids", "node", "x", "dim", "nodes", "sizes", "links", "m")})
-                graph, ids, node = held
-                by_node = np.argsort(node, kind="stable")
-                start = np.searchsorted(node[by_node], np.arange(len(graph.x) + 1))
+                if not row["queries"].is_valid:
+                    graph, ids, node = load({n: row[n].as_py() if n in ("dim", "m") else row[n].values.to_numpy(zero_copy_only=False) for n in ("ids", "node", "x", "dim", "sizes", "links", "m")})
+                    by_node = np.argsort(node, kind="stable")
+                    held = graph, ids, by_node, np.searchsorted(node[by_node], np.arange(len(graph.x) + 1)), row["shard"].as_py()
+                    continue
+                if not held or held[4] != row["shard"].as_py():  # a shard that no vector was dealt to
+                    continue
+                graph, ids, by_node, start, _ = held
                 asked = row["queries"].values
                 qid = asked.field("query_id").to_numpy()
                 q = np.array(asked.field("embedding").to_pylist(), float)
