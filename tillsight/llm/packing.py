@@ -1,8 +1,9 @@
 """Packing into fixed sequences: first-fit decreasing over a tournament tree of bin capacities.
 
 Texts become token ids plus an end id; a document longer than a sequence is cut into whole sequences and a
-rest. Pieces are dealt at random into groups of about ``group_size`` and every group is packed alone, so no
-task sees more than one group whatever the input. In a group, pieces go longest first into the first
+rest. Pieces are dealt into groups of about ``group_size`` by a keyed hash of id, place and ids, so a second run deals
+alike; equal pieces are told apart by their rows. Every group is packed alone, so no task sees more than
+one group whatever the input. In a group, pieces go longest first into the first
 bin with room; the tree's inner nodes hold the largest room below, so that bin is found in log(bins) steps.
 
 Defined cases: a null text counts as empty (one piece, the end id); equal rows are packed one by one; an
@@ -17,13 +18,14 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import materialise
+from tillsight.llm.common import fresh, materialise
 
 SEQUENCE, END_ID, GROUP = 4096, 2, 2048
 _CACHE = 500_000
@@ -42,11 +44,26 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@cache
+def unassigned() -> str:
+    """A character class's ranges of all code points without a category."""
+    out, start = [], None
+    for c in range(0x110001):
+        none = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
+        if none and start is None:
+            start = c
+        elif not none and start is not None:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "".join(out)
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian 32-bit bytes; equal to the tokenizer's own, one word looked up once.
 
     Words never merge with each other in this kind of vocabulary, so ids of a text are its words' ids in
-    order. Texts that may hold a special token's name go to the tokenizer whole.
+    order. Texts that may hold a special token's name go to the tokenizer whole, and so do texts with code points
+    that Python's Unicode tables don't know, since the tokenizer's and the split's may class them differently.
     """
 
     def __init__(self, path: str):
@@ -62,6 +79,7 @@ class WordEncoder:
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
         self.letters = {b: 256 + k for k, b in enumerate(odd)}
         self.fast_words = re.compile(_FAST).findall
+        self.unknown = re.compile(f"[{unassigned()}]").search
         self.odd = re.compile("[^\\t\\n\\r\x20-\x7e\xa1-\u012f\u0131-\u0239]").search
 
     @staticmethod
@@ -71,13 +89,18 @@ class WordEncoder:
             out.byteswap()
         return out.tobytes()
 
-    def _split(self, text: str) -> list[str]:
-        plain = not self.odd(text) and unicodedata.is_normalized("NFC", text)
-        return self.fast_words(text.lower()) if plain else self.words(self.norm(text))
+    def _split(self, text: str) -> list[str] | None:
+        """The text's words, or None where the tokenizer is to read it whole."""
+        if "<|" in text:
+            return None
+        low = text.lower()  # small letters of some plain capitals lie beyond the simple class
+        if not self.odd(text) and not self.odd(low) and unicodedata.is_normalized("NFC", text):
+            return self.fast_words(low)
+        return None if self.unknown(text) else self.words(self.norm(text))
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; words that are new in any of them are looked up together."""
-        lists = [None if "<|" in t else self._split(t) for t in texts]
+        lists = [self._split(t) for t in texts]
         if len(self.known) > _CACHE:
             self.known.clear()
         parts = [None if x is None else list(map(self.known.get, x)) for x in lists]
@@ -169,15 +192,19 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
 
 def pack(pieces: DataFrame, sequence: int = SEQUENCE, group_size: int = GROUP, seed: int = 11) -> DataFrame:
     """``pieces`` (with a bigint ``length``) with ``sequence_id`` and ``offset``; works on any other columns too."""
-    kept = materialise(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    row, group, key, same = fresh(pieces, "_row", "_group", "_key", "_same")
+    kept = materialise(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-kept.count() // group_size))
-    slim = kept.select("_row", "length", F.pmod(F.xxhash64(F.lit(seed), F.col("_row")), F.lit(groups)).alias("_group"))
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "_row"], ascending=[False, True], kind="stable")
-        placed = first_fit_decreasing(group["length"].tolist(), sequence)
-        first = int(group["_group"].iloc[0]) << 32
-        return pd.DataFrame({"_row": group["_row"], "sequence_id": [first + b for b, _ in placed], "offset": [o for _, o in placed]})
-
-    where = slim.groupBy("_group").applyInPandas(one, "_row bigint, sequence_id bigint, offset bigint")
-    return kept.join(where, "_row").drop("_row")
+    content = [F.col(c) for c in ("doc_id", "start", "ids_crc32", "length") if c in pieces.columns] or [F.col(row)]
+    slim = kept.select(row, "length", F.xxhash64(F.lit(seed), *content).alias(key))
+    often = slim.groupBy(key).agg(F.count("*").alias(same)).where(F.col(same) > 1)
+    slim = slim.join(often, key, "left").select(row, "length", key, F.pmod(F.when(F.col(same).isNull(), F.col(key)).otherwise(F.xxhash64(key, row)), F.lit(groups)).alias(group))
+
+    def one(pieces: pd.DataFrame) -> pd.DataFrame:
+        pieces = pieces.sort_values(["length", key, row], ascending=[False, True, True])
+        placed = first_fit_decreasing(pieces["length"].tolist(), sequence)
+        first = int(pieces[group].iloc[0]) << 32
+        return pd.DataFrame({row: pieces[row], "sequence_id": [first + b for b, _ in placed], "offset": [o for _, o in placed]})
+
+    where = slim.groupBy(group).applyInPandas(one, f"{row} bigint, sequence_id bigint, offset bigint")
+    return kept.join(where, row).drop(row)
