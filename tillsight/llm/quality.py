@@ -1,16 +1,19 @@
 """Quality rules with cross-document line frequency.
 
 Lines are normalised (lower case, digit runs to 0, white space collapsed) and hashed. For each host the
-number of distinct texts that hold a line is counted over all documents; exact copies of a text count once,
-so a page that was crawled often does not look like boilerplate. A line held by more than
-``max(min_docs, share * texts of the host)`` texts is removed from every document of that host. A document
-that loses more than half its words is depleted and rejected. Only DataFrame functions run.
+number of distinct documents that hold a line is counted over all documents. A line is removed from every document of
+the host if it is held by more than ``max(min_docs, share * documents of the host)`` documents, or by more than
+``most_docs`` whatever the host's size, and by more than ``min_texts`` different texts: a line that only copies of a
+few texts hold is no boilerplate but theirs, and finding copies is another operator's task (``min_texts=0`` counts
+documents alone). A document that loses more than half its words is depleted and rejected. Only DataFrame
+functions run.
 
 Hot hosts and lines: counts are reduced map-side before each shuffle, and the join that marks removable
 lines lets Spark split a hot key. No line is dropped from the counts.
 
-Defined cases: a null or empty text has no words and fails the base rule; a null host is a host of its own;
-equal rows get equal verdicts; an empty table gives an empty result; extra columns are carried through.
+Defined cases: a null or empty text has no words and fails the base rule; a null host counts as the empty one;
+equal rows (same id and text) are one document and get equal verdicts; one id with two texts is two documents; an empty
+table gives an empty result; extra columns are carried through, but those named in ``ADDED`` are replaced.
 """
 
 from __future__ import annotations
@@ -18,10 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import SPACE, let, row_key, spaced, words_of
+from tillsight.llm.common import SPACE, fresh, let, row_key, spaced, words_of
 
 MIN_WORDS, REPEAT_SHARE, WINDOW = 20, 30, 8
-MIN_DOCS, SHARE, KEEP_SHARE = 10, 0.1, 0.5
+MIN_DOCS, SHARE, MOST_DOCS, MIN_TEXTS, KEEP_SHARE = 10, 0.1, 10_000, 10, 0.5
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept", "clean_text")
 
 
 def _normal(line: Column) -> Column:
@@ -79,22 +83,26 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words")))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, most_docs: int = MOST_DOCS, min_texts: int = MIN_TEXTS, text_col: str = "text", host_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """``(_host, _h)`` of the lines above the host's limit."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.xxhash64(text).alias("_t"), text.alias("_text"))
-    hosts = slim.select("_host", "_t").distinct().groupBy("_host").agg(F.count("*").alias("_texts"))
+    slim = docs.select(F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.xxhash64(F.col(id_col).isNull(), F.col(id_col), text).alias("_d"), F.xxhash64(text).alias("_t"), text.alias("_text"))
+    hosts = slim.select("_host", "_d").distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
     normal = F.filter(F.transform(F.split("_text", "\n", -1), _normal), lambda x: x != "")
     hashes = F.array_distinct(F.transform(normal, lambda x: F.xxhash64(x)))
-    lines = slim.select("_host", "_t", F.explode(hashes).alias("_h")).distinct().groupBy("_host", "_h").agg(F.count("*").alias("_n"))
-    return lines.where(F.col("_n") > min_docs).join(hosts, "_host").where(F.col("_n") > share * F.col("_texts")).select("_host", "_h")
+    # A document's lines are distinct, so equal rows alone could count twice: documents are counted by text first.
+    docs_of = slim.select("_host", "_t", "_d").distinct().groupBy("_host", "_t").agg(F.count("*").alias("_n"))
+    by_text = slim.select("_host", "_t", F.explode(hashes).alias("_h")).distinct().join(docs_of, ["_host", "_t"])
+    found = by_text.groupBy("_host", "_h").agg(F.sum("_n").alias("_n"), F.count("*").alias("_m"))
+    found = found.where((F.col("_n") > min_docs) & (F.col("_m") > min_texts)).join(hosts, "_host")
+    return found.where((F.col("_n") > share * F.col("_docs")) | (F.col("_n") > most_docs)).select("_host", "_h")
 
 
-def line_quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, keep_share: float = KEEP_SHARE, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def line_quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, most_docs: int = MOST_DOCS, min_texts: int = MIN_TEXTS, keep_share: float = KEEP_SHARE, text_col: str = "text", host_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with the base columns, removed_words, clean_text and kept."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     host = F.coalesce(F.col(host_col), F.lit(""))
-    frequent = frequent_lines(docs, min_docs, share, text_col, host_col)
+    frequent = frequent_lines(docs, min_docs, share, most_docs, min_texts, text_col, host_col, id_col)
     # A normal line's words are those of the line itself: one blank between each two.
     line = lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"))
     normal = F.filter(F.transform(F.split(text, "\n", -1), _normal), lambda x: x != "")
@@ -102,13 +110,14 @@ def line_quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE
     # Copies share one key, so a line of theirs is one row.
     lines = lines.select("_k1", "_k2", "_host", "_at", F.col("_l.h").alias("_h"), F.col("_l.n").alias("_n"))
     removed = lines.join(frequent, ["_host", "_h"]).distinct().groupBy("_k1", "_k2").agg(F.sum("_n").alias("_gone"), F.collect_set("_h").alias("_out"))
-    k1, k2 = row_key(host, text)
-    df = base_rules(docs, text_col).withColumns({"_k1": k1, "_k2": k2})
-    df = df.join(removed, ["_k1", "_k2"], "left").withColumn("removed_words", F.coalesce(F.col("_gone"), F.lit(0)).cast("bigint")).drop("_gone")
+    k1, k2, gone, out = fresh(docs, "_k1", "_k2", "_gone", "_out")
+    removed = removed.select(F.col("_k1").alias(k1), F.col("_k2").alias(k2), F.col("_gone").alias(gone), F.col("_out").alias(out))
+    df = base_rules(docs, text_col).withColumns(dict(zip((k1, k2), row_key(host, text), strict=True)))
+    df = df.join(removed, [k1, k2], "left").withColumn("removed_words", F.coalesce(F.col(gone), F.lit(0)).cast("bigint"))
     rest = F.col("n_words") - F.col("removed_words")
     kept = ~F.col("base_failed") & (rest >= keep_share * F.col("n_words"))
-    clean = F.when(F.col("_out").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(F.col("_out"), _line_hash(x)) | (_normal(x) == "")), "\n"))
-    return df.withColumn("kept", kept).withColumn("clean_text", clean).drop("_k1", "_k2", "_out")
+    clean = F.when(F.col(out).isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(F.col(out), _line_hash(x)) | (_normal(x) == "")), "\n"))
+    return df.withColumn("kept", kept).withColumn("clean_text", clean).drop(k1, k2, gone, out)
 
 
 ORACLE = r"""
@@ -117,11 +126,12 @@ words AS (SELECT rid, doc_id, host, t, list_filter(regexp_split_to_array(t, '[\x
 wins AS (SELECT rid, p, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS p FROM words WHERE len(w) >= 8)),
 twice AS (SELECT rid, p FROM wins QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 rep AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest(range(p, p + 8)) AS q FROM twice) GROUP BY rid),
-lines AS (SELECT rid, host, t, l, trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS nl,
-  len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS lw FROM (SELECT rid, host, t, unnest(string_split(t, chr(10))) AS l FROM docs)),
+lines AS (SELECT rid, doc_id, host, t, l, trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS nl,
+  len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS lw FROM (SELECT rid, doc_id, host, t, unnest(string_split(t, chr(10))) AS l FROM docs)),
 dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM lines WHERE lw > 0 GROUP BY rid),
-hosts AS (SELECT host, count(DISTINCT t) AS texts FROM docs GROUP BY host),
-freq AS (SELECT l.host, nl FROM lines l JOIN hosts h ON l.host = h.host WHERE nl <> '' GROUP BY l.host, nl, texts HAVING count(DISTINCT t) > 10 AND count(DISTINCT t) > 0.1 * texts),
+hosts AS (SELECT host, count(DISTINCT (doc_id, t)) AS n FROM docs GROUP BY host),
+freq AS (SELECT l.host, nl FROM lines l JOIN hosts h ON l.host = h.host WHERE nl <> '' GROUP BY l.host, nl, n
+  HAVING count(DISTINCT (doc_id, t)) > 10 AND (count(DISTINCT (doc_id, t)) > 0.1 * n OR count(DISTINCT (doc_id, t)) > 10000) AND count(DISTINCT t) > 10),
 gone AS (SELECT rid, sum(lw) AS n FROM lines JOIN freq USING (host, nl) GROUP BY rid),
 base AS (SELECT w.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
