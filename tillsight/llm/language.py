@@ -7,7 +7,8 @@ greatest distance where the profile lacks the n-gram. The least sum names the la
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the least name;
 null labels teach nothing; without any profile every text is ``und``; equal rows get equal answers;
-an empty table gives an empty result; extra columns are ignored. Texts are read whole.
+an empty table gives an empty result; extra columns are carried through, but ``lang_pred`` and ``score`` are
+replaced. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillsight.llm.common import fresh
+
 ORDERS, PROFILE, OWN = 3, 400, 300
 _LETTERS: list[np.ndarray] = []
 
@@ -31,7 +34,7 @@ def letters() -> np.ndarray:
 
 
 def ngrams(text: str) -> np.ndarray:
-    """All n-grams as numbers, 21 bits a letter and 0 for a boundary; empty if there is no letter."""
+    """All n-grams as numbers: 21 bits a letter, 0 for a boundary, and a bit that tells their length; empty if there is no letter."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     codes = np.where(letters()[codes], codes, 0)
     codes = codes[(codes != 0) | np.r_[True, codes[:-1] != 0]] if len(codes) else codes
@@ -39,7 +42,7 @@ def ngrams(text: str) -> np.ndarray:
     if not s.any():
         return np.empty(0, np.uint64)
     two = (s[:-1] << np.uint64(21)) | s[1:]
-    return np.concatenate([s[s > 0], two, (two[:-1] << np.uint64(21)) | s[2:] | np.uint64(1 << 63)])
+    return np.concatenate([s[s > 0], two | np.uint64(1 << 42), (two[:-1] << np.uint64(21)) | s[2:] | np.uint64(1 << 63)])
 
 
 def top(grams: np.ndarray, n: int) -> np.ndarray:
@@ -56,13 +59,12 @@ def profiles(docs: DataFrame, size: int = PROFILE, text_col: str = "text", lang_
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by: dict[str, list[np.ndarray]] = {}
+            by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(np.stack(np.unique(ngrams(text), return_counts=True)).astype(np.uint64))
+                by.setdefault(lang, []).append(np.unique(ngrams(text), return_counts=True))
             for lang, found in by.items():
-                both = np.concatenate(found, axis=1)
-                value, at = np.unique(both[0], return_inverse=True)
-                total = np.bincount(at, weights=both[1].astype(float), minlength=len(value)).astype(np.int64)
+                value, at = np.unique(np.concatenate([v for v, _ in found]), return_inverse=True)
+                total = np.bincount(at, weights=np.concatenate([n for _, n in found]).astype(float), minlength=len(value)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value)), pa.array(value.view(np.int64)), pa.array(total)], ["lang", "gram", "n"])
 
     known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -99,7 +101,7 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], own: int = OWN, text
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     keep = [c for c in (docs.columns if carry is None else carry) if c not in ("lang_pred", "score")]
-    slim = docs.select(*(F.col(c) for c in keep), F.col(text_col).alias("_read"))
+    slim = docs.select(*(F.col(c) for c in keep), F.col(text_col).alias(fresh(docs, "_read")[0]))
     schema = StructType([*slim.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
