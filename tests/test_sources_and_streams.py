@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillsight.functions import text, values
-from tillsight.sources import capture, parsers
-from tillsight.streaming import live
+from tillsight.sources import capture, legacy, parsers, settings, spool, tickets
+from tillsight.streaming import live, state
 
 
 def frame(data, sequence="1", address="01", kind="N"):
@@ -37,16 +37,30 @@ def test_fiscal_documents():
     assert (d["complete"], d["total"], d["suffix"], d["table_code"], d["order_code"], d["items"][0]["quantity"]) == (True, "50.00", "0042", "T-7", "O-7", 2)
 
 
-def test_tickets():
+def test_tickets(spark):
     stream = b"\x1b@PRECONTO N. PB-77\nTAVOLO T-9\n2x Pane  10,00\nTOTALE 100,00\n\x1dV\x00\x1b@COMANDA\n1x Acqua\n\x1bm-1x Voce\nresto"
-    docs = parsers.tickets(stream)
-    assert [(d["type"], d["complete"]) for d in docs] == [("PRE_BILL", True), ("KITCHEN_ORDER", True), ("ORDER_CHANGE", False)]
-    assert (docs[0]["external_code"], docs[0]["table_code"], docs[0]["total"], docs[0]["items"][0]["total"]) == ("PB-77", "T-9", "100,00", "10,00")
+    lines = tickets.ticket_lines(spark.createDataFrame([("a", bytearray(stream)), ("b", None)], "job_id string, client_raw binary"))
+    docs = tickets.ticket_documents(lines).orderBy("ordinal").collect()
+    assert [(d.type, d.complete) for d in docs] == [("PRE_BILL", True), ("KITCHEN_ORDER", True), ("ORDER_CHANGE", False)]
+    assert (docs[0].external_code, docs[0].table_code, str(docs[0].total), docs[0].n_items) == ("PB-77", "T-9", "100.0000", 1)
+    items = [(r.ordinal, r.description, r.quantity, r.amount) for r in tickets.ticket_items(lines).orderBy("ordinal").collect()]
+    assert items == [(1, "Pane", 2, 10), (2, "Acqua", 1, None), (3, "Voce", -1, None)]
+
+
+def test_pictures_code_pages_and_control_sequences():
+    picture = b"\x1dv0\x00\x02\x00\x02\x00\x1dV\x00\x0a"  # four bytes that look like a cut
+    read = lambda w, h, bits: (f"TAVOLO {w}{h}{len(bits)}", 90.0 if h == 2 else 10.0)
+    data = b"\x1bt\x10caff\xe8\n\x1b!\x08uno" + picture + b"due\n\x1dk\x04A1\x00\x1d(k\x02\x00xxtre\tquattro\n\x10\x04\x01\x1dVA\x03fine"
+    assert list(tickets.read_lines(data)) == [(1, True, 3, "caffè"), (1, True, 12, "unodue"), (1, True, 44, "tre    quattro"), (2, False, len(data) - 4, "fine")]
+    assert [x[3] for x in tickets.read_lines(data, ocr=read)] == ["caffè", "uno", "TAVOLO 224", "due", "tre    quattro", "fine"]
+    assert list(tickets.read_lines(b"")) == [] and list(tickets.read_lines(b"\x1b")) == [] and list(tickets.read_lines(b"\x1dk")) == []
 
 
 def test_parse_by_kind(spark):
     j = spark.createDataFrame([("a", "pos", b"COMANDA\n1x X\x1bm", None), ("b", "rch", frame("=T1/$100"), b""), ("c", "other", b"?", None), ("d", None, None, None)], "job_id string, kind string, client_raw binary, device_raw binary")
-    assert {(r.job_id, r.type) for r in parsers.parse(j).collect()} == {("a", "KITCHEN_ORDER"), ("b", "COMMERCIAL_DOCUMENT")}
+    got = parsers.parse(j).collect()
+    assert {(r.job_id, r.type, r.parser) for r in got} == {("a", "KITCHEN_ORDER", "pos"), ("b", "COMMERCIAL_DOCUMENT", "rch")}
+    assert len({r.parser_version for r in got}) == 2 and all(len(r.parser_version) == 64 for r in got)
     assert {(r.job_id, r.frame_id is None) for r in parsers.frame_rows(j).collect()} >= {("b", False)}
 
 
@@ -177,3 +191,72 @@ def test_scalar_rules(spark):
     assert one(values.xor_checksum(F.lit(bytearray(b"\x01\x03\xff")))) == 0x01 ^ 0x03 ^ 0xFF and one(values.xor_checksum(F.lit(bytearray()))) == 0
     assert one(values.quantity_label(F.lit("2.5000").cast("decimal(19,4)"))) == "2,5" and one(values.quantity_label(F.lit("2.0000").cast("decimal(19,4)"))) == "2"
     assert one(values.canonical_json({"b": F.lit("è\x01\""), "a": F.lit(None).cast("int")})) == json.dumps({"a": None, "b": "è\x01\""}, separators=(",", ":"), ensure_ascii=False)
+
+
+def test_spooled_jobs_are_read_back(spark, tmp_path):
+    chunks = [("j1", "pos_1", "s", 2, "client_to_device", bytearray(b"ne")), ("j1", "pos_1", "s", 1, "client_to_device", bytearray(b"ordi")), ("j1", "pos_1", "s", 3, "device_to_client", bytearray(b"ok")), ("j2", "rch_1", "s", 1, "client_to_device", bytearray(b"x"))]
+    rows = spark.createDataFrame(chunks, "job_id string, device_id string, session_id string, sequence int, direction string, payload binary")
+    for f in spool.job_files(spool.contiguous_chunks(rows)).collect():
+        folder = tmp_path / f.device_id / f.job_id
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f.role).write_bytes(f.content)
+    got = {r.job_id: r for r in capture.jobs(spark, str(tmp_path)).collect()}
+    assert {k: list(r.failures) for k, r in got.items()} == {"j1": [], "j2": []}
+    assert bytes(got["j1"].client_raw) == b"ordine" and bytes(got["j1"].device_raw) == b"ok"
+
+
+def legacy_job(root, code, tamper=False):
+    folder = root / code
+    (folder / "PHARSED").mkdir(parents=True)
+    files = {"request_raw": b"abcdef", "response_raw": b"\x06", "timeline": b'{"sequence":1,"direction":"CLIENT -> RCH","job_offset":0,"session_offset":0,"byte_count":6}\n{"sequence":2,"direction":"RCH -> CLIENT","job_offset":0,"session_offset":0,"byte_count":1}\n'}
+    manifest = {"schema": "v1", "codice_doc": code, "job_id": f"job-{code}", "session_id": "s", "status": "ready", "raw_complete": True, "timeline_complete": True, "request_size": 6, "response_size": 1, "printer_ip": "10.0.0.1", "printer_port": 23, "files": {k: f"{k}.bin" for k in files}, "sha256": {k: hashlib.sha256(b).hexdigest() for k, b in files.items()}}
+    body = json.dumps(manifest).encode()
+    for k, b in files.items():
+        (folder / f"{k}.bin").write_bytes(b + b"!" * (tamper and k == "request_raw"))
+    (folder / "manifest.json").write_bytes(body)
+    (folder / ".ready").write_text(json.dumps({"schema": "v1", "codice_doc": code, "manifest_sha256": hashlib.sha256(body).hexdigest()}))
+    d = {"document_id": f"d-{code}", "ordinal": 1, "type": "C", "canonical_type": "commerciale", "complete": True, "classification_evidence": "x", "source": {"frame_ids": [1, 2], "start_offset": 0, "end_offset": 9 if tamper else 6}, "semantic": {"issues": [{"code": "odd"}]}}
+    parsed = json.dumps({"schema": "v1", "codice_doc": code, "documents": [d]}).encode()
+    (folder / "PHARSED" / "parsed.json").write_bytes(parsed)
+    (folder / ".parsed").write_text(json.dumps({"schema": "v1", "status": "parsed", "codice_doc": code, "metadata_sha256": hashlib.sha256(parsed).hexdigest(), "document_count": 1}))
+
+
+def test_legacy_layouts(spark, tmp_path):
+    root = tmp_path / "captures"
+    legacy_job(root, "0001")
+    legacy_job(root, "0002", tamper=True)
+    (root / "0003").mkdir()
+    got = {r.code: r for r in legacy.legacy_jobs(spark, str(root), "v1").collect()}
+    assert set(got) == {"0001", "0002"} and got["0001"].failures == [] and got["0001"].target == "10.0.0.1:23" and got["0001"].complete
+    assert set(got["0002"].failures) == {"file:request_raw", "request_size"}
+    assert all("manifest_schema" in r.failures for r in legacy.legacy_jobs(spark, str(root), "v2").collect())
+    docs = {r.document_id: r for r in legacy.parsed_documents(spark, str(root), "v1").collect()}
+    assert docs["d-0001"].failures == [] and docs["d-0001"].issues == ["odd"] and docs["d-0001"].type == "COMMERCIAL_DOCUMENT" and docs["d-0002"].failures == ["range"]
+    readers = {"legacy": lambda r: r, "parsed": lambda r: r}
+    assert legacy.chosen({"legacy": "/a", "parsed": None}, readers) == {"legacy": "/a"}
+    for roots in ({}, {"legacy": "/a", "parsed": "/b"}, {"other": "/a"}):
+        with pytest.raises(ValueError):
+            legacy.chosen(roots, readers)
+
+
+def test_settings(spark):
+    good = {"timezone": "Europe/Rome", "roots": {"spool": "/srv/spool"}, "correlation": {"minimum_score": 70}, "devices": [{"device_id": "pos_1", "type": "pos", "host": "10.0.0.1", "port": 9100}]}
+    s = settings.checked(json.dumps(good))
+    assert s.numbers["correlation.minimum_score"] == 70 and s.numbers["rules.close_minutes"] == 120
+    assert [r.device_id for r in s.device_table(spark).collect()] == ["pos_1"]
+    for bad in ({"timezone": "Mars/Base"}, {"roots": {"a": "/etc"}}, {"roots": {"a": "/x/../y"}}, {"correlation": {"minimum_score": 101}}, {"devices": []}, {"devices": good["devices"] * 2}, {"surprise": 1}):
+        with pytest.raises(ValueError):
+            settings.checked(json.dumps(good | bad))
+
+
+def test_keyed_state_follows_each_table(spark, tmp_path):
+    schema = "device_id string, table_code string, document_id string, type string, time timestamp, item_key string, quantity decimal(19,4)"
+    at = lambda m: f"2024-01-01 10:{m:02}:00"
+    papers = [("d", "T1", "k1", "KITCHEN_ORDER", at(0), "A", 3), ("d", "T1", "k1", "KITCHEN_ORDER", at(0), "B", 1), ("d", "T1", "h1", "ORDER_CHANGE", at(5), "A", -1), ("d", "T1", "h1", "ORDER_CHANGE", at(5), "B", -1), ("d", "T1", "h1", "ORDER_CHANGE", at(5), "C", -1), ("d", "T2", "h2", "ORDER_CHANGE", at(6), "A", 2)]
+    later = [("d", "T1", "h3", "ORDER_CHANGE", at(9), "A", 4), ("d", "T1", "k2", "KITCHEN_ORDER", at(20), "D", 1)]
+    for n, rows in enumerate((papers, later)):
+        spark.createDataFrame(rows, schema.replace("timestamp", "string").replace("decimal(19,4)", "int")).selectExpr("device_id", "table_code", "document_id", "type", "CAST(time AS TIMESTAMP) AS time", "item_key", "CAST(quantity AS DECIMAL(19,4)) AS quantity").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = state.table_lines(live.published(spark, f"{tmp_path}/in", schema)).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {(r.table_code, r.document_id, r.item_key): (r.before, r.after) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {("T1", "k1", "A"): (None, 3), ("T1", "k1", "B"): (None, 1), ("T1", "h1", "A"): (3, 2), ("T1", "h1", "B"): (1, None), ("T2", "h2", "A"): (None, 2), ("T1", "h3", "A"): (2, 6), ("T1", "k2", "A"): (6, None), ("T1", "k2", "D"): (None, 1)}

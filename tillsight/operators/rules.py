@@ -55,19 +55,20 @@ def _proof(kind: str, **fields: Column) -> Column:
     return values.canonical_json({"kind": F.lit(kind)} | {k: c.cast("string") for k, c in fields.items()})
 
 
-_NONE = F.lit(None).cast("array<string>")
+def _none() -> Column:
+    return F.lit(None).cast("array<string>")
 
 
 def _per(df: DataFrame, base: int, step: int, confidence: int, proof: Column, least: int = 1, document: str | None = None) -> DataFrame:
     """Findings from one row a hit: ``base + step * hits``; each hit is a piece of evidence and may name its document."""
-    documents = F.array_sort(F.collect_set(document)) if document else F.max(_NONE)
+    documents = F.array_sort(F.collect_set(document)) if document else F.max(_none())
     n = df.withColumn("_proof", proof).groupBy("transaction_key").agg(F.count("*").alias("hits"), F.array_sort(F.collect_list("_proof")).alias("evidence"), documents.alias("document_ids")).where(F.col("hits") >= least)
     return n.select("transaction_key", _cap(base + step * F.col("hits")).alias("score"), F.lit(confidence).alias("confidence"), "hits", "evidence", "document_ids")
 
 
-def _one(df: DataFrame, score: Column, confidence: Column | int, evidence: Column, documents: Column = _NONE) -> DataFrame:
+def _one(df: DataFrame, score: Column, confidence: Column | int, evidence: Column, documents: Column | None = None) -> DataFrame:
     c = confidence if isinstance(confidence, Column) else F.lit(confidence)
-    return df.select("transaction_key", _cap(score).alias("score"), c.cast("int").alias("confidence"), F.lit(1).cast("bigint").alias("hits"), evidence.alias("evidence"), documents.alias("document_ids"))
+    return df.select("transaction_key", _cap(score).alias("score"), c.cast("int").alias("confidence"), F.lit(1).cast("bigint").alias("hits"), evidence.alias("evidence"), (_none() if documents is None else documents).alias("document_ids"))
 
 
 def _amounts(**more: Column) -> Column:
@@ -164,7 +165,7 @@ def void_counts(c: Context) -> DataFrame:
 def r9(c: Context, p: dict) -> DataFrame:
     v = void_counts(c).where(F.col("voids") >= p["minimum_count"])
     proof = _proof("void_frequency", count=F.col("voids"), threshold=F.lit(p["minimum_count"]), cancellation_document_ids=F.col("cancelled"))
-    return v.select("transaction_key", _cap(60 + 8 * F.col("voids")).alias("score"), F.lit(85).alias("confidence"), F.col("voids").alias("hits"), F.array(proof).alias("evidence"), _NONE.alias("document_ids"))
+    return v.select("transaction_key", _cap(60 + 8 * F.col("voids")).alias("score"), F.lit(85).alias("confidence"), F.col("voids").alias("hits"), F.array(proof).alias("evidence"), _none().alias("document_ids"))
 
 
 def r10(c: Context, p: dict) -> DataFrame:
@@ -230,7 +231,7 @@ def r16(c: Context, p: dict) -> DataFrame:
 
 def r17(c: Context, p: dict) -> DataFrame:
     if c.operator_stats is None:
-        return _one(c.transactions.where("false"), F.lit(0), 0, _NONE)
+        return _one(c.transactions.where("false"), F.lit(0), 0, _none())
     rate = F.col("anomalous").cast("decimal(18,0)") / F.col("transactions_")
     s = c.operator_stats.withColumn("rate", rate).where((F.col("transactions_") >= p["minimum_transactions"]) & (F.col("rate") >= p["minimum_anomaly_rate"]))
     proof = _proof("operator_pattern", operator_code=F.col("operator_code"), transactions=F.col("transactions_"), anomalous=F.col("anomalous"), voids=F.col("voids"), rate=F.col("rate"))

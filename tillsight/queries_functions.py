@@ -319,15 +319,42 @@ def j12_neighbourhood(spark, sf):
     return W.neighbourhood(e, e.where("document_id % 500 = 0"), ["user_id"], "ts", 7200).select("document_id")
 
 
-@query("x1_ticket_bytes", "SELECT o_orderkey::VARCHAR AS job_id, 'PRE_BILL' AS type, 'T' || o_custkey % 40 AS table_code, replace(printf('%.2f', floor(o_totalprice)), '.', ',') AS total, 2::BIGINT AS n_items FROM orders")
+_TICKET = ("PRECONTO N. PB-{k}", "COMANDA K-{k}", "PRECONTO N. PB-{k}\nANNULLATO", "RISTAMPA K-{k}", "ORDINE O-{k}")
+
+
+def ticket_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of one or two tickets of every order and its lines: control sequences, a picture, a bar code, code pages, wrapped names."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey", "o_totalprice", F.col("o_orderdate").cast("timestamp").alias("t"))
+    i = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p"), F.col("l_quantity").cast("int").alias("q"), "l_linenumber", "l_suppkey", F.floor("l_extendedprice").cast("bigint").alias("c"))
+    name = F.concat(F.lit("Voce "), F.col("p").cast("string"))
+    line = F.concat(F.col("q").cast("string"), F.lit("x "), name, F.when(F.col("p") % 3 == 0, "\n   ata mista").when(F.col("p") % 3 == 1, "\n   con pane").otherwise(""), F.lit(""))
+    line = F.when(F.col("p") % 5 == 0, F.concat(name, F.lit("  "), F.col("c").cast("string"), F.lit(",00"))).otherwise(line)
+    body = i.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p", "l_suppkey", "q", line.alias("l")))), lambda x: x["l"]), "\n").alias("items"))
+    k = F.col("k").cast("string")
+    head = F.element_at(F.array(*[F.replace(F.lit(h), F.lit("{k}"), k) for h in _TICKET]), (F.col("k") % 5 + 1).cast("int"))
+    who = F.concat(F.lit("OPERATORE: Anna "), (F.col("o_custkey") % 7).cast("string"), F.lit(" "), F.date_format("t", "dd/MM/yy"), F.lit(" 12:30"))
+    total = F.concat(F.lit("TOTALE EUR "), F.floor("o_totalprice").cast("string"), F.lit(",00"))
+    raw = lambda x: F.encode(x, "ISO-8859-1")
+    first = F.concat(raw(F.lit("\x1b@\x1bE\x01")), raw(head), raw(F.lit("\x1bE\x00\n\x1dv0\x00\x02\x00\x02\x00AB\nC")), raw(F.concat(F.lit("TAVOLO T"), (F.col("o_custkey") % 40).cast("string"), F.lit("\nCOPERTI: 2\n---------\nPORTATA: 1\n"))), raw(F.coalesce("items", F.lit(""))), raw(F.concat(F.lit("\n"), total, F.lit("\n"), who, F.lit("\n\x1dk\x04T99\x00\x1bt\x10caff"))), F.lit(bytearray(b"\xe8")), F.lit(bytearray(b"\n\x1dV\x00")))
+    second = F.when(F.col("k") % 4 == 0, raw(F.concat(F.lit("-1x Voce tolta\nTAVOLO T9")))).otherwise(raw(F.lit("")))
+    return o.join(body, "k", "left").select(k.alias("job_id"), F.concat(first, second).alias("client_raw"))
+
+
+@query("x1_ticket_bytes", "WITH i AS (SELECT l_orderkey AS k, count(*) AS n, sum(CASE WHEN l_partkey % 5 = 0 THEN floor(l_extendedprice) END)::DOUBLE AS s, sum(CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE l_quantity END)::DOUBLE AS q FROM lineitem GROUP BY 1) SELECT o_orderkey::VARCHAR AS job_id, 1::BIGINT AS ordinal, TRUE AS complete, (['PRE_BILL', 'KITCHEN_ORDER', 'CANCELLATION', 'REPRINT', 'ORDER'])[1 + o_orderkey % 5] AS type, CASE o_orderkey % 5 WHEN 1 THEN 'K-' || o_orderkey WHEN 0 THEN 'PB-' || o_orderkey WHEN 2 THEN 'PB-' || o_orderkey END AS external_code, 'T' || o_custkey % 40 AS table_code, 'Anna ' || o_custkey % 7 AS operator_code, floor(o_totalprice)::DOUBLE AS total, 2::BIGINT AS covers, coalesce(n, 0) AS n_items, s AS items_total, CAST(epoch(((CAST(o_orderdate AS DATE) + TIME '12:30') AT TIME ZONE 'Europe/Rome') AT TIME ZONE 'UTC') AS BIGINT) AS document_time FROM orders LEFT JOIN i ON o_orderkey = k UNION ALL SELECT o_orderkey::VARCHAR, 2, FALSE, 'ORDER_CHANGE', NULL, 'T9', NULL, NULL, NULL, 1, NULL, NULL FROM orders WHERE o_orderkey % 4 = 0")
 def x1_ticket_bytes(spark, sf):
     """Till tickets from their bytes."""
-    from tillsight.sources import parsers
+    from tillsight.sources import tickets
+
+    return tickets.ticket_documents(tickets.ticket_lines(ticket_jobs(spark, sf))).select("job_id", "ordinal", "complete", "type", "external_code", "table_code", "operator_code", "total", "covers", "n_items", "items_total", "document_time")
+
+
+@query("x1_ticket_items", "SELECT l_orderkey::VARCHAR AS job_id, 'Voce ' || l_partkey || CASE WHEN l_partkey % 5 = 0 THEN CASE l_partkey % 3 WHEN 9 THEN '' ELSE '' END WHEN l_partkey % 3 = 0 THEN 'ata mista' WHEN l_partkey % 3 = 1 THEN ' con pane' ELSE '' END AS description, sum(CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE l_quantity END)::DOUBLE AS quantity, count(*) AS n, '1' AS course FROM lineitem GROUP BY 1, 2 UNION ALL SELECT o_orderkey::VARCHAR, 'Voce tolta', -1, 1, NULL FROM orders WHERE o_orderkey % 4 = 0")
+def x1_ticket_items(spark, sf):
+    """Items of the tickets with wrapped names, signed quantities and courses."""
+    from tillsight.sources import tickets
 
-    o = read(spark, sf, "orders")
-    body = F.concat(F.lit("\x1b@PRECONTO N. PB-1\nTAVOLO T"), (F.col("o_custkey") % 40).cast("string"), F.lit("\n2x Pane  1,00\n1x Vino rosso  5,00\nTOTALE "), F.floor("o_totalprice").cast("string"), F.lit(",00\n\x1bm"))
-    j = o.select(F.col("o_orderkey").cast("string").alias("job_id"), F.lit("pos").alias("kind"), F.encode(body, "UTF-8").alias("client_raw"), F.lit(None).cast("binary").alias("device_raw"))
-    return parsers.parse(j).select("job_id", "type", "table_code", "total", F.size("items").alias("n_items"))
+    i = tickets.ticket_items(tickets.ticket_lines(ticket_jobs(spark, sf)))
+    return i.groupBy("job_id", "description", "course").agg(F.sum("quantity").alias("quantity"), F.count("*").alias("n"))
 
 
 @query("x2_frame_bytes", "SELECT event_id::VARCHAR AS job_id, 1::BIGINT AS frame_id, '=K' || lpad((event_id % 1000)::VARCHAR, 3, '0') AS data, TRUE AS bcc_valid FROM events")

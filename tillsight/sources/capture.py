@@ -1,7 +1,8 @@
 """Captured print jobs: committed job folders, their timelines, ledgers and strict JSON.
 
 A job folder is visible once its ``.ready`` file is there. Files are read by Spark's binary source, so any
-store works and a job's bytes go to the task that checks them; nothing is listed or opened on the driver.
+store works and a job's bytes go to the task that checks them. The driver lists names, as for any table, and
+reads the markers alone (``ready``): Spark's readers skip names that start with a dot.
 """
 
 from __future__ import annotations
@@ -46,14 +47,14 @@ def files(spark: SparkSession, root: str, most: int = MAX_FILE) -> DataFrame:
     return df.select(F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("job_path"), F.element_at(parts, -2).alias("folder"), F.element_at(parts, -3).alias("device_folder"), F.element_at(parts, -1).alias("role"), "length", F.when(F.col("length") <= most, F.col("content")).alias("content"))
 
 
-def ready(spark: SparkSession, root: str) -> DataFrame:
+def ready(spark: SparkSession, root: str, pattern: str = "/*/*/.ready") -> DataFrame:
     """``(job_path, ready)``: committed job folders and their markers' text.
 
     Spark's readers skip names that start with a dot, so the markers, a few bytes each, come from the store's
     own listing, as a file index does.
     """
     jvm = spark.sparkContext._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/*/*/.ready")
+    fs_path = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + pattern)
     fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     rows = []
     for status in fs.globStatus(fs_path) or []:
@@ -116,7 +117,7 @@ def jobs(spark: SparkSession, root: str) -> DataFrame:
                 except ValueError:
                     wrong.append("json")
                 for name, meta in (manifest.get("files") or {}).items():
-                    body = have.get(name)
+                    body = have.get(name, b"" if meta.get("size") == 0 else None)  # Spark's readers pass over empty files
                     if body is None or len(body) != meta.get("size") or hashlib.sha256(body).hexdigest() != meta.get("sha256"):
                         wrong.append(f"file:{name}")
                 about = session.get("session") or {}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import re
+import sys
 from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import xor
@@ -11,12 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillsight.sources import tickets
+
 MAX_INPUT, MAX_FRAMES = 16 * 1024 * 1024, 100_000
 FRAMES = "job_id string, frame_id int, offset bigint, address string, frame_class string, data string, sequence string, bcc_valid boolean, issue string"
 DOCS = "job_id string, ordinal int, type string, complete boolean, external_code string, suffix string, table_code string, order_code string, total string, text string, items array<struct<quantity:int,description:string,total:string>>"
-_CUT = re.compile(rb"\x1dV[\x00\x01\x30\x31]|\x1dV[\x41\x42].|\x1bm|\x1bi", re.S)
-_CONTROL = re.compile(rb"\x1b[@]|\x1b[!aEGJdt-].|\x1d[!BLH].|[\x00-\x08\x0b-\x1f]", re.S)
-_ITEM = re.compile(r"^\s*(-?\d+)\s*[xX]\s+(.+?)(?:\s{2,}([\d.]+,\d{2}))?\s*$")
 _HEADER = re.compile(rb"(\d\d)(\d{3})")
 
 
@@ -65,23 +67,6 @@ def frames(payload: bytes) -> tuple[list[tuple], list[str], int]:
     return found, issues, acks
 
 
-def tickets(payload: bytes, encoding: str = "cp858") -> list[dict]:
-    """Documents of a till's stream: split at cuts, control sequences dropped, then read line by line."""
-    out, at = [], 0
-    cuts = [m.span() for m in _CUT.finditer(payload)]
-    for start, stop, whole in [(a, b, True) for a, b in zip([0, *[e for _, e in cuts]], [s for s, _ in cuts])] + [(cuts[-1][1] if cuts else 0, len(payload), False)]:  # noqa: B905
-        text = _CONTROL.sub(b"", payload[start:stop]).decode(encoding, "replace").replace("\r", "\n")
-        if not text.strip():
-            continue
-        upper = text.upper()
-        kind = "PRE_BILL" if "PRECONTO" in upper else "CANCELLATION" if "STORNO" in upper or "ANNULL" in upper else "ORDER_CHANGE" if re.search(r"(?m)^\s*-\d+\s*X ", upper) else "KITCHEN_ORDER" if "COMANDA" in upper else "UNKNOWN"
-        items = [{"quantity": int(m[1]), "description": " ".join(m[2].split()), "total": m[3]} for m in map(_ITEM.match, text.split("\n")) if m]
-        pick = lambda rx, u=upper: (m[1] if (m := re.search(rx, u)) else None)
-        at += 1
-        out.append({"ordinal": at, "type": kind, "complete": whole, "external_code": pick(r"PRECONTO\s+N\.?\s*(\S+)"), "suffix": None, "table_code": pick(r"TAVOLO\s*:?\s*(\S+)"), "order_code": pick(r"ORDINE\s*:?\s*(\S+)"), "total": pick(r"TOTALE\s+(?:EUR\s*)?([\d.]*\d,\d{2})"), "text": text, "items": items})
-    return out
-
-
 def fiscal(request: bytes, response: bytes) -> list[dict]:
     """One commercial document from sale, text and payment frames, and one for the device's answers.
 
@@ -114,22 +99,44 @@ def fiscal(request: bytes, response: bytes) -> list[dict]:
     return out
 
 
-#: Parsers by kind; each takes both directions of a job.
-REGISTRY: dict[str, Callable[[bytes, bytes], list[dict]]] = {"pos": lambda a, b: tickets(a), "rch": fiscal}
+def version(*modules) -> str:
+    """A parser's version: the hash of the source files that make it up."""
+    return hashlib.sha256(b"".join(inspect.getsource(m).encode() for m in modules)).hexdigest()
 
 
-def parse(jobs: DataFrame, kind: str = "kind") -> DataFrame:
-    """Documents of ``jobs(job_id, kind, client_raw, device_raw)``; an unknown kind yields none."""
+def _fiscal_jobs(jobs: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in DOCS.replace(",description", ";").replace(",total", ";").split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for job, k, a, b in zip(part["job_id"], part["kind"], part["client_raw"], part["device_raw"], strict=True):
-                rows += [{"job_id": job} | d for d in REGISTRY.get(k, lambda a, b: [])(bytes(a or b""), bytes(b or b""))]
+            for job, a, b in zip(part["job_id"], part["client_raw"], part["device_raw"], strict=True):
+                rows += [{"job_id": job} | d for d in fiscal(bytes(a or b""), bytes(b or b""))]
             yield pd.DataFrame(rows, columns=names)
 
-    return jobs.select("job_id", F.col(kind).alias("kind"), "client_raw", "device_raw").mapInPandas(run, DOCS)
+    return jobs.select("job_id", "client_raw", "device_raw").mapInPandas(run, DOCS)
+
+
+def _ticket_jobs(jobs: DataFrame) -> DataFrame:
+    lines = tickets.ticket_lines(jobs)
+    items = tickets.ticket_items(lines)
+    listed = items.groupBy("job_id", "ordinal").agg(F.transform(F.array_sort(F.collect_list(F.struct("sequence", F.col("quantity").cast("int").alias("quantity"), "description", F.col("amount").cast("decimal(19,2)").cast("string").alias("total")))), lambda x: F.struct(x["quantity"].alias("quantity"), x["description"].alias("description"), x["total"].alias("total"))).alias("items"))
+    d = tickets.ticket_documents(lines, items).join(listed, ["job_id", "ordinal"], "left")
+    return d.select("job_id", "ordinal", "type", "complete", "external_code", F.lit(None).cast("string").alias("suffix"), "table_code", "order_code", F.col("total").cast("decimal(19,2)").cast("string").alias("total"), "text", F.coalesce("items", F.array().cast("array<struct<quantity:int,description:string,total:string>>")).alias("items"))
+
+
+#: Parsers by kind, each over a table of jobs, with what its version is made of.
+REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {"pos": _ticket_jobs, "rch": _fiscal_jobs}
+
+
+def parse(jobs: DataFrame, kind: str = "kind") -> DataFrame:
+    """Documents of ``jobs(job_id, kind, client_raw, device_raw)`` with the parser and its version; an unknown kind yields none."""
+    out = None
+    for name, parser in REGISTRY.items():
+        own = version(tickets) if parser is _ticket_jobs else version(sys.modules[parser.__module__])
+        found = parser(jobs.where(F.col(kind) == name)).withColumns({"parser": F.lit(name), "parser_version": F.lit(own)})
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def frame_rows(jobs: DataFrame, column: str = "client_raw") -> DataFrame:
