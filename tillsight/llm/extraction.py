@@ -18,7 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 from random import Random
 
 import numpy as np
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.llm.common import fresh
+
 #: Fixed values of HTML: elements that end a line of text, whose content isn't text, and that close each other.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style title textarea".split())
@@ -36,7 +38,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']++|
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-zA-Z][a-z]*")
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
+_SPACE = re.compile(r"\s+")  # also no-break and wide blanks
 
 
 def _tags(page: str) -> list[tuple[int, int, str, bool, str]]:
@@ -77,7 +79,7 @@ def blocks(page: str | None) -> list[tuple[tuple, str, int]]:
 
     def flush():
         if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip(" ")
+            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 out.append((tuple(stack), text, state[0]))
             parts.clear()
@@ -125,7 +127,7 @@ def blocks(page: str | None) -> list[tuple[tuple, str, int]]:
     return out
 
 
-@cache
+@lru_cache(maxsize=20_000)
 def _path(ancestors: tuple) -> tuple[str, ...]:
     found = {f"in:{t}" for t, _ in ancestors} | {f"word:{w}" for _, names in ancestors for w in names}
     if ancestors:
@@ -322,7 +324,7 @@ def extract(pages: DataFrame, field: Field | None = None, html_col: str = "html"
 
     model = field or fitted()
     keep = [c for c in (pages.columns if carry is None else carry) if c != "text"]
-    slim = pages.select(*keep, F.col(html_col).alias("_read"))
+    slim = pages.select(*keep, F.col(html_col).alias(fresh(pages, "_read")[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
