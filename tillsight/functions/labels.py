@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tillsight import schema
 from tillsight.functions import text, values
 
 #: What the pages call a document type.
@@ -105,3 +106,24 @@ def join_wrapped(first: Column, rest: Column, force_space: bool = False) -> Colu
 def valid_fields(name: Column, count: Column, digest: Column, uid: Column) -> Column:
     """a bounded text, a bounded number, a lower-case SHA-256 and a UUID."""
     return F.coalesce((F.length(F.trim(name)) > 0) & (F.length(name) <= 191) & count.between(0, 10_000_000) & digest.rlike("^[0-9a-f]{64}$") & uid.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lit(False))
+
+
+def merged_warnings(*lists: Column) -> Column:
+    """All warnings in order, each once."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.array_compact(F.concat(*[F.coalesce(x, none) for x in lists])))
+
+
+#: What an alert list shows if nothing is asked for.
+ALERT_DEFAULTS = {"view": "operational", "minimum_difference": 0.01}
+
+
+def alert_filter(asked: dict) -> Column:
+    """The alerts of a view (operational, archive, all) from a least difference on, with the defaults where nothing is asked."""
+    want = ALERT_DEFAULTS | {k: v for k, v in asked.items() if v not in (None, "")}
+    states = {"operational": schema.OPERATIONAL_STATES, "archive": schema.ARCHIVE_STATES}.get(want["view"])
+    c = F.col("difference") >= F.lit(want["minimum_difference"])
+    for name in ("severity", "rule_code"):
+        if name in want:
+            c = c & (F.col(name) == want[name])
+    return c if states is None else c & F.col("status").isin(*states)

@@ -156,6 +156,31 @@ def events(members: DataFrame, payments: DataFrame, changes: DataFrame, delta_ch
     return out.dropDuplicates(["transaction_key", "event_type", "document_id", "detail"])
 
 
+def snapshot_changes(members: DataFrame, lines: DataFrame, types: tuple[str, ...] = ("ORDER", "PRE_BILL", "MANAGEMENT_DOCUMENT")) -> DataFrame:
+    """What changed between each two consecutive sources of an episode that list lines: ``(transaction_key, time,
+    document_id, item_key, change_type, ...)``."""
+    listed = members.where(F.col("type").isin(*types)).join(lines.select("document_id").distinct(), "document_id", "left_semi")
+    before = F.lag("document_id").over(Window.partitionBy("transaction_key").orderBy("time", "document_id"))
+    pairs = listed.withColumn("_before", before).where("_before IS NOT NULL").select("transaction_key", "time", "document_id", "_before")
+    old = lines.withColumnRenamed("document_id", "_before").join(pairs.select("_before", "document_id"), "_before")
+    new = lines.join(pairs.select("document_id"), "document_id")
+    changes = L.line_changes(L.engine_lines(old, ["document_id"], ["sequence"]), L.engine_lines(new, ["document_id"], ["sequence"]), ["document_id"])
+    return pairs.drop("_before").join(changes.where("change_type <> 'UNCHANGED'"), "document_id")
+
+
+def kitchen_changes(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """What each change ticket does to its episode's kitchen lines before it: ``(transaction_key, time, document_id, item_key, change_type)``."""
+    own = members.select("transaction_key", "document_id", "type", "time")
+    change = own.where("type = 'ORDER_CHANGE'").select("transaction_key", F.col("document_id").alias("change_id"), F.col("time").alias("changed_at"))
+    earlier = own.where("type = 'KITCHEN_ORDER'").join(change, "transaction_key").where("time <= changed_at").select("document_id", "change_id")
+    state = L.engine_lines(lines.join(earlier, "document_id"), ["change_id"], ["document_id", "sequence"])
+    printed = L.engine_lines(lines.join(change.select(F.col("change_id").alias("document_id")), "document_id"), ["document_id"], ["sequence"]).withColumnRenamed("document_id", "change_id")
+    after = L.apply_deltas(state, printed.select("change_id", "item_key", F.lit(1).alias("ordinal"), "description", "quantity", "unit_price", F.col("total").alias("line_total"), F.lit(False).alias("removed")), ["change_id"])
+    both = state.select("change_id", "item_key", F.col("quantity").alias("q0")).join(after.select("change_id", "item_key", F.col("quantity").alias("q1")), ["change_id", "item_key"], "full_outer")
+    kind = F.when(F.col("q0").isNull(), "ADDED").when(F.col("q1").isNull(), "REMOVED").when(F.col("q0") != F.col("q1"), "QUANTITY_CHANGED")
+    return both.withColumn("change_type", kind).where("change_type IS NOT NULL").join(change, "change_id").select("transaction_key", F.col("changed_at").alias("time"), F.col("change_id").alias("document_id"), "item_key", "change_type")
+
+
 def numbered(log: DataFrame) -> DataFrame:
     """Sequence of events within each episode."""
     return log.withColumn("sequence", F.row_number().over(Window.partitionBy("transaction_key").orderBy("time", "event_type", "document_id", "detail")))

@@ -292,11 +292,6 @@ def t7_sessions(spark, sf):
     return s.select("user_id", F.col("session_window.start").alias("opened"), "n")
 
 
-@query("f49_dashboard_defaults", "SELECT count(*) AS n FROM orders WHERE o_totalprice >= 0.01 AND o_orderstatus IN ('F', 'O')")
-def f49_dashboard_defaults(spark, sf):
-    return read(spark, sf, "orders").where((F.col("o_totalprice") >= 0.01) & F.col("o_orderstatus").isin("F", "O")).agg(F.count("*").alias("n"))
-
-
 @query("t8_follow_ups", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 900 SECOND")
 def t8_follow_ups(spark, sf):
     """One-sided interval join, the same expression as on streams."""

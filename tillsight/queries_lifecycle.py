@@ -312,3 +312,105 @@ def m6_device_sync(spark, sf):
     stored = canonical(spark, sf).devices.select("device_id", F.concat(F.lit("n"), "ordinal").alias("name"))
     wanted = read(spark, sf, "part").where("p_partkey % 3 <> 0").select(F.concat(F.lit("dev_"), "p_partkey").alias("device_id"), F.concat(F.when(F.col("p_partkey") % 4 == 0, "x").otherwise("n"), "p_partkey").alias("name"))
     return R.synchronised(stored, wanted, "device_id", ["name"]).select("device_id", "action")
+
+
+_VS = """vs AS MATERIALIZED (SELECT document_id, CASE WHEN device_id IN ('dev_1', 'dev_2', 'dev_3', 'dev_4', 'dev_5') THEN 'pos' ELSE 'rch' END AS parser_name, unnest(range(1, 2 + length(document_id) % 3)) AS sequence, type, order_code, table_code FROM documents_),
+act AS (SELECT 'pos' AS parser_name, 'pos-1' AS version_id)"""
+
+
+def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parsed versions of every document, one to three; the till parser's first version was made active again."""
+    d = canonical(spark, sf_dir).documents
+    parser = F.when(F.col("device_id").isin(*[f"dev_{i}" for i in range(1, 6)]), "pos").otherwise("rch")
+    v = d.select("document_id", parser.alias("parser_name"), F.explode(F.sequence(F.lit(1), 1 + F.length("document_id") % 3)).alias("sequence"), "type", "order_code", "table_code")
+    v = v.withColumns({"parser_version": F.concat_ws("-", "parser_name", "sequence"), "version_id": F.concat_ws(":", "document_id", "sequence")})
+    return v, spark.createDataFrame([("pos", "pos-1")], "parser_name string, version_id string")
+
+
+@query("w1_active_versions", PRE + ", " + _VS + " SELECT document_id, parser_name || '-' || sequence AS parser_version FROM vs LEFT JOIN act USING (parser_name) QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY (parser_name || '-' || sequence = version_id) DESC NULLS LAST, sequence DESC) = 1")
+def w1_active_versions(spark, sf):
+    """The active version of a document, else the latest."""
+    return R.active_versions(*versions(spark, sf)).select("document_id", "parser_version")
+
+
+@query("j2_left_active", PRE + ", " + _VS + " SELECT parser_name || '-' || sequence AS parser_version, count(*) AS n, coalesce(parser_name || '-' || sequence = version_id, FALSE) AS active FROM vs LEFT JOIN act USING (parser_name) GROUP BY 1, 3")
+def j2_left_active(spark, sf):
+    """Parser versions beside what is active; a parser without an active version stays."""
+    v, a = versions(spark, sf)
+    joined = v.join(F.broadcast(a.withColumnRenamed("version_id", "active_version")), "parser_name", "left")  # one row a parser
+    return joined.groupBy("parser_version", F.coalesce(F.col("parser_version") == F.col("active_version"), F.lit(False)).alias("active")).agg(F.count("*").alias("n"))
+
+
+@query("d34_backfill", PRE + ", " + _VS + " SELECT document_id || ':' || sequence AS version_id, type, order_code, table_code FROM vs")
+def d34_backfill(spark, sf):
+    """Versions without meaning of their own take their document's, as a whole row."""
+    v, _ = versions(spark, sf)
+    cols = ["type", "order_code", "table_code"]
+    bare = v.select("document_id", "version_id", *[F.when(F.col("sequence") > 1, F.col(c)).alias(c) for c in cols])
+    parent = canonical(spark, sf).documents.select("document_id", *[F.col(c).alias(f"d_{c}") for c in cols])
+    return bare.join(parent, "document_id", "left").select("version_id", *R.versioned(cols, [f"d_{c}" for c in cols]))
+
+
+@query("a29_ocr_lines", "SELECT l_orderkey, string_agg('W' || l_partkey, ' ' ORDER BY l_linenumber, 'W' || l_partkey) AS text, round(sum(l_quantity * (1 + length(l_partkey::VARCHAR))) / sum(1 + length(l_partkey::VARCHAR)), 6) AS confidence, min(l_partkey % 100)::BIGINT AS left, min(l_suppkey % 50)::BIGINT AS top, max(l_partkey % 100 + 10)::BIGINT AS right, max(l_suppkey % 50 + 4)::BIGINT AS bottom FROM lineitem WHERE l_quantity > 5 AND l_partkey % 9 <> 0 GROUP BY 1")
+def a29_ocr_lines(spark, sf):
+    """Words of a line with weighted confidence and the box around them; bad ones and blanks are none."""
+    from tillsight.sources.tickets import ocr_lines
+
+    i = read(spark, sf, "lineitem")
+    w = i.select("l_orderkey", F.col("l_linenumber").alias("place"), F.when(F.col("l_partkey") % 9 == 0, " ").otherwise(F.concat(F.lit(" W"), F.col("l_partkey").cast("string"))).alias("text"), F.when(F.col("l_quantity") > 5, F.col("l_quantity").cast("double")).otherwise(-1.0).alias("confidence"), (F.col("l_partkey") % 100).alias("left"), (F.col("l_suppkey") % 50).alias("top"), F.lit(10).alias("width"), F.lit(4).alias("height"))
+    return ocr_lines(w, ["l_orderkey"]).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("u6_ordered_unique", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'parser_input_limit_exceeded,' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN 'odd_' || lang || ',' ELSE '' END || 'document_timestamp_invalid' || CASE WHEN doc_id % 3 <> 0 THEN ',odd_' || lang ELSE '' END AS warnings FROM documents")
+def u6_ordered_unique(spark, sf):
+    """Warnings of the stages of a parse, in order, each once."""
+    k, odd = F.col("doc_id"), F.concat(F.lit("odd_"), "lang")
+    lists = F.when(k % 2 == 0, F.array(F.lit("parser_input_limit_exceeded"))), F.when(k % 3 == 0, F.array(odd, odd)), F.array(F.lit("document_timestamp_invalid"), F.lit(None).cast("string")), F.array(odd, F.lit("document_timestamp_invalid"))
+    return read(spark, sf, "documents").select("doc_id", labels.merged_warnings(*lists).alias("warnings"))
+
+
+@query("f49_alert_defaults", PRE + ", " + _AL + " SELECT 'default' AS asked, count(*) AS n FROM alr WHERE status IN ('OPEN', 'UNDER_REVIEW', 'CONFIRMED') AND difference >= 0.01 UNION ALL SELECT 'archive', count(*) FROM alr WHERE status IN ('FALSE_POSITIVE', 'JUSTIFIED', 'CLOSED') AND difference >= 0.01 UNION ALL SELECT 'critical', count(*) FROM alr WHERE severity = 'CRITICAL' AND difference >= 5000")
+def f49_alert_defaults(spark, sf):
+    """alert lists with nothing asked for, and with more."""
+    a = written(alerts(spark, sf), "alerts")
+    out = None
+    for name, asked in (("default", {"view": "", "severity": None}), ("archive", {"view": "archive"}), ("critical", {"view": "all", "severity": "CRITICAL", "minimum_difference": 5000})):
+        n = a.where(labels.alert_filter(asked)).agg(F.count("*").alias("n")).select(F.lit(name).alias("asked"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query("d18_snapshot_stream", PRE + ", f AS (SELECT transaction_key, min(sequence) AS s FROM kl JOIN m USING (document_id) WHERE type = 'PRE_BILL' GROUP BY 1), g AS (SELECT 'V' || document_id AS document_id, item_key, count(*) FILTER (kl.sequence <> f.s) AS others FROM kl JOIN m USING (document_id) JOIN f USING (transaction_key) WHERE type = 'PRE_BILL' GROUP BY 1, 2 HAVING count(*) FILTER (kl.sequence = f.s) > 0) SELECT document_id, item_key, CASE WHEN others > 0 THEN 'QUANTITY_CHANGED' ELSE 'REMOVED' END AS change_type FROM g")
+def d18_snapshot_stream(spark, sf):
+    """A second pre-bill a minute later without the first line."""
+    c, members, _ = sales(spark, sf)
+    bill = members.where("type = 'PRE_BILL'")
+    again = bill.withColumns({"document_id": F.concat(F.lit("V"), "document_id"), "time": F.col("time") + F.expr("INTERVAL 1 MINUTE")})
+    own = c.lines.join(bill.select("document_id"), "document_id", "left_semi")
+    w = Window.partitionBy("document_id")
+    rest = own.withColumn("_least", F.min("sequence").over(w)).where("sequence <> _least").drop("_least").withColumn("document_id", F.concat(F.lit("V"), "document_id"))
+    # A bill of one line has no second snapshot with lines, so such pairs are told by the others.
+    rest = rest.unionByName(own.withColumn("_n", F.count("*").over(w)).where("_n = 1").drop("_n").withColumns({"document_id": F.concat(F.lit("V"), "document_id"), "item_code": F.lit("OTHER")}))
+    found = T.snapshot_changes(members.unionByName(again), c.lines.unionByName(rest), ("PRE_BILL",))
+    return found.where("change_type <> 'ADDED'").select("document_id", "item_key", "change_type")
+
+
+@query("d18_kitchen_stream", PRE + ", s AS (SELECT substr(document_id, 2) AS tk, item_key, sum(quantity) FILTER (document_id[1] = 'K') AS q0, sum(quantity) FILTER (document_id[1] = 'H') AS q1 FROM kl WHERE document_id[1] IN ('K', 'H') GROUP BY 1, 2) SELECT 'H' || tk AS document_id, item_key, CASE WHEN q0 + q1 <= 0 THEN 'REMOVED' ELSE 'QUANTITY_CHANGED' END AS change_type FROM s WHERE q0 IS NOT NULL AND q1 IS NOT NULL")
+def d18_kitchen_stream(spark, sf):
+    """What change tickets do to the kitchen lines before them."""
+    c, members, _ = sales(spark, sf)
+    return T.kitchen_changes(members, c.lines).select("document_id", "item_key", "change_type")
+
+
+_ZERO = "0" * 64
+
+
+@query("d19_chain", PRE.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _EV + f""", n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY transaction_key ORDER BY time, event_type, document_id, detail) AS sequence FROM ev),
+c AS (SELECT transaction_key, sequence, '{_ZERO}' AS previous_hash, sha256(from_hex('{_ZERO}') || encode('{{"document_id":"' || document_id || '","event_type":"' || event_type || '"}}')) AS record_hash FROM n WHERE sequence = 1
+UNION ALL SELECT n.transaction_key, n.sequence, c.record_hash, sha256(from_hex(c.record_hash) || encode('{{"document_id":"' || n.document_id || '","event_type":"' || n.event_type || '"}}')) FROM c JOIN n ON n.transaction_key = c.transaction_key AND n.sequence = c.sequence + 1)
+SELECT transaction_key, sequence, previous_hash, record_hash FROM c""")
+def d19_chain(spark, sf):
+    """The hash chain over every order's events."""
+    log = T.numbered(context(spark, sf, events=True).events)
+    payload = values.canonical_json({"event_type": F.col("event_type"), "document_id": F.col("document_id")})
+    return T.hash_chain(log, "transaction_key", "sequence", payload)

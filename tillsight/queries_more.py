@@ -13,7 +13,7 @@ from tillsight.operators import rules as U
 from tillsight.operators import workflow as W
 from tillsight.plans.projection import canonical
 from tillsight.queries_functions import read
-from tillsight.queries_sales import _AL, PRE, alerts, sales
+from tillsight.queries_sales import _AL, _SCORES, PRE, alerts, sales
 from tillsight.registry import query
 
 
@@ -116,15 +116,13 @@ def j20_order_of_document(spark, sf):
     return members.where(F.col("type").isin("CONFORMING_COPY", "REPRINT", "DEVICE_RESPONSE")).select("document_id", F.col("transaction_key").alias("order_code"))
 
 
-@query("a18_edge_scores", None)
+@query("a18_edge_scores", PRE + ", " + _SCORES + ", k AS (SELECT substr(x.document_id, 2) AS tk, e.a, e.b, score FROM scored e JOIN documents_ x ON e.a = x.document_id WHERE score >= 60 AND substr(e.a, 2) = substr(e.b, 2)), best AS (SELECT id, max(score) AS score FROM (SELECT a AS id, score FROM k UNION ALL SELECT b, score FROM k) GROUP BY 1) SELECT transaction_key AS cluster, min(coalesce(score, 0))::BIGINT AS score FROM m LEFT JOIN best ON document_id = id GROUP BY 1 HAVING count(*) > 1")
 def a18_edge_scores(spark, sf):
-    """The best edge of each document, then the least over the episode."""
-    c = canonical(spark, sf)
+    """The best edge of each document within its episode, then the least over the episode."""
+    c, members, _ = sales(spark, sf)
     d = P.described(c.documents, c.lines)
-    s = P.score(P.candidates(d), d).where(F.col("score") >= P.MINIMUM)
-    best = s.select(F.col("a").alias("document_id"), "score").unionByName(s.select(F.col("b").alias("document_id"), "score")).groupBy("document_id").agg(F.max("score").alias("score"))
-    _, members, _ = sales(spark, sf)
-    return members.join(best, "document_id", "left").groupBy("transaction_key").agg(F.min(F.coalesce("score", F.lit(0))).alias("score"))
+    of = members.select("document_id", F.col("transaction_key").alias("cluster"))
+    return P.correlations(P.score(P.candidates(d), d), of).select("cluster", "score")
 
 
 @query("a23_price_display", PRE + ", k AS (SELECT substr(document_id, 2) AS tk, item_code AS code, unit_price AS u FROM lines_ WHERE document_id[1] = 'P' AND item_code IS NOT NULL) SELECT tk, code, CASE WHEN count(DISTINCT u) > 1 THEN 'CONFLICTING_SOURCES' ELSE 'RESOLVED' END AS status, CASE WHEN count(DISTINCT u) = 1 THEN max(u) END::DOUBLE AS price FROM k GROUP BY 1, 2")
@@ -139,12 +137,6 @@ def a27_page_total(spark, sf):
     return canonical(spark, sf).documents.where("type = 'PRE_BILL'").agg(F.count("*").alias("total"))
 
 
-@query("a29_weighted_mean", "SELECT user_id, round(sum(value * length(props)) / sum(length(props)), 6) AS mean, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1")
-def a29_weighted_mean(spark, sf):
-    w = F.length("props")
-    return read(spark, sf, "events").groupBy("user_id").agg(F.round(F.sum(F.col("value") * w) / F.sum(w), 6).alias("mean"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-
-
 @query("a30_distinct", "SELECT DISTINCT user_id, event_type FROM events")
 def a30_distinct(spark, sf):
     return read(spark, sf, "events").select("user_id", "event_type").distinct()
@@ -157,12 +149,6 @@ def o3_bounded_hits(spark, sf):
     return a.unionByName(R.page(read(spark, sf, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id")), ["id"], 100))
 
 
-@query("u6_ordered_unique", "SELECT user_id, string_agg(event_type, ',' ORDER BY f) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY 1, 2) GROUP BY 1")
-def u6_ordered_unique(spark, sf):
-    e = read(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
-    return e.select("user_id", F.array_distinct(F.transform("e", lambda x: x["event_type"])).alias("kinds"))
-
-
 @query("d8_dispatches", PRE + "SELECT document_id AS a, 'Q' || transaction_key AS b, 85::BIGINT AS score FROM m WHERE type = 'KITCHEN_ORDER'")
 def d8_dispatches(spark, sf):
     """With every kitchen ticket printed in a second department twenty seconds later."""
@@ -204,12 +190,6 @@ def d23_idempotent_alerts(spark, sf):
     return new.join(old)  # two single rows
 
 
-@query("d34_backfill", "SELECT o_orderkey, coalesce(c_mktsegment, 'NONE') AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
-def d34_backfill(spark, sf):
-    c = read(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    return read(spark, sf, "orders").join(c, "o_custkey", "left").select("o_orderkey", F.coalesce("c_mktsegment", F.lit("NONE")).alias("segment"))
-
-
 @query("m2_alert_history", PRE + ", " + _AL + " SELECT alert_id, CASE WHEN status = 'OPEN' THEN 1 ELSE 2 END::BIGINT AS entries, status FROM alr")
 def m2_alert_history(spark, sf):
     """M2: an append-only history; the current status is its last entry."""

@@ -176,13 +176,6 @@ def p25_document_scope(spark, sf):
     return R.has_content(c.payments, c.lines, c.documents).where(R.document_scope(exclude="PRE_BILL")).select("document_id")
 
 
-@query("j2_left_active", "SELECT o_orderkey, n_name FROM orders LEFT JOIN (SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 3) ON o_custkey = c_custkey")
-def j2_left_active(spark, sf):
-    r = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
-    c = r("customer").join(r("nation").where("n_regionkey = 3"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return r("orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "n_name")
-
-
 @query("j4_latest_status", "SELECT user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def j4_latest_status(spark, sf):
     return R.latest(spark.read.parquet(f"{sf}/events.parquet"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "ts")
@@ -250,9 +243,27 @@ def d2_apply_deltas(spark, sf):
     return L.apply_deltas(state, deltas, ["document_id"])
 
 
-@query("d3_pair_scores", None)
+_SCORES = _PAIR_KEYS + """, f AS MATERIALIZED (SELECT d.*, coalesce(document_time, captured_at) AS time, coalesce(gross_total, net_total) AS total, coalesce(keys, []) AS keys, type IN ('COMMERCIAL_DOCUMENT') OR (type = 'MANAGEMENT_DOCUMENT' AND economic_close) AS closes,
+ type IN ('ORDER', 'ORDER_CHANGE', 'KITCHEN_ORDER', 'PRE_BILL', 'MANAGEMENT_DOCUMENT') AS src, type IN ('COMMERCIAL_DOCUMENT', 'REFUND', 'PAYMENT', 'CANCELLATION') AS fol, type IN ('CONFORMING_COPY', 'REPRINT') AS cop, type = 'COMMERCIAL_DOCUMENT' AS fis, type IN ('ORDER', 'KITCHEN_ORDER', 'PRE_BILL') AS opens,
+ CASE WHEN type IN ('PRE_BILL', 'MANAGEMENT_DOCUMENT') THEN 'M' WHEN type = 'COMMERCIAL_DOCUMENT' THEN 'C' END AS space FROM documents_ d LEFT JOIN (SELECT document_id, list_distinct(list(item_key)) AS keys FROM kl GROUP BY 1) USING (document_id)),
+pr AS (SELECT fa.document_id AS a, fb.document_id AS b, fa AS x, fb AS y, abs(epoch(fb.time) - epoch(fa.time))::BIGINT AS delta, (epoch(fb.time) - epoch(fa.time))::BIGINT AS d, list_has_any(fa.keys, fb.keys) AS shared, coalesce(fa.order_code = fb.order_code, FALSE) AS so, coalesce(fa.table_code = fb.table_code, FALSE) AS st, coalesce(fa.order_reference = fb.order_reference, FALSE) AS sr
+ FROM cand JOIN f fa ON cand.a = fa.document_id JOIN f fb ON cand.b = fb.document_id),
+cp AS (SELECT *, CASE WHEN x.cop OR y.cop THEN x.fis OR y.fis WHEN x.fis AND y.fis THEN FALSE ELSE (x.src AND y.src) OR (x.src AND y.fol) OR (y.src AND x.fol) END AS fit FROM pr),
+gs AS (SELECT *, CASE WHEN fit AND delta <= 7200 THEN least(100, 35 * so::INT + 15 * coalesce(x.space = y.space AND x.external_code = y.external_code, FALSE)::INT + 12 * st::INT + 5 * coalesce(x.operator_code = y.operator_code, FALSE)::INT + 20 * sr::INT
+ + CASE WHEN delta <= 120 THEN 12 WHEN delta <= 900 THEN 8 ELSE 4 END + 3 * (CAST(x.time AS DATE) = CAST(y.time AS DATE))::INT + CASE WHEN x.total = y.total THEN 8 WHEN least(x.total, y.total) >= 0 AND x.total IS NOT NULL AND y.total IS NOT NULL AND x.total <> y.total THEN 3 ELSE 0 END
+ + CASE WHEN len(x.keys) > 0 AND len(y.keys) > 0 THEN round_even(len(list_intersect(x.keys, y.keys)) * 12.0 / len(list_distinct(list_concat(x.keys, y.keys))), 0)::INT ELSE 0 END + 8 + 2 * (x.device_id = y.device_id)::INT) ELSE 0 END AS general FROM cp),
+rl_ AS (SELECT *, CASE WHEN x.type = 'DEVICE_RESPONSE' OR y.type = 'DEVICE_RESPONSE' THEN 'response' WHEN (x.closes AND y.opens AND x.time < y.time) OR (y.closes AND x.opens AND y.time < x.time) THEN 'boundary'
+ WHEN coalesce(x.order_code <> y.order_code, FALSE) OR coalesce(x.table_code <> y.table_code, FALSE) OR coalesce(x.order_reference <> y.order_reference, FALSE) THEN 'conflict'
+ WHEN delta <= 7200 AND coalesce((x.fis AND (y.cop OR y.type = 'MANAGEMENT_DOCUMENT') AND y.commercial_reference = x.external_code) OR (y.fis AND (x.cop OR x.type = 'MANAGEMENT_DOCUMENT') AND x.commercial_reference = y.external_code), FALSE) THEN 'commercial_reference'
+ WHEN st AND shared AND ((x.type = 'PRE_BILL' AND y.fis AND d BETWEEN 0 AND 300) OR (y.type = 'PRE_BILL' AND x.fis AND -d BETWEEN 0 AND 300)) THEN 'table_sale' WHEN x.fis AND y.fis AND delta <= 7200 AND (so OR sr) THEN 'fiscal_siblings'
+ WHEN x.device_id = y.device_id AND st AND shared AND ((x.type = 'KITCHEN_ORDER' AND y.type = 'ORDER_CHANGE' AND d BETWEEN 0 AND 300) OR (y.type = 'KITCHEN_ORDER' AND x.type = 'ORDER_CHANGE' AND -d BETWEEN 0 AND 300)) THEN 'table_change'
+ WHEN x.type = 'KITCHEN_ORDER' AND y.type = 'KITCHEN_ORDER' AND x.device_id <> y.device_id AND st AND delta <= 30 THEN 'dispatch' ELSE 'general' END AS rule FROM gs),
+scored AS MATERIALIZED (SELECT a, b, rule, delta, (CASE rule WHEN 'response' THEN CASE WHEN delta <= 7200 AND x.job_id = y.job_id THEN 90 ELSE 0 END WHEN 'boundary' THEN 0 WHEN 'conflict' THEN 0 WHEN 'commercial_reference' THEN 95 WHEN 'table_sale' THEN 100 WHEN 'fiscal_siblings' THEN 80 WHEN 'table_change' THEN 100 WHEN 'dispatch' THEN 85 ELSE general END)::BIGINT AS score FROM rl_)"""
+
+
+@query("d3_pair_scores", PRE + ", " + _SCORES + " SELECT a, b, score, rule, delta FROM scored WHERE score > 0")
 def d3_pair_scores(spark, sf):
-    """D3 to D12 over all candidate pairs; tests hold the arithmetic against hand-made cases."""
+    """D3 to D12 over all candidate pairs, with the rule that decides each."""
     c = canonical(spark, sf)
     d = P.described(c.documents, c.lines)
     return P.score(P.candidates(d), d).where("score > 0").select("a", "b", "score", "rule", "delta")
@@ -328,14 +339,6 @@ def d18_order_events(spark, sf):
     return T.numbered(context(spark, sf, events=True).events).select("transaction_key", "time", "event_type", "document_id", "detail", "sequence")
 
 
-@query("d19_first_hashes", PRE + ", " + _EV + """, n AS (SELECT *, row_number() OVER (PARTITION BY transaction_key ORDER BY time, event_type, document_id, detail) AS sequence FROM ev) SELECT transaction_key, sequence, '0000000000000000000000000000000000000000000000000000000000000000' AS previous_hash, sha256(from_hex('0000000000000000000000000000000000000000000000000000000000000000') || encode('{"document_id":"' || document_id || '","event_type":"' || event_type || '"}')) AS record_hash FROM n WHERE sequence = 1""")
-def d19_first_hashes(spark, sf):
-    """Hash chains; the first link of each."""
-    log = T.numbered(context(spark, sf, events=True).events)
-    payload = values.canonical_json({"event_type": F.col("event_type"), "document_id": F.col("document_id")})
-    return T.hash_chain(log, "transaction_key", "sequence", payload).where("sequence = 1")
-
-
 @query("d20_price_attribution", PRE + """, t AS (SELECT substr(document_id, 2) AS tk, document_id || ':' || sequence AS target, item_code AS code, lower(description) AS descr, quantity AS tq FROM lines_ WHERE document_id[1] IN ('K', 'H')),
 s AS (SELECT substr(document_id, 2) AS tk, document_id || ':' || sequence AS source, document_id AS sd, item_code AS code, lower(description) AS descr, quantity AS sq, unit_price AS unit, line_total AS total FROM lines_ WHERE document_id[1] IN ('P', 'C') AND document_id IN (SELECT document_id FROM documents_ WHERE complete)),
 c AS (SELECT t.tk, target, source, sd, unit, total, 0 AS basis FROM t JOIN s ON t.tk = s.tk AND t.code = s.code AND abs(tq) = abs(sq) UNION ALL SELECT t.tk, target, source, sd, unit, total, 1 FROM t JOIN s ON t.tk = s.tk AND t.descr = s.descr AND abs(tq) = abs(sq)),
@@ -467,10 +470,22 @@ def d21_primary_hides_symptoms(spark, sf):
     return U.evaluate(U.pinned(context(spark, sf)), tuple(keep)).groupBy("rule_code").agg(F.count("*").alias("n"))
 
 
-@query("d21_all_rules", None)
+_ALL = f"""p AS (SELECT transaction_key, prebill_total FROM tx), one AS (
+SELECT transaction_key, 'MODIFICA_POST_PRECONTO' AS rule_code, least(100, 70 + CAST(floor({_PCT} * 0.3) AS INTEGER))::BIGINT AS score, 1::BIGINT AS hits FROM tx WHERE prebill_total > 0 AND (fiscals > 0 OR cancellations > 0 OR closings > 0) AND difference >= 1 AND percent >= 20
+UNION ALL SELECT transaction_key, 'ORDER_WITHOUT_FISCAL_CLOSE', 70, 1 FROM tx WHERE prebill_id IS NOT NULL AND fiscals = 0 AND closings = 0
+UNION ALL SELECT transaction_key, 'EXCESSIVE_VOID_OR_CANCELLATION', least(100, 60 + 8 * n), n FROM (SELECT transaction_key, count(*) FILTER (event_type IN ('ITEM_REMOVED', 'ORDER_VOIDED')) AS n FROM ev GROUP BY 1) WHERE n >= 3
+UNION ALL SELECT transaction_key, 'REPRINT_OR_COPY_ANOMALY', 55 + 8 * n, n FROM (SELECT transaction_key, count(*) AS n FROM m WHERE type IN ('CONFORMING_COPY', 'REPRINT') GROUP BY 1) WHERE n > 2
+UNION ALL SELECT transaction_key, 'TOTAL_LINE_MISMATCH', least(100, 65 + 10 * n), n FROM (SELECT transaction_key, count(*) AS n FROM m JOIN (SELECT document_id, sum(line_total) AS s, count(*) FILTER (line_total IS NULL) AS gaps FROM lines_ GROUP BY 1) USING (document_id) WHERE gaps = 0 AND complete AND total IS NOT NULL AND type IN ('PRE_BILL', 'COMMERCIAL_DOCUMENT') AND abs(total - s) > 0.01 GROUP BY 1)
+UNION ALL SELECT transaction_key, 'PAYMENT_TOTAL_MISMATCH', least(100, 70 + CAST(floor(abs(fiscal_total - payment_total)) AS INTEGER)), 1 FROM tx WHERE payment_records > 0 AND transaction_key IN (SELECT transaction_key FROM m WHERE type = 'COMMERCIAL_DOCUMENT') AND abs(fiscal_total - payment_total) > 0.01
+UNION ALL SELECT transaction_key, 'UNUSUAL_OPERATOR_PATTERN', least(100, 50 + CAST(floor(bad::DOUBLE / n * 100) AS INTEGER)), 1 FROM tx JOIN (SELECT operator_code, count(*) AS n, count(*) FILTER (percent >= 20) AS bad FROM tx GROUP BY 1) USING (operator_code) WHERE n >= 20 AND bad::DOUBLE / n >= 0.3
+UNION ALL SELECT key, 'DOCUMENT_SEQUENCE_GAP', least(100, 65 + 10 * hits), hits FROM (SELECT key, count(*) AS hits, min(least) AS least FROM (SELECT unnest(list_distinct([transaction_key, after_key])) AS key, least(document_id, after_id) AS least FROM (SELECT *, lead(n) OVER w AS after, lead(document_id) OVER w AS after_id, lead(transaction_key) OVER w AS after_key FROM (SELECT *, CAST(regexp_extract(external_code, '(\\d+)$', 1) AS BIGINT) AS n, regexp_extract(external_code, '^(.*?)(\\d+)$', 1) AS pfx FROM m WHERE regexp_matches(external_code, '\\d$')) WINDOW w AS (PARTITION BY device_id, type, CAST(time AS DATE), pfx ORDER BY n, document_id)) WHERE after - n > 1) GROUP BY 1) WHERE substr(least, 2) = key
+UNION ALL SELECT transaction_key, 'DUPLICATE_DOCUMENT', least(100, 70 + 10 * hits), hits FROM (SELECT transaction_key, count(DISTINCT g) AS hits, min(lo) AS lo, list(document_id) AS mine FROM (SELECT *, count(DISTINCT job_id) OVER (PARTITION BY g) AS jobs, min(document_id) OVER (PARTITION BY g) AS lo FROM (SELECT *, (device_id, type, CAST(time AS DATE), coalesce('CODE:' || external_code, 'HASH:' || payload_sha256)) AS g FROM m WHERE type NOT IN ('CONFORMING_COPY', 'REPRINT', 'DEVICE_RESPONSE'))) WHERE jobs > 1 GROUP BY 1) WHERE list_contains(mine, lo))"""
+
+
+@query("d21_all_rules", PRE + ", " + _EV + ", " + _ALL + " SELECT transaction_key, rule_code, score, hits FROM one")
 def d21_all_rules(spark, sf):
-    """All seventeen rules at once."""
-    return U.evaluate(U.pinned(context(spark, sf, changes=True, events=True, stats=True)))
+    """All seventeen rules at once."""
+    return U.evaluate(U.pinned(context(spark, sf, changes=True, events=True, stats=True))).select("transaction_key", "rule_code", "score", "hits")
 
 
 @query("j11_whitelist", PRE + f"SELECT transaction_key, CASE WHEN operator_code = 'OP3' THEN 'w1' WHEN CAST(transaction_key AS BIGINT) % 7 = 0 THEN 'w2' END AS whitelist_id FROM tx WHERE {_R1}")
