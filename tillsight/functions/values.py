@@ -80,13 +80,6 @@ def business_date(t: Column, zone: str = "Europe/Rome") -> Column:
     return F.to_date(F.from_utc_timestamp(t, zone))
 
 
-def offset_label(seconds: Column) -> Column:
-    """+1 min 5 s."""
-    a = F.abs(seconds)
-    size = F.when(a >= 60, F.concat(F.floor(a / 60).cast("string"), F.lit(" min "), (a % 60).cast("string"), F.lit(" s"))).otherwise(F.concat(a.cast("string"), F.lit(" s")))
-    return F.concat(F.when(seconds < 0, "-").otherwise("+"), size)
-
-
 def xor_checksum(data: Column) -> Column:
     """exclusive or of a binary's bytes."""
     text = F.hex(data)

@@ -142,11 +142,6 @@ def f33_receipt_text(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.sha2(text.receipt_text(shown), 256).alias("h"))
 
 
-@query("f35_offset_label", "SELECT event_id, CASE WHEN s < 0 THEN '-' ELSE '+' END || CASE WHEN abs(s) >= 60 THEN abs(s) // 60 || ' min ' || abs(s) % 60 || ' s' ELSE abs(s) || ' s' END AS label FROM (SELECT event_id, event_id % 400 - 200 AS s FROM events)")
-def f35_offset_label(spark, sf):
-    return read(spark, sf, "events").select("event_id", values.offset_label(F.col("event_id") % 400 - 200).alias("label"))
-
-
 @query("f40_safe_name", "SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(text || '.txt', '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g')[1:191], ''), 'evidence.bin') AS name FROM documents")
 def f40_safe_name(spark, sf):
     return read(spark, sf, "documents").select("doc_id", text.safe_name(F.concat("text", F.lit(".txt"))).alias("name"))
@@ -246,12 +241,6 @@ def k9_quarantine(spark, sf):
     return R.split_valid(read(spark, sf, "events"), {"value": F.col("value") >= 5, "type": F.col("event_type") != "error"})[1].select("event_id", "failed")
 
 
-@query("k6_csv_rows", "SELECT c_custkey, CASE WHEN regexp_matches(CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR), '^[=+\\-@]') THEN '''' || CAST(floor(c_acctbal) AS BIGINT) ELSE CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) END AS cell FROM customer ORDER BY c_custkey LIMIT 10000")
-def k6_csv_rows(spark, sf):
-    c = read(spark, sf, "customer").select("c_custkey", text.csv_safe(F.floor("c_acctbal").cast("bigint").cast("string")).alias("cell"))
-    return R.page(c, ["c_custkey"], 10_000)
-
-
 @query("d26_rule_versions", "WITH h AS (SELECT user_id AS code, event_type AS fingerprint, ts, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS rn FROM events) WHERE rn = 1), v AS (SELECT * FROM h WHERE before IS NULL OR before <> fingerprint) SELECT code, fingerprint, row_number() OVER w AS version, CAST(floor(epoch(ts)) AS BIGINT) AS effective_from, CAST(floor(epoch(lead(ts) OVER w)) AS BIGINT) AS effective_to FROM v WINDOW w AS (PARTITION BY code ORDER BY ts)")
 def d26_rule_versions(spark, sf):
     e = R.latest(read(spark, sf, "events"), ["user_id", "ts"], ["event_id"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillsight import schema
-from tillsight.functions import labels, text, values
+from tillsight.functions import exports, labels, values
 from tillsight.operators import lifecycle as C
 from tillsight.operators import lines as L
 from tillsight.operators import pairs as P
@@ -414,3 +414,43 @@ def d19_chain(spark, sf):
     log = T.numbered(context(spark, sf, events=True).events)
     payload = values.canonical_json({"event_type": F.col("event_type"), "document_id": F.col("document_id")})
     return T.hash_chain(log, "transaction_key", "sequence", payload)
+
+
+@query("f35_offset_label", "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'Non calcolabile: uno o entrambi gli orari non sono stati osservati nel flusso' WHEN event_id % 13 = 0 THEN 'Scarto non valido' WHEN s = 0 THEN '0 s (orologi allineati al minuto/secondo osservato)' ELSE CASE WHEN s < 0 THEN '' ELSE '+' END || s || ' s (footer RCH ' || CASE WHEN s < 0 THEN 'indietro' ELSE 'avanti' END || ' di ' || CASE WHEN abs(s) >= 60 THEN abs(s) // 60 || ' min' ELSE '' END || CASE WHEN abs(s) >= 60 AND abs(s) % 60 > 0 THEN ' ' ELSE '' END || CASE WHEN abs(s) % 60 > 0 THEN abs(s) % 60 || ' s' ELSE '' END || ' rispetto all''ora applicativa)' END AS label FROM (SELECT event_id, event_id % 400 - 200 AS s FROM events)")
+def f35_offset_label(spark, sf):
+    k = F.col("event_id")
+    return read(spark, sf, "events").select("event_id", exports.offset_label(F.when(k % 11 == 0, None).when(k % 13 == 0, "soon").otherwise((k % 400 - 200).cast("string"))).alias("label"))
+
+
+@query("f34_text_export", r"SELECT doc_id, sha256('VISTA' || chr(10) || 'Il RAW immutabile resta autoritativo.' || chr(10) || chr(10) || CASE WHEN k = 0 THEN 'INTESTAZIONE DOCUMENTO' || chr(10) || 'Insegna: Bar ' || lang || chr(10) || 'Indirizzo: Via 1' || chr(10) || 'Indirizzo 3: ' || source || chr(10) || 'Partita IVA: 0' || doc_id || chr(10) || 'Provenienza intestazione: Configurata sul dispositivo (non osservata nel flusso)' || chr(10) || chr(10) ELSE '' END || 'TESTO DOCUMENTO' || chr(10) || coalesce(nullif(b, ''), 'Nessun testo documento disponibile.') || CASE k WHEN 0 THEN '' WHEN 1 THEN chr(10) || chr(10) || 'PROVENIENZA INTESTAZIONE' || chr(10) || 'Non osservata nel flusso e non configurata' ELSE chr(10) || chr(10) || 'PROVENIENZA INTESTAZIONE' || chr(10) || 'Osservata nel blocco iniziale stampato dalla RCH' END || chr(10)) AS h FROM (SELECT *, doc_id % 3 AS k, CASE WHEN doc_id % 7 = 0 THEN '' ELSE trim(regexp_replace(regexp_replace(replace(text, chr(13), chr(10)), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) END AS b FROM documents)")
+def f34_text_export(spark, sf):
+    """The text view of whole documents with a configured, a printed or no header."""
+    k, none = F.col("doc_id") % 3, F.lit(None).cast("string")
+    evidence = F.when(k == 0, "DEVICE_METADATA_CONFIGURED").otherwise("RCH_PRINTED_HEADER")
+    header = F.struct(F.concat(F.lit(" Bar "), "lang").alias("merchant_name"), F.lit(" \x07").alias("legal_name"), F.array(F.lit("Via 1"), F.lit("  "), F.col("source")).alias("address_lines"), none.alias("phone"), none.alias("tax_code"), F.concat(F.lit("0"), F.col("doc_id").cast("string")).alias("vat_number"), evidence.alias("evidence"))
+    return read(spark, sf, "documents").select("doc_id", F.sha2(exports.text_export(F.when(F.col("doc_id") % 7 == 0, " \n").otherwise(F.col("text")), F.when(k != 1, header), "VISTA"), 256).alias("h"))
+
+
+@query("f34_identity_lines", "SELECT event_id, 'Ora applicativa RCH: ' || CASE WHEN k = 0 THEN 'Non osservato nel flusso' WHEN k = 1 THEN strftime(r, '%d/%m/%Y %H:%M') ELSE strftime(r, '%d/%m/%Y %H:%M:%S') END || '|  Provenienza: ' || CASE WHEN k = 0 THEN 'Non osservato nel flusso' ELSE 'testo applicativo stampato dalla RCH' END || '|Acquisizione server: ' || strftime(r, '%d/%m/%Y %H:%M:%S') || '|  Provenienza: timestamp registrato dal server; non e'' un orario stampato dalla RCH|Ora footer RCH: Non osservato nel flusso|  Provenienza: Non osservato nel flusso|Scarto orologio (footer - applicativa): Non calcolabile: uno o entrambi gli orari non sono stati osservati nel flusso|Seriale RCH: ' || CASE WHEN k = 2 THEN 'Non osservato nel flusso|  Provenienza: Non osservato nel flusso' ELSE 'RT' || user_id || '|  Provenienza: evidenza dichiarata: ' || event_type END AS lines FROM (SELECT *, event_id % 3 AS k, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Rome' AS r FROM events)")
+def f34_identity_lines(spark, sf):
+    """times and serial of a document with where each comes from."""
+    k, none, ts = F.col("event_id") % 3, F.lit(None).cast("string"), F.col("ts").cast("timestamp")
+    d = {
+        "application_time": F.when(k != 0, ts), "application_precision": F.when(k == 1, "MINUTE").otherwise("SECOND"), "application_evidence": F.lit("RCH_APPLICATION_PRINTED_TEXT"), "footer_time": none.cast("timestamp"), "footer_precision": none, "footer_evidence": none,
+        "captured_at": ts, "offset": none, "serial": F.when(k != 2, F.concat(F.lit(" RT"), F.col("user_id").cast("string"))), "serial_evidence": F.col("event_type"),
+    }
+    return read(spark, sf, "events").select("event_id", F.array_join(exports.identity_lines(d), "|").alias("lines"))
+
+
+_CSV = """ SELECT 0::BIGINT AS n, 'id,regola,severita,punteggio,stato,aperto_il,descrizione' AS line UNION ALL SELECT n, line FROM (SELECT row_number() OVER (ORDER BY opened_at DESC, alert_id) AS n, alert_id || ',' || rule_code || ',' || severity || ',' || CASE WHEN CAST(transaction_key AS BIGINT) % 2 = 0 THEN '' ELSE '''-' || transaction_key END || ',' || status || ',' || strftime(opened_at, '%Y-%m-%dT%H:%M:%S') || ',"Una ""riga"", ' || transaction_key || '"' AS line FROM alr) WHERE n <= 10000"""
+
+
+@query("k6_alert_csv", PRE + ", " + _AL + _CSV)
+def k6_alert_csv(spark, sf):
+    """The alert list as CSV records, ten thousand at most as the page offers them, after a header."""
+    a, key = alerts(spark, sf), F.col("transaction_key")
+    points = F.when(key.cast("bigint") % 2 != 0, F.concat(F.lit("-"), key))
+    line = exports.csv_line(F.col("alert_id"), F.col("rule_code"), F.col("severity"), points, F.col("status"), F.date_format("opened_at", "yyyy-MM-dd'T'HH:mm:ss"), F.concat(F.lit('Una "riga", '), key))
+    first = R.page(a.select("opened_at", "alert_id", line.alias("line")), [F.desc("opened_at"), "alert_id"], 10_000)
+    rows = first.withColumn("n", F.row_number().over(Window.orderBy(F.desc("opened_at"), "alert_id")).cast("bigint")).select("n", "line")  # a page of bounded size
+    return rows.unionByName(spark.createDataFrame([(0, ",".join(exports.CSV_HEADER))], "n bigint, line string"))

@@ -35,13 +35,6 @@ def f17_references(spark, sf):
     return read(spark, sf, "events").select("event_id", labels.references(j).alias("refs"), labels.strong_reference(j).alias("strong"))
 
 
-@query("f34_text_projection", PRE + "SELECT document_id, CASE WHEN type = 'PRE_BILL' THEN 'Preconto' ELSE 'Documento commerciale' END || '|Documento: ' || external_code || '|Tavolo: ' || table_code || coalesce('|Totale: ' || replace(printf('%.2f', gross_total::DOUBLE), '.', ',') || ' EUR', '') AS lines FROM documents_ WHERE type IN ('PRE_BILL', 'COMMERCIAL_DOCUMENT')")
-def f34_text_projection(spark, sf):
-    """F34, F36, F50, F54, K7, K8."""
-    d = canonical(spark, sf).documents.where(F.col("type").isin("PRE_BILL", "COMMERCIAL_DOCUMENT"))
-    return d.select("document_id", F.array_join(labels.text_projection(F.col("type"), F.col("external_code"), F.col("table_code"), F.col("gross_total")), "|").alias("lines"))
-
-
 @query("f37_serials", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'AB12' || lpad(s_suppkey::VARCHAR, 4, '0') WHEN s_suppkey % 4 = 0 THEN 'CF99' || lpad(s_suppkey::VARCHAR, 4, '0') END AS serial, CASE WHEN s_suppkey % 3 = 0 THEN 'PRINTED' WHEN s_suppkey % 4 = 0 THEN 'CONFIGURED' END AS origin FROM supplier")
 def f37_serials(spark, sf):
     k = F.col("s_suppkey")
