@@ -198,3 +198,13 @@ def test_transaction_id_is_a_name_uuid(spark):
 
     r = spark.range(1).select(P.transaction_id(F.array(F.lit("b"), F.lit("a")), "v1").alias("u")).first()
     assert r.u == str(uuid.uuid5(uuid.NAMESPACE_URL, "v1:a:b"))
+
+
+def test_a_code_used_again_opens_a_new_episode(spark):
+    papers = [
+        paper("a1", "PRE_BILL", 0, 10, order_code="7"), paper("a2", "COMMERCIAL_DOCUMENT", 60, 9, order_code="7"), paper("a3", "ORDER_CHANGE", 90, order_code="7"),
+        paper("b1", "PRE_BILL", 4000, 20, order_code="7"), paper("b2", "COMMERCIAL_DOCUMENT", 4060, 20, order_code="7"), paper("b3", "COMMERCIAL_DOCUMENT", 4070, 1, order_code="7"), paper("c1", "KITCHEN_ORDER", 9000, order_code="7"), paper("d1", "PRE_BILL", 4060, 5, order_code="8"),
+    ]
+    d, _, _ = frames(spark, papers)
+    got = {r.document_id: r.transaction_key for r in T.episodes(d).collect()}
+    assert got == {"a1": "7", "a2": "7", "a3": "7", "b1": "7#2", "b2": "7#2", "b3": "7#2", "c1": "7#3", "d1": "8"}

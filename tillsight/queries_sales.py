@@ -536,10 +536,14 @@ def d33_canonical_alerts(spark, sf):
     return U.canonical_alerts(alerts(spark, sf), ["transaction_key"], ["opened_at", "alert_id"]).select("alert_id", "is_canonical", "canonical_id")
 
 
-@query("p9_alert_device", PRE + ", " + _AL + " SELECT alert_id FROM alr WHERE transaction_key IN (SELECT transaction_key FROM m WHERE device_id = 'dev_3')")
+@query("p9_alert_device", PRE + ", " + _AL + " SELECT alert_id FROM alr WHERE transaction_key IN (SELECT transaction_key FROM m WHERE device_id = 'dev_3') AND transaction_key IN (SELECT transaction_key FROM m WHERE operator_code = 'OP2')")
 def p9_alert_device(spark, sf):
+    """Alerts with a paper of the device and one, maybe another, of the operator."""
     _, members, _ = sales(spark, sf)
-    return alerts(spark, sf).join(members.where("device_id = 'dev_3'"), "transaction_key", "left_semi").select("alert_id")
+    a = alerts(spark, sf)
+    for name, value in (("device_id", "dev_3"), ("operator_code", "OP2")):
+        a = a.join(members.where(F.col(name) == value), "transaction_key", "left_semi")
+    return a.select("alert_id")
 
 
 @query("d28_transaction_view", PRE + f", g AS (SELECT m.transaction_key, sum(gross_total) FILTER ({_VF}) AS fiscal_gross, count(*) FILTER ({_VF}) AS nf, sum(gross_total) FILTER ({_RC} AND gross_total IS NOT NULL) AS room_gross, count(*) FILTER ({_RC} AND gross_total IS NOT NULL) AS nr, count(*) FILTER (type = 'CANCELLATION') AS nv FROM m GROUP BY 1) SELECT tx.transaction_key, CASE WHEN nf > 0 THEN 'COMMERCIAL_DOCUMENT' WHEN nr > 0 THEN 'ROOM_CHARGE' WHEN nv > 0 THEN 'CANCELLATION' END AS basis, b.gross_total::DOUBLE AS prebill_gross, CASE WHEN nf > 0 THEN fiscal_gross WHEN nr > 0 THEN room_gross WHEN nv > 0 THEN 0 END::DOUBLE AS final_gross, (b.gross_total - CASE WHEN nf > 0 THEN fiscal_gross WHEN nr > 0 THEN room_gross WHEN nv > 0 THEN 0 END)::DOUBLE AS difference FROM tx JOIN g USING (transaction_key) LEFT JOIN documents_ b ON b.document_id = prebill_id")
