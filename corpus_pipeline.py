@@ -10,24 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillsight.llm import language, packing, passages, quality, simhash
-from tillsight.llm.common import materialise, row_key, table
+from tillsight.llm.common import fresh, materialise, row_key, table
 from tillsight.plans.shipping import ship
 
 #: Below this score no profile fits a text; natural text of a learned language scores far above it.
 MIN_LANGUAGE_SCORE = 0.1
 
 
+def _aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """``docs`` with columns that an operator would replace under other names, and how to select them back."""
+    there = {c: fresh(docs, *names)[names.index(c)] for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(there), [F.col(there.get(c, c)).alias(c) for c in docs.columns]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the line rule keep, without their host's frequent lines."""
-    judged = quality.line_quality(docs).where("kept")
+    """Documents that the base rule and the line rule keep, without their host's frequent lines.
+
+    Null, empty and short texts go (base rule); of equal rows all stay or go alike; columns of any name are kept.
+    """
+    renamed, back = _aside(docs, quality.ADDED)
     text = F.when(F.col("removed_words") > 0, F.col("clean_text")).otherwise(F.col("text"))
-    return judged.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    kept = quality.line_quality(renamed).where("kept").withColumn("text", text)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*back)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a recognised language; those without a letter or near no profile go."""
+    """Documents of a recognised language; those without a letter or near no profile go.
+
+    Without any labelled document there is no profile to judge by, and all documents stay.
+    """
     known = language.profiles(docs.where(language.fold(F.col("doc_id"), 3) != 1))
-    return language.identify(docs, known).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    if not known:
+        return docs
+    renamed, back = _aside(docs, ("lang_pred", "score"))
+    return language.identify(renamed, known).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*back)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,29 +52,29 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows are told apart by all their columns, since ids may be null or reused. Equal rows are always in one group.
     """
     content = [*docs.columns, *(F.col(c).isNull() for c in docs.columns)]  # a hash passes over nulls
-    keyed = docs.select("*", *row_key(*content))
-    row = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), "_k1", "_k2")
+    k1, k2 = fresh(docs, "_k1", "_k2")
+    keyed = docs.select("*", *(c.alias(k) for c, k in zip(row_key(*content), (k1, k2), strict=True)))
+    row = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.col(k1).alias("k1"), F.col(k2).alias("k2"))
     found = simhash.near_duplicates(keyed.select(row.alias("_row"), "text"), "_row")
-    first = (F.col("doc_id._k1") == F.col("component_id._k1")) & (F.col("doc_id._k2") == F.col("component_id._k2"))
-    gone = found.where(~first).select("doc_id._k1", "doc_id._k2")
-    kept = keyed.join(gone, ["_k1", "_k2"], "left_anti")
-    if not found.where(first).groupBy("doc_id._k1", "doc_id._k2").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_k1", "_k2"])
+    first = (F.col("doc_id.k1") == F.col("component_id.k1")) & (F.col("doc_id.k2") == F.col("component_id.k2"))
+    gone = found.where(~first).select(F.col("doc_id.k1").alias(k1), F.col("doc_id.k2").alias(k2))
+    kept = keyed.join(gone, [k1, k2], "left_anti")
+    if not found.where(first).groupBy("doc_id.k1", "doc_id.k2").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([k1, k2])
     return kept.select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that another document keeps."""
+    """Texts without the passages that another document keeps; a text may be empty then, but its row stays."""
     return passages.remove(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 ids."""
+    """Pieces of all documents in sequences of 4096 ids; a null or empty text is one piece, its end id."""
     pieces = packing.pack(packing.tokenise(docs, with_ids=False))
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-
 def _shipped(stage):
     """The stage, after the package has been sent to the workers."""
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
