@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_corpus_operators import DOCS, prose
@@ -45,12 +46,47 @@ def test_texts(spark, name, case):
         assert sum(r.start == 0 for r in got) == len(CASES[case])
 
 
+#: Names that the operators use inside, and those that each replaces.
+INSIDE = ("_u", "_cuts", "_copied", "_n", "_gone", "_out", "_k1", "_k2", "_key", "_read", "_row", "_group", "_same", "_host", "_h", "_at", "_text", "fp", "task", "shard", "slot", "n", "key", "time")
+REPLACED = {"toxicity": ("score",), "quality": quality.ADDED, "merges": ("ids",), "language": ("lang_pred", "score"), "cut": ()}
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_clashing_columns(spark, name):
     d = spark.createDataFrame(CASES["repeats"], DOCS)
-    for c in ("score", "kept", "ids", "lang_pred", "fp", "n", "key", "time", "shard", "h"):
-        d = d.selectExpr("*", f"'x' AS {c}")
-    assert OPERATORS[name](d).collect() is not None
+    base = OPERATORS[name](d)
+    columns = sorted(base.columns)
+    plain = sorted(str({k: r[k] for k in columns}) for r in base.collect()) if name in REPLACED else base.count()
+    more = d.select("*", *(F.lit("x").alias(c) for c in dict.fromkeys((*INSIDE, "score", "kept", "ids", "lang_pred", "n_words", "clean_text", "removed_words"))))
+    got = OPERATORS[name](more)
+    if name not in REPLACED:
+        assert got.count() == plain
+        return
+    rows = got.collect()
+    assert all(r[c] == "x" for r in rows for c in INSIDE if c not in REPLACED[name])
+    assert sorted(str({k: r[k] for k in columns}) for r in rows) == plain
+
+
+def test_values_of_odd_rows(spark):
+    rows = [(1, None, "en", "s", 0), (2, "", None, None, 0), (3, " \n\t ", "en", "s", 3), (None, "uno due tre", None, "s", 0), (4, "x" * 30_000, "en", "s", 9)]
+    d = spark.createDataFrame(rows, DOCS)
+    at = lambda df, *c: {r.doc_id: tuple(r[x] for x in c) if len(c) > 1 else r[c[0]] for r in df.collect()}
+    assert at(quality.line_quality(d), "n_words", "base_failed", "kept") == {1: (0, True, False), 2: (0, True, False), 3: (0, True, False), None: (3, True, False), 4: (1, True, False)}
+    lang = at(language.identify(d, language.profiles(d)), "lang_pred", "score")
+    assert lang[1] == lang[2] == lang[3] == ("und", 0.0) and lang[4][0] == "en"
+    assert {k: v[0] for k, v in at(language.identify(d, {}), "lang_pred", "score").items()} == dict.fromkeys((1, 2, 3, None, 4), "und")
+    encoded = merges.encode(d)
+    assert {k: len(v) for k, v in at(encoded, "ids").items() if k in (1, 2)} == {1: 0, 2: 0}
+    assert at(merges.decode(encoded.drop("text")), "text") == {1: "", 2: "", 3: " \n\t ", None: "uno due tre", 4: "x" * 30_000}
+    pieces = {r.doc_id: r for r in packing.pack(packing.tokenise(d)).collect() if r.start == 0}
+    assert [list(pieces[k].ids) for k in (1, 2)] == [[2], [2]] and pieces[4].doc_tokens > 1000
+    near = at(simhash.near_duplicates(d), "fp", "component_id")
+    assert near[1] == near[2] == near[3] == (0, 1) and near[None][1] is None and near[4][1] == 4
+    assert at(passages.remove(d), "text") == {1: None, 2: "", 3: " \n\t ", None: "uno due tre", 4: "x" * 30_000}
+    scores = at(toxicity.score(d, lm_model(d)), "score")
+    assert scores[1] == scores[2] == scores[3] and all(0 <= v <= 1 for v in scores.values())
+    shards = at(feistel.shard(d), "size")
+    assert shards == {1: 1, 2: 1, 3: 5, None: 12, 4: 30_001}
 
 
 def test_vectors_and_pages(spark):

@@ -10,7 +10,7 @@ Many units are segmented at once as rows of a matrix, one agenda step a round fo
 ``WIDE`` characters go through a heap. Both take the same steps. Every occurrence of a unit tosses for itself;
 those in a task that have skipped and merged alike so far share a row, and part where they differ.
 
-Defined cases: a null or empty text has no ids; U+2581 in a text is spelt as bytes, so that it survives; equal rows
+Defined cases: a null or empty text has no ids, and no ids decode to an empty text (null ids to null); U+2581 in a text is spelt as bytes, so that it survives; equal rows
 have equal ids; an empty table gives an empty result; extra columns are carried through; texts are
 encoded whole.
 """
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.llm.common import fresh
+
 BLANK, WIDE, CHUNK = "▁", 96, 3_000_000
 _PAD, _ODD = 65535, 65534
 _LITERAL = "\udb80"  # stands for U+2581 in a text; no valid text holds a lone surrogate
@@ -300,7 +302,8 @@ def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 7, model: str | No
 
     path = model or default_model()
     keep = [c for c in (docs.columns if carry is None else carry) if c != "ids"]
-    slim = docs.select(*keep, F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("_key"), F.col(text_col).alias("_read"))
+    key, read = fresh(docs, "_key", "_read")
+    slim = docs.select(*keep, F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias(key), F.col(text_col).alias(read))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
