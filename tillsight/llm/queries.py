@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import extraction, feistel, language, merges, neighbours, packing, passages, quality, simhash, toxicity
+from tillsight.llm import centroids, extraction, feistel, language, merges, mixing, neighbours, packing, passages, quality, simhash, spelling, toxicity
 from tillsight.llm.common import materialise, table
 
 
@@ -67,6 +67,19 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = materialise(spelling.vocabulary(table(spark, sf_dir, "documents")), "vocabulary")
+    return spelling.variants(vocab).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_quality": op2_line_quality,
@@ -78,9 +91,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_crf_extract": op8_crf_extract,
     "op9_gray_simhash": op9_gray_simhash,
     "op10_compact_windows": op10_compact_windows,
+    "op11_weighted_mix": op11_weighted_mix,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_ball_kmeans": op13_ball_kmeans,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_quality": quality.ORACLE,
     "op6_feistel_shards": feistel.oracle(),
+    "op11_weighted_mix": mixing.oracle(),
+    "op12_spelling_variants": spelling.ORACLE,
+    "op13_ball_kmeans": centroids.oracle(),
 }
