@@ -29,14 +29,6 @@ def test_frames_and_noise():
     assert parsers.frames(b"") == ([], [], 0)
 
 
-def test_fiscal_documents():
-    sent = b"".join(map(frame, ["=K", "=R7/$2500/*2/(Pane e vino)", "TAVOLO T-7", "ORDINE O-7", "=T1/$5000"]))
-    docs = parsers.fiscal(sent, b"\x06" + frame("s000000RE0042"))
-    assert [d["type"] for d in docs] == ["COMMERCIAL_DOCUMENT", "DEVICE_RESPONSE"]
-    d = docs[0]
-    assert (d["complete"], d["total"], d["suffix"], d["table_code"], d["order_code"], d["items"][0]["quantity"]) == (True, "50.00", "0042", "T-7", "O-7", 2)
-
-
 def test_tickets(spark):
     stream = b"\x1b@PRECONTO N. PB-77\nTAVOLO T-9\n2x Pane  10,00\nTOTALE 100,00\n\x1dV\x00\x1b@COMANDA\n1x Acqua\n\x1bm-1x Voce\nresto"
     lines = tickets.ticket_lines(spark.createDataFrame([("a", bytearray(stream)), ("b", None)], "job_id string, client_raw binary"))
@@ -57,7 +49,7 @@ def test_pictures_code_pages_and_control_sequences():
 
 
 def test_parse_by_kind(spark):
-    j = spark.createDataFrame([("a", "pos", b"COMANDA\n1x X\x1bm", None), ("b", "rch", frame("=T1/$100"), b""), ("c", "other", b"?", None), ("d", None, None, None)], "job_id string, kind string, client_raw binary, device_raw binary")
+    j = spark.createDataFrame([("a", "pos", b"COMANDA\n1x X\x1bm", None), ("b", "rch", frame("=K", address="00", kind="z"), b""), ("c", "other", b"?", None), ("d", None, None, None)], "job_id string, kind string, client_raw binary, device_raw binary")
     got = parsers.parse(j).collect()
     assert {(r.job_id, r.type, r.parser) for r in got} == {("a", "KITCHEN_ORDER", "pos"), ("b", "COMMERCIAL_DOCUMENT", "rch")}
     assert len({r.parser_version for r in got}) == 2 and all(len(r.parser_version) == 64 for r in got)

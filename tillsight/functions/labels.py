@@ -63,11 +63,17 @@ def progressive_status(explicit: Column, code: Column, suffix: Column, kind: Col
     return F.when(explicit.isin(FULL, SUFFIX, NOT_SEEN, NO_NUMBER), explicit).when(seen(code), FULL).when(seen(suffix), SUFFIX).when(kind.isin(*NUMBERED_TYPES), NOT_SEEN).otherwise(NO_NUMBER)
 
 
+#: Headings of management papers that sell nothing.
+SHIFT_HEADING, INVOICE_HEADINGS, NUMBER_WORDS = "REPORT DI FINE TURNO", ("FATTURA", "FATTURA ELETTRONICA"), ("N", "NR", "NUMERO")
+
+
 def management_class(body: Column) -> Column:
-    """shift reports and invoices by their headings."""
-    first = F.trim(F.get(F.filter(F.split(body, "\n"), lambda x: F.trim(x) != ""), F.lit(0)))
-    invoice = F.exists(F.split(body, "\n"), lambda x: F.upper(F.trim(x)).rlike(r"^FATTURA( (N\.?|NUMERO|IMMEDIATA).*)?$"))
-    return F.when(F.upper(first).rlike("^REPORT FINE TURNO"), "SHIFT_END_REPORT").when(invoice, "INVOICE")
+    """a shift report by its first line, an invoice by a line that is its heading or its number."""
+    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.upper(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))), lambda x: x != "")
+    number = f"(?:{'|'.join(NUMBER_WORDS)})[.°º]?"
+    value = r"\s*[:#-]?\s*(?=[A-Z0-9./-]*[0-9])[A-Z0-9][A-Z0-9./-]{0,63}"
+    invoice = F.exists(lines, lambda x: x.isin(*INVOICE_HEADINGS) | x.rlike(f"^(?:(?:{'|'.join(reversed(INVOICE_HEADINGS))}) {number}|{number} {INVOICE_HEADINGS[0]}){value}$"))
+    return F.when(F.get(lines, F.lit(0)).rlike(rf"^{SHIFT_HEADING}\b"), "SHIFT_END_REPORT").when(invoice, "INVOICE")
 
 
 def zoned_time(x: Column) -> Column:

@@ -66,10 +66,12 @@ def f44_wrapped_names(spark, sf):
     return read(spark, sf, "part").select("p_partkey", labels.join_wrapped(first, rest).alias("name"))
 
 
-@query("f46_management_class", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'SHIFT_END_REPORT' WHEN doc_id % 3 = 1 THEN 'INVOICE' END AS kind FROM documents")
+@query("f46_management_class", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'SHIFT_END_REPORT' WHEN doc_id % 5 = 1 THEN 'INVOICE' WHEN doc_id % 5 = 2 THEN 'INVOICE' END AS kind FROM documents")
 def f46_management_class(spark, sf):
-    k = F.col("doc_id") % 3
-    return read(spark, sf, "documents").select("doc_id", labels.management_class(F.when(k == 0, "\n Report fine turno 3\nFatture 42,35").when(k == 1, "Ditta\nFattura n. 12").otherwise("Fatture 42,35\nTotale")).alias("kind"))
+    """shift reports and invoices by whole lines, around whole texts."""
+    k, t = F.col("doc_id") % 5, F.coalesce("text", F.lit(""))
+    body = F.when(k == 0, F.concat(F.lit("\n Report di fine turno 3\nFatture 42,35\n"), t)).when(k == 1, F.concat(t, F.lit("\nFattura n. 12/A\n"), t)).when(k == 2, F.concat(t, F.lit("\n fattura  elettronica \n"), t)).when(k == 3, F.concat(F.lit("Ditta\nReport di fine turno\n"), t)).otherwise(F.concat(F.lit("Fatture 42,35\nla fattura n. 12\n"), t))
+    return read(spark, sf, "documents").select("doc_id", labels.management_class(body).alias("kind"))
 
 
 @query("f48_presets", "SELECT CAST(epoch(((date_trunc('day', (max(ts) AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Rome')) AT TIME ZONE 'Europe/Rome') AT TIME ZONE 'UTC') AS BIGINT) AS today FROM events")

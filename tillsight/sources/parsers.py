@@ -4,99 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import inspect
-import re
 import sys
 from collections.abc import Callable, Iterator
-from functools import reduce
-from operator import xor
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.sources import tickets
+from tillsight.sources import fiscal, tickets
+from tillsight.sources.fiscal import frames
 
-MAX_INPUT, MAX_FRAMES = 16 * 1024 * 1024, 100_000
 FRAMES = "job_id string, frame_id int, offset bigint, address string, frame_class string, data string, sequence string, bcc_valid boolean, issue string"
 DOCS = "job_id string, ordinal int, type string, complete boolean, external_code string, suffix string, table_code string, order_code string, total string, text string, items array<struct<quantity:int,description:string,total:string>>"
-_HEADER = re.compile(rb"(\d\d)(\d{3})")
-
-
-def frames(payload: bytes) -> tuple[list[tuple], list[str], int]:
-    """``(offset, address, class, data, sequence, valid)`` of each frame, what isn't a frame, and acknowledgements.
-
-    A frame is STX, address (2), length (3), class (1), data, sequence (1), XOR of all before in hex (2), ETX.
-    """
-    found, issues, acks, at, n = [], [], 0, 0, min(len(payload), MAX_INPUT)
-    while at < n:
-        if payload[at] == 6:
-            acks, at = acks + 1, at + 1
-            continue
-        if payload[at] != 2:
-            stop = min([p for p in (payload.find(b"\x02", at), payload.find(b"\x06", at)) if p >= 0], default=n)
-            issues.append(f"unframed_bytes:{at}:{stop - at}")
-            at = stop
-            continue
-        head = _HEADER.match(payload, at + 1)
-        if not head:
-            issues.append(f"truncated_header:{at}:{n - at}" if at + 6 > n else f"malformed_header:{at}")
-            if at + 6 > n:
-                break
-            at += 1
-            continue
-        end = at + int(head[2]) + 11
-        if end > n:
-            issues.append(f"truncated_frame:{at}:{n - at}")
-            break
-        if payload[end - 1] != 3:
-            issues.append(f"missing_etx:{at}")
-            at += 1
-            continue
-        try:
-            told = int(payload[end - 3 : end - 1], 16)
-        except ValueError:
-            issues.append(f"malformed_trailer:{at}")
-            at = end
-            continue
-        valid = reduce(xor, payload[at : end - 3], 0) == told
-        if not valid:
-            issues.append(f"bcc_mismatch:{at}")
-        if len(found) < MAX_FRAMES:
-            found.append((at, head[1].decode(), chr(payload[at + 6]), payload[at + 7 : end - 4].decode("latin-1"), chr(payload[end - 4]), valid))
-        at = end
-    return found, issues, acks
-
-
-def fiscal(request: bytes, response: bytes) -> list[dict]:
-    """One commercial document from sale, text and payment frames, and one for the device's answers.
-
-    ``=R`` sells (``$`` cents, ``*`` quantity, text in brackets), ``=T`` pays, text frames carry table and order;
-    the receipt number's last digits come back in a status answer.
-    """
-    sent, _, _ = frames(request)
-    back, _, acks = frames(response)
-    items, total, paid, table, order = [], 0, None, None, None
-    for _, _, _, data, _, _ in sent:
-        if data.startswith("=R"):
-            cents, qty = re.search(r"\$(\d+)", data), re.search(r"\*(\d+)", data)
-            name = re.search(r"\(([^)]*)\)", data)
-            if cents:
-                q = int(qty[1]) if qty else 1
-                total += int(cents[1]) * q
-                items.append({"quantity": q, "description": name[1].strip() if name else "", "total": f"{int(cents[1]) * q / 100:.2f}"})
-        elif data.startswith("=T"):
-            cents = re.search(r"\$(\d+)", data)
-            paid = int(cents[1]) if cents else total
-        for rx, which in ((r"TAVOLO\s*:?\s*([\w-]+)", "t"), (r"ORDINE\s*:?\s*([\w-]+)", "o")):
-            if m := re.search(rx, data.upper()):
-                table, order = (m[1], order) if which == "t" else (table, m[1])
-    suffix = next((m[1] for f in back if (m := re.match(r"s\d+RE(\d{4})", f[3]))), None)
-    out = []
-    if items or paid is not None:
-        out.append({"ordinal": 1, "type": "COMMERCIAL_DOCUMENT", "complete": paid is not None, "external_code": None, "suffix": suffix, "table_code": table, "order_code": order, "total": f"{total / 100:.2f}", "text": "", "items": items})
-    if response:
-        out.append({"ordinal": len(out) + 1, "type": "DEVICE_RESPONSE", "complete": True, "external_code": None, "suffix": None, "table_code": None, "order_code": None, "total": None, "text": f"ack={acks} frames={len(back)}", "items": []})
-    return out
 
 
 def version(*modules) -> str:
@@ -105,16 +24,10 @@ def version(*modules) -> str:
 
 
 def _fiscal_jobs(jobs: DataFrame) -> DataFrame:
-    names = [c.split()[0] for c in DOCS.replace(",description", ";").replace(",total", ";").split(", ")]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for job, a, b in zip(part["job_id"], part["client_raw"], part["device_raw"], strict=True):
-                rows += [{"job_id": job} | d for d in fiscal(bytes(a or b""), bytes(b or b""))]
-            yield pd.DataFrame(rows, columns=names)
-
-    return jobs.select("job_id", "client_raw", "device_raw").mapInPandas(run, DOCS)
+    timed = jobs if "captured_at" in jobs.columns else jobs.withColumn("captured_at", F.lit(None).cast("timestamp"))
+    d = fiscal.documents(timed)
+    items = F.transform("lines", lambda x: F.struct(x["quantity"].cast("int").alias("quantity"), x["description"].alias("description"), x["total"].cast("string").alias("total")))
+    return d.select("job_id", "ordinal", "type", "complete", "external_code", "suffix", "table_code", "order_code", F.col("total").cast("string").alias("total"), "text", items.alias("items"))
 
 
 def _ticket_jobs(jobs: DataFrame) -> DataFrame:
@@ -127,13 +40,14 @@ def _ticket_jobs(jobs: DataFrame) -> DataFrame:
 
 #: Parsers by kind, each over a table of jobs, with what its version is made of.
 REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {"pos": _ticket_jobs, "rch": _fiscal_jobs}
+SOURCES = {"pos": (tickets,), "rch": (fiscal,)}
 
 
 def parse(jobs: DataFrame, kind: str = "kind") -> DataFrame:
     """Documents of ``jobs(job_id, kind, client_raw, device_raw)`` with the parser and its version; an unknown kind yields none."""
     out = None
     for name, parser in REGISTRY.items():
-        own = version(tickets) if parser is _ticket_jobs else version(sys.modules[parser.__module__])
+        own = version(*SOURCES.get(name, (sys.modules[parser.__module__],)))
         found = parser(jobs.where(F.col(kind) == name)).withColumns({"parser": F.lit(name), "parser_version": F.lit(own)})
         out = found if out is None else out.unionByName(found)
     return out
@@ -152,14 +66,14 @@ def frame_rows(jobs: DataFrame, column: str = "client_raw") -> DataFrame:
     return jobs.select("job_id", F.col(column).alias("data")).mapInPandas(run, FRAMES)
 
 
-def paired_frames(frames: DataFrame, shift: int = 8) -> DataFrame:
+def paired_frames(requests: DataFrame, shift: int = 8) -> DataFrame:
     """Requests with ``response_at``: the first answer after them whose sequence digit lies ``shift`` further.
 
-    ``frames(job_id, at, sequence, request)`` in the order ``at``. An answer belongs to the last request of its digit before
+    ``requests(job_id, at, sequence, request)`` in the order ``at``. An answer belongs to the last request of its digit before
     it, so requests and answers of a digit are read in one order and no pair is ever formed to be thrown away.
     """
     digit = F.when(F.col("request"), F.col("sequence")).otherwise(F.pmod(F.col("sequence") - shift, F.lit(10)))
     w = Window.partitionBy("job_id", "_digit").orderBy("at", F.desc("request"))
-    asked = frames.withColumn("_digit", digit).withColumn("_asked", F.last(F.when(F.col("request"), F.col("at")), True).over(w))
+    asked = requests.withColumn("_digit", digit).withColumn("_asked", F.last(F.when(F.col("request"), F.col("at")), True).over(w))
     answered = asked.where(~F.col("request") & F.col("_asked").isNotNull()).groupBy("job_id", "_digit", F.col("_asked").alias("at")).agg(F.min("at").alias("response_at"))
     return answered.select("job_id", "at", "response_at")
