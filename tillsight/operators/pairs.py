@@ -1,19 +1,18 @@
-"""Candidate pairs, their scores, constrained clusters and transactions."""
+"""Candidate pairs, their scores, criteria of clusters and ids of transactions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillsight import schema
 from tillsight.functions import labels, text, values
+from tillsight.operators.clusters import DISPATCH, KITCHEN, MINIMUM, clusters  # noqa: F401  pairs, scores and clusters are used together
 from tillsight.plans.tables import written
 
-WINDOW, SALE, CHANGE, KITCHEN, DISPATCH, MINIMUM = 7200, 300, 300, 30, 30, 60
+WINDOW, SALE, CHANGE = 7200, 300, 300
 
 
 _CODES = ("order_code", "table_code", "operator_code", "terminal_code", "external_code", "commercial_reference", "order_reference", "external_suffix")
@@ -45,6 +44,22 @@ def described(documents: DataFrame, lines: DataFrame) -> DataFrame:
     return written(d.withColumn("namespace", space), "described")
 
 
+def block_keys(d: DataFrame, window: int = WINDOW, types: tuple[str, ...] | None = None, by: tuple[str, ...] | None = None) -> DataFrame:
+    """``(document_id, s, n, v, bucket)``: each paper's blocking keys, with its second and bucket of the time axis."""
+    if types:
+        d = d.where(F.col("type").isin(*types))
+    named = (("order", F.col("order_code")), ("external", F.col("external_code")), ("table", F.col("table_code")), ("job", F.col("job_id")), ("commercial", F.coalesce(F.col("commercial_reference"), F.when(F.col("type") == "COMMERCIAL_DOCUMENT", F.col("external_code")))), ("suffix", F.coalesce(text.counter_suffix(F.col("commercial_reference")), text.counter_suffix(F.col("external_suffix")))))
+    keys = F.array(*[F.struct(F.lit(n).alias("n"), v.alias("v")) for n, v in named if by is None or n in by])
+    return d.select("document_id", F.unix_timestamp("time").alias("s"), F.explode(F.filter(keys, lambda k: k["v"].isNotNull())).alias("k")).select("document_id", "s", "k.n", "k.v", F.floor(F.col("s") / window).alias("bucket"))
+
+
+def _met(rows: DataFrame, others: DataFrame, window: int) -> DataFrame:
+    """``(a, b)`` of rows and others of one key within the window."""
+    near = rows.select(F.col("document_id").alias("a"), F.col("s").alias("sa"), "n", "v", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1, F.col("bucket") - 1)).alias("bucket"))
+    pairs = others.select(F.col("document_id").alias("b"), F.col("s").alias("sb"), "n", "v", "bucket").join(near, ["n", "v", "bucket"])
+    return pairs.where(F.abs(F.col("sa") - F.col("sb")) <= window)
+
+
 def candidates(d: DataFrame, window: int = WINDOW, types: tuple[str, ...] | None = None, by: tuple[str, ...] | None = None) -> DataFrame:
     """Pairs ``(a, b)`` of documents that share a blocking key within the window.
 
@@ -52,14 +67,16 @@ def candidates(d: DataFrame, window: int = WINDOW, types: tuple[str, ...] | None
     next, so the join is on equal keys. Spark may split a hot key; only distinct pairs go on. A rule that concerns
     some types or keys alone names them, and other documents never enter the join.
     """
-    if types:
-        d = d.where(F.col("type").isin(*types))
-    named = (("order", F.col("order_code")), ("external", F.col("external_code")), ("table", F.col("table_code")), ("job", F.col("job_id")), ("commercial", F.coalesce(F.col("commercial_reference"), F.when(F.col("type") == "COMMERCIAL_DOCUMENT", F.col("external_code")))), ("suffix", F.coalesce(text.counter_suffix(F.col("commercial_reference")), text.counter_suffix(F.col("external_suffix")))))
-    keys = F.array(*[F.struct(F.lit(n).alias("n"), v.alias("v")) for n, v in named if by is None or n in by])
-    rows = d.select("document_id", F.unix_timestamp("time").alias("s"), F.explode(F.filter(keys, lambda k: k["v"].isNotNull())).alias("k")).select("document_id", "s", "k.n", "k.v", F.floor(F.col("s") / window).alias("bucket"))
-    other = rows.select(F.col("document_id").alias("b"), F.col("s").alias("sb"), "n", "v", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1, F.col("bucket") - 1)).alias("bucket"))
-    pairs = rows.withColumnRenamed("document_id", "a").join(other, ["n", "v", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("s") - F.col("sb")) <= window))
-    return pairs.select("a", "b").distinct()
+    rows = block_keys(d, window, types, by)
+    return _met(rows, rows, window).where("a < b").select("a", "b").distinct()
+
+
+def seeded(seeds: DataFrame, history: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The pairs of ``candidates`` that touch a seed. Both sides are ``block_keys``; the history holds the seeds, too.
+
+    Only the seeds' rows look into three buckets, and nothing of the history meets itself.
+    """
+    return _met(seeds, history, window).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def all_pairs(d: DataFrame) -> DataFrame:
@@ -160,108 +177,6 @@ def correlations(scored: DataFrame, clusters: DataFrame, minimum: int = MINIMUM)
     return out.withColumn("unmatched", F.array_except("unmatched", "matched"))
 
 
-def connected(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """``(document_id, component)`` by spreading least labels along ``edges(a, b)``.
-
-    Every round is one aggregation with a map-side minimum and one pointer jump, written to the
-    cluster's shared folder; it ends when no label changes.
-    """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")), "edges")
-    label = nodes.select("document_id", F.col("document_id").alias("component"))
-    for _ in range(rounds):
-        seen = both.join(label.withColumnsRenamed({"document_id": "b", "component": "c"}), "b").groupBy("a").agg(F.min("c").alias("c"))
-        new = label.join(seen, label.document_id == seen.a, "left").select("document_id", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("moved"))
-        jump = new.select(F.col("document_id").alias("component"), F.col("component").alias("up"))
-        new = new.join(jump, "component", "left").select("document_id", F.coalesce("up", "component").alias("component"), F.coalesce("moved", F.lit(False)).alias("moved"))
-        new = written(new, "labels")
-        label = new.drop("moved")
-        if new.where("moved").isEmpty():
-            return label
-    raise RuntimeError("components did not settle")
-
-
-_MEMBER = "document_id string, type string, order_code string, table_code string, order_reference string, t bigint, closes boolean, baseline boolean"
-
-
-def _grow(docs: list[dict], edges: list[tuple]) -> dict[str, str]:
-    """D13 inside one component: unions in order of strength, none that breaks an episode."""
-    info = {d["document_id"]: d for d in docs}
-    group = {k: [k] for k in info}
-    root = {k: k for k in info}
-
-    def barred(p, q):
-        for c in ("order_code", "table_code", "order_reference"):
-            if p[c] is not None and q[c] is not None and p[c] != q[c]:
-                return True
-        first, last = sorted((p, q), key=lambda d: (d["t"], d["document_id"]))
-        return first["closes"] and last["type"] in ("ORDER", "KITCHEN_ORDER", "PRE_BILL") and last["t"] > first["t"]
-
-    def wide(members, most):
-        times = [m["t"] for m in members]
-        return max(times) - min(times) > most
-
-    def one_identity(members):
-        return any(all(m[c] is not None for m in members) and len({m[c] for m in members}) == 1 for c in ("order_code", "order_reference"))
-
-    def unite(a, b):
-        ra, rb = root[a], root[b]
-        if ra == rb:
-            return
-        left, right = [info[m] for m in group[ra]], [info[m] for m in group[rb]]
-        if any(barred(p, q) for p in left for q in right):
-            return
-        members = left + right
-        if all(m["type"] == "KITCHEN_ORDER" for m in members) and wide(members, DISPATCH):
-            return
-        opening = [m for m in members if m["type"] == "KITCHEN_ORDER" or (m["type"] == "MANAGEMENT_DOCUMENT" and m["baseline"])]
-        if len({m["type"] for m in opening}) == 2 and wide(opening, KITCHEN) and not one_identity(opening):
-            return
-        keep, gone = sorted((ra, rb))
-        group[keep] = group[ra] + group[rb]
-        for m in group[keep]:
-            root[m] = keep
-        if gone != keep:
-            del group[gone]
-
-    core = sorted((-s, delta, f"{a}:{b}", a, b) for a, b, s, delta, xa, xb in edges if not xa and not xb)
-    for _, _, _, a, b in core:
-        unite(a, b)
-    aside: dict[str, list] = {}
-    for a, b, s, delta, xa, xb in edges:
-        if xa != xb:
-            child, parent = (a, b) if xa else (b, a)
-            aside.setdefault(child, []).append((-s, delta, parent))
-    for child in sorted(aside):
-        unite(child, min(aside[child])[2])
-    return root
-
-
-def clusters(d: DataFrame, scored: DataFrame, minimum: int = MINIMUM) -> DataFrame:
-    """``(document_id, cluster)``: cluster is its least member.
-
-    Unions only ever follow edges, so components of all edges bound the work; each is then grown alone.
-    """
-    edges = scored.where((F.col("score") >= minimum) & ~(F.col("a_aux") & F.col("b_aux")))
-    edges = edges.select("a", "b", "score", "delta", "a_aux", "b_aux")
-    where = connected(edges, d.select("document_id"))
-    linked = edges.join(where.withColumnsRenamed({"document_id": "a"}), "a").groupBy("component").agg(F.collect_list(F.struct("a", "b", "score", "delta", "a_aux", "b_aux")).alias("edges"))
-    facts = d.select("document_id", "type", "order_code", "table_code", "order_reference", F.unix_micros("time").alias("t"), "closes", "baseline").withColumn("t", F.col("t") / 1e6)
-    members = facts.join(where, "document_id").groupBy("component").agg(F.collect_list(F.struct(*[c.split()[0] for c in _MEMBER.split(", ")])).alias("members"))
-
-    def grow(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for members, edges in zip(part["members"], part["edges"], strict=True):
-                rows = [m if isinstance(m, dict) else m.asDict() for m in members]
-                ties = [tuple((e if isinstance(e, dict) else e.asDict()).values()) for e in edges]
-                out += list(_grow(rows, ties).items())
-            yield pd.DataFrame(out, columns=["document_id", "cluster"])
-
-    grown = members.join(linked, "component").select("members", "edges").mapInPandas(grow, "document_id string, cluster string")
-    alone = where.join(linked.select("component"), "component", "left_anti").select("document_id", F.col("document_id").alias("cluster"))
-    return grown.unionByName(alone)
-
-
 def transaction_id(ids: Column, algorithm: str) -> Column:
     """Name-based id over the sorted document ids: any change of membership gives a new one."""
     return values.name_uuid(F.concat(F.lit(algorithm + ":"), F.array_join(F.array_sort(ids), ":")))
