@@ -4,12 +4,13 @@ Padded with ``q - 1`` signs on both sides, a word of length L has L + q - 1 gram
 touches at most ``q`` of them. So two words one edit apart share at least ``max(L, M) - 1`` grams, at places that differ by one at
 most: the same distance from the start before the edit, from the end after it.
 
-The index is distributed by keys (gram, side, distance from that side). Grams are ordered by rarity; the rarest gram that
-the edit spares is among the first ``q + 1`` of both words, so each word is posted under those alone and every pair still meets.
-A block of words under one key is small as a rule; one of over ``HOT`` words is posted again under a second spared gram and so
-on (the same argument holds for the grams left over), until blocks are small or ``DEPTH`` grams are fixed, which leaves
-no more words than the alphabet allows. Inside a block the posting lists of a word's grams are heap-merged under the length and
-position limits, partners that reach the overlap bound are kept, and those are verified. Nothing is capped.
+The index is distributed by keys (gram, side, distance from that side). A word is posted under its rarest grams alone, as many
+as it takes that two of them do not overlap: then no edit touches all, so the rarest gram that the edit spares is among them, in both
+words, and every pair meets. A block of words under one key is small as a rule; one of over ``HOT`` words is posted again
+under a second spared gram and so on (the same argument holds for the grams left over), until blocks are small or ``DEPTH`` grams
+are fixed, which leaves no more words than the alphabet allows. Inside a block the shortest posting lists of a word's grams are
+heap-merged under the length and position limits, partners that reach the overlap bound are kept, and those are verified. Nothing
+is capped.
 
 Texts are counted a batch at a time, so a frequent word is one row a batch. The table of gram counts has at most 92^3 rows (90
 letters and two signs), so it may pass through the driver.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tillsight.llm.common import materialise
 
-Q, LEAST_LENGTH, LEAST_COUNT, DROP_EVERY, HOT, DEPTH = 3, 5, 3, 97, 300, 4
+Q, LEAST_LENGTH, LEAST_COUNT, DROP_EVERY, HOT, DEPTH = 3, 5, 3, 97, 2_000, 4
 _RUN = re.compile("[a-zÀ-ÿ]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _FLUSH = 200_000
@@ -97,9 +98,14 @@ def _gram_counts(q: int):
 
 
 def posted(word: str, used: list[int], counts: dict[str, int], q: int = Q) -> list[int]:
-    """Places of the ``q + 1`` rarest grams that are not used yet."""
+    """Places of the rarest grams not used yet, as many as it takes that no single edit touches all: two that do not overlap."""
     all_grams, taken = grams(word, q), set(used)
-    return sorted((i for i in range(len(all_grams)) if i not in taken), key=lambda i: (counts.get(all_grams[i], 0), all_grams[i], i))[: q + 1]
+    out = []
+    for i in sorted((i for i in range(len(all_grams)) if i not in taken), key=lambda i: (counts.get(all_grams[i], 0), all_grams[i], i)):
+        out.append(i)
+        if max(out) - min(out) >= q:
+            break
+    return out
 
 
 def _posting(counts, q: int):
@@ -132,31 +138,54 @@ def one_edit(a: str, b: str) -> bool:
 
 
 def near_in_block(words: list[str], q: int = Q) -> list[tuple[str, str]]:
-    """Pairs of ``words`` one edit apart: posting lists merged by heap, count filter, verification."""
+    """Pairs of ``words`` one edit apart.
+
+    Of a word's posting lists, the ``q + 1`` shortest are merged by heap under the length and position limits: a partner misses
+    at most ``q`` of the word's grams, so it is in one of those. The other lists, the long ones, are only asked for the
+    partners found, and those that reach the overlap bound are verified.
+    """
     words = sorted(set(words), key=lambda w: (len(w), w))
-    lists, own = defaultdict(list), [grams(w, q) for w in words]
+    own, lengths, lists = [grams(w, q) for w in words], [len(w) for w in words], defaultdict(list)
+    # A posting is one number: the word's place in the block, then the gram's place in the word.
+    bits = (lengths[-1] + q).bit_length()
+    mask = (1 << bits) - 1
     for j, all_grams in enumerate(own):
-        for place, g in enumerate(all_grams):
-            lists[g].append((j, place))
-    # Words are in order of length: partners come after a word, up to the last that is one longer.
-    lengths = [len(w) for w in words]
-
-    def partners(g: str, place: int, j: int, end: int):
-        posting = lists[g]
-        for at in range(bisect_left(posting, (j + 1, -1)), len(posting)):
-            k, there = posting[at]
-            if k >= end:
-                return
-            if abs(there - place) <= 1:
-                yield k
+        for posting, g in enumerate(all_grams, j << bits):
+            lists[g].append(posting)
+    held: dict[int, dict[str, list[int]]] = {}
+
+    def places(k: int) -> dict[str, list[int]]:
+        if (found := held.get(k)) is None:
+            found = held[k] = defaultdict(list)
+            for place, g in enumerate(own[k]):
+                found[g].append(place)
+        return found
 
     out = []
+    # Words are in order of length: a pair is found from its first word, whose partners are those after it up to one longer.
     for j, word in enumerate(words):
         end = bisect_left(lengths, len(word) + 2)
         if end <= j + 1:
             continue
-        for k, run in groupby(merge(*(partners(g, place, j, end) for place, g in enumerate(own[j])))):
-            if sum(1 for _ in run) >= lengths[k] - 1 and one_edit(word, words[k]):
+        mine, first, last, runs = own[j], (j + 1) << bits, end << bits, []
+        by_length = sorted(range(len(mine)), key=lambda i: len(lists[mine[i]]))
+        short, long = by_length[: q + 1], by_length[q + 1 :]
+        for i in short:
+            posting = lists[mine[i]]
+            at = bisect_left(posting, first)
+            if at < len(posting) and (run := [x >> bits for x in posting[at : bisect_left(posting, last, at)] if -1 <= (x & mask) - i <= 1]):
+                runs.append(run)
+        for k, run in groupby(merge(*runs) if len(runs) > 1 else runs[0] if runs else ()):
+            shared, need = sum(1 for _ in run), lengths[k] - 1
+            spare = shared + len(long) - need  # so many of the long lists may miss
+            if spare < len(long):
+                there = places(k)
+                for i in long:
+                    if (at := there.get(mine[i])) is None or not any(-1 <= p - i <= 1 for p in at):
+                        spare -= 1
+                        if spare < 0:
+                            break
+            if spare >= 0 and one_edit(word, words[k]):
                 out.append((word, words[k]))
     return out
 
