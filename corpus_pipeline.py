@@ -13,6 +13,8 @@ from tillsight.llm import language, packing, passages, quality, simhash
 from tillsight.llm.common import fresh, materialise, row_key, table
 from tillsight.plans.shipping import ship
 
+#: Lines that copies of so few texts hold stay: a later stage keeps one of the copies.
+MIN_TEXTS = 10
 #: Below this score no profile fits a text; natural text of a learned language scores far above it.
 MIN_LANGUAGE_SCORE = 0.1
 
@@ -30,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     renamed, back = _aside(docs, quality.ADDED)
     text = F.when(F.col("removed_words") > 0, F.col("clean_text")).otherwise(F.col("text"))
-    kept = quality.line_quality(renamed).where("kept").withColumn("text", text)
+    kept = quality.line_quality(renamed, min_texts=MIN_TEXTS).where("kept").withColumn("text", text)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*back)
 
 
@@ -58,10 +60,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = simhash.near_duplicates(keyed.select(row.alias("_row"), "text"), "_row")
     first = (F.col("doc_id.k1") == F.col("component_id.k1")) & (F.col("doc_id.k2") == F.col("component_id.k2"))
     gone = found.where(~first).select(F.col("doc_id.k1").alias(k1), F.col("doc_id.k2").alias(k2))
-    kept = keyed.join(gone, [k1, k2], "left_anti")
-    if not found.where(first).groupBy("doc_id.k1", "doc_id.k2").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([k1, k2])
-    return kept.select(*docs.columns)
+    # Equal rows have equal keys and are all of them first in their group.
+    return keyed.join(gone, [k1, k2], "left_anti").dropDuplicates([k1, k2]).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
