@@ -121,14 +121,22 @@ SECRET_NAMES = ("password", "passwd", "passphrase", "token", "secret", "authoriz
 HIDDEN = "<redacted>"
 
 
+def _behind(*parts: str) -> str:
+    """A place that these parts stand directly before."""
+    return "(?i)(?<=" + "".join(parts) + ")"
+
+
 def redact(x: Column, most: int = 16_384) -> Column:
-    """F32: passwords in URIs, values of secret names, bearer tokens; bounded in length."""
+    """F32: what stands behind a user name in an address, behind a secret's name and its sign, or behind ``bearer``; bounded in length."""
     x = F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("…<truncated>"))).otherwise(x)
-    user_info = r"(?i)([a-z][\w+.\-&&[^_]]*://[^/@:\s]+:)[^@/\s]+@"
-    named = rf"(?i)\b({'|'.join(SECRET_NAMES)})(\s*[=:]\s*)[^;,\s]+"
-    bearer = r"(?i)\b(bearer)\s+[\w.~+/=\-]+"
-    for pattern, put in ((user_info, f"$1{HIDDEN}@"), (named, f"$1$2{HIDDEN}"), (bearer, f"$1 {HIDDEN}")):
-        x = F.regexp_replace(x, pattern, put)
+    gap, no_end = r"\s{0,64}", r"[^\s,;]+"
+    secrets = (
+        _behind("[a-z0-9.+-]", "://", r"[^\s:@/]{1,255}", ":") + r"[^\s@/]+(?=@)",
+        _behind(r"\b(?:", "|".join(SECRET_NAMES), ")", gap, "[:=]", gap) + rf"(?!\s){no_end}",
+        _behind(r"\bbearer\s{1,64}") + r"[\w~+/=.\-]+",
+    )
+    for secret in secrets:
+        x = F.regexp_replace(x, secret, HIDDEN)
     return x
 
 
@@ -138,11 +146,15 @@ def safe_name(x: Column) -> Column:
     return F.coalesce(F.nullif(F.substring(plain, 1, 191), F.lit("")), F.lit("evidence.bin"))
 
 
+#: How pictures that were read, control sequences and line ends are written in stored texts.
+READ_PICTURE, ANNOTATION, LINE_END = "<OCR:[^>]+>(.*?)</OCR:[^>]+>", "<(?:ESC/POS|BYTE):[^>]*>", "\r\n?"
+
+
 def receipt_text(x: Column, most: int = 250_000) -> Column:
     """readable lines: text that was read from pictures stays, annotations and control characters go, one blank line at most in a row."""
-    x = F.regexp_replace(F.substring(x, 1, most), "\r\n?", "\n")
-    x = F.regexp_replace(x, "(?s)<OCR:[^>]+>(.*?)</OCR:[^>]+>", "$1")
-    x = F.regexp_replace(x, "<(?:ESC/POS|BYTE):[^>]*>", "")
+    x = F.regexp_replace(F.substring(x, 1, most), LINE_END, "\n")
+    x = F.regexp_replace(x, f"(?s){READ_PICTURE}", "$1")
+    x = F.regexp_replace(x, ANNOTATION, "")
     x = F.regexp_replace(x, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "")
     lines = F.transform(F.split(x, "\n", -1), lambda line: F.regexp_replace(line, r"(?U)\s+$", ""))
     one = F.filter(F.transform(lines, lambda line, i: F.struct(line.alias("l"), F.coalesce(F.get(lines, i - 1), F.lit("")).alias("before"))), lambda p: (p["l"] != "") | (p["before"] != ""))

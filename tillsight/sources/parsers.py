@@ -11,11 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillsight.plans.tables import written
 from tillsight.sources import fiscal, tickets
 from tillsight.sources.fiscal import frames
 
 FRAMES = "job_id string, frame_id int, offset bigint, address string, frame_class string, data string, sequence string, bcc_valid boolean, issue string"
-DOCS = "job_id string, ordinal int, type string, complete boolean, external_code string, suffix string, table_code string, order_code string, total string, text string, items array<struct<quantity:int,description:string,total:string>>"
+DOCS = "job_id string, ordinal int, type string, complete boolean, external_code string, suffix string, table_code string, order_code string, total string, text string, items array<struct<quantity:int,description:string,total:string>>, warnings array<string>"
 
 
 def version(*modules) -> str:
@@ -27,15 +28,16 @@ def _fiscal_jobs(jobs: DataFrame) -> DataFrame:
     timed = jobs if "captured_at" in jobs.columns else jobs.withColumn("captured_at", F.lit(None).cast("timestamp"))
     d = fiscal.documents(timed)
     items = F.transform("lines", lambda x: F.struct(x["quantity"].cast("int").alias("quantity"), x["description"].alias("description"), x["total"].cast("string").alias("total")))
-    return d.select("job_id", "ordinal", "type", "complete", "external_code", "suffix", "table_code", "order_code", F.col("total").cast("string").alias("total"), "text", items.alias("items"))
+    return d.select("job_id", "ordinal", "type", "complete", "external_code", "suffix", "table_code", "order_code", F.col("total").cast("string").alias("total"), "text", items.alias("items"), "warnings")
 
 
 def _ticket_jobs(jobs: DataFrame) -> DataFrame:
-    lines = tickets.ticket_lines(jobs)
+    lines = written(tickets.ticket_lines(jobs), "ticket-lines")
     items = tickets.ticket_items(lines)
     listed = items.groupBy("job_id", "ordinal").agg(F.transform(F.array_sort(F.collect_list(F.struct("sequence", F.col("quantity").cast("int").alias("quantity"), "description", F.col("amount").cast("decimal(19,2)").cast("string").alias("total")))), lambda x: F.struct(x["quantity"].alias("quantity"), x["description"].alias("description"), x["total"].alias("total"))).alias("items"))
-    d = tickets.ticket_documents(lines, items).join(listed, ["job_id", "ordinal"], "left")
-    return d.select("job_id", "ordinal", "type", "complete", "external_code", F.lit(None).cast("string").alias("suffix"), "table_code", "order_code", F.col("total").cast("decimal(19,2)").cast("string").alias("total"), "text", F.coalesce("items", F.array().cast("array<struct<quantity:int,description:string,total:string>>")).alias("items"))
+    captured = jobs.select("job_id", "captured_at") if "captured_at" in jobs.columns else None
+    d = tickets.ticket_documents(lines, items, captured=captured).join(listed, ["job_id", "ordinal"], "left").join(tickets.input_warnings(jobs), "job_id")
+    return d.select("job_id", "ordinal", "type", "complete", "external_code", F.lit(None).cast("string").alias("suffix"), "table_code", "order_code", F.col("total").cast("decimal(19,2)").cast("string").alias("total"), "text", F.coalesce("items", F.array().cast("array<struct<quantity:int,description:string,total:string>>")).alias("items"), "warnings")
 
 
 #: Parsers by kind, each over a table of jobs, with what its version is made of.
