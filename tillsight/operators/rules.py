@@ -215,12 +215,39 @@ def r14(c: Context, p: dict) -> DataFrame:
     return _per(c.lines.where(bad).join(m, "document_id"), 65, 8, 90, proof, document="document_id")
 
 
+#: Metadata keys whose amounts change a document's total, and the one that lists several.
+ADJUSTMENT_KEYS, ADJUSTMENT_LIST = ("adjustment_total", "surcharge_total", "rounding_adjustment"), "adjustments"
+
+
+def total_candidates(line_sum: Column, discount: Column, metadata: Column) -> Column:
+    """Totals that a document's lines, discount and known adjustments can explain, or null where an adjustment can't be used.
+
+    An adjustment is a number, or in a list a number or an object with an ``amount``. A stated one that is no amount leaves
+    nothing to check against, since what it would have changed isn't known.
+    """
+    said = F.from_json(F.coalesce(metadata, F.lit("{}")), "map<string,string>")
+    amount = lambda c: c.try_cast("decimal(19,4)")
+    there = [F.map_contains_key(said, F.lit(k)) for k in ADJUSTMENT_KEYS]
+    single = F.filter(F.array(*[F.struct(h.alias("there"), amount(F.try_element_at(said, F.lit(k))).alias("v")) for h, k in zip(there, ADJUSTMENT_KEYS, strict=True)]), lambda x: x["there"])
+    raw = F.try_element_at(said, F.lit(ADJUSTMENT_LIST))
+    listed = F.from_json(raw, "array<string>")
+    several = F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda x: F.struct(F.lit(True).alias("there"), amount(F.when(x.startswith("{"), F.get_json_object(x, "$.amount")).otherwise(x)).alias("v")))
+    no_list = F.map_contains_key(said, F.lit(ADJUSTMENT_LIST)) & ~F.coalesce(raw.startswith("["), F.lit(False))
+    every = F.concat(single, several)
+    unusable = no_list | F.exists(every, lambda x: x["v"].isNull())
+    more = F.when(F.size(every) > 0, F.aggregate(every, F.lit(0).cast("decimal(19,4)"), lambda acc, x: (acc + x["v"]).cast("decimal(19,4)")))
+    ways = F.array(line_sum, line_sum - discount, line_sum + more, line_sum - discount + more)
+    return F.when(~F.coalesce(unusable, F.lit(False)), F.array_sort(F.array_distinct(F.array_compact(F.transform(ways, lambda x: x.cast("decimal(19,4)"))))))
+
+
 def r15(c: Context, p: dict) -> DataFrame:
     m = c.members.where(~F.col("type").isin("ORDER_CHANGE", "KITCHEN_ORDER", "CANCELLATION", "REFUND", "DEVICE_RESPONSE", *schema.COPY_TYPES) & F.col("complete") & F.col("total").isNotNull())
     sums = c.lines.groupBy("document_id").agg(F.sum("line_total").alias("s"), F.count_if(F.col("line_total").isNull()).alias("gaps")).where("gaps = 0")
-    off = F.array_min(F.filter(F.array(F.abs(F.col("total") - F.col("s")), F.abs(F.col("total") - F.col("s") + F.col("discount_total"))), lambda x: x.isNotNull()))
-    proof = _proof("total_line_mismatch", document_id=F.col("document_id"), document_total=F.col("total"), line_sum=F.col("s"), discount_total=F.col("discount_total"), difference=off)
-    return _per(m.join(sums, "document_id").where(off > p["tolerance"]), 65, 10, 92, proof, document="document_id")
+    metadata = F.col("raw_metadata") if "raw_metadata" in c.members.columns else F.lit(None).cast("string")
+    x = m.join(sums, "document_id").withColumn("_ways", total_candidates(F.col("s"), F.col("discount_total"), metadata))
+    off = F.array_min(F.transform("_ways", lambda w: F.abs(F.col("total") - w)))
+    proof = _proof("total_line_mismatch", document_id=F.col("document_id"), document_total=F.col("total"), line_sum=F.col("s"), discount_total=F.col("discount_total"), reconstructible_totals=F.col("_ways").cast("array<string>"), difference=off)
+    return _per(x.where(off > p["tolerance"]), 65, 10, 92, proof, document="document_id")
 
 
 def r16(c: Context, p: dict) -> DataFrame:

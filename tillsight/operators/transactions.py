@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight import schema
-from tillsight.functions import values
+from tillsight.functions import text, values
 from tillsight.operators import lines as L
 
 MONEY = values.MONEY
@@ -55,8 +55,34 @@ def members_of(documents: DataFrame, clusters: DataFrame) -> DataFrame:
     return d.join(clusters.withColumnRenamed("cluster", "transaction_key"), "document_id")
 
 
-def transactions(members: DataFrame, payments: DataFrame) -> DataFrame:
-    """Totals, difference and half-even percent of each episode."""
+def management_bills(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(transaction_key, document_id, total)``: the management paper that stands for a pre-bill where an episode has none.
+
+    It is complete, priced, names no receipt and closes nothing; it comes no later than the first valid receipt and shares its
+    table and a line with it; of several the last counts. Only the papers in question have their texts folded.
+    """
+    w = Window.partitionBy("transaction_key")
+    key = F.struct("time", "document_id")
+    bill = (F.col("type") == "PRE_BILL") & (F.col("time") <= F.col("_at"))
+    baseline = (F.col("type") == "MANAGEMENT_DOCUMENT") & F.col("complete") & F.col("total").isNotNull() & F.col("commercial_reference").isNull() & ~room_close()
+    m = members.withColumn("_first", F.min(F.when(valid_fiscal(), key)).over(w)).withColumn("_at", F.col("_first.time"))
+    m = m.where("_first IS NOT NULL").withColumn("_billed", F.max(bill).over(w))
+    m = m.where(~F.col("_billed") & ((baseline & (F.col("time") <= F.col("_at"))) | (F.col("document_id") == F.col("_first.document_id"))))
+    m = m.select("transaction_key", "document_id", "time", "total", "table_code", (F.col("document_id") == F.col("_first.document_id")).alias("_fiscal")).withColumn("_two", F.count("*").over(w)).where("_two > 1")
+    m = text.identities(m, "table_code").where("table_code IS NOT NULL")
+    named = text.identities(lines.join(m.select("document_id"), "document_id", "left_semi").select("document_id", "sequence", "item_code", "description"), "item_code", "description")
+    keys = named.select("document_id", text.line_key(F.col("item_code"), F.col("description"), F.col("sequence") - 1).alias("_key"))
+    keyed = m.join(keys, "document_id")
+    of_receipt = keyed.where("_fiscal").select("transaction_key", "table_code", "_key")
+    fit = keyed.where("NOT _fiscal").join(of_receipt, ["transaction_key", "table_code", "_key"], "left_semi")
+    return fit.groupBy("transaction_key").agg(F.max_by(F.struct("document_id", "total"), key).alias("b")).select("transaction_key", "b.document_id", "b.total")
+
+
+def transactions(members: DataFrame, payments: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Totals, difference and half-even percent of each episode.
+
+    With ``lines``, an episode without a pre-bill takes the management paper that stands for one (``management_bills``).
+    """
     paid = payments.groupBy("document_id").agg(F.sum("amount").cast(MONEY).alias("paid"))
     m = members.join(paid, "document_id", "left")
     w = Window.partitionBy("transaction_key")
@@ -75,6 +101,9 @@ def transactions(members: DataFrame, payments: DataFrame) -> DataFrame:
         F.coalesce(sum_at(3), sum_at(2), sum_at(1), F.lit(0)).cast(MONEY).alias("payment_total"), F.count("paid").alias("payment_records"),
         F.count_if(F.col("type") == "CANCELLATION").alias("cancellations"), F.min("first_fiscal").alias("first_fiscal_at"), F.min("operator_code").alias("operator_code"), F.min("device_id").alias("device_id"),
     )
+    if lines is not None:
+        stand_in = management_bills(members, lines).select("transaction_key", F.col("document_id").alias("_bill"), F.col("total").alias("_billed"))
+        t = t.join(stand_in, "transaction_key", "left").withColumns({"prebill_id": F.coalesce("prebill_id", "_bill"), "prebill_total": F.coalesce("prebill_total", "_billed")}).drop("_bill", "_billed")
     final = F.when(F.col("fiscals") > 0, F.col("fiscal_total")).otherwise(F.col("closing_total")).cast(MONEY)
     t = t.withColumn("final_total", final).withColumn("difference", (F.col("prebill_total") - F.col("final_total")).cast(MONEY))
     return t.withColumn("percent", values.percent(F.col("difference"), F.col("prebill_total"))).withColumn("split_payment", (F.col("fiscals") > 1) & (F.col("fiscal_total") > 0))

@@ -76,3 +76,27 @@ def timeline(members: DataFrame, events: DataFrame, alerts: DataFrame) -> DataFr
     rows = rows.unionByName(events.select("transaction_key", at("time").alias("at"), F.lit("EVENT").alias("kind"), F.concat_ws(":", "event_type", "document_id", "detail").alias("id")))
     rows = rows.unionByName(alerts.select("transaction_key", at("opened_at").alias("at"), F.lit("ALERT").alias("kind"), F.col("alert_id").alias("id")))
     return rows.groupBy("transaction_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "kind", "id"))), lambda x: F.concat_ws(" ", x["kind"], x["id"])).alias("timeline"))
+
+
+#: What a correlation must have met before a number is taken over from another paper, and how that is told.
+WITNESS_CRITERIA = ("commercial_reference_to_observed_fiscal_suffix", "table_code", "line_identity_overlap", "time_proximity")
+WITNESS, WITNESS_TYPES = "CORRELATED_MANAGEMENT_REFERENCE", ("MANAGEMENT_DOCUMENT", "CONFORMING_COPY")
+
+
+def resolved_codes(members: DataFrame, correlations: DataFrame) -> DataFrame:
+    """``(document_id, resolved, provenance, conflict)`` of receipts that show the end of their number only.
+
+    ``members(correlation_id, document_id, type, external_code, external_suffix, commercial_reference)``,
+    ``correlations(correlation_id, status, score, matched)``. A number is taken over where exactly one reference of the papers
+    correlated with full score and all four criteria ends in the receipt's digits; two that differ are a conflict, not a choice.
+    """
+    trusted = correlations.where((F.col("status") == "AUTOMATIC") & (F.col("score") == 100) & (F.size(F.array_except(F.array(*map(F.lit, WITNESS_CRITERIA)), "matched")) == 0)).select("correlation_id")
+    known = members.join(trusted, "correlation_id", "left_semi")
+    some = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    receipts = members.where((F.col("type") == "COMMERCIAL_DOCUMENT") & ~some("external_code") & some("external_suffix")).select("document_id", F.col("external_suffix").alias("_end"))
+    last = F.element_at(F.split(F.replace("commercial_reference", F.lit("/"), F.lit("-")), "-"), -1)
+    told = known.where(F.col("type").isin(*WITNESS_TYPES) & some("commercial_reference")).select("correlation_id", F.col("document_id").alias("_by"), last.alias("_end"), "commercial_reference")
+    seen = known.join(receipts, "document_id").select("document_id", "correlation_id", "_end").join(told, ["correlation_id", "_end"]).where("document_id <> _by")
+    found = seen.groupBy("document_id").agg(F.count_distinct("commercial_reference").alias("n"), F.min("commercial_reference").alias("code"))
+    one = F.col("n") == 1
+    return receipts.select("document_id").distinct().join(found, "document_id", "left").select("document_id", F.when(one, F.col("code")).alias("resolved"), F.when(one, WITNESS).alias("provenance"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("conflict"))

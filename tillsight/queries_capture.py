@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillsight.operators import lifecycle
 from tillsight.queries_functions import read
 from tillsight.registry import query
 from tillsight.sources import fiscal
@@ -59,3 +60,23 @@ def x2_documents(spark, sf):
         "job_id", "ordinal", "type", "complete", "confidence", "total", "suffix", "external_code", "commercial_reference", "table_code", "order_code", "serial", F.greatest(F.size("lines"), F.lit(0)).alias("n_lines"),
         added("lines", "total").alias("lines_total"), added("payments", "amount").alias("paid"), "document_at", F.size("warnings").alias("n_warnings"),
     )
+
+
+_LEDGER = (
+    "ARCHIVED>QUEUED>SEND_ARMED>SENDING>SENT_UNCONFIRMED", "ARCHIVED>SENT_UNCONFIRMED>RETENTION_DELETE_STARTED>RETENTION_DELETED", "ARCHIVED>SENDING", "ARCHIVED>ARCHIVED",
+    "DUPLEX_ACTIVE>ARCHIVED>QUEUED", "ARCHIVED>QUARANTINED", "ARCHIVED>LOST", "QUEUED",
+)
+
+
+@query("s8_ledger_jobs", """SELECT o_orderkey AS job_id, (['SENT_UNCONFIRMED', 'RETENTION_DELETED', 'SENDING', 'SEALED', 'ODD', 'QUARANTINED', 'ODD', 'QUEUED'])[1 + o_orderkey % 8] AS state,
+CASE WHEN o_orderkey % 8 = 3 THEN '10.0.0.2' WHEN o_orderkey % 8 <> 7 THEN '10.0.0.1' END AS destination, o_orderkey % 8 IN (0, 5) AND o_orderkey % 16 <> 0 AS importable,
+CASE WHEN o_orderkey % 16 = 0 THEN 'destinations' ELSE (['', '', 'step', 'archives,destinations,step', 'status', '', 'event', 'step'])[1 + o_orderkey % 8] END AS violations FROM orders""")
+def s8_ledger_jobs(spark, sf):
+    """A ledger of every order: whole runs, deletions, illegal steps, a second archive, another destination, a wrong status, an unknown event."""
+    k = F.col("o_orderkey")
+    e = read(spark, sf, "orders").select(k.alias("job_id"), F.posexplode(F.split(F.element_at(F.array(*map(F.lit, _LEDGER)), (k % 8 + 1).cast("int")), ">")).alias("sequence", "event"))
+    status = F.create_map(*[F.lit(x) for kv in lifecycle.EVENT_STATUS.items() for x in kv])
+    own = F.coalesce(F.try_element_at(status, F.col("event")), F.lit("ODD"))
+    other = ((F.col("job_id") % 16 == 0) & (F.col("sequence") == 2)) | ((F.col("job_id") % 8 == 3) & (F.col("sequence") == 1))
+    log = e.withColumns({"status": F.when((F.col("job_id") % 8 == 4) & (F.col("event") == "QUEUED"), "ODD").otherwise(own), "destination": F.concat(F.lit("10.0.0."), F.when(other, "2").otherwise("1"))})
+    return lifecycle.ledger_jobs(log)

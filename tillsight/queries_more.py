@@ -10,10 +10,12 @@ from tillsight.functions import labels, text, values
 from tillsight.operators import pairs as P
 from tillsight.operators import relational as R
 from tillsight.operators import rules as U
+from tillsight.operators import transactions as T
+from tillsight.operators import views as V
 from tillsight.operators import workflow as W
 from tillsight.plans.projection import canonical
 from tillsight.queries_functions import read
-from tillsight.queries_sales import _AL, _SCORES, PRE, alerts, sales
+from tillsight.queries_sales import _AL, _SCORES, EVALUATED, PRE, alerts, sales
 from tillsight.registry import query
 
 
@@ -43,13 +45,58 @@ def f37_serials(spark, sf):
     return read(spark, sf, "supplier").select("s_suppkey", s["serial"].alias("serial"), s["origin"].alias("origin"))
 
 
-@query("f39_resolved_codes", PRE + ", r AS (SELECT transaction_key, count(DISTINCT commercial_reference) AS n, min(commercial_reference) AS code FROM m WHERE commercial_reference IS NOT NULL GROUP BY 1) SELECT m.document_id, CASE WHEN n = 1 AND TRY_CAST(string_split(code, '-')[-1] AS BIGINT) % 10000 = TRY_CAST(external_suffix AS BIGINT) THEN code END AS resolved FROM m LEFT JOIN r USING (transaction_key) WHERE type = 'COMMERCIAL_DOCUMENT'")
+@query("f39_resolved_codes", PRE + """, x AS MATERIALIZED (SELECT transaction_key AS cid, substr(document_id, 2)::BIGINT AS k, document_id, CASE WHEN document_id[1] = 'B' AND substr(document_id, 2)::BIGINT % 20 = 0 THEN 'MANAGEMENT_DOCUMENT' ELSE type END AS type, CASE WHEN type = 'COMMERCIAL_DOCUMENT' AND substr(document_id, 2)::BIGINT % 4 = 1 THEN external_code END AS external_code, external_suffix,
+CASE WHEN document_id[1] = 'B' AND substr(document_id, 2)::BIGINT % 40 = 0 THEN 'ZZ/' || string_split(commercial_reference, '-')[-1] ELSE commercial_reference END AS ref FROM m),
+ok AS (SELECT DISTINCT cid FROM x WHERE cid::BIGINT % 7 <> 0 AND cid::BIGINT % 3 <> 0 AND cid::BIGINT % 11 <> 0), r AS (SELECT document_id, cid, external_suffix AS e FROM x WHERE type = 'COMMERCIAL_DOCUMENT' AND external_code IS NULL AND external_suffix IS NOT NULL),
+c AS (SELECT r.document_id, count(DISTINCT ref) AS n, min(ref) AS code FROM r JOIN ok USING (cid) JOIN x ON x.cid = r.cid AND x.document_id <> r.document_id AND x.type IN ('MANAGEMENT_DOCUMENT', 'CONFORMING_COPY') AND ref IS NOT NULL AND string_split(replace(ref, '/', '-'), '-')[-1] = e GROUP BY 1)
+SELECT r.document_id, CASE WHEN n = 1 THEN code END AS resolved, CASE WHEN n = 1 THEN 'CORRELATED_MANAGEMENT_REFERENCE' END AS provenance, coalesce(n > 1, FALSE) AS conflict FROM r LEFT JOIN c USING (document_id)""")
 def f39_resolved_codes(spark, sf):
-    """the one reference of the episode whose last part equals the observed suffix."""
+    """numbers of receipts that show four digits only, where one witness, none, several alike or several that differ speak for them."""
     _, members, _ = sales(spark, sf)
-    refs = members.where("commercial_reference IS NOT NULL").groupBy("transaction_key").agg(F.collect_set("commercial_reference").alias("refs"))
-    last = (text.worker_suffix(F.col("refs")[0]).cast("bigint") % 10000).cast("string")
-    return members.where("type = 'COMMERCIAL_DOCUMENT'").join(refs, "transaction_key", "left").select("document_id", F.when((F.size("refs") == 1) & (last == F.col("external_suffix")), F.col("refs")[0]).alias("resolved"))
+    k = F.substring("document_id", 2, 20).cast("bigint")
+    copy = F.col("document_id").startswith("B")
+    last = F.element_at(F.split("commercial_reference", "-"), -1)
+    m = members.select(
+        F.col("transaction_key").alias("correlation_id"), "document_id", F.when(copy & (k % 20 == 0), "MANAGEMENT_DOCUMENT").otherwise(F.col("type")).alias("type"), F.when((F.col("type") == "COMMERCIAL_DOCUMENT") & (k % 4 == 1), F.col("external_code")).alias("external_code"),
+        "external_suffix", F.when(copy & (k % 40 == 0), F.concat(F.lit("ZZ/"), last)).otherwise(F.col("commercial_reference")).alias("commercial_reference"),
+    )
+    c = F.col("correlation_id").cast("bigint")
+    four = F.array(*map(F.lit, V.WITNESS_CRITERIA))
+    correlations = m.select("correlation_id").distinct().select("correlation_id", F.when(c % 7 == 0, "SUPERSEDED").otherwise("AUTOMATIC").alias("status"), F.when(c % 3 == 0, 95).otherwise(100).alias("score"), F.when(c % 11 == 0, F.slice(four, 1, 3)).otherwise(four).alias("matched"))
+    return V.resolved_codes(m, correlations)
+
+
+@query("d14_management_bills", PRE + """, mm AS MATERIALIZED (SELECT transaction_key, document_id, CASE WHEN type = 'PRE_BILL' AND transaction_key::BIGINT % 3 = 0 THEN 'MANAGEMENT_DOCUMENT' ELSE type END AS type, CASE WHEN type = 'PRE_BILL' AND transaction_key::BIGINT % 6 = 0 THEN 'X' ELSE table_code END AS table_code, time, total, complete, commercial_reference, economic_close, settlement_kind FROM m),
+ff AS MATERIALIZED (SELECT transaction_key, arg_min(document_id, strftime(time, '%Y%m%d%H%M%S') || document_id) AS fid, min(time) AS ft FROM mm WHERE type = 'COMMERCIAL_DOCUMENT' AND complete AND total IS NOT NULL GROUP BY 1),
+own AS MATERIALIZED (SELECT mm.transaction_key, arg_max(document_id, strftime(time, '%Y%m%d%H%M%S') || document_id) AS id, arg_max(total, strftime(time, '%Y%m%d%H%M%S') || document_id) AS total FROM mm LEFT JOIN ff USING (transaction_key) WHERE type = 'PRE_BILL' AND (ft IS NULL OR time <= ft) GROUP BY 1),
+fk AS MATERIALIZED (SELECT DISTINCT ff.transaction_key, item_key, table_code FROM ff JOIN kl ON kl.document_id = fid JOIN mm ON mm.document_id = fid),
+cand AS MATERIALIZED (SELECT DISTINCT mm.transaction_key, mm.document_id, time, total FROM mm JOIN ff USING (transaction_key) JOIN kl ON kl.document_id = mm.document_id JOIN fk ON fk.transaction_key = mm.transaction_key AND fk.item_key = kl.item_key AND upper(fk.table_code) = upper(mm.table_code)
+  WHERE type = 'MANAGEMENT_DOCUMENT' AND complete AND total IS NOT NULL AND commercial_reference IS NULL AND NOT (economic_close OR coalesce(settlement_kind = 'ROOM_CHARGE', FALSE)) AND time <= ft),
+alt AS MATERIALIZED (SELECT transaction_key, arg_max(document_id, strftime(time, '%Y%m%d%H%M%S') || document_id) AS id, arg_max(total, strftime(time, '%Y%m%d%H%M%S') || document_id) AS total FROM cand WHERE transaction_key NOT IN (SELECT transaction_key FROM own) GROUP BY 1)
+SELECT tx.transaction_key, coalesce(own.id, alt.id) AS prebill_id, coalesce(own.total, alt.total)::DOUBLE AS prebill_total, (coalesce(own.total, alt.total) - tx.final_total)::DOUBLE AS difference FROM tx LEFT JOIN own USING (transaction_key) LEFT JOIN alt USING (transaction_key)""")
+def d14_management_bills(spark, sf):
+    """Episodes whose pre-bill is a management paper, at the receipt's table or at another."""
+    c, members, _ = sales(spark, sf)
+    k, bill = F.col("transaction_key").cast("bigint"), F.col("type") == "PRE_BILL"
+    m = members.withColumns({"table_code": F.when(bill & (k % 6 == 0), "X").otherwise(F.col("table_code")), "type": F.when(bill & (k % 3 == 0), "MANAGEMENT_DOCUMENT").otherwise(F.col("type"))})
+    return T.transactions(m, c.payments, c.lines).select("transaction_key", "prebill_id", "prebill_total", "difference")
+
+
+_ADJUSTED = ("NULL", """'{"surcharge_total": "5.00"}'""", "'{}'", """'{"adjustments": [1, {"amount": "2.50"}]}'""", """'{"adjustments": [{"amount": null}]}'""", """'{"rounding_adjustment": null}'""", """'{"adjustment_total": 1}'""", """'{"adjustments": "x"}'""", """'{"surcharge_total": "abc"}'""")
+
+
+@query("r15_adjusted_totals", PRE + "SELECT substr(document_id, 2) AS transaction_key, 75::BIGINT AS score, 1::BIGINT AS hits FROM (SELECT DISTINCT document_id FROM lines_ WHERE document_id[1] = 'P') WHERE substr(document_id, 2)::BIGINT % 9 = 2")
+def r15_adjusted_totals(spark, sf):
+    """Totals that surcharges, roundings and lists of adjustments explain, that nothing explains, or that can't be judged."""
+    c, members, tx = sales(spark, sf)
+    k = F.col("transaction_key").cast("bigint") % 9
+    s = c.lines.groupBy("document_id").agg(F.sum("line_total").alias("s"))
+    off = F.element_at(F.array(*map(F.lit, (0.0, 5.0, 5.0, 3.5, 9.0, 9.0, -1.0, 9.0, 9.0))), (k + 1).cast("int")).cast(values.MONEY)
+    m = members.where("type = 'PRE_BILL'").join(s, "document_id").withColumns({
+        "total": (F.col("s") + off).cast(values.MONEY), "discount_total": F.when(k == 6, F.lit(2)).cast(values.MONEY), "raw_metadata": F.element_at(F.array(*[F.expr(x).cast("string") for x in _ADJUSTED]), (k + 1).cast("int")),
+    }).drop("s")
+    found = U.r15(U.Context(m, tx, None, c.lines, None, None, EVALUATED), {"tolerance": 0.01})
+    return found.select("transaction_key", "score", "hits")
 
 
 @query("f42_rule_fingerprints", """SELECT p_partkey, sha256('{"code":"' || p_brand || '","parameters":"{}","severity":"HIGH","weight":"1"}') AS f FROM part""")

@@ -24,7 +24,8 @@ _RC = "(type = 'MANAGEMENT_DOCUMENT' AND (economic_close OR coalesce(settlement_
 _KEY = "CASE WHEN item_code IS NOT NULL THEN 'CODE:' || item_code WHEN description IS NOT NULL THEN 'DESC:' || upper(description) ELSE 'POSITION:' || (sequence - 1) END"
 _D = "::DOUBLE"
 
-PRE = duckdb_prelude() + f""",
+DOCS = duckdb_prelude()
+PRE = DOCS + f""",
 m AS MATERIALIZED (SELECT *, substr(document_id, 2) AS transaction_key, coalesce(document_time, captured_at) AS time, coalesce(gross_total, net_total) AS total FROM documents_),
 f1 AS (SELECT transaction_key, min(time) AS ff FROM m WHERE {_VF} GROUP BY 1),
 bill AS (SELECT m.transaction_key, arg_max(document_id, strftime(time, '%Y%m%d%H%M%S') || document_id) AS prebill_id, arg_max(total, strftime(time, '%Y%m%d%H%M%S') || document_id) AS prebill_total FROM m LEFT JOIN f1 USING (transaction_key) WHERE type = 'PRE_BILL' AND (ff IS NULL OR time <= ff) GROUP BY 1),
@@ -170,7 +171,7 @@ def p22_reductions(spark, sf):
     return R.page(hit.select("transaction_key", "difference", "percent"), [F.desc("difference"), "transaction_key"], 100)
 
 
-@query("p25_document_scope", PRE + f"SELECT document_id FROM (SELECT *, {_CONTENT} AS has FROM documents_) WHERE type <> 'PRE_BILL' AND (complete OR has)")
+@query("p25_document_scope", DOCS + ", held AS MATERIALIZED (SELECT document_id FROM lines_ UNION SELECT document_id FROM payments_), d AS MATERIALIZED (SELECT document_id, complete OR coalesce(order_code, external_code, external_suffix, commercial_reference, gross_total::VARCHAR, net_total::VARCHAR) IS NOT NULL AS seen FROM documents_ WHERE type <> 'PRE_BILL') SELECT d.document_id FROM d LEFT JOIN held h ON d.document_id = h.document_id WHERE seen OR h.document_id IS NOT NULL")
 def p25_document_scope(spark, sf):
     c = canonical(spark, sf)
     return R.has_content(c.payments, c.lines, c.documents).where(R.document_scope(exclude="PRE_BILL")).select("document_id")
@@ -195,7 +196,7 @@ def j10_candidate_pairs(spark, sf):
     return P.candidates(P.described(c.documents, c.lines))
 
 
-@query("j17_same_code_within_a_day", PRE + "SELECT a.document_id AS a, b.document_id AS b FROM documents_ a JOIN documents_ b ON a.device_id = b.device_id AND a.external_code = b.external_code AND a.document_id < b.document_id AND abs(epoch(a.captured_at) - epoch(b.captured_at)) <= 86400")
+@query("j17_same_code_within_a_day", DOCS + ", k AS MATERIALIZED (SELECT document_id, device_id, external_code, epoch(captured_at) AS t FROM documents_ WHERE external_code IS NOT NULL), two AS MATERIALIZED (SELECT a.document_id AS a, b.document_id AS b, a.t AS ta, b.t AS tb FROM k a JOIN k b USING (device_id, external_code)) SELECT a, b FROM two WHERE a < b AND abs(ta - tb) <= 86400")
 def j17_same_code_within_a_day(spark, sf):
     """A range join as an equal join: the day bucket and its neighbours."""
     d = canonical(spark, sf).documents.where("external_code IS NOT NULL").select("document_id", "device_id", "external_code", F.unix_timestamp("captured_at").alias("s"))
@@ -269,7 +270,7 @@ def d3_pair_scores(spark, sf):
     return P.score(P.candidates(d), d).where("score > 0").select("a", "b", "score", "rule", "delta")
 
 
-@query("d5_reference_links", PRE + ", " + _PAIR_KEYS + " SELECT a, b FROM cand JOIN (SELECT least(k.document_id, c.document_id) AS a, greatest(k.document_id, c.document_id) AS b FROM documents_ k JOIN documents_ c ON k.type IN ('CONFORMING_COPY', 'REPRINT') AND c.type = 'COMMERCIAL_DOCUMENT' AND k.commercial_reference = c.external_code AND k.table_code = c.table_code) USING (a, b)")
+@query("d5_reference_links", DOCS + ", c AS MATERIALIZED (SELECT document_id, external_code AS code, table_code, epoch(coalesce(document_time, captured_at)) AS t FROM documents_ WHERE type = 'COMMERCIAL_DOCUMENT' AND external_code IS NOT NULL), k AS MATERIALIZED (SELECT document_id, commercial_reference AS code, table_code, epoch(coalesce(document_time, captured_at)) AS t FROM documents_ WHERE type IN ('CONFORMING_COPY', 'REPRINT') AND commercial_reference IS NOT NULL), two AS MATERIALIZED (SELECT k.document_id AS k, c.document_id AS c, k.t AS tk, c.t AS tc FROM k JOIN c USING (code, table_code)) SELECT least(k, c) AS a, greatest(k, c) AS b FROM two WHERE abs(tk - tc) <= 7200")
 def d5_reference_links(spark, sf):
     """A copy and the fiscal document it names."""
     c = canonical(spark, sf)
@@ -285,7 +286,7 @@ def d6_table_sales(spark, sf):
     return P.score(P.candidates(d, types=("PRE_BILL", "MANAGEMENT_DOCUMENT", "COMMERCIAL_DOCUMENT"), by=("table",)), d).where("rule = 'table_sale'").select("a", "b")
 
 
-@query("d11_response_links", PRE + "SELECT least(r.document_id, o.document_id) AS a, greatest(r.document_id, o.document_id) AS b, 90::BIGINT AS score FROM documents_ r JOIN documents_ o ON r.type = 'DEVICE_RESPONSE' AND o.type <> 'DEVICE_RESPONSE' AND r.job_id = o.job_id")
+@query("d11_response_links", DOCS + ", r AS MATERIALIZED (SELECT document_id, job_id FROM documents_ WHERE type = 'DEVICE_RESPONSE'), o AS MATERIALIZED (SELECT document_id, job_id FROM documents_ WHERE type <> 'DEVICE_RESPONSE') SELECT least(r.document_id, o.document_id) AS a, greatest(r.document_id, o.document_id) AS b, 90::BIGINT AS score FROM r JOIN o USING (job_id)")
 def d11_response_links(spark, sf):
     c = canonical(spark, sf)
     d = P.described(c.documents, c.lines)
@@ -546,7 +547,11 @@ def p9_alert_device(spark, sf):
     return a.select("alert_id")
 
 
-@query("d28_transaction_view", PRE + f", g AS (SELECT m.transaction_key, sum(gross_total) FILTER ({_VF}) AS fiscal_gross, count(*) FILTER ({_VF}) AS nf, sum(gross_total) FILTER ({_RC} AND gross_total IS NOT NULL) AS room_gross, count(*) FILTER ({_RC} AND gross_total IS NOT NULL) AS nr, count(*) FILTER (type = 'CANCELLATION') AS nv FROM m GROUP BY 1) SELECT tx.transaction_key, CASE WHEN nf > 0 THEN 'COMMERCIAL_DOCUMENT' WHEN nr > 0 THEN 'ROOM_CHARGE' WHEN nv > 0 THEN 'CANCELLATION' END AS basis, b.gross_total::DOUBLE AS prebill_gross, CASE WHEN nf > 0 THEN fiscal_gross WHEN nr > 0 THEN room_gross WHEN nv > 0 THEN 0 END::DOUBLE AS final_gross, (b.gross_total - CASE WHEN nf > 0 THEN fiscal_gross WHEN nr > 0 THEN room_gross WHEN nv > 0 THEN 0 END)::DOUBLE AS difference FROM tx JOIN g USING (transaction_key) LEFT JOIN documents_ b ON b.document_id = prebill_id")
+@query("d28_transaction_view", DOCS + f""", w AS MATERIALIZED (SELECT substr(document_id, 2) AS transaction_key, document_id, type, gross_total, coalesce(document_time, captured_at) AS time, {_VF.replace("total", "coalesce(gross_total, net_total)")} AS vf, {_RC} AS rc FROM documents_),
+ff AS MATERIALIZED (SELECT transaction_key, min(time) FILTER (vf) AS ff, sum(gross_total) FILTER (vf) AS fiscal_gross, count(*) FILTER (vf) AS nf, sum(gross_total) FILTER (rc AND gross_total IS NOT NULL) AS room_gross, count(*) FILTER (rc AND gross_total IS NOT NULL) AS nr, count(*) FILTER (type = 'CANCELLATION') AS nv FROM w GROUP BY 1),
+p AS MATERIALIZED (SELECT w.transaction_key, arg_max(gross_total, strftime(time, '%Y%m%d%H%M%S') || document_id) AS prebill_gross FROM w JOIN ff USING (transaction_key) WHERE type = 'PRE_BILL' AND (ff IS NULL OR time <= ff) GROUP BY 1),
+v AS (SELECT transaction_key, prebill_gross, CASE WHEN nf > 0 THEN 'COMMERCIAL_DOCUMENT' WHEN nr > 0 THEN 'ROOM_CHARGE' WHEN nv > 0 THEN 'CANCELLATION' END AS basis, CASE WHEN nf > 0 THEN fiscal_gross WHEN nr > 0 THEN room_gross WHEN nv > 0 THEN 0 END AS final_gross FROM ff LEFT JOIN p USING (transaction_key))
+SELECT transaction_key, basis, prebill_gross::DOUBLE AS prebill_gross, final_gross::DOUBLE AS final_gross, (prebill_gross - final_gross)::DOUBLE AS difference FROM v""")
 def d28_transaction_view(spark, sf):
     """Gross amounts only; no close means no difference, a cancelled sale ends at zero."""
     _, members, tx = sales(spark, sf)
