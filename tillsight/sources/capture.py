@@ -97,6 +97,32 @@ def timeline(data: bytes, raw: dict[str, bytes]) -> tuple[list[dict], list[str]]
     return events, wrong
 
 
+def checked(path: str, device: str, have: dict[str, bytes | None], marker: str, wrong: list[str] | None = None) -> tuple:
+    """A job's row from its files and its marker: what contradicts its manifest is named, nothing is mended."""
+    wrong, manifest, session = list(wrong or ()), {}, {}
+    try:
+        manifest, session = strict_json(have.get("manifest.json") or b""), strict_json(have.get("session.json") or b"")
+        if strict_json(marker.encode()).get("manifest_sha256") != hashlib.sha256(have["manifest.json"]).hexdigest():
+            wrong.append("ready_manifest")
+    except ValueError:
+        wrong.append("json")
+    for name, meta in (manifest.get("files") or {}).items():
+        body = have.get(name, b"" if meta.get("size") == 0 else None)  # Spark's readers pass over empty files
+        if body is None or len(body) != meta.get("size") or hashlib.sha256(body).hexdigest() != meta.get("sha256"):
+            wrong.append(f"file:{name}")
+    about = session.get("session") or {}
+    if manifest.get("session") not in (None, about):
+        wrong.append("session")
+    if about.get("device_id") != device:
+        wrong.append("device")
+    raw = {"client_to_device": have.get("client.raw") or b"", "device_to_client": have.get("device.raw") or b""}
+    wrong += timeline(have.get("timeline.jsonl") or b"", raw)[1]
+    status = manifest.get("status")
+    if status == "COMPLETE" and (manifest.get("errors") or not manifest.get("transport_complete", True)):
+        wrong.append("status")
+    return (path, about.get("job_id"), about.get("device_id"), about.get("session_id"), status, sum(map(len, raw.values())), raw["client_to_device"], raw["device_to_client"], hashlib.sha256(have.get("manifest.json") or b"").hexdigest(), wrong)
+
+
 def jobs(spark: SparkSession, root: str) -> DataFrame:
     """One checked row a committed job; ``failures`` names what contradicts its manifest."""
     found = files(spark, root)
@@ -106,32 +132,8 @@ def jobs(spark: SparkSession, root: str) -> DataFrame:
 
     def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for path, device, data, marker in zip(part["job_path"], part["device_folder"], part["files"], part["ready"], strict=True):
-                have = dict(data) if not isinstance(data, dict) else data
-                wrong, manifest, session = [], {}, {}
-                try:
-                    manifest, session = strict_json(have.get("manifest.json") or b""), strict_json(have.get("session.json") or b"")
-                    if strict_json(marker.encode()).get("manifest_sha256") != hashlib.sha256(have["manifest.json"]).hexdigest():
-                        wrong.append("ready_manifest")
-                except ValueError:
-                    wrong.append("json")
-                for name, meta in (manifest.get("files") or {}).items():
-                    body = have.get(name, b"" if meta.get("size") == 0 else None)  # Spark's readers pass over empty files
-                    if body is None or len(body) != meta.get("size") or hashlib.sha256(body).hexdigest() != meta.get("sha256"):
-                        wrong.append(f"file:{name}")
-                about = session.get("session") or {}
-                if manifest.get("session") not in (None, about):
-                    wrong.append("session")
-                if about.get("device_id") != device:
-                    wrong.append("device")
-                raw = {"client_to_device": have.get("client.raw") or b"", "device_to_client": have.get("device.raw") or b""}
-                wrong += timeline(have.get("timeline.jsonl") or b"", raw)[1]
-                status = manifest.get("status")
-                if status == "COMPLETE" and (manifest.get("errors") or not manifest.get("transport_complete", True)):
-                    wrong.append("status")
-                out.append((path, about.get("job_id"), about.get("device_id"), about.get("session_id"), status, sum(map(len, raw.values())), raw["client_to_device"], raw["device_to_client"], hashlib.sha256(have.get("manifest.json") or b"").hexdigest(), wrong))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in JOBS.split(", ")])
+            rows = [checked(path, device, dict(data), marker) for path, device, data, marker in zip(part["job_path"], part["device_folder"], part["files"], part["ready"], strict=True)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in JOBS.split(", ")])
 
     return grouped.mapInPandas(check, JOBS)
 
