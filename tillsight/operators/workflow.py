@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillsight.functions import values
+
 
 def effective(log: DataFrame, by: str, order: list[str]) -> DataFrame:
     """The last entry of each key; earlier ones stay in the log."""
@@ -49,3 +51,17 @@ def neighbourhood(documents: DataFrame, seeds: DataFrame, keys: list[str], time:
         near = d.alias("d").join(s.alias("s"), (F.col(f"d.{k}") == F.col(f"s.{k}")) & (F.col("d._b") == F.col("s._b")) & (F.abs(F.unix_timestamp(F.col(f"d.{time}")) - F.col("s._s")) <= window_seconds), "left_semi")
         out = out.unionByName(near.select("document_id"))
     return documents.join(out.distinct(), "document_id", "left_semi")
+
+
+def pending(jobs: DataFrame, raw: DataFrame, done: DataFrame, failures: DataFrame, build: str, now: Column, states: tuple[str, ...], asked: DataFrame | None = None) -> DataFrame:
+    """``jobs(job_id, status)`` to parse now, with ``attempts`` and ``last_failure``.
+
+    A job has one of ``states``, has bytes (``raw``), and this ``build`` hasn't done it (``done(job_id, build)``). After a failure
+    (``failures(job_id, failed_at)``) it waits, each time twice as long; jobs that are ``asked`` for by name don't wait.
+    """
+    open_ = jobs.where(F.col("status").isin(*states)).join(raw.select("job_id"), "job_id", "left_semi").join(done.where(F.col("build") == build).select("job_id"), "job_id", "left_anti")
+    tried = failures.groupBy("job_id").agg(F.count("*").alias("attempts"), F.max("failed_at").alias("last_failure"))
+    named = jobs.select("job_id").limit(0).withColumn("_asked", F.lit(True)) if asked is None else asked.select("job_id").distinct().withColumn("_asked", F.lit(True))
+    x = open_.join(tried, "job_id", "left").join(named, "job_id", "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)))
+    rested = F.unix_seconds(now) - F.unix_seconds("last_failure") >= values.backoff_seconds(F.col("attempts"))
+    return x.where(F.coalesce("_asked", F.lit(False)) | (F.col("attempts") == 0) | rested).drop("_asked")

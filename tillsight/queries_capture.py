@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.operators import lifecycle
+from tillsight.operators import incremental, lifecycle
+from tillsight.operators import workflow as W
+from tillsight.plans.tables import shared_folder
 from tillsight.queries_functions import read
+from tillsight.queries_sales import PRE, sales
 from tillsight.registry import query
 from tillsight.sources import fiscal
 
@@ -80,3 +85,28 @@ def s8_ledger_jobs(spark, sf):
     other = ((F.col("job_id") % 16 == 0) & (F.col("sequence") == 2)) | ((F.col("job_id") % 8 == 3) & (F.col("sequence") == 1))
     log = e.withColumns({"status": F.when((F.col("job_id") % 8 == 4) & (F.col("event") == "QUEUED"), "ODD").otherwise(own), "destination": F.concat(F.lit("10.0.0."), F.when(other, "2").otherwise("1"))})
     return lifecycle.ledger_jobs(log)
+
+
+@query("t3_increments", PRE + "SELECT document_id, min(document_id) OVER (PARTITION BY transaction_key) AS cluster FROM m")
+def t3_increments(spark, sf):
+    """The clusters of all papers, taken in by two versions, the second of which holds late papers of all hours."""
+    c, _, _ = sales(spark, sf)
+    root = f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}"
+    turn = F.pmod(F.xxhash64("document_id"), F.lit(10))
+    for version, part in enumerate((turn < 8, turn >= 8)):
+        incremental.add(spark, root, version, c.documents.where(part), c.lines)
+    return incremental.labels(spark, root, 1).select("document_id", "cluster")
+
+
+@query("p24_pending_jobs", """WITH a AS (SELECT o_custkey, o_orderkey, o_orderkey % 5 AS tries, DATE_DIFF('second', TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-01' + INTERVAL (o_orderkey % 97) SECOND) AS ago FROM orders)
+SELECT o_orderkey AS job_id FROM a WHERE o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0 AND (o_orderkey % 7 = 0 OR tries = 0 OR ago >= least(3600, 5 * power(2, tries - 1))) AND o_orderkey % 11 <> 0""")
+def p24_pending_jobs(spark, sf):
+    """Jobs of the right status with bytes, not yet done by this build, whose last failure lies far enough back."""
+    k = F.col("o_orderkey")
+    o = read(spark, sf, "orders").select(k.alias("job_id"), F.when(k % 3 == 0, "PARSED").otherwise("IMPORTED").alias("status"))
+    j = F.col("job_id")
+    raw = o.where(j % 4 != 0).select("job_id")
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    fails = o.where(j % 5 > 0).select("job_id", F.explode(F.sequence(F.lit(1), (j % 5).cast("int"))).alias("n")).select("job_id", (now - F.make_dt_interval(secs=(j % 97) + (j % 5) - F.col("n"))).alias("failed_at"))
+    done = o.where(j % 11 == 0).select("job_id", F.lit("b2").alias("build")).unionByName(o.where(j % 2 == 0).select("job_id", F.lit("b1").alias("build")))
+    return W.pending(o, raw, done, fails, "b2", now, ("IMPORTED",), o.where(j % 7 == 0).select("job_id")).select("job_id")
