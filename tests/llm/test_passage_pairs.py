@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_corpus_operators import docs, prose
 from tillsight.llm import passages
@@ -92,3 +93,11 @@ def test_hot_groups_keep_all_members():
         assert groups[key] == {min(mine), max(mine)}
         private = {frozenset(g) for a, g in groups.items() if a >= 5}
         assert all({frozenset((x, min(mine))), frozenset((x, max(mine)))} <= private for x in mine - groups[key])
+
+
+def test_texts_that_share_half_their_key_are_told_apart(spark):
+    d = spark.createDataFrame([(1, "one"), (2, "two"), (3, "six"), (4, "four"), (5, "two"), (6, None), (7, "")], "doc_id bigint, text string")
+    keyed = passages.with_text_key(d, "u", halves_of=lambda t: (F.length(t).cast("bigint"), F.xxhash64(t))).collect()
+    u = {r.doc_id: r.u for r in keyed}
+    assert len({u[k] for k in (1, 2, 3, 4, 6)}) == 5 and u[2] == u[5] and u[6] == u[7] and 3 in (u[1], u[2], u[3])
+    assert {r.doc_id: r.u for r in passages.with_text_key(d, "u").collect()} == {r.doc_id: r.h for r in d.selectExpr("doc_id", "xxhash64(coalesce(text, '')) AS h").collect()}

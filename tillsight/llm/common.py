@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,11 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a local one only where none is set."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``); a session without it gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tillsight-"))
-        found = spark.sparkContext.getCheckpointDir()
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return found.rstrip("/")
 
 

@@ -404,11 +404,27 @@ def _size(docs: DataFrame, text: Column) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("bigint")).first()[0]
 
 
-def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Passages, representatives ``(_u, _rep)`` of all texts that matter, and whole copies ``(_u, _id, n)``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(_text_key(text_col).alias("_u"), F.col(id_col).alias("_id"), text.alias("_text"))
-    found, texts = spans(keyed, _size(docs, text))
+def _halves(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+
+
+def with_text_key(docs: DataFrame, u: str, text_col: str = "text", halves_of=_halves) -> DataFrame:
+    """``docs`` with ``u``, a number that differing texts never share.
+
+    Texts are told apart by 128 bits. ``u`` is the first half; where differing texts share it, all but the one with the
+    least second half are numbered anew. At 10^10 texts some three pairs do, so the table of such halves is nearly always empty.
+    """
+    first, second = halves_of(F.coalesce(F.col(text_col), F.lit("")))
+    halves = docs.select(first.alias("_a"), second.alias("_b")).groupBy("_a").agg(F.min("_b").alias("_least"), F.max("_b").alias("_most"))
+    shared = materialise(halves.where("_least <> _most").select("_a", "_least"), "passages-shared-halves")
+    a, least = fresh(docs, "_a", "_least")
+    met = docs.join(shared.withColumnsRenamed({"_a": a, "_least": least}), first == F.col(a), "left")
+    return met.withColumn(u, F.when(F.col(least).isNull() | (F.col(least) == second), first).otherwise(F.xxhash64(F.lit("other"), first, second))).select(*docs.columns, u)
+
+
+def _found(keyed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Passages of ``keyed(_u, _id, _text)``, representatives ``(_u, _rep)`` of all texts that matter, and whole copies ``(_u, _id, n)``."""
+    found, texts = spans(keyed, _size(keyed, F.col("_text")))
     ids = keyed.select("_u", "_id").join(texts.select("_u"), "_u", "left_semi").distinct()
     reps = materialise(ids.groupBy("_u").agg(F.min("_id").alias("_rep"), F.count("*").alias("ids")), "passages-reps")
     sizes = texts.select("_u", F.size(words_of(F.col("_text"))).cast("bigint").alias("n")).where(F.col("n") >= MIN_WORDS)
@@ -416,8 +432,8 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     return found, reps, whole
 
 
-def _text_key(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+def _keyed(docs: DataFrame, u: str, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(u).alias("_u"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
 def near_duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -426,7 +442,8 @@ def near_duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: s
     A representative's own passages are rows whose rep_doc_id is their doc_id. A copy of a whole text is one
     passage of all its words.
     """
-    found, reps, whole = _found(docs, id_col, text_col)
+    slim = with_text_key(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_u", "_text")
+    found, reps, whole = _found(_keyed(slim, "_u", "_id", "_text"))
     own = found.groupBy(F.col("_v").alias("_u"), "_v", F.col("vs").alias("s")).agg(F.max("ve").alias("e")).withColumns({"vs": F.col("s"), "sim": F.lit(1.0)})
     rows = found.select("_u", "_v", "s", "e", "vs", "sim").unionByName(own.select("_u", "_v", "s", "e", "vs", "sim"))
     rows = rows.join(reps.select(F.col("_u").alias("_v"), F.col("_rep").alias("rep_doc_id")), "_v").join(reps.select("_u", F.col("_rep").alias("doc_id")), "_u")
@@ -451,15 +468,16 @@ def _cut(text: str, ranges: list[tuple[int, int]]) -> str:
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every passage cut that a representative document keeps; of copies the one with the least id keeps it."""
-    found, _, whole = _found(docs, id_col, text_col)
     keep = list(docs.columns)
     u, cuts, first, n = fresh(docs, "_u", "_cuts", "_first", "_n")
+    docs_u = with_text_key(docs, u, text_col)
+    found, _, whole = _found(_keyed(docs_u, u, id_col, text_col))
     # One table of all that is cut from a text, so that the texts are joined once.
     spans_of = found.groupBy("_u").agg(F.collect_set(F.struct("s", "e")).alias(cuts))
     copied = whole.select("_u", F.struct(F.col("_rep").alias("id")).alias(first), F.col("n").alias(n)).distinct()
     out = spans_of.join(copied, "_u", "full_outer").withColumnRenamed("_u", u)
     lesser = F.col(first).isNotNull() & ~F.col(id_col).eqNullSafe(F.col(first)["id"])
-    joined = docs.withColumn(u, _text_key(text_col)).join(out, u, "left").select(*keep, cuts, F.when(lesser, F.col(n)).alias(n))
+    joined = docs_u.join(out, u, "left").select(*keep, cuts, F.when(lesser, F.col(n)).alias(n))
     at = keep.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
