@@ -243,12 +243,13 @@ def test_balls_compare_less_and_find_the_same(seed):
     assert (again == want).all() and (f == d).all() and none == 0
 
 
-def test_a_session_without_a_shared_folder_gets_an_error():
+def test_a_cluster_without_a_shared_folder_gets_an_error():
     class Bare:
         class conf:  # noqa: N801
             get = staticmethod(lambda key, default=None: default)
 
         class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
             getCheckpointDir = staticmethod(lambda: None)
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
