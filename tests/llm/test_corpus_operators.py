@@ -85,17 +85,17 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert got[101].removed_words == 0 and got[101].kept and got[102].kept
 
 
-def test_documents_are_counted_and_copies_are_no_boilerplate(spark):
+def test_documents_are_counted_and_callers_may_spare_copies(spark):
     copy = "\n".join(prose(12, k) for k in range(5))
     d = docs(spark, [(i, copy, "a") for i in range(50)] + [(99, prose(40, 5), "a")])
-    assert all(r.kept and r.removed_words == 0 for r in quality.line_quality(d).collect())
-    assert {r.doc_id: r.removed_words for r in quality.line_quality(d, min_texts=0).collect()} == {i: 60 for i in range(50)} | {99: 0}
+    assert all(r.kept and r.removed_words == 0 for r in quality.line_quality(d, min_texts=10).collect())
+    assert {r.doc_id: r.removed_words for r in quality.line_quality(d).collect()} == {i: 60 for i in range(50)} | {99: 0}
     # One document crawled again and again (equal rows) is one; one text under many ids is many documents.
     line = prose(9, 77)
     rows = [(1, f"{prose(30, 1)}\n{line}", "a")] * 40 + [(i, f"{prose(30, i)}\n{line}", "a") for i in range(2, 11)] + [(100 + i, prose(30, 100 + i), "a") for i in range(60)]
-    assert quality.frequent_lines(docs(spark, rows), min_texts=0).count() == 0  # ten documents
+    assert quality.frequent_lines(docs(spark, rows)).count() == 0  # ten documents
     rows += [(i, rows[0][1], "a") for i in range(200, 203)]
-    assert quality.frequent_lines(docs(spark, rows), min_texts=0).count() == 1 and quality.frequent_lines(docs(spark, rows)).count() == 0
+    assert quality.frequent_lines(docs(spark, rows)).count() == 1 and quality.frequent_lines(docs(spark, rows), min_texts=10).count() == 0
     assert quality.frequent_lines(docs(spark, rows), share=0.9, min_texts=5).count() == 0 and quality.frequent_lines(docs(spark, rows), share=0.9, min_texts=5, most_docs=12).count() == 1
 
 

@@ -3,9 +3,8 @@
 Lines are normalised (lower case, digit runs to 0, white space collapsed) and hashed. For each host the
 number of distinct documents that hold a line is counted over all documents. A line is removed from every document of
 the host if it is held by more than ``max(min_docs, share * documents of the host)`` documents, or by more than
-``most_docs`` whatever the host's size, and by more than ``min_texts`` different texts: a line that only copies of a
-few texts hold is no boilerplate but theirs, and finding copies is another operator's task (``min_texts=0`` counts
-documents alone). A document that loses more than half its words is depleted and rejected. Only DataFrame
+``most_docs`` whatever the host's size. With ``min_texts`` it must also be in more than so many different texts, so that copies
+of a few texts deplete nobody (for callers whose next stage finds copies). A document that loses more than half its words is depleted and rejected. Only DataFrame
 functions run.
 
 Hot hosts and lines: counts are reduced map-side before each shuffle, and the join that marks removable
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from tillsight.llm.common import SPACE, fresh, let, row_key, spaced, words_of
 
 MIN_WORDS, REPEAT_SHARE, WINDOW = 20, 30, 8
-MIN_DOCS, SHARE, MOST_DOCS, MIN_TEXTS, KEEP_SHARE = 10, 0.1, 10_000, 10, 0.5
+MIN_DOCS, SHARE, MOST_DOCS, MIN_TEXTS, KEEP_SHARE = 10, 0.1, 10_000, 0, 0.5
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept", "clean_text")
 
 
@@ -131,7 +130,7 @@ lines AS (SELECT rid, doc_id, host, t, l, trim(regexp_replace(regexp_replace(low
 dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM lines WHERE lw > 0 GROUP BY rid),
 hosts AS (SELECT host, count(DISTINCT (doc_id, t)) AS n FROM docs GROUP BY host),
 freq AS (SELECT l.host, nl FROM lines l JOIN hosts h ON l.host = h.host WHERE nl <> '' GROUP BY l.host, nl, n
-  HAVING count(DISTINCT (doc_id, t)) > 10 AND (count(DISTINCT (doc_id, t)) > 0.1 * n OR count(DISTINCT (doc_id, t)) > 10000) AND count(DISTINCT t) > 10),
+  HAVING count(DISTINCT (doc_id, t)) > 10 AND (count(DISTINCT (doc_id, t)) > 0.1 * n OR count(DISTINCT (doc_id, t)) > 10000)),
 gone AS (SELECT rid, sum(lw) AS n FROM lines JOIN freq USING (host, nl) GROUP BY rid),
 base AS (SELECT w.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
