@@ -1,6 +1,8 @@
 """Operators that no SQL can check, against brute force, the tokenizer itself, and held-out rows of the tables."""
 
 import itertools
+import random
+import time
 import os
 import unicodedata
 from collections import Counter
@@ -73,7 +75,10 @@ def test_long_tokens_and_wide_letters_count(spark):
     assert counts["ab"] == 3 and counts["^ab$"] == 2 and counts["￿￿"] == 1
     lm = toxicity.CharModel(counts)
     assert lm("", "\U00010428") == lm("", "￿")
-    assert len(toxicity.char_counts(d, most=5)) == 5
+    for most in (0, 1, 3, 5, 8, len(counts) - 1, len(counts)):
+        few, left = toxicity.char_counts(d, most=most), sorted(counts.values(), reverse=True)
+        assert len(few) == max(k for k in range(most + 1) if k in (0, len(left)) or left[k - 1] > left[k])  # as many as leave no tie
+        assert all(counts[g] == n for g, n in few.items()) and sorted(few.values(), reverse=True) == left[: len(few)]
 
 
 @tables
@@ -213,7 +218,7 @@ def test_table_pages_are_read_as_their_article(spark):
     hit = total = wrong = 0
     for page in rows:
         found = extraction.blocks(page)
-        truth = [any(t == "article" for t, _ in b[0]) for b in found]
+        truth = ["in:article" in b[0] for b in found]
         y = field.decode([extraction.block_features(*b) for b in found])
         hit += sum(a and b for a, b in zip(truth, y, strict=True))
         wrong += sum(b and not a for a, b in zip(truth, y, strict=True))
@@ -221,6 +226,52 @@ def test_table_pages_are_read_as_their_article(spark):
     assert hit >= 0.98 * total and wrong <= 0.02 * total
 
 
+LAYOUTS = [("<article>", "</article>"), ("<div class='story'>", "</div>"), ("<div id='x'>", "</div>"), ("", ""), ("<section>", "</section>"), ("<table><tr><td>", "</td></tr></table>"), ("<div><div>", "</div></div>"), ("<div class='body-copy'>", "</div>")]
+WORDS = "la città era piccola e molti andavano ogni giorno al mercato strada river house with people".split()
+
+
+def a_page(start, end):
+    """A menu, a title and five paragraphs of some 100 characters, readers' comments, a footer; and the article's text."""
+    rng = random.Random(8)
+    story = ["Una storia del fiume", *(" ".join(rng.choices(WORDS, k=18)).capitalize() + "." for _ in range(5))]
+    menu, said = "<ul class='menu'><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul>", "<div class='comments'><p>I liked this text very much, thank you all.</p><p>Second reader says hello there.</p></div>"
+    inside = f"<h1>{story[0]}</h1>" + "".join(f"<p>{x}</p>" for x in story[1:])
+    return f"<html><body>{menu}{start}{inside}{end}{said}<div class='footer'><p>© 2020 Someone. All rights reserved.</p></div></body></html>", "\n".join(story)
+
+
+def test_articles_without_a_telling_box_are_found():
+    field = extraction.fitted()
+    for start, end in LAYOUTS:
+        page, story = a_page(start, end)
+        assert extraction.main_text(page, field) == story, start
+
+
+@tables
+def test_table_pages_without_the_article_element(spark):
+    """The table's pages with ``article`` renamed to ``div``: what tells is their text and the boxes around."""
+    field = extraction.fitted()
+    hit = wrong = total = 0
+    for page in (r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect() if r.html and "<article" in r.html):
+        truth = {b[1] for b in extraction.blocks(page) if "in:article" in b[0]}
+        got = set(extraction.main_text(page.replace("<article", "<div").replace("</article", "</div"), field).split("\n")) - {""}
+        hit, wrong, total = hit + len(truth & got), wrong + len(got - truth), total + len(truth)
+    assert hit >= 0.9 * total and wrong <= 0.1 * total
+
+
+def test_deep_and_long_pages_take_time_in_their_length():
+    field = extraction.Field({"in:div": 0.25, "own:a": 0.5, "tag:div": 0.125, "in:article": 3.0, "bias": -0.5}, np.zeros((2, 2)))
+    began = time.process_time()
+    assert extraction.main_text("<div class=a>x" * 100_000, field).count("x") == 100_000
+    assert extraction.main_text("<h1>" * 50_000 + "<li>x</li>" * 50_000, field) == ""
+    assert extraction.main_text("".join(f"<div class=a{'b' * (k % 50)}>y" for k in range(30_000)) + "</p></i>" * 30_000, field).count("y") > 0
+    assert time.process_time() - began < 60
+    # Running sums equal sums over the features of each block.
+    page = a_page("<div class='a'><article>", "</article></div>")[0] + "<div class=a>z<div>w</div></div>" * 50
+    scores = [sum(field.weights.get(f, 0.0) for f in extraction.block_features(*b)) for b in extraction.blocks(page)]
+    path = extraction._Path(field.weights)
+    assert scores == [path.score + sum(field.weights.get(f, 0.0) for f in (*path.own(), *extraction._shape(*b))) for b in extraction._walk(page, path)]
+
+
 @pytest.mark.parametrize("k", range(3))
 def test_orders_of_labels_by_enumeration(k):
     """Viterbi against all labellings of a short page."""
