@@ -183,7 +183,7 @@ def d31_dashboard(spark, sf):
     docs = R.has_content(c.payments, c.lines, c.documents)
     visible = docs.where((F.col("type") != "DEVICE_RESPONSE") & (F.col("complete") | F.col("has_content")))
     versions = c.documents.select("document_id", F.when(F.length("document_id") % 3 == 0, '["x"]').otherwise("[]").alias("errors"))
-    return V.dashboard(visible, versions, alerts(spark, sf), jobs(spark, sf).withColumn("relevant", F.col("value") >= 5), statuses(spark, sf), c.devices.agg(F.count("*").alias("n")), _NOW)
+    return V.dashboard(visible, versions, written(alerts(spark, sf), "alerts"), jobs(spark, sf).withColumn("relevant", F.col("value") >= 5), statuses(spark, sf), c.devices.agg(F.count("*").alias("n")), _NOW)
 
 
 @query("d29_document_view", PRE + "SELECT document_id, type, CASE type WHEN 'PRE_BILL' THEN 'Preconto' WHEN 'COMMERCIAL_DOCUMENT' THEN 'Documento commerciale' WHEN 'MANAGEMENT_DOCUMENT' THEN 'Documento gestionale' WHEN 'KITCHEN_ORDER' THEN 'Comanda' WHEN 'ORDER_CHANGE' THEN 'Variazione' WHEN 'CANCELLATION' THEN 'Annullo' WHEN 'CONFORMING_COPY' THEN 'Copia conforme' WHEN 'REPRINT' THEN 'Ristampa' ELSE 'Risposta dispositivo' END AS type_label, d.name AS device, d.department, external_code AS code, CASE WHEN external_code IS NOT NULL THEN 'FULL_CODE_OBSERVED_IN_CAPTURE' WHEN external_suffix IS NOT NULL THEN 'SUFFIX_ONLY_OBSERVED_IN_CAPTURE' WHEN type IN ('PRE_BILL', 'MANAGEMENT_DOCUMENT', 'CONFORMING_COPY', 'COMMERCIAL_DOCUMENT') THEN 'NOT_OBSERVED_IN_CAPTURE' ELSE 'NOT_APPLICABLE' END AS code_status, coalesce(n, 0) AS n_lines, lines_total::DOUBLE AS lines_total, first, coalesce(np, 0) AS n_payments, paid::DOUBLE AS paid FROM documents_ LEFT JOIN devices d USING (device_id) LEFT JOIN (SELECT document_id, count(*) AS n, sum(line_total) AS lines_total, arg_min(description, sequence) AS first FROM lines_ GROUP BY 1) USING (document_id) LEFT JOIN (SELECT document_id, count(*) AS np, sum(amount) AS paid FROM payments_ GROUP BY 1) USING (document_id)")
