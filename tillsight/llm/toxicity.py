@@ -26,14 +26,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import fresh
+from tillsight.llm.common import fresh, materialise
 
 FIT_ROWS, FEATURES, SUPPORT, ORDER = 20_000, 600, 4, 4
-#: The character model keeps so many n-grams, the most frequent of all that were counted; a bound whatever the alphabet.
-GRAMS = 150_000
+#: How many n-grams the character model keeps at most; by default all that were counted.
+GRAMS: int | None = None
 #: Stands for every letter beyond the 16 bits that a letter has in the counts.
 _WIDE = "\uffff"
 #: What a symbol may stand for.
@@ -182,11 +182,11 @@ def features(found: Counter) -> Counter:
     return out
 
 
-def char_counts(docs: DataFrame, text_col: str = "text", order: int = ORDER, most: int = GRAMS) -> dict[str, int]:
+def char_counts(docs: DataFrame, text_col: str = "text", order: int = ORDER, most: int | None = GRAMS) -> dict[str, int]:
     """Counts of character n-grams of orders 1 to ``order`` over the words of all documents.
 
-    Summed by Spark from per-task counts over all texts. The model keeps the ``most`` frequent n-grams (ties to the
-    lesser), so its size depends neither on the corpus nor on the alphabet.
+    Summed by Spark from per-task counts over all texts, so what the model holds grows with the corpus as its distinct n-grams
+    do, which is slowly (Heaps). ``most`` bounds that number for workers with little memory (``_most_frequent``).
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,10 +218,33 @@ def char_counts(docs: DataFrame, text_col: str = "text", order: int = ORDER, mos
 
     texts = docs.select(text_col).where(F.col(text_col).isNotNull())
     total = texts.mapInArrow(run, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-    pdf = total.orderBy(F.desc("n"), "g").limit(most).toPandas()
+    if most is not None:
+        total = _most_frequent(materialise(total, "grams"), most)
+    pdf = total.toPandas()
     return dict(zip(pdf["g"], pdf["n"].tolist(), strict=True))
 
 
+def _most_frequent(total: DataFrame, most: int) -> DataFrame:
+    """The ``most`` most frequent rows of ``total(g, n)``, or fewer: of those as frequent as the last all stay or go.
+
+    A table of frequencies, by powers of 2^(1/16) and then by number inside one such step, gives the least frequency that
+    stays, so no task sorts what all others have found.
+    """
+    step = F.floor(16 * F.log2("n")).cast("int")
+    steps = {r.step: r.c for r in total.groupBy(step.alias("step")).agg(F.count("*").alias("c")).collect()}  # 16 rows a doubling
+    kept, least = 0, None
+    for at in sorted(steps, reverse=True):
+        if kept + steps[at] > most:
+            least = at
+            break
+        kept += steps[at]
+    if least is None:
+        return total
+    fit = total.where(step == least).groupBy("n").agg(F.count("*").alias("c")).withColumn("up_to", F.sum("c").over(Window.orderBy(F.desc("n")))).where(F.col("up_to") <= most - kept)
+    bound = fit.agg(F.min("n")).first()[0]
+    return total.where((step > least) | (F.col("n") >= bound) if bound is not None else step > least)
+
+
 class Model:
     def __init__(self, lm: CharModel, names: list[str], weights: np.ndarray, bias: float):
         self.lm, self.at, self.weights, self.bias = lm, {n: i for i, n in enumerate(names)}, weights, bias
