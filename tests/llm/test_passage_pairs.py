@@ -101,3 +101,60 @@ def test_texts_that_share_half_their_key_are_told_apart(spark):
     u = {r.doc_id: r.u for r in keyed}
     assert len({u[k] for k in (1, 2, 3, 4, 6)}) == 5 and u[2] == u[5] and u[6] == u[7] and 3 in (u[1], u[2], u[3])
     assert {r.doc_id: r.u for r in passages.with_text_key(d, "u").collect()} == {r.doc_id: r.h for r in d.selectExpr("doc_id", "xxhash64(coalesce(text, '')) AS h").collect()}
+
+
+def test_tokens_and_joint_keys_of_many_texts_are_those_of_each():
+    """Texts beside each other share neither words nor windows; a key is each two least hashes that some run of ``WIDTH`` has."""
+    rng = random.Random(11)
+    texts = ["", " ", "a", "b c d e", " f g h i j", "k l m n o\n", "", "à é ü x y z ß", prose(49, 1), prose(50, 2), "", "la " * 120, *(prose(rng.randrange(40, 300), k) for k in range(30)), " ".join(prose(60, 3).split() * 3), ""]
+    each = [passages.tokens(t) for t in texts]
+    together = passages.tokens_of([t.encode() for t in texts])
+    assert [x.tolist() for x in together] == [x.tolist() for x in each] and [len(x) for x in each] == [max(0, len(t.split()) - 4) for t in texts]
+    keys, places = passages.joint_keys(together)
+    for k, s in enumerate(each):
+        hashes = [passages._mix(s ^ seed) for seed in passages._SEEDS]
+        windows = [dict.fromkeys((int(l), int(c), int(r)) for l, c, r in zip(*passages.compact_windows(v), strict=True)) for v in hashes]
+        least = [[next(int(v[c]) for l, c, r in w if l <= x <= c < x + passages.WIDTH <= r + 1) for x in range(len(s) - passages.WIDTH + 1)] for v, w in zip(hashes, windows, strict=True)]
+        want = {(f, g, x, y) for f in range(passages.FNS) for g in range(f + 1, passages.FNS) for x, y in zip(least[f], least[g], strict=True)}
+        wanted = {int(passages._mix(np.array([x], np.uint64) ^ passages._mix(np.array([y], np.uint64) + np.uint64(passages.FNS * f + g)))[0]) for f, g, x, y in want}
+        assert set(keys[places == k].tolist()) == wanted
+    assert len(passages.joint_keys([])[0]) == len(passages.joint_keys(together[:8])[0]) == 0
+
+
+def test_what_no_passage_holds_is_left_over():
+    """With or without what is known of the second text; too few matches for a passage are all left over."""
+    p, q = prose(60, 5).split(), prose(30, 6)
+    b = passages.tokens(f"{q} {' '.join(p)} {prose(20, 7)} {q}")
+    for a, n in ((f"{prose(9, 8)} {' '.join(p)}", 1), (f"{' '.join(p[:40])} x {q}", 0), (" ".join(p[5:50]), 0), (q, 0)):
+        s = passages.tokens(a)
+        got, left, right = passages.chain(s, b)
+        again = passages.chain(s, b, index=passages.indexed(b))
+        assert again[0] == got and (again[1] == left).all() and (again[2] == right).all() and len(got) == n
+        assert (s[left] == b[right]).all()
+        inside = {k for x, y, *_ in got for k in range(x, y - 4)}
+        assert set(left.tolist()) == {k for k in range(len(s)) if s[k] in b and k not in inside}
+
+
+def test_shuffles_go_with_the_table_they_made(spark):
+    """No pass leaves its shuffle files to the driver's garbage collection, and the session's setting is as before."""
+    from pathlib import Path
+
+    def there():
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f: f.stat().st_size for d in dirs for f in Path(str(d)).glob("*/shuffle_*.data")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rng, before, setting = random.Random(7), there(), spark.conf.get(name, "false")
+    words = lambda n: " ".join(f"{rng.getrandbits(48):x}" for _ in range(n))
+    shared = [words(60) for _ in range(40)]
+    rows = [(k, f"{words(200)} {shared[k % 40]} {words(20)}", "s") for k in range(160)]
+    d = docs(spark, rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # so that texts are shuffled
+    try:
+        got = passages.near_duplicate_passages(d)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    left = sum(size for f, size in there().items() if f not in before)
+    assert left < 0.1 * sum(len(t) for _, t, _ in rows), left
+    assert spark.conf.get(name, "false") == setting
+    assert {r.doc_id for r in got.collect()} == set(range(160))

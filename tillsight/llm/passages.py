@@ -4,7 +4,8 @@ Tokens are 5-word shingles (A-Z lower-cased). For each of ``FNS`` hash functions
 tokens' hashes yields compact windows ``(l, c, r)``: every run of tokens within ``[l, r]`` that spans ``c`` has
 its min-hash at ``c``. Nodes narrower than a passage of ``MIN_WORDS`` words are left out, so there are about
 2n / width a function. Within a document the windows of each two functions are joined as intervals: a joint
-window stands for all passages that share both min-hashes, and the two hashes are its key.
+window stands for all passages that share both min-hashes, and the two hashes are its key. Keys tell of a window
+only its min-hash, so the windows of many texts are read off sliding minima at once.
 
 Texts that share a key meet in its group. A group is not expanded into pairs: each member is paired with the
 group's least and greatest text (by hashed text), first within a task and then over the tasks, so a key that a
@@ -43,7 +44,9 @@ RUN = WIDTH - GRID + 1
 SEED, CELL = 16, 16
 #: Keys that a task holds at once, and bytes of text whose keys make one bucket.
 HELD, BUCKET_BYTES = 1_500_000, 12_000_000
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: Bytes of text that are turned into tokens at once.
+STRETCH = 1 << 18
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
 
 
@@ -83,18 +86,39 @@ def _rolled(x: np.ndarray, width: int) -> np.ndarray:
     return _mix((c[width:] - c[:-width]) * _POWERS[1][: len(x) - width + 1])
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of the 5-word shingles, in order; A-Z counts as a-z, words end at white space."""
-    raw = _LOWER[np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)]
-    blank = np.ones(len(raw) + 2, bool)
-    blank[1:-1] = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edge = np.flatnonzero(blank[1:] != blank[:-1])
-    start, end = edge[::2], edge[1::2]
+def tokens_of(texts: list[bytes]) -> list[np.ndarray]:
+    """For each text the hashes of its 5-word shingles, in order; A-Z counts as a-z, words end at white space."""
+    bounds = np.cumsum([0, *map(len, texts)])
+    raw = np.frombuffer(b"".join(texts).translate(_LOWER), np.uint8)
+    word = (raw != 32) & ((raw < 9) | (raw > 13))
+    begins, stops = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    stops[:-1] &= ~word[1:]
+    heads, tails = bounds[:-1][bounds[:-1] < len(raw)], bounds[1:][bounds[1:] > 0] - 1
+    begins[heads], stops[tails] = word[heads], word[tails]
+    start, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     if not len(start):
-        return np.empty(0, np.uint64)
+        return [np.empty(0, np.uint64)] * len(texts)
     c = _sums(raw.astype(np.uint64) + _U(1))
     words = _mix(((c[end] - c[start]) * _POWERS[1][start]) ^ _mix((end - start).astype(np.uint64)))
-    return _rolled(words, SHINGLE)
+    shingles, at = _rolled(words, SHINGLE), np.searchsorted(start, bounds).tolist()
+    return [shingles[x : max(x, y - SHINGLE + 1)] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
+def tokens(text: str | None) -> np.ndarray:
+    """Those of one text."""
+    return tokens_of([(text or "").encode("utf-8", "replace")])[0]
+
+
+def _tokenised(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Where each stretch of some ``STRETCH`` bytes of ``texts`` begins, and its texts' tokens."""
+    held, size, first = [], 0, 0
+    for k, text in enumerate(texts.cast(pa.binary()).to_pylist()):
+        held.append(text)
+        size += len(text)
+        if size >= STRETCH or k + 1 == len(texts):
+            yield first, tokens_of(held)
+            held, size, first = [], 0, k + 1
 
 
 def _least_places(values: np.ndarray, width: int) -> np.ndarray:
@@ -141,22 +165,44 @@ def _least_hashes(s: np.ndarray, width: int = WIDTH) -> list[tuple[np.ndarray, n
     return out
 
 
-def joint_keys(s: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Keys of the joint windows of each two functions, each key once."""
+def _minima(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every run of ``width`` values."""
+    least, reach = values, 1
+    while reach < width:
+        step = min(reach, width - reach)
+        least = np.minimum(least[:-step], least[step:])
+        reach += step
+    return least
+
+
+def joint_keys(texts: list[np.ndarray], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the joint windows of each two functions, and the place in ``texts`` of the text of each.
+
+    Of a compact window a key takes the min-hash and where it begins among the starts of runs of ``width``: where the
+    least of a run differs from that of the run before. So all texts' windows are read off sliding minima at once.
+    """
+    own = [k for k, s in enumerate(texts) if len(s) >= width]
+    if not own:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    s, sizes = np.concatenate([texts[k] for k in own]), np.array([len(texts[k]) for k in own])
+    ends = np.cumsum(sizes)
     n = len(s) - width + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
-    begins, hashes, out = [], [], []
-    for a, _, x in _least_hashes(s, width):  # of every start: whether a window begins, and its min-hash
-        begin = np.zeros(n, bool)
-        begin[a] = True
-        begins.append(begin)
-        hashes.append(np.repeat(x, np.diff(a, append=n)))
+    whole, head = np.ones(n, bool), np.zeros(n, bool)  # of every start: whether its run ends in the same text, and is its first
+    across = (ends[:-1, None] - np.arange(1, width)).ravel()
+    whole[across] = False
+    head[ends - sizes] = True
+    least, begins, keys, places = [], [], [], []
+    for seed in _SEEDS:
+        m = _minima(_mix(s ^ seed), width)
+        begin = head.copy()
+        begin[1:] |= m[1:] != m[:-1]
+        least.append(m), begins.append(begin & whole)
     for f in range(FNS):
         for g in range(f + 1, FNS):
             at = np.flatnonzero(begins[f] | begins[g])  # a joint window begins where either does
-            out.append(hashes[f][at] ^ _mix(hashes[g][at] + _U(FNS * f + g)))
-    return np.unique(_mix(np.concatenate(out)))
+            keys.append(_mix(least[f][at] ^ _mix(least[g][at] + _U(FNS * f + g))))
+            places.append(at)
+    return np.concatenate(keys), np.array(own)[np.searchsorted(ends, np.concatenate(places), "right")]
 
 
 def _around(cells: np.ndarray, n: int, width: int) -> np.ndarray:
@@ -187,6 +233,16 @@ def whole_keys(s: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return np.unique(runs[_around(cells, len(runs), WIDTH)])
 
 
+def _each(keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[..., tuple[np.ndarray, np.ndarray]]:
+    """``keys_of(tokens, cells)`` for many texts: the keys, and the place of the text of each."""
+
+    def run(texts: list[np.ndarray], cells: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        found = [keys_of(s, np.array(c)) for s, c in zip(texts, cells, strict=True)]
+        return np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found])
+
+    return run
+
+
 def starts_of(places: np.ndarray, reach: int, step: int) -> np.ndarray:
     """Starts of runs on a grid of ``step`` places, less than ``reach`` before one of ``places``."""
     return np.unique((places[:, None] - np.arange(0, reach, step)).ravel())
@@ -194,35 +250,59 @@ def starts_of(places: np.ndarray, reach: int, step: int) -> np.ndarray:
 
 def _runs(i: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of each stretch in which ``i`` and the others go up by one."""
-    breaks = np.zeros(max(len(i) - 1, 0), bool)
-    for x in (i, *others):
-        breaks |= np.diff(x) != 1
-    cut = np.flatnonzero(breaks) + 1
-    return (np.r_[0, cut], np.r_[cut, len(i)] - 1) if len(i) else (np.empty(0, np.int64),) * 2
-
-
-def _aligned(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if not len(i):
+        return (np.empty(0, np.int64),) * 2
+    breaks = np.ones(len(i) + 1, bool)
+    breaks[1:-1] = i[1:] - i[:-1] != 1
+    for x in others:
+        breaks[1:-1] |= x[1:] - x[:-1] != 1
+    cut = np.flatnonzero(breaks)
+    return cut[:-1], cut[1:] - 1
+
+
+def _sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of ``x`` in order of its values, equal ones in their own order; the values; whether each is the last of its kind."""
+    order = np.argsort(x)
+    values = x[order]
+    last = np.ones(len(x), bool)
+    last[:-1] = values[1:] != values[:-1]
+    if not last.all():
+        order = np.argsort(x, kind="stable")
+    return order, values, last
+
+
+def _sought(by_value: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``x`` the first place among the sorted values that is not less, the last one at most; whether it is the same."""
+    order, low = np.argsort(x), np.empty(len(x), np.int64)
+    low[order] = np.searchsorted(by_value[1], x[order])  # sorted ones are sought faster
+    low = np.minimum(low, len(by_value[1]) - 1)
+    return low, by_value[1][low] == x
+
+
+def _aligned(a: np.ndarray, b: np.ndarray, by_value: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """For each token of ``a`` a place in ``b`` (-1: none); repeated ones follow the diagonal of their neighbours."""
-    order = np.argsort(b, kind="stable")
-    ordered = b[order]
-    low = np.searchsorted(ordered, a)
-    inside = np.minimum(low, len(b) - 1)
-    held = ordered[inside] == a
-    at = np.where(held, order[inside], -1)
-    lone = held & ((low + 1 >= len(b)) | (ordered[np.minimum(low + 1, len(b) - 1)] != a))
-    place = np.arange(len(a))
-    if lone.any():
+    low, held = _sought(by_value, a)
+    at = np.where(held, by_value[0][low], -1)
+    lone = held & by_value[2][low]
+    many = held & ~lone
+    if many.any() and lone.any():
+        place = np.arange(len(a))
         before = np.maximum.accumulate(np.where(lone, place, -1))
         after = np.minimum.accumulate(np.where(lone, place, len(a))[::-1])[::-1]
-        for near, known in ((after, after < len(a)), (before, before >= 0)):  # the token before has the last word
-            j = place - (place - at)[np.clip(near, 0, len(a) - 1)]
-            ok = held & ~lone & known & (j >= 0) & (j < len(b))
-            ok &= b[np.clip(j, 0, len(b) - 1)] == a
+        for near, known in ((np.minimum(after, len(a) - 1), after < len(a)), (np.maximum(before, 0), before >= 0)):  # the token before has the last word
+            j = place - (place - at)[near]
+            ok = many & known & (j >= 0) & (j < len(b))
+            ok &= b[np.minimum(np.maximum(j, 0), len(b) - 1)] == a
             at = np.where(ok, j, at)
     return at
 
 
-def chain(a: np.ndarray, b: np.ndarray, min_words: int = MIN_WORDS, similar: float = SIMILAR) -> tuple[list[tuple[int, int, int, int, float]], np.ndarray, np.ndarray]:
+def indexed(b: np.ndarray, width: int = WIDTH) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]:
+    """What ``chain`` asks of its second text: its tokens by value, and its runs of ``width`` tokens by value."""
+    return _sorted(b), _sorted(_rolled(b, width))
+
+
+def chain(a: np.ndarray, b: np.ndarray, min_words: int = MIN_WORDS, similar: float = SIMILAR, index: tuple | None = None) -> tuple[list[tuple[int, int, int, int, float]], np.ndarray, np.ndarray]:
     """Passages ``(start, end, start in b, end in b, similarity)`` in words, ends exclusive; and what they leave.
 
     The rest is the places, in a and in b, of matched tokens within no passage. Every exact run counts whatever
@@ -231,23 +311,29 @@ def chain(a: np.ndarray, b: np.ndarray, min_words: int = MIN_WORDS, similar: flo
     found, covered, none = [], np.zeros(len(a), bool), np.empty(0, np.int64)
     if not len(a) or not len(b):
         return found, none, none
-    at, width = _aligned(a, b), min_words - SHINGLE + 1
-    if (at < 0).all():
-        return found, none, none
-    ra, rb = _rolled(a, width), _rolled(b, width)
-    if len(ra) and len(rb):
-        order = np.argsort(rb, kind="stable")
-        place = np.minimum(np.searchsorted(rb[order], ra), len(rb) - 1)
-        i = np.flatnonzero(rb[order[place]] == ra)
-        j = order[place[i]]
+    width = min_words - SHINGLE + 1
+    by_value, runs = index or indexed(b, width)
+    at = _aligned(a, b, by_value)
+    i = np.flatnonzero(at >= 0)
+    if len(i) < similar * width:  # a passage has at least as many matches
+        return found, i, at[i]
+    first, last = _runs(i)
+    inside = [np.arange(x, y - width + 2) for x, y in zip(i[first].tolist(), i[last].tolist(), strict=True) if y - x + 1 >= width] if len(runs[0]) else []
+    if inside:  # only there all tokens of a run are matched
+        i = np.concatenate(inside)
+        low, same = _sought(runs, _rolled(a, width)[i])
+        i, j = i[same], runs[0][low[same]]
         for x, y in zip(*_runs(i, j), strict=True):
             s, e, t = int(i[x]), int(i[y]) + width, int(j[x])
             at[s:e], covered[s:e] = np.arange(t, t + e - s), True
             found.append((s, e + SHINGLE - 1, t, t + e - s + SHINGLE - 1, 1.0))
     i = np.flatnonzero(at >= 0)
     j = at[i]
-    cuts = np.flatnonzero((np.diff(i) > 2 * SHINGLE + 1) | (np.diff(j) < 1) | (np.diff(j) > 2 * SHINGLE + 1)) + 1
-    todo = [(int(x), int(y)) for x, y in zip(np.r_[0, cuts], np.r_[cuts, len(i)], strict=True)]
+    steps = j[1:] - j[:-1]
+    wide = np.maximum(i[1:] - i[:-1], steps)
+    ends = np.concatenate([[0], np.flatnonzero((wide > 2 * SHINGLE + 1) | (steps < 1)) + 1, [len(i)]])
+    long = np.flatnonzero(i[ends[1:] - 1] - i[ends[:-1]] + SHINGLE >= min_words)
+    todo = list(zip(ends[long].tolist(), ends[long + 1].tolist(), strict=True))
     while todo:
         x, y = todo.pop()
         la, lb, m = int(i[y - 1] - i[x] + 1), int(j[y - 1] - j[x] + 1), y - x
@@ -258,7 +344,7 @@ def chain(a: np.ndarray, b: np.ndarray, min_words: int = MIN_WORDS, similar: flo
             covered[i[x] : i[y - 1] + 1] = True
             found.append((int(i[x]), int(i[y - 1]) + SHINGLE, int(j[x]), int(j[y - 1]) + SHINGLE, s))
             continue
-        gaps = np.maximum(np.diff(i[x:y]), np.diff(j[x:y]))
+        gaps = wide[x : y - 1]
         if len(gaps) and gaps.max() > 1:
             k = x + int(gaps.argmax()) + 1
             todo += [(x, k), (k, y)]
@@ -276,8 +362,13 @@ def chain(a: np.ndarray, b: np.ndarray, min_words: int = MIN_WORDS, similar: flo
 
 def _paired(keys: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (key, text), in order; whether each is its key's first, and the places of its key's first and last."""
-    order = np.lexsort((texts, keys))
-    keys, texts = keys[order], texts[order]
+    order = np.argsort(keys)
+    keys = keys[order]
+    same = np.zeros(len(keys) + 1, bool)
+    same[1:-1] = keys[1:] == keys[:-1]
+    shared = np.flatnonzero(same[1:] | same[:-1])  # most keys have one text
+    order[shared] = order[shared][np.lexsort((texts[order[shared]], keys[shared]))]
+    texts = texts[order]
     new = np.r_[True, (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])] if len(keys) else np.empty(0, bool)
     keys, texts = keys[new], texts[new]
     head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
@@ -297,26 +388,28 @@ def _combined(keys: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([k for k, _ in out]), np.concatenate([t for _, t in out])
 
 
-def _met(rows: DataFrame, keys_of: Callable[..., np.ndarray], buckets: int) -> DataFrame:
-    """Pairs ``(_u, _v)``, the greater text first, of the groups of ``rows(_u, text, ...)`` by ``keys_of(tokens, ...)``."""
+def _met(rows: DataFrame, keys_of: Callable[..., tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
+    """Pairs ``(_u, _v)``, the greater text first, of the groups of ``rows(_u, text, ...)`` by ``keys_of(texts' tokens, ...)``."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, texts, held = [], [], 0
 
         def flush():
             k, t = _combined(np.concatenate(keys), np.concatenate(texts))
-            bucket = (k % _U(buckets)).astype(np.int64)
-            order = np.lexsort((k, bucket))  # by key: as many bytes a key however many buckets there are
-            at = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0])
-            offsets = pa.array(np.r_[at, len(order)].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (k.view(np.int64), t)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[order][at]), *lists], ["bucket", "keys", "texts"])
+            order = np.argsort(k)  # by key: as many bytes a key however many buckets there are
+            k, t = k[order], t[order]
+            bucket = (((k >> _U(32)) * _U(buckets)) >> _U(32)).view(np.int64)  # goes up with the key
+            at = np.flatnonzero(np.r_[True, np.diff(bucket) > 0])
+            offsets = pa.array(np.r_[at, len(k)].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (k.view(np.int64), t)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[at]), *lists], ["bucket", "keys", "texts"])
 
         for batch in batches:
-            for u, text, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k = keys_of(tokens(text), *(np.array(x) for x in more))
+            u = batch.column(0).to_numpy()
+            for first, some in _tokenised(batch.column(1)):
+                k, place = keys_of(some, *(c.slice(first, len(some)).to_pylist() for c in batch.columns[2:]))
                 if len(k):
-                    keys.append(k), texts.append(np.full(len(k), u))
+                    keys.append(k), texts.append(u[first + place])
                     held += len(k)
                 if held >= HELD:
                     yield flush()
@@ -330,15 +423,31 @@ def _met(rows: DataFrame, keys_of: Callable[..., np.ndarray], buckets: int) -> D
         place = np.arange(len(t))
         u = np.concatenate([t[place != first], t[last[(place != first) & (place != last)]]])
         v = np.concatenate([t[first[place != first]], t[(place != first) & (place != last)]])
-        found = np.unique(np.stack([u, v], 1), axis=0) if len(u) else np.empty((0, 2), np.int64)
-        return pa.table({"_u": found[:, 0], "_v": found[:, 1]})
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        new = np.ones(len(u), bool)
+        new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+        return pa.table({"_u": u[new], "_v": v[new]})
 
     return rows.mapInArrow(emit, "bucket bigint, keys array<bigint>, texts array<bigint>").groupBy("bucket").applyInArrow(pairs, "_u bigint, _v bigint").distinct()
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """``materialise``; the shuffle files behind the table go once it is written, not when the driver next collects its garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return materialise(df, label)
+    finally:
+        conf.set(name, before)
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, least_run: int) -> DataFrame:
     """``(_u, _v, s, e, vs, ve, sim)`` of ``pairs``; rows without ``sim`` are cells ``s`` of ``_u`` that hold unexplained runs."""
-    both = pairs.join(texts.withColumnRenamed("_text", "_a"), "_u").join(texts.select(F.col("_u").alias("_v"), F.col("_text").alias("_b")), "_v")
+    # Both joins take the table as it is, so that it is shuffled once.
+    a, b = texts.alias("a"), texts.alias("b")
+    both = pairs.alias("p").join(a, F.col("p._u") == F.col("a._u")).join(b, F.col("p._v") == F.col("b._u"))
 
     def cells(places: np.ndarray, other: np.ndarray) -> list[int]:
         first, last = _runs(places, other)
@@ -346,23 +455,25 @@ def _verify(pairs: DataFrame, texts: DataFrame, least_run: int) -> DataFrame:
         return sorted({c for x, y in zip(places[first[long]].tolist(), places[last[long]].tolist(), strict=True) for c in range(x // CELL, y // CELL + 1)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list = [None, None, None, None]
+        last, known = None, (np.empty(0, np.uint64), None)
         for batch in batches:
-            out = []
-            for u, v, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if u != last[0]:
-                    last[:2] = u, tokens(a)
-                if v != last[2]:  # rows come sorted by one of the two
-                    last[2:] = v, tokens(b)
-                found, left, right = chain(last[1], last[3])
-                out += [(u, v, *x) for x in found]
-                if len(left):
-                    out += [(x, None, c, None, None, None, None) for x, p, q in ((u, left, right), (v, right, left)) for c in cells(p, q)]
+            out, uv = [], [c.to_pylist() for c in batch.columns[:2]]
+            texts_b = batch.column(3)
+            for first, some in _tokenised(batch.column(2)):
+                for k, s in enumerate(some, first):
+                    u, v = uv[0][k], uv[1][k]
+                    if v != last:  # rows come sorted by it
+                        last, t = v, tokens(texts_b[k].as_py())
+                        known = t, indexed(t)
+                    found, left, right = chain(s, known[0], index=known[1])
+                    out += [(u, v, *x) for x in found]
+                    if len(left):
+                        out += [(x, None, c, None, None, None, None) for x, p, q in ((u, left, right), (v, right, left)) for c in cells(p, q)]
             if out:
                 kinds = [pa.int64()] * 6 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["_u", "_v", "s", "e", "vs", "ve", "sim"])
 
-    return both.select("_u", "_v", "_a", "_b").mapInArrow(run, "_u bigint, _v bigint, s bigint, e bigint, vs bigint, ve bigint, sim double")
+    return both.select("p._u", "p._v", F.col("a._text").alias("_a"), F.col("b._text").alias("_b")).mapInArrow(run, "_u bigint, _v bigint, s bigint, e bigint, vs bigint, ve bigint, sim double")
 
 
 def _open(verified: DataFrame, *passages: DataFrame) -> DataFrame:
@@ -382,22 +493,22 @@ def spans(keyed: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame]:
     ``keyed`` is ``(_u, _id, _text)``. The second table has ``(_u, _text)`` of every text of a pair or with copies.
     """
     buckets = max(1, -(-n_bytes // BUCKET_BYTES))
-    pairs = materialise(_met(keyed.select("_u", "_text"), joint_keys, buckets), "passages-pairs")
+    pairs = _written(_met(keyed.select("_u", "_text"), joint_keys, buckets), "passages-pairs")
     copies = keyed.groupBy("_u").agg(F.count_distinct(F.struct("_id")).alias("n")).where("n > 1").select("_u")
     need = pairs.select("_u").union(pairs.select("_v")).union(copies).distinct()
-    texts = materialise(keyed.select("_u", "_text").join(need, "_u", "left_semi").dropDuplicates(["_u"]), "passages-texts")
-    first = materialise(_verify(pairs, texts, SEED), "passages-first")
+    texts = _written(keyed.select("_u", "_text").join(need, "_u", "left_semi").dropDuplicates(["_u"]), "passages-texts")
+    first = _written(_verify(pairs, texts, SEED), "passages-first")
     passages = first.where("sim IS NOT NULL")
 
     again = texts.join(_open(first, passages), "_u").select("_u", "_text", "cells")
-    pairs2 = materialise(_met(again, longer_keys, buckets).join(pairs, ["_u", "_v"], "left_anti"), "passages-pairs2")
-    second = materialise(_verify(pairs2, texts, RUN), "passages-second")
+    pairs2 = _written(_met(again, _each(longer_keys), buckets).join(pairs, ["_u", "_v"], "left_anti"), "passages-pairs2")
+    second = _written(_verify(pairs2, texts, RUN), "passages-second")
     more = second.where("sim IS NOT NULL")
 
     last = texts.join(_open(second, passages, more), "_u").select("_u", "_text", "cells")
-    pairs3 = _met(last, whole_keys, buckets).join(pairs.union(pairs2), ["_u", "_v"], "left_anti")
+    pairs3 = _written(_met(last, _each(whole_keys), buckets).join(pairs.union(pairs2), ["_u", "_v"], "left_anti"), "passages-pairs3")
     third = _verify(pairs3, texts, WIDTH).where("sim IS NOT NULL")
-    return materialise(passages.union(more).union(third), "passages-all"), texts
+    return _written(passages.union(more).union(third), "passages-all"), texts
 
 
 def _size(docs: DataFrame, text: Column) -> int:
@@ -416,7 +527,7 @@ def with_text_key(docs: DataFrame, u: str, text_col: str = "text", halves_of=_ha
     """
     first, second = halves_of(F.coalesce(F.col(text_col), F.lit("")))
     halves = docs.select(first.alias("_a"), second.alias("_b")).groupBy("_a").agg(F.min("_b").alias("_least"), F.max("_b").alias("_most"))
-    shared = materialise(halves.where("_least <> _most").select("_a", "_least"), "passages-shared-halves")
+    shared = _written(halves.where("_least <> _most").select("_a", "_least"), "passages-shared-halves")
     a, least = fresh(docs, "_a", "_least")
     met = docs.join(shared.withColumnsRenamed({"_a": a, "_least": least}), first == F.col(a), "left")
     return met.withColumn(u, F.when(F.col(least).isNull() | (F.col(least) == second), first).otherwise(F.xxhash64(F.lit("other"), first, second))).select(*docs.columns, u)
@@ -426,9 +537,10 @@ def _found(keyed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Passages of ``keyed(_u, _id, _text)``, representatives ``(_u, _rep)`` of all texts that matter, and whole copies ``(_u, _id, n)``."""
     found, texts = spans(keyed, _size(keyed, F.col("_text")))
     ids = keyed.select("_u", "_id").join(texts.select("_u"), "_u", "left_semi").distinct()
-    reps = materialise(ids.groupBy("_u").agg(F.min("_id").alias("_rep"), F.count("*").alias("ids")), "passages-reps")
-    sizes = texts.select("_u", F.size(words_of(F.col("_text"))).cast("bigint").alias("n")).where(F.col("n") >= MIN_WORDS)
-    whole = ids.join(reps.where("ids > 1"), "_u").join(sizes, "_u").select("_u", "_id", "_rep", "n")
+    reps = _written(ids.groupBy("_u").agg(F.min("_id").alias("_rep"), F.count("*").alias("ids")), "passages-reps")
+    copied = reps.where("ids > 1")
+    sizes = texts.join(copied.select("_u"), "_u", "left_semi").select("_u", F.size(words_of(F.col("_text"))).cast("bigint").alias("n")).where(F.col("n") >= MIN_WORDS)
+    whole = ids.join(copied, "_u").join(sizes, "_u").select("_u", "_id", "_rep", "n")
     return found, reps, whole
 
 
