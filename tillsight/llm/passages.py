@@ -534,14 +534,13 @@ def with_text_key(docs: DataFrame, u: str, text_col: str = "text", halves_of=_ha
 
 
 def _found(keyed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Passages of ``keyed(_u, _id, _text)``, representatives ``(_u, _rep)`` of all texts that matter, and whole copies ``(_u, _id, n)``."""
+    """Passages of ``keyed(_u, _id, _text)``, representatives ``(_u, _rep)`` of all texts, and ``(_u, _rep, n)`` of texts with whole copies."""
     found, texts = spans(keyed, _size(keyed, F.col("_text")))
-    ids = keyed.select("_u", "_id").join(texts.select("_u"), "_u", "left_semi").distinct()
-    reps = _written(ids.groupBy("_u").agg(F.min("_id").alias("_rep"), F.count("*").alias("ids")), "passages-reps")
-    copied = reps.where("ids > 1")
-    sizes = texts.join(copied.select("_u"), "_u", "left_semi").select("_u", F.size(words_of(F.col("_text"))).cast("bigint").alias("n")).where(F.col("n") >= MIN_WORDS)
-    whole = ids.join(copied, "_u").join(sizes, "_u").select("_u", "_id", "_rep", "n")
-    return found, reps, whole
+    # Of all texts: joined with those that matter first, copies of one text would meet in one task before they are counted.
+    reps = _written(keyed.select("_u", "_id").distinct().groupBy("_u").agg(F.min("_id").alias("_rep"), F.count("*").alias("ids")), "passages-reps")
+    n = F.size(words_of(F.col("_text"))).cast("bigint").alias("n")
+    copied = texts.join(reps.where("ids > 1"), "_u").select("_u", "_rep", n).where(F.col("n") >= MIN_WORDS)
+    return found, reps, _written(copied, "passages-copied")
 
 
 def _keyed(docs: DataFrame, u: str, id_col: str, text_col: str) -> DataFrame:
@@ -555,7 +554,8 @@ def near_duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: s
     passage of all its words.
     """
     slim = with_text_key(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_u", "_text")
-    found, reps, whole = _found(_keyed(slim, "_u", "_id", "_text"))
+    found, reps, copied = _found(_keyed(slim, "_u", "_id", "_text"))
+    whole = slim.select("_u", "_id").distinct().join(copied, "_u")
     own = found.groupBy(F.col("_v").alias("_u"), "_v", F.col("vs").alias("s")).agg(F.max("ve").alias("e")).withColumns({"vs": F.col("s"), "sim": F.lit(1.0)})
     rows = found.select("_u", "_v", "s", "e", "vs", "sim").unionByName(own.select("_u", "_v", "s", "e", "vs", "sim"))
     rows = rows.join(reps.select(F.col("_u").alias("_v"), F.col("_rep").alias("rep_doc_id")), "_v").join(reps.select("_u", F.col("_rep").alias("doc_id")), "_u")
@@ -583,10 +583,10 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     keep = list(docs.columns)
     u, cuts, first, n = fresh(docs, "_u", "_cuts", "_first", "_n")
     docs_u = with_text_key(docs, u, text_col)
-    found, _, whole = _found(_keyed(docs_u, u, id_col, text_col))
+    found, _, copies = _found(_keyed(docs_u, u, id_col, text_col))
     # One table of all that is cut from a text, so that the texts are joined once.
     spans_of = found.groupBy("_u").agg(F.collect_set(F.struct("s", "e")).alias(cuts))
-    copied = whole.select("_u", F.struct(F.col("_rep").alias("id")).alias(first), F.col("n").alias(n)).distinct()
+    copied = copies.select("_u", F.struct(F.col("_rep").alias("id")).alias(first), F.col("n").alias(n))
     out = spans_of.join(copied, "_u", "full_outer").withColumnRenamed("_u", u)
     lesser = F.col(first).isNotNull() & ~F.col(id_col).eqNullSafe(F.col(first)["id"])
     joined = docs_u.join(out, u, "left").select(*keep, cuts, F.when(lesser, F.col(n)).alias(n))
